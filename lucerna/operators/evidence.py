@@ -8,6 +8,9 @@ unused collectors are pruned by Catalyst. Subtree tests are interval tests on
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -667,15 +670,54 @@ COUNTS = {
 }
 
 
-def with_evidence(pages: DataFrame) -> DataFrame:
-    """Pages with a ``dom`` column -> the same rows plus every collector and the ``counts`` struct."""
+_WORD = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=None)
+def _plan(need: frozenset[str] | None) -> tuple[tuple[tuple[str, str], ...], ...]:
+    """Stages reduced to what the wanted columns refer to, directly or through other columns."""
+    todo = [tuple(stage.items()) for stage in _stages()]
+    if need is None:
+        return tuple(todo)
+    wanted = {"is_dom", *need}
+    if "counts" in wanted:
+        for sql in COUNTS.values():
+            wanted.update(_WORD.findall(sql))
+    out = []
+    for stage in reversed(todo):
+        # within a stage columns never refer to each other
+        kept = tuple((n, sql) for n, sql in stage if n in wanted)
+        for _, sql in kept:
+            wanted.update(_WORD.findall(sql))
+        out.append(kept)
+    return tuple(reversed(out))
+
+
+@lru_cache(maxsize=1)
+def _stages() -> list[dict[str, str]]:
+    return stages()
+
+
+def with_evidence(pages: DataFrame, need: set[str] | None = None) -> DataFrame:
+    """Pages with a ``dom`` column -> the same rows plus collectors.
+
+    ``need`` names the wanted columns (with ``counts`` for the counts struct); the rest is not even planned.
+    """
     out = with_recorded(pages)
-    for stage in stages():
-        out = out.withColumns({name: F.expr(sql) for name, sql in stage.items()})
+    for stage in _plan(frozenset(need) if need is not None else None):
+        if stage:
+            out = out.withColumns({name: F.expr(sql) for name, sql in stage})
+    if need is not None and "counts" not in need:
+        return out
     counts = ", ".join(f"'{k}', {v}" for k, v in COUNTS.items())
     return out.withColumn("counts", F.expr(f"if(is_dom, named_struct({counts}), null)"))
 
 
+def words_of(*sqls: str) -> set[str]:
+    """Column names an expression may refer to; feed it to ``need``."""
+    return {w for sql in sqls for w in _WORD.findall(sql)}
+
+
 def template_hash(skeleton_col: str = "skeleton"):
     """32-bit skeleton hash with the reference arithmetic: signed xor, product in double precision."""
     step = (

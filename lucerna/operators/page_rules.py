@@ -107,7 +107,7 @@ def _rules() -> dict[str, str]:
     )
     r["landmark-coverage"] = cap(
         when("not has_main", finding("'body'", None, "no-main")),
-        when("not exists(landmarks, l -> l.tag = 'nav' or coalesce(l.role, '') = 'nav') and counts.links >= 5", finding("'body'", None, "no-nav")),
+        when("not exists(landmarks, l -> l.tag = 'nav' or coalesce(l.role, '') = 'nav') and size(links) >= 5", finding("'body'", None, "no-nav")),
     )
     r["presentational-markup"] = cap(each("presentational", "x.selector", source("x"), "presentational", "x.tag"))
     r["layout-table-detect"] = cap(
@@ -118,7 +118,7 @@ def _rules() -> dict[str, str]:
     jumps = f"get(transform(array({leveled}), hs -> filter(transform(hs, (h, i) -> named_struct('h', h, 'prev', get(hs, i - 1).level)), y -> y.prev is not null and y.h.level > y.prev + 1)), 0)"
     r["section-heading-coverage"] = cap(
         each(jumps, "x.h.selector", "x.h.text", "heading-jump", "concat('h', x.h.level, ' after h', x.prev, ' ', x.h.text)"),
-        when(f"size({leveled}) = 0 and counts.textLength > 600", finding("'body'", None, "no-headings")),
+        when(f"size({leveled}) = 0 and text_length > 600", finding("'body'", None, "no-headings")),
     )
     reorder = each("css_reordered", "x.selector", "x.text", "css-reordered", "if(coalesce(x.css_order, '') not in ('', '0'), concat('order:', x.css_order), concat('flex-direction:', x.flex_direction))")
     r["dom-visual-order-mismatch"] = (

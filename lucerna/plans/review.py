@@ -40,9 +40,9 @@ def parsed(pages: DataFrame) -> DataFrame:
     return with_dom(ensure_parallelism(prepare(pages), "page_id"))
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """Evidence of every page: one narrow pass."""
-    return with_evidence(parsed(pages))
+def evidence(pages: DataFrame, need: set[str] | None = None) -> DataFrame:
+    """Evidence of every page, or only the wanted collectors: one narrow pass."""
+    return with_evidence(parsed(pages), need)
 
 
 def rules_of(items: list[str] | None, level: str) -> list[str]:
