@@ -595,8 +595,8 @@ def stages() -> list[dict[str, str]]:
     }
     derived = {
         "links": "transform(links_raw, x -> struct(x.*, x.name <> '' and size(array_distinct(transform(filter(links_raw, y -> y.name = x.name), y -> y.href))) > 1 as ambiguous))",
-        "has_h1": "exists(headings, h -> h.level = 1)",
-        "has_main": "exists(landmarks, l -> l.tag = 'main' or l.role = 'main')",
+        "has_h1": "exists(headings, h -> coalesce(h.level, 0) = 1)",
+        "has_main": "exists(landmarks, l -> l.tag = 'main' or coalesce(l.role, '') = 'main')",
     }
     fields = (
         "pos selector text name href title aria_label new_window warns generic is_url empty image_only context visible region".split()

@@ -107,9 +107,9 @@ def keyboard_struct(stops: DataFrame, candidates: DataFrame, key: str = "page_id
     listed = kept.groupBy(key).agg(
         F.expr("transform(array_sort(collect_list(struct(position, selector, name, tag, context_kind, context_detail, visible, indicator_changed, contains_frame))), s -> s)").alias("_s")
     )
-    reach = unreachable(candidates, kept, key).groupBy(key).agg(F.expr("transform(array_sort(collect_list(struct(pos, selector, text, reason))), u -> struct(u.selector, u.text, u.reason))").alias("_u"))
+    reach = unreachable(candidates, kept, key).groupBy(key).agg(F.expr("transform(array_sort(collect_list(struct(pos, selector, text, reason))), u -> named_struct('selector', u.selector, 'text', u.text, 'reason', u.reason))").alias("_u"))
     order = focus_order_mismatches(kept, key).groupBy(key).agg(
-        F.expr("transform(array_sort(collect_list(struct(visual_position, selector, name, position))), m -> struct(m.selector, m.name, cast(m.position as int), cast(m.visual_position as int)))").alias("_o")
+        F.expr("transform(array_sort(collect_list(struct(visual_position, selector, name, position))), m -> named_struct('selector', m.selector, 'name', m.name, 'position', cast(m.position as int), 'visual_position', cast(m.visual_position as int)))").alias("_o")
     )
     joined = ends.join(listed, key, "left").join(reach, key, "left").join(order, key, "left")
     return joined.select(

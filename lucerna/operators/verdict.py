@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lucerna.operators import applicability as A
 from lucerna.operators.catalogue import CANCELLED, CATALOGUE, catalogue_df, rows_for
-from lucerna.operators.page_rules import FINDING, NO_OPINION, NONE, RULE_NOTES, rule_sql, with_site_defaults
+from lucerna.operators.page_rules import NONE, RULE_NOTES, with_site_defaults
 
 # Turnover thresholds in the obligation rules.
 FULL_EXEMPTION_TURNOVER = 100_000
@@ -55,6 +55,14 @@ def _checker(kind: str, rules: tuple[str, ...], limit: int) -> str:
     return f"coalesce(slice(flatten(transform(filter(checker.{kind}, v -> v.id in ({names})), v -> transform(v.nodes, n -> {f}))), 1, {limit}), {NONE})"
 
 
+def checker_findings(pages: DataFrame, kind: str = "violations", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """V4 (``violations``, 20 per row) and V5 (``incomplete``, 10 per row): checker nodes per catalogue row."""
+    limit = 20 if kind == "violations" else 10
+    rows = [r for r in CATALOGUE if r.checker_rules]
+    items = ", ".join(f"named_struct('item_id', '{r.item_id}', 'findings', {_checker(kind, r.checker_rules, limit)})" for r in rows)
+    return pages.selectExpr(*keys, f"inline(array({items}))").where("size(findings) > 0")
+
+
 def dedupe(findings: str) -> str:
     """Same place and same first 80 characters of reason count once; 20 kept."""
     return f"slice(get(transform(array({findings}), fs -> filter(fs, (f, i) -> not exists(slice(fs, 1, i), g -> g.locator = f.locator and left(g.reason, 80) = left(f.reason, 80)))), 0), 1, 20)"

