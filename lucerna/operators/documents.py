@@ -127,7 +127,7 @@ def scanned_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
     ``pages`` has key, page, text_chars, page_area, image_areas (array).
     """
-    p = pages.withColumn("coverage", F.expr("round(coalesce(array_max(image_areas), 0) / greatest(page_area, 1D), 2)"))
+    p = pages.withColumn("coverage", F.expr("floor(coalesce(array_max(image_areas), 0) / greatest(page_area, 1D) * 100D + 0.5D) / 100D"))
     p = p.withColumn("scan", F.expr("size(image_areas) > 0 and text_chars < 40 and coalesce(array_max(image_areas), 0) / greatest(page_area, 1D) > 0.5"))
     whole = p.groupBy(key).agg(F.sum("text_chars").alias("total"), F.expr("bool_or(scan)").alias("any_scan"))
     j = p.join(whole, key)

@@ -21,16 +21,16 @@ def recent_scan(requests: DataFrame, jobs: DataFrame, minutes: int = COOLDOWN_MI
     bucket is an equality key, so one popular url is spread over its buckets and no pair list is built per url.
     """
     size = minutes * 60
-    done = jobs.where("status = 'done' and finished_at is not null").select("url", F.col("id").alias("job_id"), "finished_at", F.expr(f"cast(floor(unix_micros(finished_at) / 1000000D / {size}) as bigint)").alias("bucket"))
-    req = requests.withColumn("bucket", F.expr(f"cast(floor(unix_micros(requested_at) / 1000000D / {size}) as bigint)"))
+    done = jobs.where("status = 'done' and finished_at is not null").select("url", F.col("id").alias("job_id"), "finished_at", F.expr(f"cast(floor(unix_micros(cast(finished_at as timestamp)) / 1000000D / {size}) as bigint)").alias("bucket"))
+    req = requests.withColumn("bucket", F.expr(f"cast(floor(unix_micros(cast(requested_at as timestamp)) / 1000000D / {size}) as bigint)"))
     # union both sides and carry the newest finish forward inside (url, bucket)
-    marks = done.selectExpr("url", "bucket", "finished_at as at", "named_struct('finished_at', finished_at, 'job_id', job_id) as job", "0 as kind", "cast(null as bigint) as request_id")
+    marks = done.selectExpr("url", "bucket", "finished_at as at", "named_struct('finished_at', cast(finished_at as timestamp), 'job_id', job_id) as job", "0 as kind", "cast(null as bigint) as request_id")
     asks = req.selectExpr("url", "bucket", "requested_at as at", "cast(null as struct<finished_at:timestamp,job_id:bigint>) as job", "1 as kind", "request_id")
     w = W.partitionBy("url", "bucket").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     here = marks.unionByName(asks).withColumn("found", F.last("job", ignorenulls=True).over(w)).where("kind = 1").select("request_id", "url", F.col("at").alias("requested_at"), "bucket", F.col("found").alias("here"))
-    tails = done.groupBy("url", "bucket").agg(F.expr("max(named_struct('finished_at', finished_at, 'job_id', job_id))").alias("before")).withColumn("bucket", F.col("bucket") + 1)
+    tails = done.groupBy("url", "bucket").agg(F.expr("max(named_struct('finished_at', cast(finished_at as timestamp), 'job_id', job_id))").alias("before")).withColumn("bucket", F.col("bucket") + 1)
     both = here.join(tails, ["url", "bucket"], "left").withColumn("j", F.coalesce("here", "before"))
-    fresh = f"j.finished_at >= requested_at - interval {minutes} minutes"
+    fresh = f"j.finished_at >= cast(requested_at as timestamp) - interval {minutes} minutes"
     return both.selectExpr("request_id", "url", "requested_at", f"if({fresh}, j.job_id, null) as reuse_job", f"if({fresh}, j.finished_at, null) as reuse_finished_at")
 
 
@@ -50,7 +50,7 @@ def active_scans(jobs: DataFrame, max_concurrent: int = MAX_CONCURRENT, hours: i
     gives each bucket its opening level, and only the rest of the sum runs inside one bucket at a time.
     """
     ev = jobs.selectExpr("started_at as at", "1 as step", "id").unionByName(jobs.where("finished_at is not null").selectExpr("finished_at as at", "-1 as step", "cast(null as bigint) as id"))
-    ev = ev.withColumn("bucket", F.expr(f"cast(floor(unix_micros(at) / 1000000D / {hours * 3600}) as bigint)"))
+    ev = ev.withColumn("bucket", F.expr(f"cast(floor(unix_micros(cast(at as timestamp)) / 1000000D / {hours * 3600}) as bigint)"))
     per = ev.groupBy("bucket").agg(F.sum("step").alias("net"))
     opening = per.withColumn("opening", F.coalesce(F.sum("net").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("bucket", "opening")
     # at equal times an end comes before a start

@@ -161,7 +161,7 @@ def _rules() -> dict[str, str]:
     )
     r["component-identity"] = only_if(
         "page_count > 1 and components is not null",
-        cap(each("coalesce(component_conflicts, cast(array() as array<struct<key:string,name:string,other_name:string,other_url:string>>))", "x.key", "x.name", "component-name", "concat(x.key, ' is ', x.name, ' here and ', x.other_name, ' on ', x.other_url)")),
+        cap(each("coalesce(component_conflicts, cast(array() as array<struct<key:string,name:string,other_name:string,other_url:string>>))", "x.key", "x.name", "component-name", "concat(x.other_url, ' calls it ', x.other_name, ', this page ', x.name)")),
     )
     r["placeholder-as-label"] = cap(
         each("filter(controls, c -> c.visible and c.placeholder_only)", "x.selector", source("x"), "placeholder-only", "x.placeholder"),
