@@ -95,8 +95,8 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """``site, source, xml`` -> listed addresses; index files are followed through the same table."""
     locs = r"transform(regexp_extract_all(xml, r'(?is)<loc>\s*(.*?)\s*</loc>', 1), l -> trim(replace(l, '&amp;', '&')))"
     base = sitemaps.withColumn("locs", F.expr(locs)).withColumn("is_index", F.expr("xml rlike '(?i)<sitemapindex'"))
-    plain = base.where("not is_index").selectExpr("site", "source", "posexplode(locs) as (pos, loc)")
-    nested = base.where("is_index").selectExpr("site", "source as index_source", "posexplode(slice(locs, 1, 25)) as (index_pos, source)")
+    plain = base.where("not is_index").selectExpr("site", "source", "posexplode_outer(locs) as (pos, loc)").where("loc is not null")
+    nested = base.where("is_index").selectExpr("site", "source as index_source", "posexplode_outer(slice(locs, 1, 25)) as (index_pos, source)").where("source is not null")
     inner = nested.join(plain.drop("site"), "source").selectExpr("site", "index_source as source", "cast(index_pos * 1000000L + pos as bigint) as pos", "loc")
     reached = nested.select("source").distinct()
     return plain.join(reached, "source", "left_anti").selectExpr("site", "source", "cast(pos as bigint) as pos", "loc").unionByName(inner)

@@ -262,7 +262,8 @@ def evaluate_documents(facts: DataFrame, level: str = "AA", use_ai: bool = False
     df = facts.withColumns({f"rule:{r}": F.expr(rule_sql(r)) for r in used})
     contract = A.checked("c", A.DOCUMENT_COUNT_KEYS)
     sql = f"flatten(transform(transform(array(counts), c -> if(download_error is null and error is null, {contract}, c)), c -> array({', '.join(structs)})))"
-    flat = df.withColumn("_v", F.expr(sql)).selectExpr(*keys, "notes", "posexplode(_v) as (_i, v)")
+    # the outer generator keeps Spark from testing size(array) first, which would evaluate every rule twice
+    flat = df.selectExpr(*keys, "notes", f"posexplode_outer({sql}) as (_i, v)").where("v is not null")
     return flat.selectExpr(*keys, "v.item_id", "v.ordinal", "v.verdict", "v.method", "v.confidence", "v.findings", "if(_i = 0 and size(notes) > 0, concat_ws(' | ', v.note, array_join(notes, ' | ')), v.note) as note")
 
 

@@ -152,7 +152,7 @@ def _rules() -> dict[str, str]:
     )
     n_ways = (
         "(if(coalesce(site_search, false) or search_mechanisms > 0, 1, 0) + if(coalesce(site_sitemap, false) or sitemap_links > 0, 1, 0)"
-        " + if(coalesce(site_breadcrumbs, false) or breadcrumbs > 0, 1, 0) + if(size(navs) > 0, 1, 0))"
+        " + if(coalesce(site_breadcrumbs, false) or breadcrumbs > 0, 1, 0) + if(counts.repeatedBlocks > 0, 1, 0))"
     )
     r["multiple-ways-site"] = only_if("page_count > 1", when(f"{n_ways} < 2", finding("'body'", None, "few-ways", n_ways)))
     r["nav-consistency"] = only_if(

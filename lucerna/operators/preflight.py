@@ -88,7 +88,7 @@ def _rules() -> list[str]:
 def preflight(pages_with_dom: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, rule, status, detail). Narrow."""
     df = pages_with_dom.where("dom is not null").withColumns({k: F.expr(v) for k, v in _facts().items()})
-    return df.selectExpr(key, f"inline(array_compact(array({', '.join(_rules())})))")
+    return df.selectExpr(key, f"inline_outer(array_compact(array({', '.join(_rules())})))").where("rule is not null")
 
 
 def corpus_totals(rows: DataFrame, key: str = "page_id") -> DataFrame:

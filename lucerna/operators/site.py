@@ -127,7 +127,7 @@ def nav_conflicts(pages: DataFrame) -> DataFrame:
         f"flatten(transform({items}, a -> transform(filter({items}, b -> b >= a), b -> named_struct('a', a, 'b', b,"
         " 'proj', if(a = b, concat('m', size(filter(nav_seq, x -> x = a))), array_join(transform(filter(nav_seq, x -> x = a or x = b), x -> if(x = a, 'a', 'b')), ''))))))"
     )
-    cut = build.selectExpr("site", "scope", "lang", "nav_seq", "first", f"inline({pairs})")
+    cut = build.selectExpr("site", "scope", "lang", "nav_seq", "first", f"inline_outer({pairs})").where("a is not null")
     per_proj = cut.groupBy("site", "scope", "a", "b", "proj").agg(F.min("first").alias("first"))
     # the two earliest projections of a pair decide every lookup: a projection is beaten by the other one
     key = ["site", "scope", "a", "b"]
@@ -136,7 +136,7 @@ def nav_conflicts(pages: DataFrame) -> DataFrame:
     ).where("projections > 1")
     second = per_proj.join(first.select(*key, F.col("p1.proj").alias("_p")), key).where("proj <> _p").groupBy(*key).agg(F.min("first").alias("p2"))
     decided = first.join(second, key)
-    lookup = build.where(f"scope <> '{ALL}' or lang = ''").selectExpr("site", "scope", "lang", "nav_seq", f"inline({pairs})")
+    lookup = build.where(f"scope <> '{ALL}' or lang = ''").selectExpr("site", "scope", "lang", "nav_seq", f"inline_outer({pairs})").where("a is not null")
     hits = lookup.join(decided, key).withColumn("other", F.expr("if(proj = p1.proj, p2, p1.first)"))
     # a single shared item only counts when this page repeats it
     hits = hits.where("a <> b or cast(substring(proj, 2) as int) >= 2")

@@ -132,8 +132,8 @@ def evaluate_pages(pages: DataFrame, level: str = "AA", use_ai: bool = False, it
         f"flatten(transform(transform(array(if(counts is null, null, named_struct({fields}, 'sitePageCount', coalesce(page_count, 1)))),"
         f" c -> {A.checked('c')}), c -> transform({facts}, r -> {_decide(use_ai)})))"
     )
-    df = df.withColumn("_verdicts", F.expr(sql))
-    return df.selectExpr(*keys, "inline(_verdicts)")
+    # the outer generator keeps Spark from testing size(array) first, which would evaluate every rule twice
+    return df.selectExpr(*keys, f"inline_outer({sql})").where("item_id is not null")
 
 
 def merge_judgement(pending: DataFrame) -> DataFrame:

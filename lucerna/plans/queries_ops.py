@@ -9,6 +9,7 @@ from lucerna.functions import urls as U
 from lucerna.operators import catalogue as K
 from lucerna.operators import crawl, documents as D, judgement as J, ops as O, policy as G
 from lucerna.operators.applicability import DOCUMENT_COUNT_KEYS, DOCUMENT_PROBES, condition
+from lucerna.operators.skew import ensure_parallelism
 from lucerna.plans.corpus import derive, mutated, table
 from lucerna.plans.queries_pages import PARTS
 from lucerna.plans.registry import M, attr, inner_text, query
@@ -279,7 +280,7 @@ DOCS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('1.2 Intro', chr(10)
 
 
 def docs(spark, d):
-    return derive(spark, d, DOCS.format(t="lucerna_src_documents"), x="documents")
+    return ensure_parallelism(derive(spark, d, DOCS.format(t="lucerna_src_documents"), x="documents"), "doc_id")
 
 
 LINES_DB = (
@@ -660,6 +661,6 @@ def w7(spark, d):
     return W.collected(spark, W.delta_against(W.job_stream(spark, d), baseline), "append", "w7")
 
 
-@query("w8_politeness", "WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT event_id, (epoch_ms(ts) - epoch_ms(p))::BIGINT AS gap_ms FROM g WHERE p IS NOT NULL AND epoch_ms(ts) - epoch_ms(p) < 600000")
+@query("w8_politeness", "WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT event_id, (epoch_us(ts) // 1000 - epoch_us(p) // 1000)::BIGINT AS gap_ms FROM g WHERE p IS NOT NULL AND epoch_us(ts) // 1000 - epoch_us(p) // 1000 < 600000")
 def w8(spark, d):
     return W.politeness_gaps(table(spark, d, "events").selectExpr("event_id", "user_id as host", "ts"), 600_000).select("event_id", "gap_ms")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lucerna.functions import urls as U
 from lucerna.functions.html import with_dom
 from lucerna.operators import site as S
-from lucerna.operators.catalogue import rows_for
-from lucerna.operators.evidence import RECORDED, template_hash, with_evidence
+from lucerna.operators.catalogue import Row, rows_for
+from lucerna.operators.evidence import RECORDED, template_hash, with_evidence, words_of
 from lucerna.operators.page_rules import PAGE_RULES, rule_sql, with_site_defaults
 from lucerna.operators.skew import ensure_parallelism
 from lucerna.operators.verdict import evaluate_pages
@@ -19,11 +19,14 @@ from lucerna.plans.materialize import materialize
 SITE_RULES = ["accessibility-statement", "coordinator-contact", "title-unique-across-site", "multiple-ways-site", "nav-consistency", "component-identity"]
 SITE_BY_DOMAIN = U.registrable_domain(U.host("url"))
 SITE_BY_HOST = U.host("url")
-# evidence the site step and the site rules still need after parsing
-COMPACT = (
+# what one page tells the site step; everything else of a page stays where it was computed
+SITE_INPUTS = (
     "page_id url site crawl_order load_error is_dom title lang site_name counts nav_seq components statement_flags statement_ref statement_links "
-    "search_mechanisms sitemap_links breadcrumbs navs checker keyboard timers template_hash"
+    "search_mechanisms sitemap_links breadcrumbs"
 ).split()
+COMPACT = [*SITE_INPUTS, "checker", "keyboard", "timers", "template_hash"]
+PROFILE = ["public_authority", "turnover", "edits_video", "before_2017"]
+_COLLECTED = set(SITE_INPUTS + ["skeleton", "links", "widgets", "icon_buttons", "navs"])
 
 
 def prepare(pages: DataFrame) -> DataFrame:
@@ -50,14 +53,28 @@ def rules_of(items: list[str] | None, level: str) -> list[str]:
     return [r for r in PAGE_RULES if any(r in row.own_rules for row in rows)]
 
 
+def needs_site(row: Row) -> bool:
+    return row.probe == "isMultiPageSite" or any(r in SITE_RULES for r in row.own_rules)
+
+
 def page_facts(pages: DataFrame, rules: list[str] | None = None, site_sql: str = SITE_BY_DOMAIN) -> DataFrame:
     """Everything one page can tell on its own, HTML dropped: the compact table between the two stages."""
     rules = list(PAGE_RULES) if rules is None else rules
-    ev = S.page_inputs(with_site_defaults(evidence(pages)).drop("components", "nav_seq"), site_sql)
-    ev = ev.withColumn("template_hash", template_hash())
-    own = {f"rule:{r}": F.expr(rule_sql(r)) for r in rules if r not in SITE_RULES}
-    extra = [c for c in ("public_authority", "turnover", "edits_video", "before_2017") if c in ev.columns]
-    return ev.withColumns(own).select(*COMPACT, *extra, *[f"`{c}`" for c in own])
+    own = [r for r in rules if r not in SITE_RULES]
+    need = _COLLECTED | words_of(*(PAGE_RULES[r] for r in own))
+    ev = S.page_inputs(with_site_defaults(evidence(pages, need)).drop("components", "nav_seq"), site_sql)
+    ev = ev.withColumns({"template_hash": template_hash(), **{f"rule:{r}": F.expr(rule_sql(r)) for r in own}})
+    extra = [c for c in PROFILE if c in ev.columns]
+    return ev.select(*COMPACT, *extra, *[f"`rule:{r}`" for r in own])
+
+
+def _narrow(facts: DataFrame, rows: list[Row]) -> DataFrame:
+    """The columns the site rows read; checker results cut down to the rules of those rows."""
+    wanted = ", ".join(f"'{c}'" for r in rows for c in r.checker_rules) or "''"
+    checker = (
+        f"if(checker is null, null, named_struct('violations', filter(checker.violations, v -> v.id in ({wanted})), 'incomplete', filter(checker.incomplete, v -> v.id in ({wanted})))) as checker"
+    )
+    return facts.selectExpr(*SITE_INPUTS, checker, *[c for c in PROFILE if c in facts.columns])
 
 
 def review(
@@ -68,10 +85,22 @@ def review(
     site_sql: str = SITE_BY_DOMAIN,
     rows_per_slice: int = 500_000,
 ) -> DataFrame:
-    """One row per page and catalogue row. HTML is read and parsed exactly once."""
-    rules = rules_of(items, level)
-    facts = materialize(page_facts(pages, rules, site_sql), "page-facts")
-    site_rules = [r for r in rules if r in SITE_RULES]
-    full = S.with_site_context(facts, rows_per_slice)
-    full = with_site_defaults(full).withColumns({f"rule:{r}": F.expr(rule_sql(r)) for r in site_rules}) if site_rules else full
-    return evaluate_pages(full, level, use_ai, items)
+    """One row per page and catalogue row. HTML is read and parsed exactly once.
+
+    Rows decided by the page alone are evaluated without any shuffle. Only the rows that compare pages go
+    through the site step, and they take a narrow projection of the page facts with them.
+    """
+    rows = [r for r in rows_for("page", level) if items is None or r.item_id in items]
+    facts = materialize(page_facts(pages, rules_of(items, level), site_sql), "page-facts")
+    alone, across = [r for r in rows if not needs_site(r)], [r for r in rows if needs_site(r)]
+    parts = []
+    if alone:
+        parts.append(evaluate_pages(facts, level, use_ai, [r.item_id for r in alone]))
+    if across:
+        context = with_site_defaults(S.with_site_context(_narrow(facts, across), rows_per_slice))
+        used = [x for r in across for x in r.own_rules]
+        context = context.withColumns({f"rule:{x}": F.expr(rule_sql(x)) for x in used}).withColumns(
+            {n: F.lit(None).cast(RECORDED[n]) for n in ("keyboard", "timers") if n not in context.columns}
+        )
+        parts.append(evaluate_pages(context, level, use_ai, [r.item_id for r in across]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
