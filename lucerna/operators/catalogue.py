@@ -162,8 +162,8 @@ def sources_df(spark: SparkSession) -> DataFrame:
 
 def expand(targets: DataFrame, kind_col: str = "kind", level: str = "AA") -> DataFrame:
     """K1: every target times the rows for its kind. The catalogue is the fixed, broadcast side."""
-    cat = F.broadcast(level_filter(catalogue_df(targets.sparkSession), level))
-    return targets.join(cat, F.expr(f"array_contains(applies_to, {kind_col})"))
+    cat = level_filter(catalogue_df(targets.sparkSession), level).withColumn(kind_col, F.explode("applies_to"))
+    return targets.join(F.broadcast(cat), kind_col)
 
 
 def level_filter(catalogue: DataFrame, level: str) -> DataFrame:

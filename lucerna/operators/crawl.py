@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lucerna.functions import urls as U
-from lucerna.operators.skew import first_k
+from lucerna.operators.skew import first_k, join_on_hot_key
 from lucerna.plans.materialize import materialize
 
 
@@ -81,7 +81,8 @@ def robots_decisions(urls: DataFrame, robots: DataFrame, user_agent: str) -> Dat
     packed = picked.groupBy("site").agg(F.expr(f"collect_list(named_struct('len', char_length(pattern), 'allow', allow, 'rx', {robots_regex('pattern')}))").alias("rules"))
     target = f"concat({U.path('url')}, if({U.query('url')} = '', '', concat('?', {U.query('url')})))"
     best = f"get(sort_array(transform(filter(rules, r -> {target} rlike r.rx), r -> named_struct('len', r.len, 'allow', r.allow)), false), 0).allow"
-    return urls.join(packed, "site", "left").withColumn("allowed", F.expr(f"coalesce({best}, true)")).drop("rules")
+    sized = urls.groupBy("site").agg(F.count(F.lit(1)).alias("_urls")).join(packed, "site", "left")
+    return join_on_hot_key(urls, sized, ["site"], "_urls", "url", "left").withColumn("allowed", F.expr(f"coalesce({best}, true)")).drop("rules")
 
 
 def effective_delay(politeness_ms: str, crawl_delay_ms: str) -> str:

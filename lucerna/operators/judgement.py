@@ -141,9 +141,11 @@ def unique_work(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("work_key").agg(F.min("task_no").alias("task_no"), F.count(F.lit(1)).alias("uses"), F.expr("max(tokens)").alias("tokens"))
 
 
-def fan_out(tasks: DataFrame, judged: DataFrame) -> DataFrame:
-    """Every task gets the judgement of its key. Tasks of a popular key are spread by AQE's skew join."""
-    return tasks.join(judged, "work_key", "left")
+def fan_out(tasks: DataFrame, judged: DataFrame, rows_per_slice: int = 500_000) -> DataFrame:
+    """Every task gets the judgement of its key (``judged`` carries ``uses``); popular keys are split."""
+    from lucerna.operators.skew import join_on_hot_key
+
+    return join_on_hot_key(tasks, judged, ["work_key"], "uses", "task_no", "left", rows_per_slice)
 
 
 def split_cached(work: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

@@ -106,7 +106,7 @@ def title_duplicates(pages: DataFrame) -> DataFrame:
     return count.join(firsts, ["site", "title"])
 
 
-def nav_conflicts(pages: DataFrame) -> DataFrame:
+def nav_conflicts(pages: DataFrame, rows_per_slice: int = 500_000) -> DataFrame:
     """First page, in crawl order, whose navigation orders the shared items differently.
 
     Two sequences agree on their shared items exactly when their projections onto every pair of shared
@@ -128,16 +128,18 @@ def nav_conflicts(pages: DataFrame) -> DataFrame:
         " 'proj', if(a = b, concat('m', size(filter(nav_seq, x -> x = a))), array_join(transform(filter(nav_seq, x -> x = a or x = b), x -> if(x = a, 'a', 'b')), ''))))))"
     )
     cut = build.selectExpr("site", "scope", "lang", "nav_seq", "first", f"inline_outer({pairs})").where("a is not null")
-    per_proj = cut.groupBy("site", "scope", "a", "b", "proj").agg(F.min("first").alias("first"))
+    per_proj = cut.groupBy("site", "scope", "a", "b", "proj").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("seqs"))
     # the two earliest projections of a pair decide every lookup: a projection is beaten by the other one
     key = ["site", "scope", "a", "b"]
     first = per_proj.groupBy(*key).agg(
-        F.expr("min(struct(first, proj))").alias("p1"), F.count(F.lit(1)).alias("projections")
+        F.expr("min(struct(first, proj))").alias("p1"), F.count(F.lit(1)).alias("projections"), F.sum("seqs").alias("seqs")
     ).where("projections > 1")
     second = per_proj.join(first.select(*key, F.col("p1.proj").alias("_p")), key).where("proj <> _p").groupBy(*key).agg(F.min("first").alias("p2"))
     decided = first.join(second, key)
     lookup = build.where(f"scope <> '{ALL}' or lang = ''").selectExpr("site", "scope", "lang", "nav_seq", f"inline_outer({pairs})").where("a is not null")
-    hits = lookup.join(decided, key).withColumn("other", F.expr("if(proj = p1.proj, p2, p1.first)"))
+    # one row per pair on the right; a pair that a large site repeats in most of its sequences is split
+    lookup = lookup.withColumn("seq_id", F.xxhash64("nav_seq"))
+    hits = join_on_hot_key(lookup, decided, key, "seqs", "seq_id", "inner", rows_per_slice).withColumn("other", F.expr("if(proj = p1.proj, p2, p1.first)"))
     # a single shared item only counts when this page repeats it
     hits = hits.where("a <> b or cast(substring(proj, 2) as int) >= 2")
     best = hits.groupBy("site", "lang", "nav_seq").agg(F.min("other").alias("other"))
@@ -194,7 +196,7 @@ def with_site_context(pages: DataFrame, rows_per_slice: int = 500_000) -> DataFr
     out = out.withColumn("title_others", F.expr("if(title_n is null, 0, title_n - 1)")).withColumn(
         "title_first_other", F.expr("if(first_url = url, second_url, first_url)")
     ).drop("title_n", "first_url", "second_url")
-    navs = nav_conflicts(pages).withColumnRenamed("lang", "_lang")
+    navs = nav_conflicts(pages, rows_per_slice).withColumnRenamed("lang", "_lang")
     out = out.withColumn("_lang", F.expr(base_lang("lang")))
     out = join_on_hot_key(out, navs, ["site", "_lang", "nav_seq"], "seq_rows", "page_id", "left", rows_per_slice).drop("_lang")
     return out.join(component_conflicts(pages, rows_per_slice), "page_id", "left")

@@ -227,9 +227,10 @@ def quality_gates(results: DataFrame, targets: DataFrame, key: str, level: str =
     """Rows that break a promise. Empty when the run is sound."""
     bad = results.where("confidence = 0 and verdict <> 'FAIL'").selectExpr(f"cast({key} as string) as target", "item_id", "'unverified row that is not a failure' as problem")
     no_note = results.where("verdict = 'NA' and (note is null or note = '')").selectExpr(f"cast({key} as string) as target", "item_id", "'NA without a reason' as problem")
-    wanted = F.broadcast(catalogue_df(results.sparkSession).where(F.col("item_id").isin([r.item_id for r in rows_for("page", level)])).select("item_id"))
-    expected = targets.select(F.col(key).cast("string").alias("target")).crossJoin(wanted)
-    missing = expected.exceptAll(results.selectExpr(f"cast({key} as string) as target", "item_id")).withColumn("problem", F.lit("row missing"))
+    wanted = "array(" + ", ".join(f"'{r.item_id}'" for r in rows_for("page", level)) + ")"
+    have = results.groupBy(F.col(key).cast("string").alias("target")).agg(F.collect_set("item_id").alias("have"))
+    every = targets.select(F.col(key).cast("string").alias("target")).join(have, "target", "left")
+    missing = every.selectExpr("target", f"explode(array_except({wanted}, coalesce(have, array()))) as item_id", "'row missing' as problem")
     return bad.unionByName(no_note).unionByName(missing)
 
 

@@ -451,7 +451,7 @@ def j6(spark, d):
 @query("j6_fan_out", f"WITH {TASK_DB}, u AS (SELECT work_key, min(task_no) AS first_task FROM tw GROUP BY 1) SELECT tw.task_no, u.first_task FROM tw JOIN u USING (work_key)")
 def j6b(spark, d):
     t = tasks(spark, d)
-    return J.fan_out(t.select("task_no", "work_key"), J.unique_work(t).selectExpr("work_key", "task_no as first_task")).select("task_no", "first_task")
+    return J.fan_out(t.select("task_no", "work_key"), J.unique_work(t).selectExpr("work_key", "task_no as first_task", "uses"), rows_per_slice=3).select("task_no", "first_task")
 
 
 CACHE_COND = "substring(work_key, 1, 1) IN ('0', '1', '2', '3', '4')"

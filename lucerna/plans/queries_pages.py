@@ -9,7 +9,9 @@ from lucerna.functions.html import elements
 from lucerna.operators import applicability as A
 from lucerna.operators import crawl, preflight
 from lucerna.operators.evidence import COUNTS, template_hash
+from lucerna.operators.skew import join_on_hot_key
 from lucerna.plans.corpus import mutated, table
+from lucerna.plans.materialize import materialize
 from lucerna.plans.registry import M, attr, body_text, inner_text, query, squash, tags, unescape
 from lucerna.plans.review import SITE_BY_DOMAIN, evidence, parsed
 
@@ -466,14 +468,16 @@ _APPLIES = {p: A.condition(p, "c") for p in A.PAGE_PROBES}
 
 @query(
     "a0_probes",
-    f"WITH {M}, c AS (SELECT page_id, count(*) OVER () AS \"sitePageCount\", " + ", ".join(f"({v})::INT AS \"{k}\"" for k, v in COUNT_SQL.items()) + " FROM ok) "
+    f"WITH {M}, c AS (SELECT page_id, count(*) OVER (PARTITION BY array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '.'), -2, -1), '.')) AS \"sitePageCount\", " + ", ".join(f"({v})::INT AS \"{k}\"" for k, v in COUNT_SQL.items()) + " FROM ok) "
     + " UNION ALL ".join(f"SELECT page_id, '{p}' AS probe, ({cond}) AS applicable FROM c" for p, cond in _APPLIES.items()),
 )
 def a0(spark, d):
-    ev = evidence(mutated(spark, d), {"counts", "is_dom"}).where("is_dom")
-    total = ev.agg(F.count(F.lit(1)).alias("n"))
+    pages = mutated(spark, d).where("html is not null").withColumn("site", F.expr(SITE_BY_DOMAIN))
+    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n"))
+    # the counts are written before they meet another table: a join would otherwise pull every nested field through the plan
+    ev = materialize(evidence(pages, {"counts", "is_dom"}).where("is_dom").select("page_id", "site", "counts"), "counts")
     fields = ", ".join(f"'{k}', counts.{k}" for k in COUNTS)
-    with_total = ev.select("page_id", "counts").crossJoin(F.broadcast(total)).selectExpr("page_id", f"named_struct({fields}, 'sitePageCount', n) as counts")
+    with_total = join_on_hot_key(ev, sizes, ["site"], "_rows", "page_id").selectExpr("page_id", f"named_struct({fields}, 'sitePageCount', n) as counts")
     return A.probe_results(A.checked_counts(with_total), "page_id").select("page_id", "probe", "applicable")
 
 

@@ -28,14 +28,15 @@ def brute_nav(rows):
     return out
 
 
-def test_nav_conflicts_match_brute_force(spark):
+@pytest.mark.parametrize("slices", [2, 500_000])
+def test_nav_conflicts_match_brute_force(spark, slices):
     rng = random.Random(7)
     rows = []
     for i in range(160):
         seq = [rng.choice("abcdef") for _ in range(rng.randint(0, 5))]
         rows.append((i, f"https://s/{i}", "big" if i % 3 else "small", i, "x" if i % 29 == 0 else None, rng.choice(["he", "he-IL", "en", None]), seq, {}, ""))
     got = {}
-    conf = S.nav_conflicts(make(spark, rows))
+    conf = S.nav_conflicts(make(spark, rows), slices)
     pages = {(r[2], (r[5] or "").split("-")[0].lower(), tuple(r[6])): [] for r in rows if not r[4]}
     for r in rows:
         if not r[4]:
