@@ -82,7 +82,8 @@ def _quoted(s: str) -> str:
 def _apply(edits, source: str) -> str:
     sql = source
     for i, (cond, needle, new) in enumerate(edits):
-        sql = f"SELECT page_id, url, CASE WHEN {cond} THEN replace(html, {_quoted(needle)}, {_quoted(new)}) ELSE html END AS html FROM ({sql}) e{i}"
+        # html appears once per level, so folding the levels into one expression stays linear
+        sql = f"SELECT page_id, url, replace(html, {_quoted(needle)}, CASE WHEN {cond} THEN {_quoted(new)} ELSE {_quoted(needle)} END) AS html FROM ({sql}) e{i}"
     return sql
 
 

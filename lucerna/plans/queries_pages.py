@@ -472,10 +472,10 @@ _APPLIES = {p: A.condition(p, "c") for p in A.PAGE_PROBES}
     + " UNION ALL ".join(f"SELECT page_id, '{p}' AS probe, ({cond}) AS applicable FROM c" for p, cond in _APPLIES.items()),
 )
 def a0(spark, d):
-    pages = mutated(spark, d).where("html is not null").withColumn("site", F.expr(SITE_BY_DOMAIN))
-    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n"))
     # the counts are written before they meet another table: a join would otherwise pull every nested field through the plan
-    ev = materialize(evidence(pages, {"counts", "is_dom"}).where("is_dom").select("page_id", "site", "counts"), "counts")
+    ev = evidence(mutated(spark, d), {"counts"}).withColumn("site", F.expr(SITE_BY_DOMAIN)).select("page_id", "site", "is_dom", "counts")
+    ev = materialize(ev, "counts").where("is_dom")
+    sizes = ev.groupBy("site").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n"))
     fields = ", ".join(f"'{k}', counts.{k}" for k in COUNTS)
     with_total = join_on_hot_key(ev, sizes, ["site"], "_rows", "page_id").selectExpr("page_id", f"named_struct({fields}, 'sitePageCount', n) as counts")
     return A.probe_results(A.checked_counts(with_total), "page_id").select("page_id", "probe", "applicable")
