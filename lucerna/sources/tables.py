@@ -70,7 +70,7 @@ def check_sheet(results: DataFrame) -> DataFrame:
 def write_check_sheet(results: DataFrame, path: str) -> None:
     """One folder per site, rows in form order; writing per target would make one file per page."""
     sheet = check_sheet(results).withColumn("site", F.expr("regexp_extract(url, '://([^/]+)', 1)"))
-    sheet.repartitionByRange("site", "url").sortWithinPartitions("site", "url", "ordinal").write.mode("overwrite").partitionBy("site").option("header", True).csv(path)
+    sheet.repartitionByRange("site", "url").sortWithinPartitions("site", "url", "ordinal").write.mode("overwrite").partitionBy("site").option("header", True).option("escape", "\"").csv(path)
 
 
 def index_sheet(results: DataFrame) -> DataFrame:
