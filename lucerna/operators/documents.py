@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lucerna.functions import color as C
 from lucerna.functions import patterns as P
 from lucerna.functions.patterns import lit
 from lucerna.operators import applicability as A
 from lucerna.operators.catalogue import CANCELLED, rows_for
-from lucerna.operators.evidence import clip
-from lucerna.operators.page_rules import FINDING, NO_OPINION, NONE, cap, each, finding, when
+from lucerna.operators.page_rules import NO_OPINION, NONE, cap, each, finding, when
 
 # Large text and the contrast it needs.
 LARGE_BOLD_PT, LARGE_REGULAR_PT = 14.0, 18.0

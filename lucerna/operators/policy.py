@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.functions import urls as U
-
 # Address ranges that must not be reached.
 V4_BLOCKED = [
     ("0.0.0.0", 8, "this network"),

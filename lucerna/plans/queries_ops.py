@@ -8,11 +8,11 @@ from lucerna.functions import patterns as P
 from lucerna.functions import urls as U
 from lucerna.operators import catalogue as K
 from lucerna.operators import crawl, documents as D, judgement as J, ops as O, policy as G
-from lucerna.operators.applicability import DOCUMENT_COUNT_KEYS, DOCUMENT_PROBES, condition
+from lucerna.operators.applicability import DOCUMENT_PROBES, condition
 from lucerna.operators.skew import ensure_parallelism
 from lucerna.plans.corpus import derive, mutated, table
 from lucerna.plans.queries_pages import PARTS
-from lucerna.plans.registry import M, attr, inner_text, query
+from lucerna.plans.registry import M, inner_text, query
 from lucerna.plans.review import parsed
 from lucerna.streaming import jobs as W
 

@@ -12,7 +12,7 @@ from lucerna.operators.evidence import COUNTS, template_hash
 from lucerna.operators.skew import join_on_hot_key
 from lucerna.plans.corpus import mutated, table
 from lucerna.plans.materialize import materialize
-from lucerna.plans.registry import M, attr, body_text, inner_text, query, squash, tags, unescape
+from lucerna.plans.registry import M, attr, body_text, inner_text, query, tags, unescape
 from lucerna.plans.review import SITE_BY_DOMAIN, evidence, parsed
 
 # ---- URL operators -------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lucerna.operators import recorded as R
 from lucerna.operators.evidence import with_recorded, words_of
-from lucerna.operators.page_rules import PAGE_RULES, RULE_NOTES, rule_results, rule_sql, with_site_defaults
+from lucerna.operators.page_rules import PAGE_RULES, RULE_NOTES, rule_results, with_site_defaults
 from lucerna.plans.corpus import derive, mutated
 from lucerna.plans.queries_pages import LINKS, RTL, _n
 from lucerna.plans.registry import M, query

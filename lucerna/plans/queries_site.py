@@ -12,13 +12,12 @@ from lucerna.operators import site as S
 from lucerna.operators import verdict as V
 from lucerna.operators.applicability import PAGE_PROBES, condition
 from lucerna.operators.catalogue import CANCELLED, CATALOGUE, rows_for
-from lucerna.operators.evidence import COUNTS
 from lucerna.plans import corpus
 from lucerna.plans.corpus import derive, mutated, table
 from lucerna.plans.materialize import materialize
 from lucerna.plans.queries_pages import COUNT_SQL, LINKS, TITLE, SITE_NAME
 from lucerna.plans.queries_rules import SHAPE, STATIC, _oracle, has
-from lucerna.plans.registry import M, inner_text, query, unescape
+from lucerna.plans.registry import M, query, unescape
 from lucerna.plans.review import evidence, page_facts, review
 from lucerna.operators.page_rules import rule_results, with_site_defaults
 from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
