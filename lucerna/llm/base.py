@@ -87,3 +87,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     for k in keys:
         on = on & left[k].eqNullSafe(F.col(f"_r_{k}"))
     return left.join(right, on, how).drop("_slice", "_rslice", *[f"_r_{k}" for k in keys])
+
+
+def join_sources(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, limit: int = 50_000) -> DataFrame:
+    """Left join to one short row per key: broadcast where a count shows at most ``limit`` rows, else salted. Null meets null."""
+    if small.count() > limit:
+        return salted_join(big, small, keys, spread)
+    for k in keys:
+        small = small.withColumnRenamed(k, f"_r_{k}")
+    on = F.lit(True)
+    for k in keys:
+        on = on & big[k].eqNullSafe(small[f"_r_{k}"])
+    return big.join(F.broadcast(small), on, "left").drop(*[f"_r_{k}" for k in keys])
