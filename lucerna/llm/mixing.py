@@ -151,3 +151,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 @query("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = CYCLE, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0 to 2 times). Rows that share an id get the most of them each."""
+    dealt = copies(docs, id_col, source_col, text_col, cycle, share).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    joined = docs.join(dealt, docs[id_col].eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")

@@ -119,3 +119,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group. Of rows that share an id one stays; rows without an id all stay."""
+    found = Stage(near_duplicates(docs, id_col, text_col, radius), "groups").df.where("doc_id is not null")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id"))
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(keep.distinct(), named[id_col] == F.col("_keep_id"), "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.union(docs.where(F.col(id_col).isNull()))
