@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucerna.llm import host_quality, line_dedup, mixing, packing, simhash  # noqa: F401  (importing registers)
+from lucerna.llm import extract, host_quality, langid, line_dedup, mixing, packing, simhash, token_counts, toxicity  # noqa: F401  (importing registers)
 from lucerna.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
