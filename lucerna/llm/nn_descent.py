@@ -28,12 +28,12 @@ from lucerna.operators.skew import join_on_hot_key
 
 ship(__name__)
 
-K = 24
-REVERSE = 24
-OFFERS = 6
-LEAF, TREES, LEAF_OFFERS = 256, 10, 12
+K = 32
+REVERSE = 32
+OFFERS = 10
+LEAF, TREES, LEAF_OFFERS = 1024, 32, 5
 ROUNDS, SETTLED = 6, 0.02
-BEAM = 48
+BEAM, EXPAND = 80, 40
 HOPS = 12
 NEIGHBOUR = "array<struct<score:float,nbr:bigint,fresh:boolean>>"
 
@@ -139,10 +139,15 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("id", F.inline("nb"))
 
 
+def _back(edges: DataFrame, reverse: int) -> DataFrame:
+    """The nearest ``reverse`` of the nodes that name a node."""
+    return edges.withColumn("place", F.row_number().over(W.partitionBy("nbr").orderBy(F.desc("score"), "id"))).where(F.col("place") <= reverse)
+
+
 def descend(graph: DataFrame, vecs: DataFrame, k: int, reverse: int, offers: int) -> DataFrame:
     """One round: neighbours of a node meet, and what they find better than their worst neighbour is merged in."""
     edges = _edges(graph)
-    back = edges.withColumn("place", F.row_number().over(W.partitionBy("nbr").orderBy(F.desc("score"), "id"))).where(F.col("place") <= reverse)
+    back = _back(edges, reverse)
     meet = edges.select(F.col("id").alias("node"), F.col("nbr").alias("id"), "fresh").union(back.select(F.col("nbr").alias("node"), "id", "fresh"))
     meet = meet.groupBy("node", "id").agg(F.bool_or("fresh").alias("fresh"))
     worst = F.when(F.size("nb") < k, F.lit(float("-inf"))).otherwise(F.element_at("nb", -1)["score"]).cast("float")
@@ -186,9 +191,14 @@ def build_graph(vecs: DataFrame, k: int = K, reverse: int = REVERSE, offers: int
     return now.df
 
 
-def search(starts: DataFrame, graph: DataFrame, vecs: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """(query, nbr) of each query's beam after a greedy search. ``starts``: query, vec, start (nodes to begin at)."""
-    adjacent = graph.select("id", F.transform("nb", lambda e: e["nbr"]).alias("to"))
+def search(starts: DataFrame, graph: DataFrame, vecs: DataFrame, beam: int = BEAM, expand: int = EXPAND, reverse: int = REVERSE, hops: int = HOPS) -> DataFrame:
+    """(query, nbr) of each query's beam after a greedy search. ``starts``: query, vec, start (nodes to begin at).
+
+    Edges are followed both ways. A hop expands the unexpanded nodes among the best ``expand`` of the beam.
+    """
+    edges = _edges(graph)
+    both = edges.select("id", "nbr").union(_back(edges, reverse).select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
+    adjacent = Stage(both.groupBy("id").agg(F.collect_set("nbr").alias("to")), "adjacent").df
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,18 +219,19 @@ def search(starts: DataFrame, graph: DataFrame, vecs: DataFrame, beam: int = BEA
         starts.join(listed(scored(first)), "query", "left").select("query", F.col("vec").alias("qvec"), F.coalesce(F.slice(F.sort_array("found", asc=False), 1, beam), empty).alias("beam"), F.col("start").alias("seen")), "search"
     )
     for _ in range(hops):
-        open_nodes = state.df.select("query", F.explode(F.filter("beam", lambda e: e["fresh"])).alias("e")).select("query", F.col("e.nbr").alias("id"))
+        open_nodes = state.df.select("query", F.explode(F.filter(F.slice("beam", 1, expand), lambda e: e["fresh"])).alias("e")).select("query", F.col("e.nbr").alias("id"))
         reached = open_nodes.join(adjacent, "id").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("reached"))
         step = state.df.join(reached, "query").withColumn("new", F.array_except("reached", "seen"))
         step = Stage(step.select("query", "qvec", "beam", F.concat("seen", "new").alias("seen"), "new"), "hop")
         found = listed(scored(step.df.select("query", "qvec", F.explode("new").alias("id"))))
-        old = F.transform("beam", lambda e: F.struct(e["score"].alias("score"), e["nbr"].alias("nbr"), F.lit(False).alias("fresh")))
+        # what the hop expanded is no longer fresh; what lies beyond the best stays so
+        old = F.transform("beam", lambda e, i: F.struct(e["score"].alias("score"), e["nbr"].alias("nbr"), (e["fresh"] & (i >= expand)).alias("fresh")))
         merged = F.slice(F.sort_array(F.concat(old, F.coalesce("found", empty)), asc=False), 1, beam).cast(NEIGHBOUR)
         moved = step.df.join(found, "query", "left").select("query", "qvec", merged.alias("beam"), "seen")
-        done = state.df.join(step.df.select("query"), "query", "left_anti").select("query", "qvec", F.transform("beam", lambda e: F.struct(e["score"].alias("score"), e["nbr"].alias("nbr"), F.lit(False).alias("fresh"))).cast(NEIGHBOUR).alias("beam"), "seen")
+        done = state.df.join(step.df.select("query"), "query", "left_anti").select("query", "qvec", old.cast(NEIGHBOUR).alias("beam"), "seen")
         before, state = state, Stage(moved.union(done), "search")
         before.drop(), step.drop()
-        if state.df.where(F.exists("beam", lambda e: e["fresh"])).isEmpty():
+        if state.df.where(F.exists(F.slice("beam", 1, expand), lambda e: e["fresh"])).isEmpty():
             break
     return state.df.select("query", F.explode("beam").alias("e")).select("query", F.col("e.nbr").alias("nbr"))
 
