@@ -88,7 +88,10 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node with an edge. Each round is a table, so lineage stays short."""
+    """(node, root): the smallest node reachable, for every node with an edge but the roots themselves.
+
+    Each round is a table, so lineage stays short.
+    """
     now = Stage(edges, "links")
     seen = None
     for _ in range(max_rounds):
