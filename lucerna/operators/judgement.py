@@ -190,8 +190,8 @@ def sanitise(judgements: DataFrame) -> DataFrame:
 
 
 def not_judged(work: DataFrame) -> DataFrame:
-    """Calls over budget or failed end as unverified rows."""
-    return work.where("not fits or failed").withColumn("j_verdict", F.lit("FAIL")).withColumn("j_confidence", F.lit(0.0)).withColumn(
+    """Calls over budget or failed end as unverified rows; ``judged`` keeps the merge from ever passing them."""
+    return work.where("not fits or failed").withColumn("judged", F.lit(False)).withColumn("j_verdict", F.lit("FAIL")).withColumn("j_confidence", F.lit(0.0)).withColumn(
         "j_note", F.expr("if(not fits, 'budget used up before this row', 'judgement failed; check by hand')")
     )
 

@@ -26,7 +26,7 @@ def recent_scan(requests: DataFrame, jobs: DataFrame, minutes: int = COOLDOWN_MI
     # union both sides and carry the newest finish forward inside (url, bucket)
     marks = done.selectExpr("url", "bucket", "finished_at as at", "named_struct('finished_at', cast(finished_at as timestamp), 'job_id', job_id) as job", "0 as kind", "cast(null as bigint) as request_id")
     asks = req.selectExpr("url", "bucket", "requested_at as at", "cast(null as struct<finished_at:timestamp,job_id:bigint>) as job", "1 as kind", "request_id")
-    w = W.partitionBy("url", "bucket").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("url", "bucket").orderBy("at", "kind", "job.job_id").rowsBetween(W.unboundedPreceding, 0)
     here = marks.unionByName(asks).withColumn("found", F.last("job", ignorenulls=True).over(w)).where("kind = 1").select("request_id", "url", F.col("at").alias("requested_at"), "bucket", F.col("found").alias("here"))
     tails = done.groupBy("url", "bucket").agg(F.expr("max(named_struct('finished_at', cast(finished_at as timestamp), 'job_id', job_id))").alias("before")).withColumn("bucket", F.col("bucket") + 1)
     both = here.join(tails, ["url", "bucket"], "left").withColumn("j", F.coalesce("here", "before"))

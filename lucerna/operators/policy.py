@@ -45,13 +45,41 @@ def v4_number(ip: str) -> str:
     return f"if({ok}, {octets[0]} * 16777216 + {octets[1]} * 65536 + {octets[2]} * 256 + {octets[3]}, null)"
 
 
-def ranges_df(spark: SparkSession) -> DataFrame:
-    rows = []
+def v4_ranges() -> list[tuple[int, int, str]]:
+    """First and last number of each blocked range, and why."""
+    out = []
     for base, bits, why in V4_BLOCKED:
-        a, b, c, d = (int(x) for x in base.split("."))
-        lo = ((a * 256 + b) * 256 + c) * 256 + d
-        rows.append((lo, lo + (1 << (32 - bits)) - 1, why))
-    return spark.createDataFrame(rows, "lo bigint, hi bigint, range_reason string")
+        lo = int.from_bytes(bytes(int(x) for x in base.split(".")), "big")
+        out.append((lo, lo + (1 << (32 - bits)) - 1, why))
+    return out
+
+
+def is_v6(ip: str) -> str:
+    """Whether a lower-case string is an IPv6 address: eight groups, or fewer with one gap."""
+    group = "[0-9a-f]{1,4}"
+    some = f"({group}(:{group})*)?"
+    return f"({ip} rlike '^({group}:){{7}}{group}$' or ({ip} rlike '^{some}::{some}$' and size(filter(split({ip}, ':'), g -> g <> '')) <= 7))"
+
+
+def v6_reason(ip: str) -> str:
+    """Why an address that is not IPv4 is blocked, NULL when it is a public IPv6 address."""
+    return "case " + " ".join(f"when {ip} rlike r'{p}' then '{why}'" for p, why in V6_BLOCKED) + f" when not {is_v6(ip)} then 'not an address' end"
+
+
+def unmapped(ip: str) -> str:
+    """An IPv4 address written as an IPv6 one is the IPv4 address."""
+    return rf"coalesce(nullif(regexp_extract({ip}, r'^::ffff:(\d+[.]\d+[.]\d+[.]\d+)$', 1), ''), {ip})"
+
+
+def literal_reason(host: str) -> str:
+    """Why a host that is itself an address is blocked, NULL for names and public addresses."""
+    ip = unmapped(host)
+    v4 = "case " + " ".join(f"when {v4_number(ip)} between {lo} and {hi} then '{why}'" for lo, hi, why in v4_ranges()) + " end"
+    return f"case when {v4_number(ip)} is not null then {v4} when instr({host}, ':') > 0 then {v6_reason(ip)} end"
+
+
+def ranges_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(v4_ranges(), "lo bigint, hi bigint, range_reason string")
 
 
 def guard_addresses(resolved: DataFrame) -> DataFrame:
@@ -60,10 +88,10 @@ def guard_addresses(resolved: DataFrame) -> DataFrame:
     A range join against fifteen fixed rows; an address lies in at most one range, so rows never multiply.
     """
     raw = r"regexp_replace(lower(trim(address)), r'^\[|\]$', '')"
-    inner = rf"coalesce(nullif(regexp_extract({raw}, r'^::ffff:(\d+[.]\d+[.]\d+[.]\d+)$', 1), ''), {raw})"
+    inner = unmapped(raw)
     df = resolved.withColumn("_ip", F.expr(inner)).withColumn("_n", F.expr(v4_number("_ip")))
     hit = df.join(F.broadcast(ranges_df(resolved.sparkSession)), F.expr("_n between lo and hi"), "left")
-    v6 = "case " + " ".join(f"when _ip rlike r'{p}' then '{why}'" for p, why in V6_BLOCKED) + " when not (_ip rlike '^[0-9a-f:]+$' and instr(_ip, ':') > 0) then 'not an address' end"
+    v6 = v6_reason("_ip")
     return hit.withColumn("blocked", F.expr(f"if(_n is not null, range_reason, {v6})")).drop("_ip", "_n", "lo", "hi", "range_reason")
 
 

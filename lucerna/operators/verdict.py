@@ -137,7 +137,15 @@ def evaluate_pages(pages: DataFrame, level: str = "AA", use_ai: bool = False, it
 
 
 def merge_judgement(pending: DataFrame) -> DataFrame:
-    """Pending rows with nullable judgement columns ``j_verdict, j_confidence, j_findings, j_note``."""
+    """Pending rows with nullable judgement columns ``j_verdict, j_confidence, j_findings, j_note``.
+
+    A row whose optional column ``judged`` is false was refused or failed: whatever its judgement columns hold it stays
+    unverified (FAIL with confidence 0, or the rule's own FAIL), and its incomplete findings are kept.
+    """
+    if "judged" in pending.columns:
+        for c in ("j_verdict", "j_confidence", "j_findings"):
+            pending = pending.withColumn(c, F.when(F.coalesce("judged", F.lit(True)), F.col(c)))
+        pending = pending.drop("judged")
     method = "if(size(findings) > 0 or has_checker_rules, 'auto+ai', 'ai')"
     place = f"filter(j_findings, f -> {is_page_locator('f.locator')})"
 
@@ -147,7 +155,7 @@ def merge_judgement(pending: DataFrame) -> DataFrame:
     already = "size(findings) > 0"
     sql = (
         f"case when j_verdict is null and {already} then {out('FAIL', repr('auto'), '1', 'findings', 'null')}"
-        f" when j_verdict is null then {out('FAIL', repr('auto'), '0', 'incomplete', repr('judgement did not finish; not verified'))}"
+        f" when j_verdict is null then {out('FAIL', repr('auto'), '0', 'incomplete', 'coalesce(j_note, ' + repr('judgement did not finish; not verified') + ')')}"
         f" when {already} then {out('FAIL', method, '1', dedupe('concat(findings, coalesce(j_findings, ' + NONE + '))'), 'j_note')}"
         f" when j_verdict = 'NA' then {out('NA', method, 'j_confidence', NONE, 'coalesce(j_note, ' + repr('not relevant to this page') + ')')}"
         f" when j_verdict = 'FAIL' and rule_satisfied and coalesce(size({place}), 0) = 0 then {out('PASS', method, 'least(j_confidence, 0.8D)', NONE, repr('the rule found what is required; the judgement named no place'))}"
