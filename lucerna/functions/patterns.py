@@ -4,9 +4,6 @@ Java syntax without look-around except where noted, so most also run in other en
 Hebrew alternatives never use word boundaries, because those are ASCII-only.
 """
 
-MAX_ITEMS = 200
-MAX_FINDINGS = 20
-
 HEBREW = r"[\x{0590}-\x{05FF}]"
 ARABIC = r"[\x{0600}-\x{06FF}]"
 LATIN = r"[A-Za-z]"

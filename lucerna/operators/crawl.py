@@ -97,18 +97,18 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     locs = r"transform(regexp_extract_all(xml, r'(?is)<loc>\s*(.*?)\s*</loc>', 1), l -> trim(replace(l, '&amp;', '&')))"
     base = sitemaps.withColumn("locs", F.expr(locs)).withColumn("is_index", F.expr("xml rlike '(?i)<sitemapindex'"))
     plain = base.where("not is_index").selectExpr("site", "source", "posexplode_outer(locs) as (pos, loc)").where("loc is not null")
-    nested = base.where("is_index").selectExpr("site", "source as index_source", "posexplode_outer(slice(locs, 1, 25)) as (index_pos, source)").where("source is not null")
+    nested = base.where("is_index").selectExpr("site", "source as index_source", "posexplode_outer(locs) as (index_pos, source)").where("source is not null")
     inner = nested.join(plain.drop("site"), "source").selectExpr("site", "index_source as source", "cast(index_pos * 1000000L + pos as bigint) as pos", "loc")
     reached = nested.select("source").distinct()
     return plain.join(reached, "source", "left_anti").selectExpr("site", "source", "cast(pos as bigint) as pos", "loc").unionByName(inner)
 
 
-def sitemap_seeds(declared: DataFrame, listed: DataFrame) -> DataFrame:
-    """The first of at most five sources that lists anything seeds the crawl at depth 1.
+def sitemap_seeds(declared: DataFrame, listed: DataFrame, max_sources: int | None = None) -> DataFrame:
+    """The first source (of the first ``max_sources``, if given) that lists anything seeds the crawl at depth 1.
 
     ``declared`` has ``site, source_no, source`` (sources in trial order, from 0); ``listed`` is ``sitemap_urls``.
     """
-    tried = declared.where("source_no < 5")
+    tried = declared if max_sources is None else declared.where(F.col("source_no") < max_sources)
     usable = tried.join(listed.select("site", "source").distinct(), ["site", "source"]).groupBy("site").agg(F.expr("min_by(source, source_no)").alias("source"))
     return listed.join(usable, ["site", "source"]).select("site", "source", "pos", "loc", F.lit(1).alias("depth"))
 

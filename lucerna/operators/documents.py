@@ -10,7 +10,7 @@ from lucerna.functions import patterns as P
 from lucerna.functions.patterns import lit
 from lucerna.operators import applicability as A
 from lucerna.operators.catalogue import CANCELLED, rows_for
-from lucerna.operators.page_rules import NO_OPINION, NONE, cap, each, finding, when
+from lucerna.operators.page_rules import NO_OPINION, NONE, together, each, finding, when
 
 # Large text and the contrast it needs.
 LARGE_BOLD_PT, LARGE_REGULAR_PT = 14.0, 18.0
@@ -129,7 +129,7 @@ def scanned_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     p = p.withColumn("scan", F.expr("size(image_areas) > 0 and text_chars < 40 and coalesce(array_max(image_areas), 0) / greatest(page_area, 1D) > 0.5"))
     whole = p.groupBy(key).agg(F.sum("text_chars").alias("total"), F.expr("bool_or(scan)").alias("any_scan"))
     j = p.join(whole, key)
-    return j.where("scan or (total < 40 and not any_scan and page <= 20)").select(key, "page", F.expr("if(scan, coverage, 1D)").alias("coverage"))
+    return j.where("scan or (total < 40 and not any_scan)").select(key, "page", F.expr("if(scan, coverage, 1D)").alias("coverage"))
 
 
 def phrases(docs: DataFrame, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -170,35 +170,35 @@ def _rules() -> dict[str, str]:
     w = where_in("x")
     r: dict[str, str] = {}
     alt = "trim(coalesce(x.alt, ''))"
-    r["doc-image-alt"] = cap(
+    r["doc-image-alt"] = together(
         f"flatten(transform(filter(images, x -> not coalesce(x.decorative, false)), x -> case when {alt} = '' then array({finding(w, 'x.name', 'doc-alt-missing', 'x.name')})"
         f" when {alt} rlike {lit(P.DOC_FILENAME_ALT)} or {alt} rlike {lit(P.DOC_GENERIC_ALT)} then array({finding(w, alt, 'doc-alt-generic', alt)}) else {NONE} end))",
         when("kind = 'pdf' and size(images) > 0 and tagged = false", finding("'document'", None, "untagged")),
     )
     real = "filter(headings, h -> not coalesce(h.fake, false) and not coalesce(h.missing, false) and h.level is not null)"
     jumps = f"get(transform(array({real}), hs -> filter(transform(hs, (h, i) -> named_struct('h', h, 'prev', get(hs, i - 1).level)), y -> y.prev is not null and y.prev <> 0 and y.h.level > y.prev + 1)), 0)"
-    r["doc-heading-structure"] = cap(
+    r["doc-heading-structure"] = together(
         each("filter(headings, h -> coalesce(h.fake, false))", w, "x.text", "doc-fake-heading", "x.text"),
         f"if(size(array_distinct(transform({real}, h -> h.level))) > 1, {each(jumps, where_in('x.h'), 'x.h.text', 'doc-heading-jump', 'concat(x.h.level, ' + repr(' after ') + ', x.prev)')}, {NONE})",
         f"flatten(transform(headings, x -> case when coalesce(x.missing, false) then array({finding(w, None, 'slide-untitled')})"
         f" when coalesce(x.duplicate, false) then array({finding(w, 'x.text', 'slide-title-repeated', 'x.text')}) when coalesce(x.generic, false) then array({finding(w, 'x.text', 'sheet-default-name', 'x.text')}) else {NONE} end))",
     )
-    r["doc-list-structure"] = cap(each(f"filter(lists, l -> coalesce(l.manual, false) and (coalesce(l.text, '') = '' or l.text rlike {lit(P.DOC_BULLET)}))", w, "x.text", "doc-typed-list"))
-    r["doc-reading-order"] = cap(
+    r["doc-list-structure"] = together(each(f"filter(lists, l -> coalesce(l.manual, false) and (coalesce(l.text, '') = '' or l.text rlike {lit(P.DOC_BULLET)}))", w, "x.text", "doc-typed-list"))
+    r["doc-reading-order"] = together(
         each("reading_order_issues", w, None, "doc-reading-order", "x.issue"),
         when("kind = 'pdf' and tagged = false", finding("'document'", None, "untagged")),
         each("filter(tables, t -> coalesce(t.merged_cells, 0) > 0)", w, None, "doc-merged-cells", "x.merged_cells"),
     )
-    r["doc-contrast"] = cap(each("contrast_failures", w, "x.text", "doc-contrast", "concat(x.ratio, ' of ', x.required)"))
+    r["doc-contrast"] = together(each("contrast_failures", w, "x.text", "doc-contrast", "concat(x.ratio, ' of ', x.required)"))
     r["doc-color-only"] = f"if(size(coloured_runs) = 0, {NONE}, {NO_OPINION})"
     r["doc-scanned-detect"] = when(
         "size(scanned_pages) > 0",
-        finding("concat('pages ', array_join(transform(slice(scanned_pages, 1, 12), p -> cast(p.page as string)), ', '), if(size(scanned_pages) > 12, ' and more', ''))", None, "doc-scanned", "size(scanned_pages)"),
+        finding("concat('pages ', array_join(transform(scanned_pages, p -> cast(p.page as string)), ', '))", None, "doc-scanned", "size(scanned_pages)"),
     )
-    r["doc-text-image"] = cap(each("text_images", w, "concat(x.width, 'x', x.height)", "doc-text-image"))
+    r["doc-text-image"] = together(each("text_images", w, "concat(x.width, 'x', x.height)", "doc-text-image"))
     bare = r"regexp_replace(file_name, r'[.][^.]+$', '')"
     titled = "trim(coalesce(title, '')) <> ''"
-    r["doc-title"] = cap(
+    r["doc-title"] = together(
         when(f"not {titled}", finding("'document properties'", "file_name", "doc-untitled", f"if({bare} rlike {lit(P.DOC_GENERIC_FILE)} or {bare} rlike '^[0-9]+$', 'and the file name says nothing', 'file name used instead')")),
         when(f"kind = 'pdf' and {titled} and display_doc_title = false", finding("'ViewerPreferences'", None, "doc-title-not-shown", "title")),
     )
@@ -245,7 +245,7 @@ def evaluate_documents(facts: DataFrame, level: str = "AA", use_ai: bool = False
     structs = []
     for row in rows:
         parts = [f"coalesce(`rule:{r}`, {NONE})" for r in row.own_rules] or [NONE]
-        found = f"slice(concat({', '.join(parts)}), 1, 20)"
+        found = f"concat({', '.join(parts)})"
         decided = " or ".join(f"`rule:{r}` is not null" for r in row.own_rules) or "false"
         cancelled = f"'{CANCELLED[row.item_id]}'" if row.item_id in CANCELLED else "cast(null as string)"
         manual = f"not ({decided})" + (" or true" if row.needs_judgement and not use_ai else "")

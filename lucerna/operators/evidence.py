@@ -15,9 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions import patterns as P
-from lucerna.functions.patterns import MAX_ITEMS, lit
-
-CAP = MAX_ITEMS
+from lucerna.functions.patterns import lit
 
 
 # ---- expression helpers (they return SQL text) ---------------------------------------------
@@ -124,10 +122,9 @@ def acc_name(e: str) -> str:
     return f"get(transform(array({raw}), s -> {clip('s', 200)}), 0)"
 
 
-def pick(source: str, fields: dict[str, str], var: str = "e", limit: int | None = None) -> str:
+def pick(source: str, fields: dict[str, str], var: str = "e") -> str:
     body = ", ".join(f"'{k}', {v}" for k, v in fields.items())
-    src = f"slice({source}, 1, {limit})" if limit else source
-    return f"transform({src}, {var} -> named_struct({body}))"
+    return f"transform({source}, {var} -> named_struct({body}))"
 
 
 def where(cond: str, source: str = "ELS", var: str = "e") -> str:
@@ -184,8 +181,8 @@ def stages() -> list[dict[str, str]]:
         "FIELDS": where(INTERACTIVE_SELECTOR),
         "HTML_EL": "get(ELS, 0)",
         "rtl_content": (
-            f"({_count_re('substring(body_text, 1, 4000)', P.HEBREW)} + {_count_re('substring(body_text, 1, 4000)', P.ARABIC)})"
-            f" > {_count_re('substring(body_text, 1, 4000)', P.LATIN)}"
+            f"({_count_re('body_text', P.HEBREW)} + {_count_re('body_text', P.ARABIC)})"
+            f" > {_count_re('body_text', P.LATIN)}"
         ),
         "is_dom": "dom is not null",
     }
@@ -204,7 +201,7 @@ def stages() -> list[dict[str, str]]:
             "selector": "x.e.selector",
             "text": clip(text("x.e"), 120),
             "name": "x.name",
-            "href": clip("coalesce(x.e.attrs['href'], '')", 200),
+            "href": "coalesce(x.e.attrs['href'], '')",
             "title": "x.e.attrs['title']",
             "aria_label": "x.e.attrs['aria-label']",
             "new_window": "coalesce(x.e.attrs['target'], '') = '_blank'",
@@ -218,7 +215,6 @@ def stages() -> list[dict[str, str]]:
             "region": region,
         },
         "x",
-        CAP,
     )
     controls = pick(
         "filter(NAMED, x -> x.e.tag in ('input','select','textarea') or coalesce(x.e.attrs['role'],'') in ('textbox','combobox','checkbox','radio','switch','spinbutton','slider'))",
@@ -243,7 +239,6 @@ def stages() -> list[dict[str, str]]:
             "s1": "x.e.s1",
         },
         "x",
-        CAP,
     )
     size_px = "try_cast(regexp_extract({e}.attrs['{a}'], r'^\\s*(\\d+)', 1) as int)"
     img_w, img_h = size_px.format(e="e", a="width"), size_px.format(e="e", a="height")
@@ -265,7 +260,6 @@ def stages() -> list[dict[str, str]]:
             "nearby": f"coalesce({clip(text(parent('e')), 150)}, '')",
             "s0": "e.s0", "s1": "e.s1",
         },
-        limit=CAP,
     )
     tracks = f"filter({under('x.e')}, k -> k.tag = 'track')"
     media_src = "coalesce(nullif(x.e.attrs['src'], ''), nullif(x.e.attrs['data-src'], ''), '')"
@@ -283,7 +277,6 @@ def stages() -> list[dict[str, str]]:
             "aria_hidden": "x.e.aria_hidden", "nearby": f"coalesce({clip(text(parent('x.e')), 250)}, '')", "s0": "x.e.s0", "s1": "x.e.s1",
         },
         "x",
-        CAP,
     )
     headings = pick(
         where(HEADING_COND),
@@ -294,7 +287,6 @@ def stages() -> list[dict[str, str]]:
             "empty": f"{text('e')} = '' and not exists({under('e')}, k -> k.tag = 'img' and coalesce(k.attrs['alt'], '') <> '')",
             "visible": "not e.hidden",
         },
-        limit=CAP,
     )
     first_tr = f"get(filter({under('e')}, k -> k.tag = 'tr'), 0)"
     sub = under("e")
@@ -312,18 +304,15 @@ def stages() -> list[dict[str, str]]:
             "merged": f"size(filter({sub}, k -> k.tag in ('td','th') and (k.attrs['colspan'] is not null or k.attrs['rowspan'] is not null)))",
             "s0": "e.s0", "s1": "e.s1",
         },
-        limit=CAP,
     )
     lists = pick(
         where("e.tag in ('ul','ol','dl')"),
         {"pos": "e.pos", "selector": "e.selector", "tag": "e.tag", "items": "e.n_children", "invalid": BAD_CHILD.format(kids=kids("e"))},
-        limit=CAP,
     )
     bullet = lit(P.TYPED_BULLET)
     fake_lists = pick(
         where(f"e.tag in ('p','div') and e.n_children = 0 and coalesce(e.text, '') rlike {bullet} and coalesce({text(next_sibling('e'))}, '') rlike {bullet}"),
         {"pos": "e.pos", "selector": "e.selector", "text": clip("e.text", 120), "s0": "e.s0", "s1": "e.s1"},
-        limit=30,
     )
     landmarks = pick(
         where(LANDMARK_COND),
@@ -333,7 +322,6 @@ def stages() -> list[dict[str, str]]:
     presentational = pick(
         where("e.tag in ('font','center','marquee','blink','basefont','big','strike','tt') or e.attrs['bgcolor'] is not null or e.attrs['align'] is not null"),
         snippet_only,
-        limit=CAP,
     )
     sensory = pick(
         f"filter(transform(TXT, n -> named_struct('pos', n.pos, 'text', n.text, 'kind', {_first_kind(P.SENSORY, 'n.text')})), n -> n.kind is not null and not {inside('n', 'HEADS')})",
@@ -342,7 +330,6 @@ def stages() -> list[dict[str, str]]:
             "match": clip(squash(_first_match(P.SENSORY, "n.text")), 120), "context": clip(squash("n.text"), 240),
         },
         "n",
-        40,
     )
     required_markers = pick(
         where(f"e.tag = 'label' or {has_class('e', 'required')} or coalesce(e.attrs['aria-required'],'') = 'true' or e.attrs['required'] is not null"),
@@ -351,7 +338,6 @@ def stages() -> list[dict[str, str]]:
             "says_required": f"{text('e')} rlike {lit(P.SAYS_REQUIRED)}",
             "aria_required": "coalesce(e.attrs['aria-required'],'') = 'true' or e.attrs['required'] is not null",
         },
-        limit=60,
     )
     hint_src = "lower(concat(coalesce(e.attrs['src'],''), ' ', coalesce(e.attrs['class'],'')))"
     text_images = pick(
@@ -364,7 +350,6 @@ def stages() -> list[dict[str, str]]:
             "width": img_w, "height": img_h,
             "is_logo": f"lower(concat({hint_src}, ' ', coalesce(e.attrs['alt'],''))) rlike {lit(P.LOGO_HINT)}",
         },
-        limit=40,
     )
     forms = pick(
         where("e.tag = 'form'"),
@@ -389,7 +374,6 @@ def stages() -> list[dict[str, str]]:
             "pos": "e.pos", "selector": "e.selector", "role": at("e", "role"), "live": at("e", "aria-live"), "text": clip(text("e"), 160), "visible": "not e.hidden",
             "referenced": f"coalesce(e.attrs['id'], '') <> '' and exists(ELS, y -> array_contains({words(at('y', 'aria-describedby'))}, e.attrs['id']))",
         },
-        limit=CAP,
     )
     captcha = pick(
         where(
@@ -401,13 +385,12 @@ def stages() -> list[dict[str, str]]:
     page_lang = "lower(coalesce(HTML_EL.attrs['lang'], ''))"
     heb, lat = _count_re("coalesce(e.text,'')", P.HEBREW), _count_re("coalesce(e.text,'')", P.LATIN)
     foreign = pick(
-        f"filter(transform(slice({where('e.tag in (' + repr('p') + ',' + repr('li') + ',' + repr('td') + ',' + repr('h1') + ',' + repr('h2') + ',' + repr('h3') + ',' + repr('h4') + ',' + repr('blockquote') + ',' + repr('div') + ')')}, 1, 400),"
+        f"filter(transform({where('e.tag in (' + repr('p') + ',' + repr('li') + ',' + repr('td') + ',' + repr('h1') + ',' + repr('h2') + ',' + repr('h3') + ',' + repr('h4') + ',' + repr('blockquote') + ',' + repr('div') + ')')},"
         f" e -> named_struct('e', e, 'heb', {heb}, 'lat', {lat})), f -> f.e.n_children = 0 and not f.e.hidden and coalesce(f.e.text_len, 0) >= 40"
         f" and not exists(LANGS, z -> z.pos > 0 and z.pos <= f.e.pos and f.e.pos <= z.last)"
         f" and if({page_lang} like 'he%' or rtl_content, f.lat > 30 and f.heb < f.lat * 0.15, f.heb > 30 and f.lat < f.heb * 0.15))",
         {"pos": "f.e.pos", "selector": "f.e.selector", "text": clip("f.e.text", 200), "detected": f"if({page_lang} like 'he%' or rtl_content, 'latin', 'hebrew')", "latin": "f.lat", "hebrew": "f.heb"},
         "f",
-        25,
     )
     islands = (
         "if(rtl_content, "
@@ -420,19 +403,17 @@ def stages() -> list[dict[str, str]]:
                 "match": clip(squash(_first_match(P.ISLANDS, "n.text")), 60), "context": clip(squash("n.text"), 160),
             },
             "n",
-            30,
         )
         + ", array())"
     )
     english = (
         "if(rtl_content, "
         + pick(
-            "filter(slice(filter(NAMED, x -> x.e.tag in ('button','input','select','textarea') or (x.e.tag = 'a' and x.e.attrs['href'] is not null) or coalesce(x.e.attrs['role'],'') = 'button' or x.e.attrs['aria-label'] is not null), 1, 200),"
+            "filter(filter(NAMED, x -> x.e.tag in ('button','input','select','textarea') or (x.e.tag = 'a' and x.e.attrs['href'] is not null) or coalesce(x.e.attrs['role'],'') = 'button' or x.e.attrs['aria-label'] is not null),"
             f" x -> char_length(x.name) >= 3 and not x.name rlike {lit(P.HEBREW)} and x.name rlike {lit(P.LATIN)} and not x.name rlike {lit(P.NOT_PROSE_NAME)}"
             f" and not x.name rlike {lit(P.HOST_LIKE_NAME)} and not (size(split(x.name, ' ')) = 1 and char_length(x.name) < 12))",
             {"pos": "x.e.pos", "selector": "x.e.selector", "name": clip("x.name", 80), "source": "if(coalesce(x.e.attrs['aria-label'],'') <> '', 'aria-label', 'text')"},
             "x",
-            30,
         )
         + ", array())"
     )
@@ -443,10 +424,9 @@ def stages() -> list[dict[str, str]]:
             "has_pause": "exists(NAMED, x -> x.e.pos > e.pos and x.e.pos <= e.last and (x.e.tag = 'button' or coalesce(x.e.attrs['role'],'') = 'button')"
             f" and x.name <> '' and x.name rlike {lit(P.PAUSE_CONTROL)})",
         },
-        limit=20,
     )
     autoplay = pick(where("e.tag in ('video','audio') and e.attrs['autoplay'] is not null"), {"selector": "e.selector", "tag": "e.tag", "muted": "e.attrs['muted'] is not null", "controls": "e.attrs['controls'] is not null"})
-    gifs = pick(where("e.tag = 'img' and lower(coalesce(e.attrs['src'],'')) like '%.gif%'"), {"selector": "e.selector", "src": clip("e.attrs['src']", 120), "alt": at("e", "alt")}, limit=20)
+    gifs = pick(where("e.tag = 'img' and lower(coalesce(e.attrs['src'],'')) like '%.gif%'"), {"selector": "e.selector", "src": clip("e.attrs['src']", 120), "alt": at("e", "alt")})
     moving_tags = pick(where("e.tag in ('blink','marquee')"), snippet_only)
     refresh = pick(where("e.tag = 'meta' and lower(coalesce(e.attrs['http-equiv'],'')) = 'refresh'"), {"content": at("e", "content")})
     id_runs = "array_sort(transform(filter(ELS, e -> e.attrs['id'] <> ''), e -> named_struct('id', e.attrs['id'], 'pos', e.pos)))"
@@ -455,13 +435,13 @@ def stages() -> list[dict[str, str]]:
         " y -> named_struct('pos', y.pos, 'id', y.id, 'selector', get(ELS, y.pos).selector, 's0', get(ELS, y.pos).s0, 's1', get(ELS, y.pos).s1)))"
     )
     refs = ["aria-labelledby", "aria-describedby", "aria-controls", "aria-owns"]
-    broken = "slice(concat(" + ", ".join(
-        f"flatten(transform(slice({where(at('e', r) + ' is not null')}, 1, 200), e -> transform(filter({words(at('e', r))}, i -> not array_contains(IDS, i)),"
+    broken = "concat(" + ", ".join(
+        f"flatten(transform({where(at('e', r) + ' is not null')}, e -> transform(filter({words(at('e', r))}, i -> not array_contains(IDS, i)),"
         f" i -> named_struct('selector', e.selector, 'attribute', '{r}', 'missing_id', i, 's0', e.s0, 's1', e.s1))))"
         for r in refs
-    ) + "), 1, 40)"
+    ) + ")"
     orphans = pick(
-        "filter(slice(filter(ELS, e -> e.tag = 'label' and e.attrs['for'] is not null), 1, 100), e -> not array_contains(IDS, e.attrs['for']))",
+        "filter(ELS, e -> e.tag = 'label' and e.attrs['for'] is not null and not array_contains(IDS, e.attrs['for']))",
         {"pos": "e.pos", "selector": "e.selector", "label_for": at("e", "for"), "text": clip(text("e"), 80)},
     )
     roles = ", ".join(f"'{r}'" for r in P.INTERACTIVE_ROLES)
@@ -473,18 +453,16 @@ def stages() -> list[dict[str, str]]:
             "controls": at("x.e", "aria-controls"), "visible": "not x.e.hidden", "s0": "x.e.s0", "s1": "x.e.s1",
         },
         "x",
-        CAP,
     )
     real_control = "d.tag in ('button','input','select','textarea') or (d.tag = 'a' and d.attrs['href'] is not null) or coalesce(d.attrs['role'],'') in ('button','link')"
     pseudo = pick(
-        f"filter(slice(filter(ELS, e -> e.tag in ('div','span','li','td','i')), 1, 1500), e -> not e.hidden and coalesce(e.attrs['role'],'') = '' and not {focusable('e')}"
+        f"filter(ELS, e -> e.tag in ('div','span','li','td','i') and not e.hidden and coalesce(e.attrs['role'],'') = '' and not {focusable('e')}"
         f" and coalesce(e.attrs['onclick'],'') <> '' and not exists({sub}, d -> {real_control}))",
         {"pos": "e.pos", "selector": "e.selector", "text": clip(text("e"), 80), "inline_handler": "true", "s0": "e.s0", "s1": "e.s1"},
-        limit=40,
     )
     iframes = pick(where("e.tag in ('iframe','frame')"), {"selector": "e.selector", "title": at("e", "title"), "src": clip("coalesce(e.attrs['src'],'')", 160)})
     icon_buttons = pick(
-        "filter(slice(filter(NAMED, x -> x.e.tag = 'button' or (x.e.tag = 'a' and x.e.attrs['href'] is not null) or coalesce(x.e.attrs['role'],'') = 'button'), 1, 200),"
+        "filter(filter(NAMED, x -> x.e.tag = 'button' or (x.e.tag = 'a' and x.e.attrs['href'] is not null) or coalesce(x.e.attrs['role'],'') = 'button'),"
         f" x -> {text('x.e')} = '' and (exists({under('x.e')}, d -> d.tag in ('svg','img','i')) or coalesce(x.e.attrs['class'],'') rlike {lit(P.ICON_CLASS)}))",
         {"pos": "x.e.pos", "selector": "x.e.selector", "name": "x.name", "s0": "x.e.s0", "s1": "x.e.s1"},
         "x",
@@ -500,20 +478,18 @@ def stages() -> list[dict[str, str]]:
             "hidden": "e.hidden", "looks_skip": f"{text('e')} rlike {lit(P.SKIP_TEXT)}",
             "dom_position": "size(filter(FIELDS, y -> y.pos < e.pos))",
         },
-        limit=20,
     )
     navs = pick(
         where("e.tag = 'nav' or coalesce(e.attrs['role'],'') = 'navigation'"),
         {
             "pos": "e.pos", "selector": "e.selector", "label": at("e", "aria-label"),
-            "items": f"transform(slice(filter({sub}, k -> k.tag = 'a' and k.attrs['href'] is not null), 1, 60), k -> named_struct('text', {clip(text('k'), 60)}, 'href', {clip('k.attrs[' + repr('href') + ']', 160)}))",
+            "items": f"transform(filter({sub}, k -> k.tag = 'a' and k.attrs['href'] is not null), k -> named_struct('text', {text('k')}, 'href', k.attrs['href']))",
         },
     )
     all_text = f"concat({text('e')}, ' ', coalesce(e.attrs['href'],''), ' ', coalesce(e.attrs['aria-label'],''))"
     statement_links = pick(
         where(f"e.tag = 'a' and e.attrs['href'] is not null and {all_text} rlike {lit(P.STATEMENT_LINK)}"),
         {"pos": "e.pos", "selector": "e.selector", "text": clip(text("e"), 80), "href": clip("e.attrs['href']", 200)},
-        limit=10,
     )
     candidates = pick(
         f"filter(NAMED, x -> {WIDGET_HOOK.replace('e.attrs', 'x.e.attrs')})",
@@ -523,7 +499,6 @@ def stages() -> list[dict[str, str]]:
             "visible": "not x.e.hidden",
         },
         "x",
-        10,
     )
     vendors = "filter(array(" + ", ".join(f"'{v}'" for v in P.OVERLAY_VENDORS) + "), v -> exists(ELS, e -> e.tag = 'script' and contains(lower(coalesce(e.attrs['src'],'')), v)))"
     focus_pool = (
@@ -586,24 +561,26 @@ def stages() -> list[dict[str, str]]:
         "sitemap_links": f"size({where('e.tag = ' + repr('a') + ' and e.attrs[' + repr('href') + '] is not null and concat(' + text('e') + ', ' + repr(' ') + ', e.attrs[' + repr('href') + ']) rlike ' + lit(P.SITEMAP_LINK))})",
         "breadcrumbs": f"size({where(crumbs)})",
         "widget_candidates": candidates, "overlay_vendors": vendors,
-        "emails": f"slice(array_distinct(regexp_extract_all(body_text, {lit('(' + P.EMAIL + ')')}, 1)), 1, 10)",
-        "phones": f"slice(array_distinct(regexp_extract_all(body_text, {lit('(' + P.PHONE + ')')}, 1)), 1, 10)",
+        "emails": f"array_distinct(regexp_extract_all(body_text, {lit('(' + P.EMAIL + ')')}, 1))",
+        "phones": f"array_distinct(regexp_extract_all(body_text, {lit('(' + P.PHONE + ')')}, 1))",
         "mentions_coordinator": f"body_text rlike {lit(P.COORDINATOR)}",
         "focusable_count": "size(FOCUS)",
         "positive_tabindex": pick(where(f"{tab_index('e')} > 0"), {"pos": "e.pos", "selector": "e.selector", "tabindex": at("e", "tabindex"), "text": clip(text("e"), 60)}),
-        "hidden_focusable": pick("filter(FOCUS, e -> e.aria_hidden)", {"pos": "e.pos", "selector": "e.selector", "text": clip(text("e"), 60), "s0": "e.s0", "s1": "e.s1"}, limit=20),
+        "hidden_focusable": pick("filter(FOCUS, e -> e.aria_hidden)", {"pos": "e.pos", "selector": "e.selector", "text": clip(text("e"), 60), "s0": "e.s0", "s1": "e.s1"}),
     }
     derived = {
-        "links": "transform(links_raw, x -> struct(x.*, x.name <> '' and size(array_distinct(transform(filter(links_raw, y -> y.name = x.name), y -> y.href))) > 1 as ambiguous))",
         "has_h1": "exists(headings, h -> coalesce(h.level, 0) = 1)",
         "has_main": "exists(landmarks, l -> l.tag = 'main' or coalesce(l.role, '') = 'main')",
     }
     fields = (
         "pos selector text name href title aria_label new_window warns generic is_url empty image_only context visible region".split()
     )
+    # names with two targets: equal names are neighbours once sorted, so no link is compared with every other
+    pairs = "array_sort(transform(links_raw, y -> named_struct('n', y.name, 'h', y.href)))"
+    unclear = f"get(transform(array({pairs}), r -> array_distinct(transform(filter(r, (y, i) -> y.n <> '' and get(r, i - 1).n = y.n and get(r, i - 1).h <> y.h), y -> y.n))), 0)"
     derived["links"] = (
-        "transform(links_raw, x -> named_struct(" + ", ".join(f"'{f}', x.{f}" for f in fields)
-        + ", 'ambiguous', x.name <> '' and size(array_distinct(transform(filter(links_raw, y -> y.name = x.name), y -> y.href))) > 1))"
+        f"get(transform(array({unclear}), u -> transform(links_raw, x -> named_struct(" + ", ".join(f"'{f}', x.{f}" for f in fields)
+        + ", 'ambiguous', array_contains(u, x.name)))), 0)"
     )
     return [base, pools, names, more_pools, sections, derived]
 

@@ -172,7 +172,7 @@ def budget_gate(work: DataFrame, budget: float, run: str = "run_id", bucket_rows
 
 
 def sanitise(judgements: DataFrame) -> DataFrame:
-    """Drop findings whose place is not in the evidence text, clamp, cap, and weaken an empty FAIL.
+    """Drop findings whose place is not in the evidence text, clamp, and weaken an empty FAIL.
 
     Needs ``slice, json, j_verdict, j_confidence, j_findings, j_note``.
     """
@@ -182,7 +182,7 @@ def sanitise(judgements: DataFrame) -> DataFrame:
     return (
         df.withColumn("j_verdict", F.expr("if(j_verdict in ('PASS', 'NA'), j_verdict, 'FAIL')"))
         .withColumn("j_confidence", F.expr("least(1D, greatest(0D, coalesce(j_confidence, 0.5D)))"))
-        .withColumn("j_findings", F.expr("slice(_kept, 1, 20)"))
+        .withColumn("j_findings", F.col("_kept"))
         .withColumn("j_confidence", F.expr("if(j_verdict = 'FAIL' and size(j_findings) = 0, least(j_confidence, 0.4D), j_confidence)"))
         .withColumn("j_note", F.expr("nullif(concat_ws(' ', j_note, if(_dropped > 0, concat(_dropped, ' findings not found in the evidence were dropped'), null)), '')"))
         .drop("_kept", "_dropped")

@@ -51,9 +51,8 @@ def when(cond: str, f: str) -> str:
     return f"if({cond}, array({f}), {NONE})"
 
 
-def cap(*parts: str) -> str:
-    joined = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    return f"slice({joined}, 1, {P.MAX_FINDINGS})"
+def together(*parts: str) -> str:
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
 def only_if(cond: str, body: str) -> str:
@@ -65,17 +64,17 @@ def _rules() -> dict[str, str]:
     lang, direction = "lower(coalesce(lang, ''))", "lower(coalesce(dir, ''))"
     visible_widget = "exists(widget_candidates, w -> w.visible)"
     r: dict[str, str] = {}
-    r["hebrew-lang-dir"] = cap(
+    r["hebrew-lang-dir"] = together(
         when(f"{lang} = ''", finding("'html'", "'<html>'", "lang-missing")),
         when(f"{lang} <> '' and rtl_content and not {lang} rlike '{P.RTL_LANG}'", finding("'html'", f"concat('<html lang=\"', {lang}, '\">')", "lang-not-rtl", lang)),
         when(f"rtl_content and {direction} <> 'rtl'", finding("'html'", None, "dir-not-rtl", direction)),
     )
-    r["ltr-island-marked"] = only_if("rtl_content", cap(each("islands", "x.selector", "x.context", "ltr-island", "concat(x.kind, ' ', x.match)")))
-    r["hebrew-ui-strings"] = only_if("rtl_content", cap(each("english_names", "x.selector", "x.name", "english-name", "concat(x.name, ' from ', x.source)")))
-    r["hebrew-alt-text"] = cap(each("filter(images, i -> not i.aria_hidden and i.filename_alt)", "x.selector", source("x"), "alt-is-filename", "x.alt"))
+    r["ltr-island-marked"] = only_if("rtl_content", together(each("islands", "x.selector", "x.context", "ltr-island", "concat(x.kind, ' ', x.match)")))
+    r["hebrew-ui-strings"] = only_if("rtl_content", together(each("english_names", "x.selector", "x.name", "english-name", "concat(x.name, ' from ', x.source)")))
+    r["hebrew-alt-text"] = together(each("filter(images, i -> not i.aria_hidden and i.filename_alt)", "x.selector", source("x"), "alt-is-filename", "x.alt"))
     missing = ", ".join(f"if(statement.{k}, null, '{k}')" for k, _ in P.STATEMENT_AUDIT)
     missing = f"array_compact(array({missing}))"
-    r["accessibility-statement"] = cap(
+    r["accessibility-statement"] = together(
         when("size(statement_links) = 0", finding("'body'", None, "statement-link-missing")),
         when(f"statement is not null and size({missing}) > 0", finding("statement.url", None, "statement-incomplete", f"array_join({missing}, '; ')")),
         when("statement is null and size(statement_links) > 0", finding("get(statement_links, 0).selector", "get(statement_links, 0).href", "statement-not-loaded")),
@@ -83,7 +82,7 @@ def _rules() -> dict[str, str]:
     ways = "(cast(statement.phone as int) + cast(statement.email as int))"
     r["coordinator-contact"] = only_if(
         "statement is not null",
-        cap(
+        together(
             when("not statement.coordinator_name", finding("statement.url", None, "coordinator-missing")),
             when(f"{ways} < 2", finding("statement.url", None, "contact-ways", ways)),
         ),
@@ -92,7 +91,7 @@ def _rules() -> dict[str, str]:
     r["a11y-widget-present"] = when(f"not {visible_widget}", finding("'body'", None, "widget-missing"))
     r["a11y-widget-keyboard"] = only_if(
         visible_widget,
-        cap(
+        together(
             each(
                 "filter(widget_candidates, w -> w.visible and not w.focusable and not coalesce(array_contains(transform(keyboard.stops, s -> s.selector), w.selector), false))",
                 "x.selector", None, "widget-not-operable", "x.name",
@@ -100,32 +99,32 @@ def _rules() -> dict[str, str]:
         ),
     )
     r["overlay-antipattern"] = when("size(overlay_vendors) > 0", finding("'script[src]'", "array_join(overlay_vendors, ', ')", "overlay", "array_join(overlay_vendors, ', ')"))
-    r["fake-heading-detect"] = cap(
+    r["fake-heading-detect"] = together(
         each(f"coalesce(fake_headings, cast(array() as array<struct<selector:string,text:string,size:double,weight:int,base:double>>))", "x.selector", "x.text", "fake-heading", "x.text"),
         each("fake_lists", "x.selector", source("x"), "typed-list", "x.text"),
         when("not has_h1", finding("'body'", None, "no-h1")),
     )
-    r["landmark-coverage"] = cap(
+    r["landmark-coverage"] = together(
         when("not has_main", finding("'body'", None, "no-main")),
         when("not exists(landmarks, l -> l.tag = 'nav' or coalesce(l.role, '') = 'nav') and size(links) >= 5", finding("'body'", None, "no-nav")),
     )
-    r["presentational-markup"] = cap(each("presentational", "x.selector", source("x"), "presentational", "x.tag"))
-    r["layout-table-detect"] = cap(
+    r["presentational-markup"] = together(each("presentational", "x.selector", source("x"), "presentational", "x.tag"))
+    r["layout-table-detect"] = together(
         f"flatten(transform(tables, x -> case when x.looks_layout then array({finding('x.selector', source('x'), 'layout-table', 'x.rows')})"
         f" when x.th > 0 and not x.caption then array({finding('x.selector', source('x'), 'no-caption')}) else {NONE} end))"
     )
     leveled = "filter(headings, h -> coalesce(h.level, 0) <> 0)"
     jumps = f"get(transform(array({leveled}), hs -> filter(transform(hs, (h, i) -> named_struct('h', h, 'prev', get(hs, i - 1).level)), y -> y.prev is not null and y.h.level > y.prev + 1)), 0)"
-    r["section-heading-coverage"] = cap(
+    r["section-heading-coverage"] = together(
         each(jumps, "x.h.selector", "x.h.text", "heading-jump", "concat('h', x.h.level, ' after h', x.prev, ' ', x.h.text)"),
         when(f"size({leveled}) = 0 and text_length > 600", finding("'body'", None, "no-headings")),
     )
     reorder = each("css_reordered", "x.selector", "x.text", "css-reordered", "if(coalesce(x.css_order, '') not in ('', '0'), concat('order:', x.css_order), concat('flex-direction:', x.flex_direction))")
     r["dom-visual-order-mismatch"] = (
         f"case when css_reordered is null and visual_mismatches is null then {NO_OPINION}"
-        f" when coalesce(size(css_reordered), 0) > 0 then {cap(reorder)} when coalesce(size(visual_mismatches), 0) = 0 then {NONE} else {NO_OPINION} end"
+        f" when coalesce(size(css_reordered), 0) > 0 then {together(reorder)} when coalesce(size(visual_mismatches), 0) = 0 then {NONE} else {NO_OPINION} end"
     )
-    r["generic-link-text"] = cap(
+    r["generic-link-text"] = together(
         "flatten(transform(filter(links, l -> l.visible), x -> case"
         f" when x.empty then array({finding('x.selector', 'x.href', 'link-empty', 'x.href')})"
         f" when x.ambiguous then array({finding('x.selector', 'x.href', 'link-ambiguous', 'x.text')})"
@@ -135,7 +134,7 @@ def _rules() -> dict[str, str]:
     skips = "filter(skip_links, s -> s.looks_skip)"
     r["skip-link-functional"] = (
         f"if(size({skips}) = 0, {when('not (has_main and size(landmarks) >= 3)', finding(repr('body'), None, 'no-bypass'))}, "
-        + cap(
+        + together(
             f"flatten(transform({skips}, x -> case when not x.target_exists then array({finding('x.selector', 'x.href', 'skip-target-missing', 'x.href')})"
             f" when x.hidden then array({finding('x.selector', 'x.href', 'skip-hidden')}) when not x.target_focusable then array({finding('x.selector', 'x.href', 'skip-target-not-focusable', 'x.href')})"
             f" when x.dom_position > 3 then array({finding('x.selector', 'x.href', 'skip-late', 'x.dom_position + 1')}) else {NONE} end))"
@@ -144,7 +143,7 @@ def _rules() -> dict[str, str]:
     )
     r["title-unique-across-site"] = (
         f"if(title = '', array({finding(repr('title'), None, 'title-missing')}), "
-        + cap(
+        + together(
             when("coalesce(title_others, 0) > 0", finding("'title'", "title", "title-duplicate", "concat(title, ' also on ', title_others, ' pages, first ', title_first_other)")),
             when("title = site_name", finding("'title'", "title", "title-is-site-name")),
         )
@@ -161,23 +160,23 @@ def _rules() -> dict[str, str]:
     )
     r["component-identity"] = only_if(
         "page_count > 1 and components is not null",
-        cap(each("coalesce(component_conflicts, cast(array() as array<struct<key:string,name:string,other_name:string,other_url:string>>))", "x.key", "x.name", "component-name", "concat(x.other_url, ' calls it ', x.other_name, ', this page ', x.name)")),
+        together(each("coalesce(component_conflicts, cast(array() as array<struct<key:string,name:string,other_name:string,other_url:string>>))", "x.key", "x.name", "component-name", "concat(x.other_url, ' calls it ', x.other_name, ', this page ', x.name)")),
     )
-    r["placeholder-as-label"] = cap(
+    r["placeholder-as-label"] = together(
         each("filter(controls, c -> c.visible and c.placeholder_only)", "x.selector", source("x"), "placeholder-only", "x.placeholder"),
         each("filter(required_markers, m -> m.asterisk and not m.says_required)", "x.selector", "x.text", "asterisk-only", "x.text"),
     )
     live = "exists(error_boxes, b -> coalesce(b.role, '') = 'alert' or coalesce(b.live, 'off') not in ('', 'off'))"
     lost = "filter(c.described_by, d -> startswith(d, '(missing:'))"
-    r["error-announcement"] = cap(
+    r["error-announcement"] = together(
         when(f"size(error_boxes) > 0 and not {live}", finding("get(error_boxes, 0).selector", "get(error_boxes, 0).text", "errors-silent")),
         each(f"filter(controls, c -> size({lost}) > 0)", "x.selector", source("x"), "describedby-missing", f"array_join({lost.replace('c.', 'x.')}, ', ')"),
         when("size(error_boxes) = 0 and exists(controls, c -> c.required)", finding("'form'", None, "no-error-surface")),
     )
-    r["captcha-detect"] = only_if("size(captcha) > 0", cap(each("captcha", "x.selector", source("x"), "captcha")))
-    r["keyboard-walk"] = only_if("keyboard is not null", cap(each("keyboard.unreachable", "x.selector", "x.text", "unreachable", "concat(x.reason, ' ', x.text)")))
+    r["captcha-detect"] = only_if("size(captcha) > 0", together(each("captcha", "x.selector", source("x"), "captcha")))
+    r["keyboard-walk"] = only_if("keyboard is not null", together(each("keyboard.unreachable", "x.selector", "x.text", "unreachable", "concat(x.reason, ' ', x.text)")))
     pointer = "cast(array() as array<struct<selector:string,text:string>>)"
-    r["click-handler-no-keyboard"] = cap(
+    r["click-handler-no-keyboard"] = together(
         each("pseudo_controls", "x.selector", source("x"), "pseudo-control", "x.text"),
         each(f"filter(coalesce(pointer_controls, {pointer}), p -> not exists(pseudo_controls, s -> s.selector = p.selector))", "x.selector", None, "pseudo-control", "x.text"),
     )
@@ -185,19 +184,19 @@ def _rules() -> dict[str, str]:
         f"case when keyboard is null then {NO_OPINION} when keyboard.trap is not null then array({finding('keyboard.trap.selector', 'keyboard.trap.name', 'focus-trap', 'keyboard.trap.repeats')})"
         f" when keyboard.frame_boundary is not null then {NO_OPINION} else {NONE} end"
     )
-    r["focus-order-walk"] = cap(
+    r["focus-order-walk"] = together(
         each("positive_tabindex", "x.selector", "x.text", "positive-tabindex", "x.tabindex"),
         each("hidden_focusable", "x.selector", source("x"), "focusable-but-hidden"),
         f"coalesce({each('keyboard.order_mismatches', 'x.selector', 'x.name', 'focus-order', 'concat(x.focus_position + 1, ' + repr(' seen at ') + ', x.visual_position + 1)')}, {NONE})",
     )
-    r["focus-visible-check"] = only_if("keyboard is not null", cap(each("keyboard.no_indicator", "x.selector", "x.name", "no-focus-indicator", "concat(x.tag, ' ', x.name)")))
+    r["focus-visible-check"] = only_if("keyboard is not null", together(each("keyboard.no_indicator", "x.selector", "x.name", "no-focus-indicator", "concat(x.tag, ' ', x.name)")))
     r["context-change-on-focus"] = only_if(
-        "keyboard is not null", cap(each("filter(keyboard.stops, s -> s.context_kind is not null)", "x.selector", "x.name", "context-on-focus", "concat_ws(' ', x.context_kind, x.context_detail)"))
+        "keyboard is not null", together(each("filter(keyboard.stops, s -> s.context_kind is not null)", "x.selector", "x.name", "context-on-focus", "concat_ws(' ', x.context_kind, x.context_detail)"))
     )
-    r["context-change-on-input"] = cap(each("filter(controls, c -> c.on_change and c.tag = 'select')", "x.selector", source("x"), "select-onchange", "x.name"))
+    r["context-change-on-input"] = together(each("filter(controls, c -> c.on_change and c.tag = 'select')", "x.selector", source("x"), "select-onchange", "x.name"))
     r["zoom-200-reflow"] = only_if(
         "zoom is not null",
-        cap(
+        together(
             when("blocks_zoom", finding("'meta[name=\"viewport\"]'", None, "zoom-blocked")),
             each("zoom.clipped", "x.selector", "x.text", "zoom-clipped"),
             each("zoom.lost", "x.selector", "x.text", "zoom-lost"),
@@ -209,23 +208,23 @@ def _rules() -> dict[str, str]:
     own = f"filter({relevant}, t -> size({urls}) = 0 or exists({urls}, u -> startswith(u, {origin})))"
     r["timeout-detect"] = (
         f"if(size(meta_refresh) = 0 and size({own}) = 0 and size({relevant}) > 0, {NO_OPINION}, "
-        + cap(
+        + together(
             each("meta_refresh", "'meta[http-equiv=\"refresh\"]'", "x.content", "meta-refresh", "x.content"),
             each(own, "'script'", "concat(x.kind, '(', cast(x.delay_ms as bigint), 'ms)')", "timer", "cast(x.delay_ms as bigint)"),
         )
         + ")"
     )
     no_anim = "cast(array() as array<struct<selector:string,name:string,duration_sec:double,infinite:boolean,fast:boolean>>)"
-    r["moving-content-detect"] = cap(
+    r["moving-content-detect"] = together(
         each("moving_tags", "x.selector", source("x"), "moving-tag", "x.tag"),
         each("filter(carousels, c -> not c.has_pause)", "x.selector", "x.class_name", "carousel-no-pause"),
         each(f"filter(coalesce(animated, {no_anim}), a -> a.infinite)", "x.selector", "x.name", "endless-animation"),
     )
-    r["flash-candidates"] = cap(
+    r["flash-candidates"] = together(
         each(f"filter(coalesce(animated, {no_anim}), a -> a.fast)", "x.selector", "x.name", "fast-animation", "x.duration_sec"),
         each("gifs", "x.selector", "x.src", "gif"),
     )
-    r["markup-validity"] = cap(
+    r["markup-validity"] = together(
         each("dup_ids", "x.selector", source("x"), "duplicate-id", "x.id"),
         each("broken_refs", "x.selector", source("x"), "broken-reference", "concat(x.attribute, ' ', x.missing_id)"),
         each("orphan_labels", "x.selector", "x.text", "orphan-label", "x.label_for"),
@@ -236,25 +235,24 @@ def _rules() -> dict[str, str]:
         ("x.role in ('tab','option') and x.selected is null", "no-aria-selected"),
         ("not x.focusable and x.role in ('button','link','checkbox','radio','switch','tab','menuitem','option','slider','spinbutton')", "widget-not-focusable"),
     ]
-    # the loop over widgets stops after the widget that reaches the cap, so the cap itself is enough
-    r["custom-widget-state"] = cap(
+    r["custom-widget-state"] = together(
         "flatten(transform(filter(widgets, w -> w.visible), x -> array_compact(array("
         + ", ".join(f"if({c}, {finding('x.selector', source('x'), code, 'x.role')}, null)" for c, code in state)
         + "))))",
         each("filter(icon_buttons, b -> b.name = '')", "x.selector", source("x"), "icon-unnamed"),
     )
-    r["embedded-media-name"] = cap(each(f"filter(media, m -> not m.aria_hidden and (m.name = '' or m.name rlike {lit(P.GENERIC_MEDIA_NAME)}))", "x.selector", source("x"), "media-unnamed", "left(x.src, 80)"))
-    r["caption-track-present"] = cap(
+    r["embedded-media-name"] = together(each(f"filter(media, m -> not m.aria_hidden and (m.name = '' or m.name rlike {lit(P.GENERIC_MEDIA_NAME)}))", "x.selector", source("x"), "media-unnamed", "left(x.src, 80)"))
+    r["caption-track-present"] = together(
         each("filter(media, m -> m.kind = 'video' and not m.captions)", "x.selector", source("x"), "no-captions"),
         each("filter(media, m -> m.kind = 'player')", "x.selector", "left(x.src, 120)", "player-captions"),
     )
-    r["text-in-image-detect"] = cap(
+    r["text-in-image-detect"] = together(
         each("filter(coalesce(text_images, text_images_static), t -> not t.is_logo)", "x.selector", "left(x.src, 100)", "text-image", "concat(x.width, 'x', x.height, ' ', x.alt)")
     )
-    r["foreign-language-run"] = cap(each("foreign_runs", "x.selector", "x.text", "foreign-run", "x.detected"))
+    r["foreign-language-run"] = together(each("foreign_runs", "x.selector", "x.text", "foreign-run", "x.detected"))
     r["color-only-meaning"] = only_if(
         "link_styles is not null",
-        cap(each("filter(link_styles, l -> not l.cue and (l.contrast is null or l.contrast < 3))", "x.selector", "x.text", "colour-only-link", "concat(x.text, coalesce(concat(' ', x.contrast), ''))")),
+        together(each("filter(link_styles, l -> not l.cue and (l.contrast is null or l.contrast < 3))", "x.selector", "x.text", "colour-only-link", "concat(x.text, coalesce(concat(' ', x.contrast), ''))")),
     )
     return r
 

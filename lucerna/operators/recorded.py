@@ -65,15 +65,13 @@ def _visual_rank(df: DataFrame, key: str, order_col: str) -> DataFrame:
 
 
 def focus_order_mismatches(stops: DataFrame, key: str = "page_id") -> DataFrame:
-    """Visible stops more than three places from where they are seen; first 20 in visual order."""
-    ranked = _visual_rank(stops.where("visible"), key, "position").where("abs(position - visual_position) > 3")
-    return ranked.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("visual_position"))).where("_r <= 20").drop("_r")
+    """Visible stops more than three places from where they are seen, in visual order."""
+    return _visual_rank(stops.where("visible"), key, "position").where("abs(position - visual_position) > 3")
 
 
 def reading_order_mismatches(blocks: DataFrame, key: str = "page_id") -> DataFrame:
-    """Blocks whose document rank is more than two away from their visual rank; first 25."""
-    ranked = _visual_rank(blocks, key, "position").where("abs(position - visual_position) > 2")
-    return ranked.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("visual_position"))).where("_r <= 25").drop("_r")
+    """Blocks whose document rank is more than two away from their visual rank."""
+    return _visual_rank(blocks, key, "position").where("abs(position - visual_position) > 2")
 
 
 def unreachable(candidates: DataFrame, stops: DataFrame, key: str = "page_id") -> DataFrame:
@@ -82,12 +80,11 @@ def unreachable(candidates: DataFrame, stops: DataFrame, key: str = "page_id") -
 
 
 def zoom_loss(measures: DataFrame, key: str = "page_id") -> DataFrame:
-    """Text seen at 100 % and gone at 200 %, and text clipped at 200 %; 25 of each per page."""
+    """Text seen at 100 % and gone at 200 %, and text clipped at 200 %."""
     before, after = measures.where("scale = 100"), measures.where("scale = 200")
     lost = before.join(after.select(key, "selector").distinct(), [key, "selector"], "left_anti").withColumn("loss", F.lit("lost"))
     clipped = after.where("clipped").withColumn("loss", F.lit("clipped"))
-    both = lost.select(key, "selector", "text", "loss", "pos").unionByName(clipped.select(key, "selector", "text", "loss", "pos"))
-    return both.withColumn("_r", F.row_number().over(W.partitionBy(key, "loss").orderBy("pos"))).where("_r <= 25").drop("_r", "pos")
+    return lost.select(key, "selector", "text", "loss").unionByName(clipped.select(key, "selector", "text", "loss"))
 
 
 def link_cues(styles: DataFrame) -> DataFrame:

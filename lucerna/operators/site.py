@@ -50,7 +50,10 @@ def component_names(var: str = "") -> str:
         "concat(transform(filter(links, l -> l.region <> 'body'), l -> l.name), transform(widgets, w -> w.name), transform(icon_buttons, b -> b.name))"
     )
     keyed = f"filter(transform({pool}, n -> named_struct('key', {component_key('n')}, 'name', trim(n))), x -> x.key is not null)"
-    once = f"get(transform(array({keyed}), ks -> filter(ks, (x, i) -> not exists(slice(ks, 1, i), y -> y.key = x.key))), 0)"
+    # equal keys are neighbours once sorted; the first of each keeps its place
+    order = "array_sort(transform(ks, (x, i) -> named_struct('key', x.key, 'i', i)))"
+    firsts = f"get(transform(array({order}), r -> array_sort(transform(filter(r, (y, i) -> i = 0 or get(r, i - 1).key <> y.key), y -> y.i))), 0)"
+    once = f"get(transform(array({keyed}), ks -> transform({firsts}, j -> get(ks, j))), 0)"
     return f"map_from_entries({once})"
 
 
@@ -192,11 +195,11 @@ def with_site_context(pages: DataFrame, rows_per_slice: int = 500_000) -> DataFr
     audits = statement_audits(pages, sites)
     out = join_on_hot_key(pages, sites.join(audits, "site", "left"), ["site"], "site_rows", "page_id", "left", rows_per_slice)
     titles = title_duplicates(pages)
-    out = join_on_hot_key(out, titles.withColumn("_n", F.col("title_n")), ["site", "title"], "_n", "page_id", "left", rows_per_slice)
+    out = join_on_hot_key(out, titles, ["site", "title"], None, "page_id", "left", rows_per_slice)
     out = out.withColumn("title_others", F.expr("if(title_n is null, 0, title_n - 1)")).withColumn(
         "title_first_other", F.expr("if(first_url = url, second_url, first_url)")
     ).drop("title_n", "first_url", "second_url")
     navs = nav_conflicts(pages, rows_per_slice).withColumnRenamed("lang", "_lang")
     out = out.withColumn("_lang", F.expr(base_lang("lang")))
-    out = join_on_hot_key(out, navs, ["site", "_lang", "nav_seq"], "seq_rows", "page_id", "left", rows_per_slice).drop("_lang")
+    out = join_on_hot_key(out, navs.drop("seq_rows"), ["site", "_lang", "nav_seq"], None, "page_id", "left", rows_per_slice).drop("_lang")
     return out.join(component_conflicts(pages, rows_per_slice), "page_id", "left")

@@ -10,7 +10,7 @@ ROWS_PER_SLICE = 500_000
 
 
 def join_on_hot_key(
-    big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, how: str = "left", rows_per_slice: int = ROWS_PER_SLICE
+    big: DataFrame, small: DataFrame, keys: list[str], weight: str | None, spread: str, how: str = "left", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Join many rows to one row per key, splitting the keys that hold too many rows.
 
@@ -18,7 +18,20 @@ def join_on_hot_key(
     above ``rows_per_slice`` is cut into ``ceil(weight / rows_per_slice)`` slices: its small row is
     repeated per slice and its big rows are spread by a hash of ``spread``. The broadcast list holds
     only the hot keys, at most ``rows(big) / rows_per_slice`` of them, so its size is bounded.
+
+    Without ``weight`` the keys of ``big`` itself are counted, so a key that ``small`` lacks is split too, and rows
+    with a NULL key, which meet nothing, are spread.
     """
+    if weight is None:
+        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice)
+        hot = counted.select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint").alias("_slices"))
+        no_key = F.lit(False)
+        for k in keys:
+            no_key = no_key | F.col(k).isNull()
+        slices = F.when(no_key, F.lit(1 << 20)).otherwise(F.coalesce("_slices", F.lit(1))).cast("bigint")
+        left = big.join(F.broadcast(hot), keys, "left").withColumn("_slice", F.pmod(F.xxhash64(spread), slices)).drop("_slices")
+        right = small.join(F.broadcast(hot), keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+        return left.join(right, [*keys, "_slice"], how).drop("_slice")
     n = F.greatest(F.lit(1), F.ceil(F.col(weight) / F.lit(rows_per_slice)))
     hot = small.where(F.col(weight) > rows_per_slice).select(*keys, n.alias("_slices"))
     left = big.join(F.broadcast(hot), keys, "left").withColumn(

@@ -44,7 +44,7 @@ def binding_level(requested: str) -> str:
     return f"if(coalesce(public_authority, false), 'AA', {requested})"
 
 
-def _checker(kind: str, rules: tuple[str, ...], limit: int) -> str:
+def _checker(kind: str, rules: tuple[str, ...]) -> str:
     """V4/V5 for one catalogue row: checker nodes of its rules, in checker order."""
     if not rules:
         return NONE
@@ -52,20 +52,24 @@ def _checker(kind: str, rules: tuple[str, ...], limit: int) -> str:
     tail = r"regexp_replace(coalesce(n.summary, ''), r'\s*\n\s*', ' ')"
     reason = f"trim(concat(v.help, '. ', trim({tail})))" if kind == "violations" else "concat(v.help, ' - undecided')"
     f = f"named_struct('locator', array_join(n.target, ' , '), 'snippet', n.html, 'code', v.id, 'reason', {reason})"
-    return f"coalesce(slice(flatten(transform(filter(checker.{kind}, v -> v.id in ({names})), v -> transform(v.nodes, n -> {f}))), 1, {limit}), {NONE})"
+    return f"coalesce(flatten(transform(filter(checker.{kind}, v -> v.id in ({names})), v -> transform(v.nodes, n -> {f}))), {NONE})"
 
 
 def checker_findings(pages: DataFrame, kind: str = "violations", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """V4 (``violations``, 20 per row) and V5 (``incomplete``, 10 per row): checker nodes per catalogue row."""
-    limit = 20 if kind == "violations" else 10
+    """V4 (``violations``) and V5 (``incomplete``): checker nodes per catalogue row."""
     rows = [r for r in CATALOGUE if r.checker_rules]
-    items = ", ".join(f"named_struct('item_id', '{r.item_id}', 'findings', {_checker(kind, r.checker_rules, limit)})" for r in rows)
+    items = ", ".join(f"named_struct('item_id', '{r.item_id}', 'findings', {_checker(kind, r.checker_rules)})" for r in rows)
     return pages.selectExpr(*keys, f"inline(array({items}))").where("size(findings) > 0")
 
 
 def dedupe(findings: str) -> str:
-    """Same place and same first 80 characters of reason count once; 20 kept."""
-    return f"slice(get(transform(array({findings}), fs -> filter(fs, (f, i) -> not exists(slice(fs, 1, i), g -> g.locator = f.locator and left(g.reason, 80) = left(f.reason, 80)))), 0), 1, 20)"
+    """Same place and same first 80 characters of reason count once, in order; a missing part equals nothing.
+
+    Equal keys are neighbours once sorted, so the cost grows with the findings and not with their pairs.
+    """
+    keyed = "array_sort(transform(fs, (f, i) -> named_struct('k', coalesce(concat(f.locator, '\\u0000', left(f.reason, 80)), concat('\\u0001', i)), 'i', i)))"
+    firsts = f"get(transform(array({keyed}), r -> array_sort(transform(filter(r, (y, i) -> i = 0 or get(r, i - 1).k <> y.k), y -> y.i))), 0)"
+    return f"get(transform(array({findings}), fs -> transform({firsts}, j -> get(fs, j))), 0)"
 
 
 PASS_NOTES = {
@@ -81,14 +85,14 @@ def _row_facts(row) -> str:
     opinions = [f"`rule:{r}` is not null" for r in row.own_rules]
     if row.checker_rules:
         opinions.append("checker is not null")
-    parts = [_checker("violations", row.checker_rules, 20), *[f"coalesce(`rule:{r}`, {NONE})" for r in row.own_rules]]
+    parts = [_checker("violations", row.checker_rules), *[f"coalesce(`rule:{r}`, {NONE})" for r in row.own_rules]]
     notes = [RULE_NOTES[r] for r in row.own_rules if r in RULE_NOTES]
     note = f"nullif(concat_ws(' ', {', '.join(notes)}), '')" if notes else "cast(null as string)"
     cancelled = f"'{CANCELLED[row.item_id]}'" if row.item_id in CANCELLED else "cast(null as string)"
     return (
         f"named_struct('item_id', '{row.item_id}', 'needs_judgement', {str(row.needs_judgement).lower()}, 'cancelled', {cancelled},"
         f" 'exempt', {row_exemption(repr(row.criterion))}, 'applicable', {A.condition(row.probe, 'c')}, 'na_reason', '{A.reason(row.probe)}',"
-        f" 'findings', concat({', '.join(parts)}), 'opined', {' or '.join(opinions) or 'false'}, 'incomplete', {_checker('incomplete', row.checker_rules, 10)},"
+        f" 'findings', concat({', '.join(parts)}), 'opined', {' or '.join(opinions) or 'false'}, 'incomplete', {_checker('incomplete', row.checker_rules)},"
         f" 'rule_note', {note}, 'pass_note', {PASS_NOTES.get(row.probe, repr('no findings'))}, 'has_checker_rules', {str(bool(row.checker_rules)).lower()}, 'ordinal', {row.ordinal})"
     )
 

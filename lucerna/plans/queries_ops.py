@@ -202,9 +202,9 @@ def u24(spark, d):
     return G.domain_standing(h, p, ["page_id"], "timestamp '2024-07-01'").select("page_id", "verified", "stale_since", "matched_domain")
 
 
-@query("u25_page_limit", "SELECT event_id, CASE WHEN event_type = 'view' OR value <= 5 THEN floor(value) ELSE 5 END::INT AS max_pages, CASE WHEN event_type = 'view' OR value <= 5 THEN NULL ELSE 'ownership not verified; first 5 pages only' END AS capped FROM events WHERE floor(value) <> 5")
+@query("u25_page_limit", "SELECT event_id, CASE WHEN event_type = 'view' OR floor(value) <= 5 THEN floor(value) ELSE 5 END::INT AS max_pages, CASE WHEN event_type = 'view' OR floor(value) <= 5 THEN NULL ELSE 'ownership not verified; first 5 pages only' END AS capped FROM events")
 def u25(spark, d):
-    e = table(spark, d, "events").where("floor(value) <> 5").selectExpr("event_id", "event_type = 'view' as verified", "cast(floor(value) as int) as requested")
+    e = table(spark, d, "events").selectExpr("event_id", "event_type = 'view' as verified", "cast(floor(value) as int) as requested")
     return e.selectExpr("event_id", f"{G.page_limit('verified', 'requested')} as max_pages", f"{G.capped_reason('verified', 'requested')} as capped")
 
 
@@ -379,9 +379,9 @@ def doc_facts(spark, d):
     """WITH e AS (SELECT *, user_id AS doc_id FROM events), im AS (SELECT doc_id, count(*) FILTER (event_type = 'click' AND event_id % 10 <> 0 AND event_id % 4 <> 3) + (doc_id % 2 = 0 AND doc_id % 5 <> 0 AND count(*) FILTER (event_type = 'click') > 0)::INT AS n FROM e GROUP BY 1),
     hd AS (SELECT doc_id, event_id, event_id % 4 + 1 AS lv, lag(event_id % 4 + 1) OVER (PARTITION BY doc_id ORDER BY event_id) AS pv FROM e WHERE event_type = 'view' AND event_id % 6 <> 0), dl AS (SELECT doc_id, count(DISTINCT lv) AS k, count(*) FILTER (lv > pv + 1) AS j FROM hd GROUP BY 1),
     hh AS (SELECT doc_id, count(*) FILTER (event_type = 'view' AND event_id % 6 = 0) + count(*) FILTER (event_type = 'view' AND event_id % 13 = 0) AS n FROM e GROUP BY 1)
-    SELECT doc_id, 'doc-image-alt' AS rule, least(20, n)::INT AS n FROM im UNION ALL SELECT hh.doc_id, 'doc-heading-structure', least(20, n + CASE WHEN k > 1 THEN j ELSE 0 END)::INT FROM hh LEFT JOIN dl USING (doc_id)
-    UNION ALL SELECT doc_id, 'doc-list-structure', least(20, count(*) FILTER (event_type = 'error' AND event_id % 3 <> 0 AND event_id % 2 = 0))::INT FROM e GROUP BY 1
-    UNION ALL SELECT doc_id, 'doc-reading-order', least(20, (doc_id % 2 = 0 AND doc_id % 5 <> 0)::INT + count(*) FILTER (event_type = 'signup' AND event_id % 3 > 0))::INT FROM e GROUP BY 1
+    SELECT doc_id, 'doc-image-alt' AS rule, (n)::INT AS n FROM im UNION ALL SELECT hh.doc_id, 'doc-heading-structure', (n + CASE WHEN k > 1 THEN j ELSE 0 END)::INT FROM hh LEFT JOIN dl USING (doc_id)
+    UNION ALL SELECT doc_id, 'doc-list-structure', (count(*) FILTER (event_type = 'error' AND event_id % 3 <> 0 AND event_id % 2 = 0))::INT FROM e GROUP BY 1
+    UNION ALL SELECT doc_id, 'doc-reading-order', ((doc_id % 2 = 0 AND doc_id % 5 <> 0)::INT + count(*) FILTER (event_type = 'signup' AND event_id % 3 > 0))::INT FROM e GROUP BY 1
     UNION ALL SELECT DISTINCT doc_id, 'doc-contrast', 0 FROM e UNION ALL SELECT DISTINCT doc_id, 'doc-text-image', 0 FROM e UNION ALL SELECT DISTINCT doc_id, 'doc-complex-info', 0 FROM e
     UNION ALL SELECT doc_id, 'doc-color-only', CASE WHEN count(*) FILTER (event_type = 'purchase' AND value < 4) = 0 THEN 0 END FROM e GROUP BY 1
     UNION ALL SELECT doc_id, 'doc-scanned-detect', (count(*) FILTER (event_type = 'purchase' AND value > 60) > 0)::INT FROM e GROUP BY 1

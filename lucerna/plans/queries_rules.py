@@ -30,7 +30,7 @@ def _oracle(parts: list[tuple[str, str]], opined: str = "true", prelude: str = "
     codes = "list_sort(list_filter([" + (", ".join(f"CASE WHEN n{i} > 0 THEN '{code}' END" for i, (_, code) in enumerate(parts)) or "NULL") + "], lambda x: x IS NOT NULL))"
     head = pages if pages is not None else M
     return (
-        f"WITH {head}{prelude}, parts AS (SELECT {key}, ({opined}) AS opined, {counts} FROM {source}) SELECT {key}, opined, CASE WHEN opined THEN least(20, {total})::INT END AS n,"
+        f"WITH {head}{prelude}, parts AS (SELECT {key}, ({opined}) AS opined, {counts} FROM {source}) SELECT {key}, opined, CASE WHEN opined THEN ({total})::INT END AS n,"
         f" CASE WHEN opined THEN array_to_string({codes}, ',') END AS codes FROM parts"
     )
 
@@ -153,7 +153,7 @@ def _bands(source: str, order: str) -> str:
 @query(
     "c47_focus_order",
     f"WITH {WALK_DB}, v AS (SELECT * FROM kept WHERE visible), {_bands('v', 'position')}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY visual_position) AS r FROM b3 WHERE abs(position - visual_position) > 3)"
-    " SELECT page_id, selector, position, visual_position FROM r WHERE r <= 20",
+    " SELECT page_id, selector, position, visual_position FROM r",
 )
 def c47b(spark, d):
     s = stops(spark, d)
@@ -175,7 +175,7 @@ BLOCKS = (
 @query(
     "c16_reading_order",
     f"WITH bl AS ({BLOCKS.format(ev='events')}), {_bands('bl', 'position')}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY visual_position) AS r FROM b3 WHERE abs(position - visual_position) > 2)"
-    " SELECT page_id, selector, position, visual_position FROM r WHERE r <= 25",
+    " SELECT page_id, selector, position, visual_position FROM r",
 )
 def c16(spark, d):
     b = derive(spark, d, BLOCKS.format(ev=EV), e="events").selectExpr("page_id", "position", "selector", "top_px as top", "left_px as left", "left_px + 10 as right", "page_id % 2 = 0 as rtl")
@@ -224,7 +224,7 @@ MEASURES = (
 @query(
     "c45_zoom_loss",
     f"""WITH ms AS ({MEASURES.format(ev='events')}), b AS (SELECT page_id, selector, 'lost' AS loss, pos FROM ms a WHERE scale = 100 AND NOT EXISTS (SELECT 1 FROM ms z WHERE z.scale = 200 AND z.page_id = a.page_id AND z.selector = a.selector)
-    UNION ALL SELECT page_id, selector, 'clipped', pos FROM ms WHERE scale = 200 AND clipped), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, loss ORDER BY pos) AS r FROM b) SELECT page_id, selector, loss FROM r WHERE r <= 25""",
+    UNION ALL SELECT page_id, selector, 'clipped', pos FROM ms WHERE scale = 200 AND clipped), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, loss ORDER BY pos) AS r FROM b) SELECT page_id, selector, loss FROM r""",
 )
 def c45(spark, d):
     m = derive(spark, d, MEASURES.format(ev=EV), e="events")
@@ -270,7 +270,7 @@ _recorded_rule(
     "zoom-200-reflow",
     f"SELECT user_id AS page_id, named_struct('clipped', collect_list(if(event_type = 'click', named_struct('selector', cast(event_id as string), 'text', event_type), null)), 'lost', collect_list(if(event_type = 'error', named_struct('selector', cast(event_id as string), 'text', event_type), null))) AS zoom FROM {EV} GROUP BY user_id",
     _oracle(
-        [("page_id % 5 = 0", "zoom-blocked"), ("c", "zoom-clipped"), ("greatest(0, least(l, 20 - c - (page_id % 5 = 0)::INT))", "zoom-lost")],
+        [("page_id % 5 = 0", "zoom-blocked"), ("c", "zoom-clipped"), ("l", "zoom-lost")],
         pages="g AS (SELECT user_id AS page_id, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS l FROM events GROUP BY 1)",
         source="g",
     ),

@@ -229,7 +229,7 @@ def review_sql() -> str:
         f" ap AS (SELECT c.page_id, c.site, cat.*, CASE probe {probes} END AS applicable FROM c, cat),"
         " v AS (SELECT ap.page_id, ap.site, ap.item_id, ap.ordinal, CASE WHEN cancelled OR NOT applicable THEN 'NA' WHEN coalesce(ro.n, 0) > 0 THEN 'FAIL' WHEN nj OR NOT coalesce(ro.opined, false) THEN 'FAIL' ELSE 'PASS' END AS verdict,"
         " CASE WHEN cancelled OR NOT applicable THEN 1 WHEN coalesce(ro.n, 0) > 0 THEN 1 WHEN nj OR NOT coalesce(ro.opined, false) THEN 0 ELSE 1 END::DOUBLE AS confidence,"
-        " CASE WHEN cancelled OR NOT applicable THEN 0 ELSE least(20, coalesce(ro.n, 0)) END::INT AS n FROM ap LEFT JOIN ro USING (page_id, item_id)"
+        " CASE WHEN cancelled OR NOT applicable THEN 0 ELSE coalesce(ro.n, 0) END::INT AS n FROM ap LEFT JOIN ro USING (page_id, item_id)"
         f" UNION ALL SELECT m.page_id, {DOMAIN}, cat.item_id, cat.ordinal, 'FAIL', 0, 1 FROM m, cat WHERE m.html IS NULL)"
     )
 
@@ -257,10 +257,10 @@ def v15(spark, d):
 
 @query(
     "v16_failure_ranking",
-    f"{RV}, g AS (SELECT item_id, count(*) FILTER (verdict = 'FAIL') AS fail_count, count(*) AS total FROM v WHERE verdict <> 'NA' GROUP BY 1), {CAT_DB} SELECT item_id, criterion, fail_count, total, fail_count::DOUBLE / total AS rate FROM g JOIN catalogue USING (item_id) WHERE fail_count > 0 ORDER BY rate DESC, fail_count DESC, ord LIMIT 15",
+    f"{RV}, g AS (SELECT item_id, count(*) FILTER (verdict = 'FAIL') AS fail_count, count(*) AS total FROM v WHERE verdict <> 'NA' GROUP BY 1), {CAT_DB} SELECT item_id, criterion, fail_count, total, fail_count::DOUBLE / total AS rate FROM g JOIN catalogue USING (item_id) WHERE fail_count > 0",
 )
 def v16(spark, d):
-    return V.rank_failures(reviewed(spark, d)).orderBy(F.desc("rate"), F.desc("fail_count"), "ordinal").limit(15).select("item_id", "criterion", "fail_count", "total", "rate")
+    return V.rank_failures(reviewed(spark, d)).select("item_id", "criterion", "fail_count", "total", "rate")
 
 
 @query("v17_run_stats", f"{RV}, p AS (SELECT site, page_id, bool_or(verdict = 'FAIL') AS failed FROM v GROUP BY 1, 2) SELECT site, count(*) AS pages_scanned, count(*) FILTER (failed) AS pages_failed FROM p GROUP BY ROLLUP (site)")
@@ -334,20 +334,20 @@ _CHECKER = (
 )
 
 
-def _checker_sql(cond: str, limit: int) -> str:
+def _checker_sql(cond: str) -> str:
     mapping = " UNION ALL ".join(f"SELECT '{r.item_id}' AS item_id, '{c}' AS rule" for r in CATALOGUE for c in r.checker_rules)
     return (
         f"WITH mp AS ({mapping}), e AS (SELECT user_id AS page_id, event_id, {_RULE_OF} AS rule FROM events WHERE {cond}), r AS (SELECT page_id, item_id, event_id, row_number() OVER (PARTITION BY page_id, item_id ORDER BY event_id) AS r FROM e JOIN mp USING (rule))"
-        f" SELECT page_id, item_id, count(*)::INT AS n, arg_min('a , ' || event_id, r) AS first_locator FROM r WHERE r <= {limit} GROUP BY 1, 2"
+        f" SELECT page_id, item_id, count(*)::INT AS n, arg_min('a , ' || event_id, r) AS first_locator FROM r GROUP BY 1, 2"
     )
 
 
-@query("v4_checker_findings", _checker_sql("event_id % 3 < 2", 20))
+@query("v4_checker_findings", _checker_sql("event_id % 3 < 2"))
 def v4(spark, d):
     return V.checker_findings(derive(spark, d, _CHECKER, e="events")).selectExpr("page_id", "item_id", "size(findings) as n", "findings[0].locator as first_locator")
 
 
-@query("v5_checker_incomplete", _checker_sql("event_id % 3 = 2", 10))
+@query("v5_checker_incomplete", _checker_sql("event_id % 3 = 2"))
 def v5(spark, d):
     return V.checker_findings(derive(spark, d, _CHECKER, e="events"), "incomplete").selectExpr("page_id", "item_id", "size(findings) as n", "findings[0].locator as first_locator")
 
@@ -369,7 +369,7 @@ _FOUND = "SELECT user_id AS page_id, event_id, concat('#', event_type) AS locato
 
 @query(
     "v12_finding_dedupe",
-    f"WITH f AS ({_FOUND.format(t='events')}), u AS (SELECT page_id, locator, reason, min(event_id) AS e FROM f GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY e) AS r FROM u) SELECT page_id, locator, reason FROM r WHERE r <= 20",
+    f"WITH f AS ({_FOUND.format(t='events')}), u AS (SELECT page_id, locator, reason, min(event_id) AS e FROM f GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY e) AS r FROM u) SELECT page_id, locator, reason FROM r",
 )
 def v12(spark, d):
     f = derive(spark, d, _FOUND.format(t="lucerna_src_events"), e="events")
