@@ -2,10 +2,11 @@
 
 1. One pass over the texts: token ids, a hashed token-count vector projected to a few dimensions, and checksums at fixed
    steps, from which the checksum of any later cut follows. The ids themselves are not kept, so no text or id is shuffled.
-2. The projections become coordinates on a grid and a Hilbert key; rows are range-sorted by the key.
-3. Each range partition is packed in curve order. Whole sequences of a long document stand alone; its remainder joins its
+2. The projections become coordinates on a grid and a Hilbert key; rows are range-sorted by the key. The ranges are
+   stretches of the curve of equal tokens, read off the summed tokens of its cells, so reruns give the same pieces.
+3. Each range is packed in curve order. Whole sequences of a long document stand alone; its remainder joins its
    neighbours on the curve and is cut where a sequence is full. A cut falls on a multiple of ``step`` tokens of the
-   remainder, so a sequence lacks fewer than ``step`` tokens, except for the last of each partition.
+   remainder, so a sequence lacks fewer than ``step`` tokens, except for the last of each range.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucerna.llm import tokens
@@ -30,6 +33,7 @@ END_ID = 1
 STEP = 16
 BUCKETS = 256
 DIMS, BITS = 3, 10
+CELL_BITS = 18
 TOKENS_PER_PARTITION = 8_000_000
 
 MEASURED = "doc_id long, doc_tokens long, p0 float, p1 float, p2 float, blocks array<long>, tail array<long>"
@@ -141,8 +145,9 @@ def with_key(measured: DataFrame, bits: int = BITS) -> DataFrame:
     """Adds ``curve``: coordinates are standardised over all documents and spread evenly over the grid."""
     names = [f"p{k}" for k in range(DIMS)]
     stats = measured.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.avg, F.stddev_pop)]).first()
-    centre = [stats[f"{n}_avg"] or 0.0 for n in names]
-    spread = [stats[f"{n}_stddev_pop"] or 1.0 for n in names]
+    # rounded, so that the order of summation does not move a document to another cell
+    centre = [round(stats[f"{n}_avg"] or 0.0, 6) for n in names]
+    spread = [round(stats[f"{n}_stddev_pop"] or 0.0, 6) or 1.0 for n in names]
 
     @F.pandas_udf("long")
     def key(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
@@ -180,30 +185,37 @@ def pack_rows(rows: Iterator[tuple], length: int, step: int, first_sequence: int
             current = None
 
 
+def with_part(keyed: DataFrame, per_partition: int, bits: int = BITS) -> DataFrame:
+    """Adds ``part``, the stretch of about ``per_partition`` tokens of the curve, and ``tie``, a hash of the row.
+
+    The curve has at most ``2 ** CELL_BITS`` cells, so the running total and the broadcast are bounded. Inside a cell
+    documents are spread by ``tie``: copies share a key, not a task. The part depends on the rows alone.
+    """
+    cell = F.shiftright("curve", max(0, DIMS * bits - CELL_BITS))
+    rows = keyed.withColumn("cell", cell).withColumn("tie", F.xxhash64("doc_id", "doc_tokens", "blocks", "tail"))
+    cells = rows.groupBy("cell").agg(F.sum("doc_tokens").alias("cell_tokens"))
+    before = F.coalesce(F.sum("cell_tokens").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.floor(F.pmod("tie", F.lit(1 << 20)) / (1 << 20) * F.col("cell_tokens"))
+    placed = rows.join(F.broadcast(cells.withColumn("before", before)), "cell")
+    return placed.withColumn("part", F.floor((F.col("before") + inside) / per_partition).cast("int"))
+
+
 def pack(measured: DataFrame, length: int = LENGTH, step: int = STEP, per_partition: int = TOKENS_PER_PARTITION) -> DataFrame:
     """Pieces of all measured documents, in sequences of neighbours on the curve."""
     total = measured.agg(F.sum("doc_tokens")).first()[0] or 0
     parts = max(1, -(-total // per_partition))
-    ordered = (
-        with_key(measured).repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "doc_tokens").withColumn("part", F.spark_partition_id())
-    )
+    ordered = with_part(with_key(measured), per_partition).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "curve", "doc_id", "doc_tokens", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = [0]
-
-        def rows():
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "blocks", "tail")]
-                part[0] = batch.column("part")[0].as_py() if batch.num_rows else part[0]
-                yield from zip(*columns)
-
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
         out: list[tuple] = []
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-        for piece in pack_rows(rows(), length, step, 0):
-            out.append((*piece[:5], piece[5] + (part[0] << 40), piece[6]))
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
-                out = []
+        for part, own in groupby(rows, key=lambda row: row[4]):
+            for piece in pack_rows((row[:4] for row in own), length, step, part << 40):
+                out.append(piece)
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
@@ -216,6 +228,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document is its text's ids and the end id; null and empty texts are the end id alone. A null id is kept as null,
     rows that share an id are packed one by one. Other columns are ignored. An empty table gives no rows.
     ``length`` must be a multiple of ``step``. Sequence ids are unique, not gapless; offsets within one are gapless.
+    The same rows give the same pieces, however they are partitioned.
     """
     if length % step:
         raise ValueError("length must be a multiple of step")

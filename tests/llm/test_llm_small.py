@@ -80,6 +80,17 @@ def test_packing(docs, none):
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 64
     assert packing.pack_documents(none).count() == 0
+    # the pieces depend on the rows, not on how they are partitioned
+    again = packing.pack_documents(docs.repartition(7), length=64, step=8, per_partition=20_000).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+
+
+def test_packing_spreads_copies_over_parts(spark):
+    rows = spark.range(4000).selectExpr("id as doc_id", "'the same words again and again' as text")
+    measured = packing.measure(rows).cache()
+    total = measured.agg({"doc_tokens": "sum"}).first()[0]
+    parts = [r["count"] for r in packing.with_part(packing.with_key(measured), -(-total // 8)).groupBy("part").count().collect()]
+    assert len(parts) == 8 and max(parts) < 1.3 * min(parts)
 
 
 def brute_components(rows, radius=2):
