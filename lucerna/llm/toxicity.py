@@ -96,21 +96,22 @@ def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), list(map(len, lists))), np.fromiter((x for xs in lists for x in xs), dtype=np.int64)
 
 
-def train(features: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[int]]], n_words: int, swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent with moments. ``pairs``: row number and the features of its swapped copy."""
+def train(features: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[int, list[int]]], n_words: int, swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Word weights and bias by gradient descent with moments. ``weights``: how many texts a row stands for. ``pairs``: row
+    number and the features of its swapped copy."""
     theta, moment, square = np.zeros(n_words + 1), np.zeros(n_words + 1), np.zeros(n_words + 1)
     row, col = _rows(features)
     swap_row, swap_col = _rows([f for _, f in pairs])
     origin = np.array([i for i, _ in pairs], dtype=np.int64)
-    n = max(1, len(features))
+    n, n_pairs = max(1.0, weights.sum()), max(1.0, weights[origin].sum())
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, theta[col], len(features)) + theta[-1], -30, 30)))
-        pull = (p - labels) / n
+        pull = weights * (p - labels) / n
         grad = ridge * theta
         grad[-1] = 0.0
         if pairs:
             q = 1 / (1 + np.exp(-np.clip(np.bincount(swap_row, theta[swap_col], len(pairs)) + theta[-1], -30, 30)))
-            change = 2 * swap_weight * (p[origin] - q) / len(pairs)
+            change = 2 * swap_weight * weights[origin] * (p[origin] - q) / n_pairs
             pull = pull + np.bincount(origin, change * p[origin] * (1 - p[origin]), len(features))
             back = -change * q * (1 - q)
             grad = grad + np.bincount(swap_col, back[swap_row], n_words + 1)
@@ -123,20 +124,32 @@ def train(features: list[list[int]], labels: np.ndarray, pairs: list[tuple[int,
     return theta[:-1], float(theta[-1])
 
 
-def threshold_shift(z: np.ndarray, labels: np.ndarray, threshold: float = THRESHOLD) -> float:
+def threshold_shift(z: np.ndarray, labels: np.ndarray, weights: np.ndarray, threshold: float = THRESHOLD) -> float:
     """What to add to the logits so that ``threshold`` cuts where F1 is best, midway between the neighbouring texts."""
     order = np.argsort(-z, kind="stable")
-    z, y = z[order], labels[order]
+    z, w = z[order], weights[order]
+    y = labels[order] * w
     hits, n = np.cumsum(y), y.sum()
-    if not 0 < n < len(y):
+    if not 0 < n < w.sum():
         return 0.0
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + n)
+    f1 = 2 * hits / (np.cumsum(w) + n)
     f1[:-1][z[:-1] == z[1:]] = -1.0  # a cut can't part equal scores
     k = int(np.argmax(f1))
     cut = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1.0
     return math.log(threshold / (1 - threshold)) - cut
 
 
+def numbered(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """toxic, words and swapped as numbers in the vocabulary (at most ``MAX_WORDS`` and the identity terms). Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[None if ws is None else sorted(vocabulary[w] for w in ws if w in vocabulary) for ws in batch.column(c).to_pylist()] for c in ("words", "swapped")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["toxic", "words", "swapped"])
+
+    return rows.mapInArrow(run, "toxic int, words array<int>, swapped array<int>")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, swap_weight: float = SWAP_WEIGHT) -> Classifier:
     """Fit on (doc_id, text, toxic). Rows without a label or text take no part; without rows all scores are 0.5 at most."""
     rows = labelled.where("toxic is not null and text is not null")
@@ -153,18 +166,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, s
     z = (F.col("bad") / F.col("docs") - base) / F.sqrt(F.lit(max(base * (1 - base), 1e-9)) / F.col("docs"))
     kept = counted.where(((F.col("docs") >= MIN_DOCS) & (F.abs(z) >= MIN_Z)) | F.col("word").isin(list(KIND))).orderBy(F.abs(z).desc(), "word").limit(max_words)
     vocabulary = {w: i for i, w in enumerate(sorted({r["word"] for r in kept.select("word").collect()} | set(KIND)))}
-    known = F.array(*[F.lit(w) for w in vocabulary]) if len(vocabulary) < 2000 else None
-    narrow = taken if known is None else taken.select("toxic", F.array_intersect("words", known).alias("words"), F.array_intersect("swapped", known).alias("swapped"))
-    features, labels, pairs = [], [], []
-    for r in narrow.orderBy("toxic", "words").toLocalIterator():  # at most ``sample`` rows
-        if r["swapped"] is not None:
-            pairs.append((len(features), [vocabulary[w] for w in r["swapped"] if w in vocabulary]))
-        features.append([vocabulary[w] for w in r["words"] if w in vocabulary])
-        labels.append(r["toxic"])
-    truth = np.array(labels, dtype=np.float64)
-    theta, bias = train(features, truth, pairs, len(vocabulary), swap_weight)
+    # at most ``sample`` rows of word numbers, equal ones once
+    rows = numbered(taken, vocabulary).groupBy("toxic", "words", "swapped").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "words", "swapped").toArrow()
+    features, swaps = rows["words"].to_pylist(), rows["swapped"].to_pylist()
+    truth, weights = rows["toxic"].to_numpy().astype(np.float64), rows["n"].to_numpy().astype(np.float64)
+    pairs = [(i, s) for i, s in enumerate(swaps) if s is not None]
+    theta, bias = train(features, truth, weights, pairs, len(vocabulary), swap_weight)
     row, col = _rows(features)
-    bias += threshold_shift(np.bincount(row, theta[col], len(features)) + bias, truth)
+    bias += threshold_shift(np.bincount(row, theta[col], len(features)) + bias, truth, weights)
     return Classifier({w: float(theta[i]) for w, i in vocabulary.items()}, bias)
 
 
