@@ -33,6 +33,21 @@ def delta_rows(base: DataFrame, current: DataFrame) -> DataFrame:
     ).drop("base_locators", "now_locators")
 
 
+def compare_reviews(base: DataFrame, current: DataFrame, base_version: str | None, current_version: str | None) -> DataFrame:
+    """Delta rows of two reviews; refused unless both state the same catalogue version."""
+    reason = refusal(base_version, current_version)
+    if reason:
+        raise ValueError(reason)
+    return delta_rows(base, current)
+
+
+def refusal(base_version: str | None, current_version: str | None) -> str | None:
+    """T4: why two reviews do not compare; None where they do."""
+    if base_version is None or current_version is None:
+        return "catalogue version not stated"
+    return None if base_version == current_version else f"catalogue versions differ: {base_version} and {current_version}"
+
+
 def delta_summary(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts per outcome; net progress is fixed minus newly broken."""
     names = {"fixed": "fixed", "still_broken": "stillBroken", "newly_broken": "newlyBroken", "unverified": "unverified", "unchanged": "unchanged"}

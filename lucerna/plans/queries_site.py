@@ -19,15 +19,28 @@ from lucerna.plans.queries_pages import COUNT_SQL, LINKS, TITLE, SITE_NAME
 from lucerna.plans.queries_rules import SHAPE, STATIC, _oracle, has
 from lucerna.plans.registry import M, query, unescape
 from lucerna.plans.review import evidence, page_facts, review
+from lucerna.operators.catalogue import CATALOGUE_VERSION
 from lucerna.operators.page_rules import rule_results, with_site_defaults
 from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
 
 _MEMO: dict[tuple, object] = {}
 
 
+def listing(spark, d):
+    """Names, sizes and times of the tables' files: changed data must not meet a stage of the old."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(d)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = []
+    for pattern in ("*.parquet", "*.parquet/*"):
+        for f in fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(path, pattern)):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def once(spark, d, name, build):
-    """A stage several queries share is written once per session and input."""
-    key = (id(spark), spark.sparkContext.applicationId, d, name)
+    """A stage several queries share is written once per session and state of the input's files."""
+    key = (id(spark), spark.sparkContext.applicationId, d, name, listing(spark, d))
     if key not in _MEMO:
         _MEMO[key] = materialize(build(), name)
     return _MEMO[key]
@@ -406,7 +419,7 @@ def _side(df):
 
 
 def deltas(spark, d):
-    return once(spark, d, "delta", lambda: T.delta_rows(_side(reviewed(spark, d, "earlier")), _side(reviewed(spark, d, "later"))))
+    return once(spark, d, "delta", lambda: T.compare_reviews(_side(reviewed(spark, d, "earlier")), _side(reviewed(spark, d, "later")), CATALOGUE_VERSION, CATALOGUE_VERSION))
 
 
 def _delta_sql() -> str:

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lucerna.session import checkpoint_dir
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 STUCK_MINUTES = 120
 
@@ -66,37 +59,15 @@ def daily_spend(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("scans"), F.sum(F.col("value") / 100).alias("spent")).selectExpr("w.start as day", "scans", "spent")
 
 
-ACTIVE_OUT = "site string, at timestamp, active bigint"
-ACTIVE_STATE = "ends array<bigint>"
-
-
-def _active(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Open jobs of one site: a job ends when it says so, or when its timer runs out."""
-    ends = list(state.get[0]) if state.exists else []
-    if state.hasTimedOut:
-        now = state.getCurrentWatermarkMs()
-        ends = [e for e in ends if e > now]
-        at = pd.Timestamp(now, unit="ms")
-    else:
-        frames = list(batches)
-        pdf = pd.concat(frames).sort_values("ts")
-        starts = pdf["ts"].astype("int64") // (1_000_000 if pdf["ts"].dtype == "datetime64[ns]" else 1_000)
-        lasts = starts + (pdf["value"].clip(upper=STUCK_MINUTES) * 60_000).astype("int64")
-        at = pdf["ts"].iloc[-1]
-        newest = int(starts.iloc[-1])
-        ends = [e for e in [*ends, *lasts.tolist()] if e > newest]
-    if ends:
-        state.update((ends,))
-        state.setTimeoutTimestamp(max(int(min(ends)), state.getCurrentWatermarkMs() + 1))
-    else:
-        state.remove()
-    yield pd.DataFrame({"site": [key[0]], "at": [at], "active": [len(ends)]})
-
-
 def active_jobs(events: DataFrame) -> DataFrame:
-    """Jobs running per site; event-time timers expire jobs that never report their end."""
-    keyed = events.selectExpr("concat('s', user_id % 10) as site", "ts", "value")
-    return keyed.groupBy("site").applyInPandasWithState(_active, ACTIVE_OUT, ACTIVE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """Jobs running per site at every full minute; a job that never reports its end counts for ``STUCK_MINUTES``.
+
+    The state is one count per site and open minute and goes with the watermark; order of arrival does not matter.
+    """
+    minutes = F.window("ts", f"{STUCK_MINUTES} minutes", "1 minute")
+    keyed = events.select(F.expr("concat('s', user_id % 10)").alias("site"), minutes.alias("w"), "ts", "value")
+    running = keyed.where(f"unix_micros(w.end) < unix_micros(ts) + least(value, {STUCK_MINUTES}) * 60000000D")
+    return running.groupBy("site", "w").agg(F.count(F.lit(1)).alias("active")).selectExpr("site", "w.end as at", "active")
 
 
 def job_progress(events: DataFrame) -> DataFrame:
@@ -132,6 +103,8 @@ def politeness_gaps(requests: DataFrame, min_gap_ms: int, bucket_hours: int = 1)
     non-empty one, so a single busy host is spread over its hours.
     """
     size = bucket_hours * 3_600_000
+    if min_gap_ms > size:
+        raise ValueError("the gap must fit into a bucket: raise bucket_hours")
     r = requests.withColumn("bucket", F.expr(f"cast(floor(unix_millis(cast(ts as timestamp)) / {size}D) as bigint)"))
     w = W.partitionBy("host", "bucket").orderBy("ts")
     inside = r.withColumn("prev", F.lag("ts").over(w))

@@ -122,3 +122,22 @@ def test_parser_output_is_flushed_by_size(spark):
     out = with_dom(df, flush_chars=2000)
     assert out.count() == 50 and out.selectExpr("min(size(dom.elements))").first()[0] == 102
     assert parsed(df.withColumn("url", F.lit("https://a/"))).count() == 50
+
+
+def test_shared_stages_follow_the_files(spark, tmp_path):
+    from lucerna.plans import queries_site
+
+    def build():
+        return spark.read.parquet(f"{tmp_path}/t.parquet")
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    first = queries_site.once(spark, str(tmp_path), "t", build)
+    assert first.count() == 3 and queries_site.once(spark, str(tmp_path), "t", build) is first
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert queries_site.once(spark, str(tmp_path), "t", build).count() == 8
+
+
+def test_politeness_refuses_gaps_beyond_a_bucket(spark):
+    rows = spark.createDataFrame([], "event_id long, host string, ts timestamp")
+    with pytest.raises(ValueError):
+        W.politeness_gaps(rows, 3_600_001)

@@ -194,3 +194,11 @@ def test_phrase_context_has_the_right_place(spark):
     rows = documents.phrases(spark.createDataFrame([(1, text)], "doc_id int, text string"), P.DOC_COMPLEX).orderBy("pos").collect()
     assert [(r.match, r.at) for r in rows] == [("chart", 102), ("graph", 139)]
     assert rows[0].context == text[41:166].replace("\n", " ")[: len(rows[0].context)] and rows[1].context.endswith("graph end")
+
+
+def test_delta_refuses_other_catalogue_versions(spark):
+    rows = spark.createDataFrame([("u", "R04", "FAIL", 1.0, ["a"])], "target_url string, item_id string, verdict string, confidence double, locators array<string>")
+    assert delta.compare_reviews(rows, rows, "1", "1").first()["outcome"] == "stillBroken"
+    for versions in (("1", "2"), (None, "1"), ("1", None), (None, None)):
+        with pytest.raises(ValueError):
+            delta.compare_reviews(rows, rows, *versions)
