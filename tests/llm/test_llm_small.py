@@ -341,3 +341,31 @@ def test_salted_join_meets_null(spark):
     big = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
     small = spark.createDataFrame([(None, 10), ("a", 20)], "k string, w int")
     assert sorted((r["v"], r["w"]) for r in salted_join(big, small, ["k"], F.col("v")).collect() if r["w"]) == [(1, 10), (2, 20)]
+
+
+def test_near_dedup_by_shingles(spark, docs, none):
+    import corpus_pipeline
+    from lucerna.llm import shingle_groups as sg
+
+    rng = np.random.Generator(np.random.PCG64(9))
+    rows, at = [], 0
+    for group in range(12):  # the last group makes buckets larger than the reach
+        words = [f"v{w}" for w in rng.integers(0, 50_000, 300)]
+        for copy in range(60 if group == 11 else 4):
+            other = list(words)
+            for k in rng.choice(300, copy % 20, replace=False):
+                other[k] = f"edit{at}x{k}"
+            rows.append((at, " ".join(other)))
+            at += 1
+    sets = [set(sg.shingle_set(t).tolist()) for _, t in rows]
+    near = [(a, b) for a in range(at) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum((simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() > 2 for a, b in near) > len(near) / 2
+    root = list(range(at))
+    for a, b in sorted(near) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    want = [i for i in range(at) if root[i] == i]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, texts, "").collect()) == want
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 9, 10, 12]
