@@ -27,7 +27,7 @@ from lucerna.operators.skew import join_on_hot_key
 ship(__name__)
 
 MIN_WORDS = 50
-FINGERPRINTS = "doc_id long, low long, win long, first int, last int, again boolean"
+FINGERPRINTS = "doc_id long, mark long, low long, win long, first int, last int, again boolean"
 
 
 def line_units(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -53,12 +53,12 @@ def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
 
 
 def line_fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Fingerprints of (doc_id, text): one row per window; ``again``: the same window came earlier in this document."""
+    """Fingerprints of (doc_id, mark, text): one row per window; ``again``: the same window came earlier in this document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, low, win, first, last, again = [], [], [], [], [], []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            doc, of, low, win, first, last, again = [], [], [], [], [], [], []
+            for key, kind, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text")):
                 text = text.as_py()
                 if not text:
                     continue
@@ -67,22 +67,22 @@ def line_fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for i, j in windows(words, min_words):
                     line = hashes[i : j + 1]
                     mark = (int(line.min()), xxhash.xxh64_intdigest(line.tobytes()))
-                    doc.append(key), low.append(mark[0]), win.append(mark[1]), first.append(i), last.append(j), again.append(mark in seen)
+                    doc.append(key), of.append(kind), low.append(mark[0]), win.append(mark[1]), first.append(i), last.append(j), again.append(mark in seen)
                     seen.add(mark)
             signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (low, win)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), *signed, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], ["doc_id", "low", "win", "first", "last", "again"]
+                [pa.array(doc, pa.int64()), pa.array(of, pa.int64()), *signed, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], ["doc_id", "mark", "low", "win", "first", "last", "again"]
             )
 
     return docs.mapInArrow(run, FINGERPRINTS)
 
 
 def repeated_windows(marks: DataFrame, rows_per_slice: int = 500_000) -> DataFrame:
-    """(doc_id, first, last) of windows that an earlier document, or this one earlier, bears too."""
+    """(doc_id, mark, first, last) of windows that an earlier document, or this one earlier, bears too."""
     fresh = marks.where("not again")
     bearers = fresh.groupBy("low", "win").agg(F.min("doc_id").alias("bearer"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = join_on_hot_key(fresh, staged(bearers, "bearers"), ["low", "win"], "n", "doc_id", how="inner", rows_per_slice=rows_per_slice).where("doc_id > bearer")
-    return met.select("doc_id", "first", "last").union(marks.where("again").select("doc_id", "first", "last"))
+    return met.select("doc_id", "mark", "first", "last").union(marks.where("again").select("doc_id", "mark", "first", "last"))
 
 
 def cut_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -106,13 +106,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Between documents the smallest id keeps a run, within one its first place does (repeats may overlap, as in a line that
     follows itself). A null text stays null, a text without repeats stays byte for byte. A text that is all repeats becomes
-    empty. A row without an id takes no part and stays as it is. Rows that share an id count as one bearer: neither loses
-    what only the other has. A column named like one of the two new ones is replaced. An empty table gives no rows.
+    empty. A row without an id takes no part and stays as it is. Rows that share an id count as one bearer, and
+    spans are joined back by id and hash of the text: neither loses what only the other has. A column named like one of the two new ones is replaced. An empty table gives no rows.
     """
     docs = docs.drop("removed_lines", "removed_words")
-    marks = staged(line_fingerprints(pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null"), min_words), "windows")
-    spans = repeated_windows(marks, rows_per_slice).groupBy(F.col("doc_id").alias("_dedup_id")).agg(F.collect_list(F.struct("first", "last")).alias("_dedup_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["_dedup_id"], "left").drop("_dedup_id")
+    texts = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    marks = staged(line_fingerprints(texts, min_words), "windows")
+    spans = repeated_windows(marks, rows_per_slice).groupBy(F.col("doc_id").alias("_dedup_id"), F.col("mark").alias("_dedup_mark")).agg(F.collect_list(F.struct("first", "last")).alias("_dedup_spans"))
+    joined = docs.join(spans, (docs[id_col] == spans["_dedup_id"]) & (F.xxhash64(docs[text_col]) == spans["_dedup_mark"]), "left").drop("_dedup_id", "_dedup_mark")
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
     place = docs.columns.index(text_col)
 

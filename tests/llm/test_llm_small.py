@@ -185,6 +185,12 @@ def test_line_dedup_third_bearer(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_texts_that_share_an_id(spark):
+    rows = [(1, A), (5, f"x y\n{A}"), (5, "one line"), (5, f"x y\n{A}"), (6, f"{A}\nkept")]
+    got = sorted((r["doc_id"], r["text"], r["removed_words"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, A, 0), (5, "one line", 0), (5, "x y", 60), (5, "x y", 60), (6, "kept", 60)]
+
+
 def test_host_quality(docs, none):
     got = host_quality.document_verdicts(docs).collect()
     assert len(got) == len(ROWS)
