@@ -1,16 +1,16 @@
-"""Removal of later repeats of runs of lines, found by winnowing over line hashes.
-
-A run is a sequence of consecutive lines with at least ``min_words`` words in all. Windows are weighted by words: from
-every line the shortest one forward and the shortest one backward that reach ``min_words``. A window's fingerprint is its
-smallest line hash, qualified by the hash of the window, so documents meet only where a whole window agrees. Every run
-that two documents share consists of such windows (each line of it lies in a forward or a backward window within the
-run), hence no repeat is missed whichever document bears it first. Matches are extended both ways by joining
-overlapping and adjacent windows, and every line of the extended run goes, except in the document of the smallest id.
-Lines are compared without white space at their ends and with single spaces; blank lines count as no line.
+"""Removal of later repeats of runs of words, found by winnowing over word hashes.
+
+A run is a sequence of at least ``min_words`` consecutive words, wherever in its lines it starts and ends; white space counts
+for nothing. Two passes. The first keeps of every window of ``min_words`` words the smallest hash of the word groups of half
+its length in it. Where a run repeats, both places keep the same, so only windows whose smallest group occurs twice in the
+corpus can be repeats; the second pass hashes those as a whole and joins them. Hence no repeat is missed whichever document
+bears it first, and a word goes if a window that holds it came earlier: a longer repeat goes in full, except in the document
+of the smallest id. A line that loses all its words goes with its end.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,92 +27,143 @@ from lucerna.operators.skew import join_on_hot_key
 ship(__name__)
 
 MIN_WORDS = 50
-FINGERPRINTS = "doc_id long, mark long, low long, win long, first int, last int, again boolean"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def line_units(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Lines with words: their numbers, hashes and word counts."""
-    number, hashes, words = [], [], []
+def word_hashes(text: str) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    for i, line in enumerate(text.encode().split(b"\n")):
-        parts = line.split()
-        if parts:
-            number.append(i), hashes.append(digest(b" ".join(parts))), words.append(len(parts))
-    return number, np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64)
+    return np.array([digest(w) for w in text.encode().split()], dtype=np.uint64)
 
 
-def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """First and last unit of each shortest window of ``min_words``, forward and backward; in order, without repeats."""
-    total = np.concatenate([[0], np.cumsum(words)])
+def group_hashes(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hash of every group of so many consecutive words."""
     n = len(words)
-    forward = np.searchsorted(total, total[:-1] + min_words) - 1
-    backward = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    found = {(i, int(j)) for i, j in enumerate(forward) if j < n}
-    found.update((int(i), j) for j, i in enumerate(backward) if i >= 0)
-    return sorted(found)
+    power, back = np.full((2, n), 1, dtype=np.uint64)
+    power[1:], back[1:] = _BASE, _BACK
+    power, back = np.cumprod(power), np.cumprod(back)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * power)])
+    found = []
+    for size in sizes:
+        x = (total[size:] - total[:-size]) * back[: n - size + 1]
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        found.append(x ^ (x >> np.uint64(29)))
+    return found
 
 
-def line_fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Fingerprints of (doc_id, mark, text): one row per window; ``again``: the same window came earlier in this document."""
+def smallest(groups: np.ndarray, width: int) -> np.ndarray:
+    """The place of the last smallest of every ``width`` consecutive group hashes."""
+    view = np.lib.stride_tricks.sliding_window_view(groups, width)
+    return np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)
+
+
+def kept_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of (doc_id, mark, text): the distinct groups kept per row, with the number of their places."""
+    half = (min_words + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found, places = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                words = word_hashes(text.as_py() or "")
+                if len(words) >= min_words:
+                    (groups,) = group_hashes(words, half)
+                    value, n = np.unique(groups[np.unique(smallest(groups, min_words - half + 1))], return_counts=True)
+                    row.append(np.full(len(value), k)), found.append(value), places.append(n)
+            if row:
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()).take(at), batch.column("mark").take(at), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places), pa.int64())], ["doc_id", "mark", "low", "places"]
+                )
+
+    return docs.mapInArrow(run, "doc_id long, mark long, low long, places long")
+
+
+def suspect_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of (doc_id, mark, text, lows): the windows whose smallest group is one of ``lows``; ``again``: it came earlier in this text."""
+    half = (min_words + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, of, low, win, first, last, again = [], [], [], [], [], [], []
-            for key, kind, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                if not text:
-                    continue
-                _, hashes, words = line_units(text)
-                seen: set[tuple[int, int]] = set()
-                for i, j in windows(words, min_words):
-                    line = hashes[i : j + 1]
-                    mark = (int(line.min()), xxhash.xxh64_intdigest(line.tobytes()))
-                    doc.append(key), of.append(kind), low.append(mark[0]), win.append(mark[1]), first.append(i), last.append(j), again.append(mark in seen)
-                    seen.add(mark)
-            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (low, win)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(of, pa.int64()), *signed, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], ["doc_id", "mark", "low", "win", "first", "last", "again"]
-            )
-
-    return docs.mapInArrow(run, FINGERPRINTS)
+            for k, text in enumerate(batch.column("text")):
+                words = word_hashes(text.as_py())
+                groups, whole = group_hashes(words, half, min_words)
+                lows = batch.column("lows")[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                first = np.flatnonzero(np.isin(groups[smallest(groups, min_words - half + 1)], lows))
+                again = np.ones(len(first), dtype=bool)
+                again[np.unique(whole[first], return_index=True)[1]] = False
+                at = pa.array(np.full(len(first), k))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()).take(at), batch.column("mark").take(at), pa.array(whole[first].view(np.int64)), pa.array(first, pa.int32()), pa.array(again)], ["doc_id", "mark", "win", "first", "again"]
+                )
+
+    return docs.mapInArrow(run, "doc_id long, mark long, win long, first int, again boolean")
+
+
+def windows(texts: DataFrame, min_words: int, rows_per_slice: int) -> DataFrame:
+    """The windows of (doc_id, mark, text) that may be repeats."""
+    groups = staged(kept_groups(texts, min_words), "groups")
+    twice = groups.groupBy("low").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("n")).where("places > 1").drop("places")
+    met = join_on_hot_key(groups.select("doc_id", "mark", "low"), staged(twice, "twice"), ["low"], "n", "doc_id", how="inner", rows_per_slice=rows_per_slice)
+    lows = met.groupBy("doc_id", "mark").agg(F.collect_set("low").alias("lows"))
+    return suspect_windows(texts.join(lows, ["doc_id", "mark"]), min_words)
 
 
 def repeated_windows(marks: DataFrame, rows_per_slice: int = 500_000) -> DataFrame:
-    """(doc_id, mark, first, last) of windows that an earlier document, or this one earlier, bears too."""
+    """(doc_id, mark, first) of windows that an earlier document, or this one earlier, bears too."""
     fresh = marks.where("not again")
-    bearers = fresh.groupBy("low", "win").agg(F.min("doc_id").alias("bearer"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = join_on_hot_key(fresh, staged(bearers, "bearers"), ["low", "win"], "n", "doc_id", how="inner", rows_per_slice=rows_per_slice).where("doc_id > bearer")
-    return met.select("doc_id", "mark", "first", "last").union(marks.where("again").select("doc_id", "mark", "first", "last"))
-
-
-def cut_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the runs, and how many lines with words and how many words went."""
-    lines = text.split("\n")
-    number, _, words = line_units(text)
-    gone: set[int] = set()
-    lost = np.zeros(len(number) + 1, dtype=np.int64)
-    for i, j in spans:
-        lost[i] += 1
-        lost[j + 1] -= 1
-    lost = np.cumsum(lost)[:-1] > 0
-    for k in np.flatnonzero(lost):
-        # blank lines inside a run go with it
-        gone.update(range(number[k], number[k + 1] if k + 1 < len(number) and lost[k + 1] else number[k] + 1))
-    return "\n".join(line for i, line in enumerate(lines) if i not in gone), int(lost.sum()), int(words[lost].sum())
+    bearers = fresh.groupBy("win").agg(F.min("doc_id").alias("bearer"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = join_on_hot_key(fresh, staged(bearers, "bearers"), ["win"], "n", "doc_id", how="inner", rows_per_slice=rows_per_slice).where("doc_id > bearer")
+    return met.select("doc_id", "mark", "first").union(marks.where("again").select("doc_id", "mark", "first"))
+
+
+def cut_words(text: str, first: np.ndarray, min_words: int) -> tuple[str, int, int]:
+    """The text without the windows that start at ``first``, and how many lines went whole and how many words went."""
+    data = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", data)]
+    change = np.zeros(len(spans) + 1, dtype=np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + min_words, -1)
+    lost = (np.cumsum(change)[:-1] > 0).tolist()
+    kept, lines, at, word, n = [], 0, 0, 0, len(spans)
+    for line in data.split(b"\n"):
+        end, begin = at + len(line), word
+        while word < n and spans[word][0] < end:
+            word += 1
+        if begin == word:
+            if not (0 < word < n and lost[word - 1] and lost[word]):  # blank lines inside a run go with it
+                kept.append(line)
+        elif all(lost[begin:word]):
+            lines += 1
+        elif not any(lost[begin:word]):
+            kept.append(line)
+        else:
+            parts, here, last = [], at, max(k for k in range(begin, word) if not lost[k])
+            for k in range(begin, last):
+                if lost[k]:  # with the white space after it
+                    parts.append(data[here : spans[k][0]])
+                    here = spans[k + 1][0]
+            parts += [data[here : spans[last][1]], data[spans[word - 1][1] : end]]
+            kept.append(b"".join(parts))
+        at = end + 1
+    return b"\n".join(kept).decode(), lines, sum(lost)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rows_per_slice: int = 500_000) -> DataFrame:
-    """All columns of ``docs`` with later repeated runs cut from the text, and ``removed_lines``, ``removed_words`` (long).
+    """All columns of ``docs`` with later repeated runs cut from the text, and ``removed_lines``
+    (those gone whole) and ``removed_words`` (long).
 
     Between documents the smallest id keeps a run, within one its first place does (repeats may overlap, as in a line that
     follows itself). A null text stays null, a text without repeats stays byte for byte. A text that is all repeats becomes
     empty. A row without an id takes no part and stays as it is. Rows that share an id count as one bearer, and
-    spans are joined back by id and hash of the text: neither loses what only the other has. A column named like one of the two new ones is replaced. An empty table gives no rows.
+    spans are joined back by id and hash of the text: neither loses what only the other has. A column named like one of the
+    two new ones is replaced. An empty table gives no rows.
     """
     docs = docs.drop("removed_lines", "removed_words")
     texts = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    marks = staged(line_fingerprints(texts, min_words), "windows")
-    spans = repeated_windows(marks, rows_per_slice).groupBy(F.col("doc_id").alias("_dedup_id"), F.col("mark").alias("_dedup_mark")).agg(F.collect_list(F.struct("first", "last")).alias("_dedup_spans"))
+    marks = staged(windows(texts, min_words, rows_per_slice), "windows")
+    spans = repeated_windows(marks, rows_per_slice).groupBy(F.col("doc_id").alias("_dedup_id"), F.col("mark").alias("_dedup_mark")).agg(F.collect_list("first").alias("_dedup_spans"))
     joined = docs.join(spans, (docs[id_col] == spans["_dedup_id"]) & (F.xxhash64(docs[text_col]) == spans["_dedup_mark"]), "left").drop("_dedup_id", "_dedup_mark")
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
     place = docs.columns.index(text_col)
@@ -126,7 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if len(hit):
                 new = []
                 for k in hit.tolist():
-                    text, lines[k], words[k] = cut_lines(columns[place][k].as_py(), [(s["first"], s["last"]) for s in spans[k].as_py()])
+                    text, lines[k], words[k] = cut_words(columns[place][k].as_py(), spans[k].values.to_numpy(), min_words)
                     new.append(text)
                 mask = np.zeros(batch.num_rows, dtype=bool)
                 mask[hit] = True

@@ -191,6 +191,30 @@ def test_line_dedup_texts_that_share_an_id(spark):
     assert got == [(1, A, 0), (5, "one line", 0), (5, "x y", 60), (5, "x y", 60), (6, "kept", 60)]
 
 
+def test_line_dedup_inside_lines(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    fresh = iter(f"u{i}" for i in range(10**6))
+    word = lambda n: [next(fresh) for _ in range(n)]
+    runs = [word(n) for n in (49, 50, 51, 60, 75, 120)]
+    rows = [(1, f"one two {A} three four"), (2, f"five {A} six\nseven {A}"), (3, A.replace(" alpha30 ", " \n\n alpha30\n")), (4, "a b " + " ".join(A.split()[:49]))]
+    for i in range(5, 60):
+        parts = [x for k in rng.choice(6, 2, replace=False) for x in (word(int(rng.integers(0, 9))), runs[k])] + [word(3)] + [["z"] * int(rng.integers(0, 70))]
+        rows.append((i, "".join(w + (" " if rng.random() < 0.95 else "\n") for p in parts for w in p)))
+    seen, want = set(), {}
+    for i, text in rows:
+        words = text.split()
+        gone = set()
+        for k in range(len(words) - 49):
+            run = tuple(words[k : k + 50])
+            if run in seen:
+                gone.update(range(k, k + 50))
+            seen.add(run)
+        want[i] = [w for k, w in enumerate(words) if k not in gone], len(gone)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_slice=7).collect()}
+    assert {i: (r["text"].split(), r["removed_words"]) for i, r in got.items()} == want
+    assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "five six\nseven", "", rows[3][1]]
+
+
 def test_host_quality(docs, none):
     got = host_quality.document_verdicts(docs).collect()
     assert len(got) == len(ROWS)
