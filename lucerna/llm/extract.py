@@ -1,7 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 A page is read once into a tree of block elements with their text blocks. Regions that are never part of an article (menus,
-sidebars, forms, scripts, hidden parts, reader comments ...) are left out by tag, role, class or id. Every paragraph gives
+sidebars, forms, scripts, hidden parts, reader comments ...) are left out by tag, role, class or id; by class or id only if
+they don't hold most of the article, so wrappers named after a part of the page stay. Every paragraph gives
 points for its length and commas, discounted by its link density, to its parent and in falling shares to the ancestors
 above. The container of the highest score, itself discounted by link density, is kept with those of its siblings that score
 well or are plain paragraphs. Lists and tables of links inside it go.
@@ -46,6 +47,9 @@ LEFT_OUT_WORDS = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup "
     "login social share sharing related recommended widget toolbar pagination pager skip".split()
 )
+#: A name of several words is that of a region by its last word, or by its first before one of these; ``has-sidebar`` is a state.
+PARTS = frozenset("area bar block body box buttons container content item links list menu panel section slot wrap wrapper".split())
+STATES = frozenset("has with without no is layout".split())
 KEPT_TAGS = frozenset("html body main article".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LONG_PARAGRAPH = 25
@@ -53,26 +57,23 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "out", "score", "chars", "links", "first", "last")
+    __slots__ = ("tag", "parent", "depth", "out", "score", "chars", "links", "named")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool):
         self.tag, self.parent, self.out = tag, parent, out
         self.depth = parent.depth + 1 if parent else 0
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.named = 0.0, 0, 0, False
 
 
 def left_out(tag: str, source: str, inside_main: bool) -> bool:
-    """Whether an element and all in it can't be article text."""
+    """Whether an element and all in it can't be article text, by its tag, role or style."""
     if tag in LEFT_OUT or tag == "header" and not inside_main:
         return True
     if not source or tag in KEPT_TAGS:
         return False
     for name, a, b, c in ATTRIBUTE.findall(source):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            if not LEFT_OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value in LEFT_OUT_ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
@@ -80,6 +81,42 @@ def left_out(tag: str, source: str, inside_main: bool) -> bool:
     return False
 
 
+def named_left_out(source: str, inside_main: bool) -> bool:
+    """Whether a class or the id names a region that is no article text; in an article a header is part of it."""
+    for name, a, b, c in ATTRIBUTE.findall(source):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).lower().split():
+                words = [w for w in re.split(r"[^a-z]+", token) if w]
+                if not words or words[0] in STATES:
+                    continue
+                word = words[0] if words[-1] in PARTS and words[-1] not in LEFT_OUT_WORDS else words[-1]
+                if word in LEFT_OUT_WORDS and not (word == "header" and inside_main):
+                    return True
+    return False
+
+
+def points(text: str, link: int) -> float:
+    chars = len(text)
+    return (1 + text.count(",") + min(chars / 100, 3.0)) * (1 - link / chars)
+
+
+def leave_named_out(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Named regions go with all in them, unless they hold most of the points of article and main, or of a page without."""
+    weight = {id(x): [0.0, 0.0] for x in nodes}  # of its articles, of all
+    for owner, text, link in blocks:
+        value = points(text, link) if owner.tag in PARAGRAPH and len(text) >= LONG_PARAGRAPH else 1e-6 * (len(text) - link)
+        in_article, up = False, owner
+        while up is not None:
+            in_article = in_article or up.tag in ("article", "main") and not up.named
+            weight[id(up)][0] += value if in_article else 0.0
+            weight[id(up)][1] += value
+            up = up.parent
+    kind = 0 if weight[id(nodes[0])][0] > 0 else 1
+    most = weight[id(nodes[0])][kind] / 2
+    for x in nodes:  # parents come first
+        x.out = x.out or x.parent is not None and x.parent.out or x.named and x.tag not in KEPT_TAGS and weight[id(x)][kind] <= most
+
+
 def read_tree(source: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Block elements in page order, and text blocks: owner, text, characters in links."""
     node = Node("body", None, False)
@@ -113,6 +150,12 @@ def read_tree(source: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 return
             top = top.parent
 
+    def inside_main() -> bool:
+        up = node
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        return up is not None
+
     scope = frozenset(["td", "th", "table", "button"])
     for m in TOKEN.finditer(source):
         if m.start() > at and not node.out:
@@ -136,9 +179,10 @@ def read_tree(source: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 nodes.append(node)
             elif tag == "head":
                 climb(("head",), frozenset())
-            elif tag not in EMPTY and not m.group(2) and m.group(4) and left_out(tag, m.group(4), False):
+            elif tag not in EMPTY and not m.group(2) and m.group(4) and ((out := left_out(tag, m.group(4), False)) or named_left_out(m.group(4), inside_main())):
                 flush()
-                node = Node(tag, node, True)
+                node = Node(tag, node, node.out or out)
+                node.named = True
                 nodes.append(node)
             elif m.group(2) and node.tag == tag:
                 climb((tag,), frozenset())
@@ -158,11 +202,10 @@ def read_tree(source: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             climb(set(same.split()), set(stops.split()))
         if tag == "hr":
             continue
-        inside_main, up = False, node
-        if tag == "header":
-            while up is not None and not inside_main:
-                inside_main, up = up.tag in ("article", "main"), up.parent
-        node = Node(tag, node, node.out or left_out(tag, m.group(4), inside_main))
+        inside = (tag == "header" or bool(m.group(4))) and inside_main()
+        named = bool(m.group(4)) and named_left_out(m.group(4), inside)
+        node = Node(tag, node, node.out or left_out(tag, m.group(4), inside))
+        node.named = named
         nodes.append(node)
         in_link = 0
     if at < n and not node.out:
@@ -176,6 +219,8 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     nodes, blocks = read_tree(source)
+    if any(x.named for x in nodes):
+        leave_named_out(nodes, blocks)
     blocks = [b for b in blocks if not b[0].out]
     if not blocks:
         return ""
@@ -187,11 +232,11 @@ def main_text(source: str | None) -> str:
             up.links += link
             up = up.parent
         if owner.tag in PARAGRAPH and chars >= LONG_PARAGRAPH:
-            points = (1 + text.count(",") + min(chars / 100, 3.0)) * (1 - link / chars)
+            value = points(text, link)
             # an element that holds text itself is the paragraph; the points go to what holds it
             up, share = owner.parent or owner, 1.0
             while up is not None:
-                up.score += points * share
+                up.score += value * share
                 share = 0.5 if share == 1.0 else share / 2
                 up = up.parent
     for x in nodes:

@@ -301,6 +301,17 @@ def test_extract(spark):
     assert ex.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["site has-sidebar", "layout-sidebar-right", "with-banner", "social-enabled", "sidebar", "site-header"])
+def test_extract_named_wrappers(wrapper):
+    text = "First paragraph, which is long enough, to count as one of the text, and more."
+    side = '<div class="{}"><p>Popular posts, that many people read, every day.</p></div>'
+    article = f'<article><header class="entry-header"><h1>Title</h1></header><p>{text}</p>{side.format("post-comments")}</article>'
+    sides = "".join(side.format(c) for c in ("sidebar", "site-footer", "widget-area", "big ads", "share-buttons"))
+    assert ex.main_text(f'<body><div class="{wrapper}">{article}{sides}</div>{sides}</body>') == f"Title {text}"
+    long = "".join(f"<p>{text}</p>" for _ in range(20))
+    assert ex.main_text(f'<body><div id="{wrapper}"><div>{long}</div>{sides}</div>{sides}</body>') == " ".join([text] * 20)
+
+
 def test_toxicity(spark, none):
     rng = np.random.Generator(np.random.PCG64(5))
     calm = [f"w{i}" for i in range(300)]
