@@ -4,8 +4,9 @@ A page is read once into a tree of block elements with their text blocks. Region
 sidebars, forms, scripts, hidden parts, reader comments ...) are left out by tag, role, class or id; by class or id only if
 they don't hold most of the article, so wrappers named after a part of the page stay. Every paragraph gives
 points for its length and commas, discounted by its link density, to its parent and in falling shares to the ancestors
-above. The container of the highest score, itself discounted by link density, is kept with those of its siblings that score
-well or are plain paragraphs. Lists and tables of links inside it go.
+above. The container of the highest score, itself discounted by link density, is kept with those of its siblings that have a
+fifth of its score or are plain paragraphs; where several have, their parent is kept too, but for its regions of links. Inside
+the container only lists and tables of nothing but links go.
 """
 
 from __future__ import annotations
@@ -245,6 +246,7 @@ def main_text(source: str | None) -> str:
             if x.tag in ("article", "main"):
                 x.score *= 1.25
     best = max((x for x in nodes if not x.out), key=lambda x: (x.score, x.depth))
+    around = None
     if best.score <= 0:  # no paragraph anywhere: all text outside the regions left out
         marked = [x for x in nodes if x.tag in ("article", "main") and x.chars and not x.out]
         kept = {id(max(marked, key=lambda x: x.chars) if marked else nodes[0])}
@@ -255,18 +257,27 @@ def main_text(source: str | None) -> str:
             if up.tag in ("article", "main"):
                 best = up
             up = up.parent
-        bar = max(10.0, SIBLING_SHARE * best.score)
+        bar = SIBLING_SHARE * best.score
         kept = {id(best)}
         for x in nodes:
             if x.parent is best.parent and x is not best and best.parent is not None and not x.out and x.chars:
                 density = x.links / x.chars
                 if x.score >= bar or x.tag == "p" and x.chars > 80 and density < 0.25:
                     kept.add(id(x))
-    state: dict[int, bool] = {}
+        scored = sum(id(x) in kept and x.score > 0 for x in nodes)
+        if scored > 1 and best.parent is not nodes[0]:  # what stands between the sections, headings say, is part of the article
+            around = best.parent
+    state: dict[int, int] = {}  # 2: in the article, 1: around its sections
     for x in nodes:  # parents come first
-        inside = id(x) in kept or (x.parent is not None and state[id(x.parent)])
-        links_only = x.tag in ("ul", "ol", "dl", "table", "div", "section") and id(x) not in kept and x.chars and x.links > 0.5 * x.chars
-        state[id(x)] = inside and not links_only
+        whole = id(x) in kept or (x.parent is not None and state[id(x.parent)] == 2)
+        inside = whole or x is around or (x.parent is not None and state[id(x.parent)] == 1)
+        if id(x) in kept or not inside or not x.chars:
+            cut = False
+        elif whole:  # in the article only lists and tables of nothing but links
+            cut = x.tag in ("ul", "ol", "dl", "table") and x.links >= x.chars
+        else:
+            cut = x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.links > 0.5 * x.chars
+        state[id(x)] = 0 if cut else 2 if whole else int(inside)
     return " ".join(text for owner, text, _ in blocks if state[id(owner)])
 
 

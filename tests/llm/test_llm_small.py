@@ -312,6 +312,17 @@ def test_extract_named_wrappers(wrapper):
     assert ex.main_text(f'<body><div id="{wrapper}"><div>{long}</div>{sides}</div>{sides}</body>') == " ".join([text] * 20)
 
 
+def test_extract_short_sections_and_links():
+    one, two = "A section, with commas, a few, and words, and more, all in a row.", "Another section without many of them, yet of the text."
+    parts = lambda a, b: f"<body><div><section><h2>One</h2><p>{a}</p></section><h2>Between</h2><section><p>{b}</p></section><div><a href=x>More of this</a></div></div></body>"
+    assert ex.main_text(parts(one, two)) == f"One {one} Between {two}"
+    assert ex.main_text(parts(one, one)) == f"One {one} Between {one}"
+    links = "".join(f"<li><a href={k}>A cited source of some length, number {k}</a>, 19{k}0</li>" for k in range(3))
+    page = f"<article><p>{one}</p><div><a href=y>All of this paragraph is a link</a></div><ol>{links}</ol><ul><li><a href=1>Next</a></ul></article>"
+    cited = " ".join(f"A cited source of some length, number {k} , 19{k}0".replace(" ,", ",") for k in range(3))
+    assert ex.main_text(page) == f"{one} All of this paragraph is a link {cited}"
+
+
 def test_toxicity(spark, none):
     rng = np.random.Generator(np.random.PCG64(5))
     calm = [f"w{i}" for i in range(300)]
