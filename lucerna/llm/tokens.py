@@ -19,6 +19,7 @@ from lucerna.llm.base import process_cache, ship
 ship(__name__)
 
 TOKENIZER = "byte_bpe_50k"
+ODD_SPACE = r" (?:[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"  # the same for the columnar engine
 SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -108,7 +109,7 @@ class PieceEncoder:
         Distinct pieces are found column-wise; only those reach Python. Null counts as empty.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, r" (?:[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
         huge = pc.greater(pc.utf8_length(texts), self.long_piece * 8).to_numpy(zero_copy_only=False)
         plain = ~(odd | huge)
         pieces = pc.split_pattern(pc.if_else(pa.array(plain), texts, ""), " ")
