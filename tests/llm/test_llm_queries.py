@@ -38,4 +38,4 @@ def test_pipeline(spark, sf):
     assert mixed.columns == docs.columns
     packed = pack(spark, mixed, sf)
     assert packed.where("start = 0").count() == mixed.count() and packed.agg({"length": "sum"}).first()[0] > 0
-    assert len(llm.QUERIES) == 10
+    assert len(llm.QUERIES) == 13
