@@ -64,7 +64,10 @@ CSS_SAFE = re.compile(r"[^\w\-\u0080-
 
 DOM_DDL = (
     "elements array<struct<pos:int,parent:int,last:int,depth:int,tag:string,attrs:map<string,string>,nth:int,"
-    "n_children:int,text:string,text_len:int,n0:int,n1:int,s0:int,s1:int,selector:string,aria_hidden:boolean,hidden:boolean>>,"
+    "n_children:int,text:string,text_len:int,n0:int,n1:int,s0:int,s1:int,selector:string,aria_hidden:boolean,hidden:boolean,"
+    # the index: what an element is inside of, what it refers to and what refers to it, its name
+    "region:string,link:int,context:int,figcaption:int,dir_at:int,in_lang:boolean,in_head:boolean,isolated:boolean,in_nav:boolean,quiet:boolean,in_heading:boolean,"
+    "banner_link:boolean,labels:array<int>,refs:array<struct<attribute:string,id:string,pos:int>>,target:int,described:boolean,fields_before:int,head:string,name:string>>,"
     "nodes array<struct<pos:int,text:string>>,body_text string,doctype string"
 )
 
@@ -263,12 +266,163 @@ def _selectors(els: list[_El]) -> list[str]:
     return out
 
 
+JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
+ASCII_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+NAMED_TAGS = frozenset("button input select textarea a area img video audio object embed iframe".split())
+CONTROLS = frozenset("input select textarea".split())
+LABELLED_ROLES = frozenset("textbox combobox checkbox radio switch spinbutton slider".split())
+CONTEXT_TAGS = frozenset("p li td dd h1 h2 h3 h4 figcaption".split())
+REFERENCES = ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns")
+ISOLATING_STYLE = re.compile(r"unicode-bidi\s*:\s*(?:isolate|plaintext|isolate-override)")
+HOOK_CLASS, HOOK_ID, HOOK_WORD = re.compile("accessib|a11y|negishut"), re.compile("accessib|a11y"), "נגישות"
+HEAD_CHARS = 260  # the start of a wide container's text: enough for every excerpt that is taken of one
+
+
+def _squash(s: str) -> str:
+    return JAVA_SPACE.sub(" ", s).strip(" ")
+
+
+class Index:
+    """Lookups over a parsed page, made in one walk: collectors read an element's columns instead of searching the page."""
+
+    def __init__(self, els: list[_El], nodes: list[tuple[int, str]], texts: list[str | None]):
+        self.els, self.nodes, self.texts = els, nodes, texts
+        self.by_id: dict[str, int] = {}
+        self.by_name: dict[str, int] = {}
+        self.label_for: dict[str, list[int]] = {}
+        self.described: set[str] = set()
+        self.caption: dict[int, int] = {}
+        for e in els:
+            a = e.attrs
+            if a:
+                if a.get("id"):
+                    self.by_id.setdefault(a["id"], e.pos)
+                if a.get("name"):
+                    self.by_name.setdefault(a["name"], e.pos)
+                if e.tag == "label" and a.get("for"):
+                    self.label_for.setdefault(a["for"], []).append(e.pos)
+                if "aria-describedby" in a:
+                    self.described.update(ASCII_SPACE.split(a["aria-describedby"]))
+            if e.tag == "figcaption":
+                up = e.parent
+                while up >= 0:
+                    if els[up].tag == "figure":
+                        self.caption.setdefault(up, e.pos)
+                    up = els[up].parent
+
+    def text(self, pos: int) -> str:
+        own, e = self.texts[pos], self.els[pos]
+        return _squash("".join([t for _, t in self.nodes[e.n0 : e.n1]])) if own is None else own
+
+    def head(self, e: _El) -> str:
+        """The first characters of a wide container's text; reads no more of it than needed."""
+        parts, size = [], 0
+        for _, t in self.nodes[e.n0 : e.n1]:
+            parts.append(t)
+            size += len(t)
+            if size > HEAD_CHARS:
+                whole = _squash("".join(parts))
+                if len(whole) > HEAD_CHARS:
+                    return whole[:HEAD_CHARS]
+                parts, size = [whole + (" " if JAVA_SPACE.match(t[-1]) else "")], len(whole)
+        return _squash("".join(parts))
+
+    def labels(self, e: _El, wrapping: list[int]) -> list[int]:
+        own = self.label_for.get(e.attrs.get("id") or "", [])
+        return sorted({*own, *wrapping}) if wrapping else own
+
+    def name(self, e: _El, labels: list[int]) -> str:
+        """Labelledby, label, alt, <label>, button value, text, title; empty when none."""
+        a = e.attrs
+        if "aria-labelledby" in a:
+            found = _squash(" ".join([self.text(self.by_id[i]) if i in self.by_id else "" for i in re.split("[ ]+", a["aria-labelledby"])]))
+            if found:
+                return found
+        found = _squash(a.get("aria-label", ""))
+        if found:
+            return found
+        kind = a.get("type", "").lower() if e.tag == "input" else ""
+        if "alt" in a and (e.tag in ("img", "area") or kind == "image"):
+            return _squash(a["alt"])
+        if e.tag in CONTROLS:
+            if labels:
+                return " ".join([self.text(p) for p in labels])
+            if a.get("type", "").lower() in ("submit", "button"):
+                return _squash(a.get("value", ""))
+        return self.text(e.pos) or _squash(a.get("title", ""))
+
+    def rows(self) -> Iterator[tuple]:
+        """INDEX_FIELDS of every element, in document order; an element takes over what its parent is inside of."""
+        inherited: list[tuple] = []
+        wraps: list[list[int]] = []
+        fields = 0
+        for e in self.els:
+            a, tag = e.attrs, e.tag
+            up = inherited[e.parent] if e.parent >= 0 else (False, False, False, None, None, None, None, False, False, False, False, False, False)
+            footer, header, nav, link, context, figure, dir_at, lang, head, isolated, quiet, heading, banner_link = up
+            in_nav, in_quiet = nav, quiet  # strictly inside
+            role = a.get("role", "") if a else ""
+            footer = footer or tag == "footer" or role == "contentinfo"
+            header = header or tag == "header" or role == "banner"
+            nav = nav or tag == "nav" or role == "navigation"
+            linked = tag == "a" and "href" in a
+            if linked or tag == "button":
+                link = e.pos
+            if tag in CONTEXT_TAGS:
+                context = e.pos
+            if tag == "figure":
+                figure = e.pos
+            heading = heading or tag in HEADINGS or role == "heading"
+            banner_link = banner_link or (tag == "a" and header)
+            head = head or tag in ("head", "noscript")
+            quiet = quiet or tag in ("script", "style", "noscript")
+            isolated = isolated or tag == "bdi"
+            name = labels = refs = target = before = None
+            described = False
+            wrapping = wraps[e.parent] if e.parent >= 0 else []
+            if a:
+                if "dir" in a:
+                    dir_at = e.pos
+                lang = lang or ("lang" in a and e.pos > 0)
+                isolated = isolated or ("style" in a and bool(ISOLATING_STYLE.search(a["style"].lower())))
+                refs = [(r, i, self.by_id.get(i, -1)) for r in REFERENCES if r in a for i in ASCII_SPACE.split(a[r]) if i] or None
+                described = bool(a.get("id")) and a["id"] in self.described
+                if linked and a["href"].startswith("#"):
+                    fragment = a["href"][1:]
+                    target = self.by_id.get(fragment, self.by_name.get(fragment, -1)) if fragment else -1
+                    before = fields
+                elif tag == "label" and "for" in a:
+                    target = self.by_id.get(a["for"], -1)
+            if tag in CONTROLS or role in LABELLED_ROLES:
+                labels = self.labels(e, wrapping)
+            if tag in NAMED_TAGS or (
+                a and ("role" in a or "aria-label" in a or HOOK_CLASS.search(a.get("class", "").lower()) or HOOK_ID.search(a.get("id", "").lower()) or HOOK_WORD in a.get("title", ""))
+            ):
+                name = self.name(e, labels or [])
+            if linked or tag == "button" or tag in CONTROLS:
+                fields += 1
+            inherited.append((footer, header, nav, link, context, figure, dir_at, lang, head, isolated, quiet, heading, banner_link))
+            wraps.append([*wrapping, e.pos] if tag == "label" and "for" not in a else wrapping)
+            region = "footer" if footer else "header" if header else "nav" if nav else "body"
+            yield (
+                region, link, context, self.caption.get(figure), dir_at, lang, head, isolated, in_nav, in_quiet, heading, banner_link,
+                labels, refs, target, described, before, self.head(e) if self.texts[e.pos] is None else None, name,
+            )
+
+
+INDEX_FIELDS = [
+    ("region", pa.string()), ("link", pa.int32()), ("context", pa.int32()), ("figcaption", pa.int32()), ("dir_at", pa.int32()), ("in_lang", pa.bool_()), ("in_head", pa.bool_()),
+    ("isolated", pa.bool_()), ("in_nav", pa.bool_()), ("quiet", pa.bool_()), ("in_heading", pa.bool_()), ("banner_link", pa.bool_()), ("labels", pa.list_(pa.int32())),
+    ("refs", pa.list_(pa.struct([("attribute", pa.string()), ("id", pa.string()), ("pos", pa.int32())]))), ("target", pa.int32()), ("described", pa.bool_()),
+    ("fields_before", pa.int32()), ("head", pa.string()), ("name", pa.string()),
+]
 _ARROW_EL = pa.struct(
     [
         ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())), ("nth", pa.int32()), ("n_children", pa.int32()),
         ("text", pa.string()), ("text_len", pa.int32()), ("n0", pa.int32()), ("n1", pa.int32()), ("s0", pa.int32()),
         ("s1", pa.int32()), ("selector", pa.string()), ("aria_hidden", pa.bool_()), ("hidden", pa.bool_()),
+        *INDEX_FIELDS,
     ]
 )
 
@@ -276,6 +430,7 @@ _ARROW_EL = pa.struct(
 def _dom_array(sources: list[str | None]) -> pa.StructArray:
     """Column-wise Arrow build, so no per-element Python dict is ever made."""
     cols: dict[str, list] = {f.name: [] for f in _ARROW_EL if f.name != "attrs"}
+    index_columns = [cols[name] for name, _ in INDEX_FIELDS]
     akeys, avals, aoff = [], [], [0]
     eoff, noff = [0], [0]
     npos, ntext, bodies, doctypes, valid = [], [], [], [], []
@@ -286,6 +441,7 @@ def _dom_array(sources: list[str | None]) -> pa.StructArray:
             continue
         els, nodes, body, doctype = parse(src)
         selectors = _selectors(els)
+        before = len(cols["text"])
         for e in els:
             if e.tag in WIDE or (e.tag == "div" and e.kids > 0):
                 cols["text"].append(None); cols["text_len"].append(None)
@@ -299,10 +455,13 @@ def _dom_array(sources: list[str | None]) -> pa.StructArray:
             ):
                 cols[name].append(value)
             akeys.extend(e.attrs.keys()); avals.extend(e.attrs.values()); aoff.append(len(akeys))
+        for column, values in zip(index_columns, zip(*Index(els, nodes, cols["text"][before:]).rows())):
+            column.extend(values)
         npos.extend(p for p, _ in nodes); ntext.extend(t for _, t in nodes)
         eoff.append(eoff[-1] + len(els)); noff.append(noff[-1] + len(nodes))
         bodies.append(body); doctypes.append(doctype)
     attrs = pa.MapArray.from_arrays(pa.array(aoff, pa.int32()), pa.array(akeys, pa.string()), pa.array(avals, pa.string()))
+    cols["refs"] = [None if r is None else [{"attribute": k, "id": i, "pos": p} for k, i, p in r] for r in cols["refs"]]
     children = [attrs if f.name == "attrs" else pa.array(cols[f.name], f.type) for f in _ARROW_EL]
     elements = pa.ListArray.from_arrays(pa.array(eoff, pa.int32()), pa.StructArray.from_arrays(children, fields=list(_ARROW_EL)))
     nodes_arr = pa.ListArray.from_arrays(

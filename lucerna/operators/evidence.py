@@ -56,18 +56,13 @@ def next_sibling(e: str) -> str:
     return f"if({nxt}.parent = {e}.pos, null, if({nxt}.parent = {e}.parent, {nxt}, null))"
 
 
-def inside(e: str, pool: str, strict: bool = False) -> str:
-    """Has an ancestor-or-self in a pre-filtered element array."""
-    lo = "<" if strict else "<="
-    return f"exists({pool}, z -> z.pos {lo} {e}.pos and {e}.pos <= z.last)"
+def element(pos: str) -> str:
+    return f"get(ELS, {pos})"
 
 
-def closest(e: str, pool: str) -> str:
-    return f"get(reverse(filter({pool}, z -> z.pos <= {e}.pos and {e}.pos <= z.last)), 0)"
-
-
-def by_id(identifier: str) -> str:
-    return f"get(filter(ELS, y -> {at('y', 'id')} = {identifier}), 0)"
+def head(e: str) -> str:
+    """The start of the text, for excerpts: a wide container's is at hand and not rebuilt."""
+    return f"coalesce({e}.text, {e}.head)"
 
 
 def words(s: str) -> str:
@@ -82,10 +77,6 @@ def low(e: str, name: str) -> str:
     return f"lower(coalesce({at(e, name)}, ''))"
 
 
-def role_is(e: str, *roles: str) -> str:
-    return f"coalesce({at(e, 'role')}, '') in ({', '.join(repr(r) for r in roles)})"
-
-
 def tab_index(e: str) -> str:
     return rf"try_cast(regexp_extract({at(e, 'tabindex')}, r'^\s*([+-]?\d+)', 1) as int)"
 
@@ -99,29 +90,6 @@ def focusable(e: str) -> str:
     return f"coalesce({tab_index(e)} >= 0, {native})"
 
 
-def labels_of(e: str) -> str:
-    return (
-        f"filter(LBL, l -> ({at('l', 'for')} = {at(e, 'id')} and {at(e, 'id')} <> '')"
-        f" or ({at('l', 'for')} is null and l.pos < {e}.pos and {e}.pos <= l.last))"
-    )
-
-
-def acc_name(e: str) -> str:
-    """Labelledby, label, alt, <label>, button value, text, title; '' when none."""
-    by_ref = (
-        f"if({at(e, 'aria-labelledby')} is null, null, nullif({squash(f'''array_join(transform(split({at(e, 'aria-labelledby')}, r'[ ]+'), i -> coalesce({text(by_id('i'))}, '')), ' ')''')}, ''))"
-    )
-    control = f"{e}.tag in ('input','select','textarea')"
-    by_label = f"array_join(transform({labels_of(e)}, l -> {text('l')}), ' ')"
-    raw = (
-        f"coalesce({by_ref}, nullif({squash(at(e, 'aria-label'))}, ''), "
-        f"case when ({e}.tag in ('img','area') or ({e}.tag = 'input' and {low(e, 'type')} = 'image')) and {at(e, 'alt')} is not null then {squash(at(e, 'alt'))} end, "
-        f"case when {control} and size({labels_of(e)}) > 0 then {by_label} when {control} and {low(e, 'type')} in ('submit','button') then {squash(f'''coalesce({at(e, 'value')}, '')''')} end, "
-        f"nullif({text(e)}, ''), nullif({squash(at(e, 'title'))}, ''), '')"
-    )
-    return f"get(transform(array({raw}), s -> {clip('s', 200)}), 0)"
-
-
 def pick(source: str, fields: dict[str, str], var: str = "e") -> str:
     body = ", ".join(f"'{k}', {v}" for k, v in fields.items())
     return f"transform({source}, {var} -> named_struct({body}))"
@@ -132,12 +100,10 @@ def where(cond: str, source: str = "ELS", var: str = "e") -> str:
 
 
 HEADING_COND = "(e.tag in ('h1','h2','h3','h4','h5','h6') or coalesce(e.attrs['role'],'') = 'heading')"
-INTERACTIVE_SELECTOR = "(e.tag in ('button','input','select','textarea') or (e.tag = 'a' and e.attrs['href'] is not null))"
 WIDGET_HOOK = (
     "(lower(coalesce(e.attrs['class'],'')) rlike 'accessib|a11y|negishut' or lower(coalesce(e.attrs['id'],'')) rlike 'accessib|a11y'"
     " or coalesce(e.attrs['aria-label'],'') like '%נגישות%' or coalesce(e.attrs['title'],'') like '%נגישות%')"
 )
-BIDI_CSS = "lower(coalesce(z.attrs['style'],'')) rlike r'unicode-bidi\\s*:\\s*(isolate|plaintext|isolate-override)'"
 LANDMARK_COND = (
     "(e.tag in ('header','nav','main','footer','aside') or (e.tag = 'section' and (e.attrs['aria-label'] is not null or e.attrs['aria-labelledby'] is not null))"
     " or (e.tag = 'form' and e.attrs['aria-label'] is not null)"
@@ -162,23 +128,12 @@ def _first_match(options: list[tuple[str, str]], s: str) -> str:
 
 def stages() -> list[dict[str, str]]:
     """Columns by stage; a stage may use the columns of the stages before it."""
-    named = (
-        where(
-            "e.tag in ('button','input','select','textarea','a','area','img','video','audio','object','embed','iframe')"
-            f" or e.attrs['role'] is not null or e.attrs['aria-label'] is not null or {WIDGET_HOOK}"
-        )
-    )
     base = {
         "ELS": "dom.elements",
         "TXT": "dom.nodes",
         "body_text": "coalesce(dom.body_text, '')",
     }
     pools = {
-        "IDS": "transform(filter(ELS, e -> e.attrs['id'] <> ''), e -> e.attrs['id'])",
-        "LBL": where("e.tag = 'label'"),
-        "LINKISH": where("e.tag = 'button' or (e.tag = 'a' and e.attrs['href'] is not null)"),
-        "REGIONS": where(f"e.tag in ('header','nav','footer') or {role_is('e', 'banner', 'navigation', 'contentinfo')}"),
-        "FIELDS": where(INTERACTIVE_SELECTOR),
         "HTML_EL": "get(ELS, 0)",
         "rtl_content": (
             f"({_count_re('body_text', P.HEBREW)} + {_count_re('body_text', P.ARABIC)})"
@@ -186,14 +141,9 @@ def stages() -> list[dict[str, str]]:
         ),
         "is_dom": "dom is not null",
     }
-    names = {"NAMED": f"transform({named}, e -> named_struct('e', e, 'name', {acc_name('e')}))"}
-    region = (
-        "case when exists(REGIONS, z -> (z.tag = 'footer' or coalesce(z.attrs['role'],'') = 'contentinfo') and z.pos <= x.e.pos and x.e.pos <= z.last) then 'footer'"
-        " when exists(REGIONS, z -> (z.tag = 'header' or coalesce(z.attrs['role'],'') = 'banner') and z.pos <= x.e.pos and x.e.pos <= z.last) then 'header'"
-        " when exists(REGIONS, z -> (z.tag = 'nav' or coalesce(z.attrs['role'],'') = 'navigation') and z.pos <= x.e.pos and x.e.pos <= z.last) then 'nav'"
-        " else 'body' end"
-    )
-    context = f"coalesce({closest('x.e', 'CONTEXTS')}, {parent('x.e')})"
+    names = {"NAMED": "transform(filter(ELS, e -> e.name is not null), e -> named_struct('e', e, 'name', e.name))"}
+    context = element("coalesce(x.e.context, x.e.parent)")
+    labels = "transform(coalesce(x.e.labels, array()), p -> get(ELS, p))"
     links = pick(
         "filter(NAMED, x -> (x.e.tag = 'a' and x.e.attrs['href'] is not null) or coalesce(x.e.attrs['role'],'') = 'link')",
         {
@@ -210,9 +160,9 @@ def stages() -> list[dict[str, str]]:
             "is_url": f"{text('x.e')} rlike {lit(P.URL_TEXT)} and char_length({text('x.e')}) > 30",
             "empty": "x.name = ''",
             "image_only": f"{text('x.e')} = '' and exists({under('x.e')}, d -> d.tag in ('img','svg'))",
-            "context": clip(text(context), 240),
+            "context": clip(head(context), 240),
             "visible": "not x.e.hidden",
-            "region": region,
+            "region": "x.e.region",
         },
         "x",
     )
@@ -224,12 +174,12 @@ def stages() -> list[dict[str, str]]:
             "tag": "x.e.tag",
             "type": low("x.e", "type"),
             "name": "x.name",
-            "labels": f"transform({labels_of('x.e')}, l -> {clip(text('l'), 80)})",
+            "labels": f"transform({labels}, l -> {clip(text('l'), 80)})",
             "placeholder": at("x.e", "placeholder"),
-            "placeholder_only": f"coalesce({at('x.e', 'placeholder')}, '') <> '' and size({labels_of('x.e')}) = 0 and coalesce({at('x.e', 'aria-label')}, '') = '' and coalesce({at('x.e', 'aria-labelledby')}, '') = ''",
+            "placeholder_only": f"coalesce({at('x.e', 'placeholder')}, '') <> '' and coalesce(size(x.e.labels), 0) < 1 and coalesce({at('x.e', 'aria-label')}, '') = '' and coalesce({at('x.e', 'aria-labelledby')}, '') = ''",
             "required": f"{at('x.e', 'required')} is not null or coalesce({at('x.e', 'aria-required')}, '') = 'true'",
             "aria_invalid": at("x.e", "aria-invalid"),
-            "described_by": f"transform({words(at('x.e', 'aria-describedby'))}, i -> coalesce({clip(text(by_id('i')), 120)}, concat('(missing:', i, ')')))",
+            "described_by": f"transform(filter(coalesce(x.e.refs, array()), r -> r.attribute = 'aria-describedby'), r -> coalesce({clip(text(element('r.pos')), 120)}, concat('(missing:', r.id, ')')))",
             "autocomplete": at("x.e", "autocomplete"),
             "pattern": at("x.e", "pattern"),
             "dir": at("x.e", "dir"),
@@ -243,21 +193,21 @@ def stages() -> list[dict[str, str]]:
     size_px = "try_cast(regexp_extract({e}.attrs['{a}'], r'^\\s*(\\d+)', 1) as int)"
     img_w, img_h = size_px.format(e="e", a="width"), size_px.format(e="e", a="height")
     src_of = "coalesce(nullif(e.attrs['src'], ''), nullif(e.attrs['data-src'], ''), nullif(e.attrs['href'], ''), '')"
-    link_el = closest("e", "LINKISH")
+    link_el = element("e.link")
     images = pick(
         where("e.tag in ('img','svg','area','object','picture') or coalesce(e.attrs['role'],'') = 'img' or (e.tag = 'input' and lower(coalesce(e.attrs['type'],'')) = 'image')"),
         {
             "pos": "e.pos", "selector": "e.selector", "tag": "e.tag", "src": clip(src_of, 160), "alt": at("e", "alt"),
             "has_alt": f"{at('e', 'alt')} is not null", "aria_label": at("e", "aria-label"), "role": at("e", "role"),
             "aria_hidden": "e.aria_hidden", "title": at("e", "title"),
-            "in_link": f"{link_el} is not null",
+            "in_link": "e.link is not null",
             "link_href": f"coalesce({link_el}.attrs['href'], '')",
-            "link_name": f"if({link_el} is null, '', coalesce(get(filter(NAMED, x -> x.e.pos = {link_el}.pos), 0).name, ''))",
+            "link_name": f"coalesce({link_el}.name, '')",
             "width": img_w, "height": img_h, "visible": "not e.hidden",
             "likely_decorative": f"coalesce({img_w} <= 24 and {img_h} <= 24, false) or coalesce({at('e', 'alt')} = '', false)",
             "filename_alt": f"coalesce(trim({at('e', 'alt')}) rlike {lit(P.FILENAME_ALT)}, false)",
-            "caption": f"coalesce({clip(text('get(filter(' + under(closest('e', 'FIGURES')) + ', k -> k.tag = ' + repr('figcaption') + '), 0)'), 200)}, '')",
-            "nearby": f"coalesce({clip(text(parent('e')), 150)}, '')",
+            "caption": f"coalesce({clip(text(element('e.figcaption')), 200)}, '')",
+            "nearby": f"coalesce({clip(head(parent('e')), 150)}, '')",
             "s0": "e.s0", "s1": "e.s1",
         },
     )
@@ -274,7 +224,7 @@ def stages() -> list[dict[str, str]]:
             "n_tracks": f"size({tracks})",
             "autoplay": "x.e.attrs['autoplay'] is not null", "muted": "x.e.attrs['muted'] is not null",
             "loop": "x.e.attrs['loop'] is not null", "controls": "x.e.attrs['controls'] is not null",
-            "aria_hidden": "x.e.aria_hidden", "nearby": f"coalesce({clip(text(parent('x.e')), 250)}, '')", "s0": "x.e.s0", "s1": "x.e.s1",
+            "aria_hidden": "x.e.aria_hidden", "nearby": f"coalesce({clip(head(parent('x.e')), 250)}, '')", "s0": "x.e.s0", "s1": "x.e.s1",
         },
         "x",
     )
@@ -324,7 +274,7 @@ def stages() -> list[dict[str, str]]:
         snippet_only,
     )
     sensory = pick(
-        f"filter(transform(TXT, n -> named_struct('pos', n.pos, 'text', n.text, 'kind', {_first_kind(P.SENSORY, 'n.text')})), n -> n.kind is not null and not {inside('n', 'HEADS')})",
+        f"filter(transform(TXT, n -> named_struct('pos', n.pos, 'text', n.text, 'kind', {_first_kind(P.SENSORY, 'n.text')})), n -> n.kind is not null and not get(ELS, n.pos).in_head)",
         {
             "pos": "n.pos", "selector": "get(ELS, n.pos).selector", "kind": "n.kind",
             "match": clip(squash(_first_match(P.SENSORY, "n.text")), 120), "context": clip(squash("n.text"), 240),
@@ -359,8 +309,7 @@ def stages() -> list[dict[str, str]]:
             "controls": f"size(filter({sub}, k -> k.tag in ('input','select','textarea')))",
             "fieldsets": f"size(filter({sub}, k -> k.tag = 'fieldset'))",
             "legends": f"size(filter({sub}, k -> k.tag = 'legend'))",
-            "submit_label": "coalesce(get(filter(NAMED, x -> x.e.pos > e.pos and x.e.pos <= e.last and ((x.e.tag = 'button' and coalesce(x.e.attrs['type'],'submit') = 'submit')"
-            " or (x.e.tag = 'input' and x.e.attrs['type'] = 'submit'))), 0).name, '')",
+            "submit_label": f"coalesce(get(filter({sub}, k -> (k.tag = 'button' and coalesce(k.attrs['type'],'submit') = 'submit') or (k.tag = 'input' and k.attrs['type'] = 'submit')), 0).name, '')",
             "high_stakes": f"lower({text('e')}) rlike {lit(P.HIGH_STAKES)} or exists({sub}, k -> k.tag = 'input' and (coalesce(k.attrs['autocomplete'],'') like '%cc-%'"
             " or coalesce(k.attrs['name'],'') like '%card%' or coalesce(k.attrs['name'],'') like '%credit%' or k.attrs['type'] = 'password'))",
         },
@@ -372,7 +321,7 @@ def stages() -> list[dict[str, str]]:
         ),
         {
             "pos": "e.pos", "selector": "e.selector", "role": at("e", "role"), "live": at("e", "aria-live"), "text": clip(text("e"), 160), "visible": "not e.hidden",
-            "referenced": f"coalesce(e.attrs['id'], '') <> '' and exists(ELS, y -> array_contains({words(at('y', 'aria-describedby'))}, e.attrs['id']))",
+            "referenced": "e.described",
         },
     )
     captcha = pick(
@@ -387,7 +336,7 @@ def stages() -> list[dict[str, str]]:
     foreign = pick(
         f"filter(transform({where('e.tag in (' + repr('p') + ',' + repr('li') + ',' + repr('td') + ',' + repr('h1') + ',' + repr('h2') + ',' + repr('h3') + ',' + repr('h4') + ',' + repr('blockquote') + ',' + repr('div') + ')')},"
         f" e -> named_struct('e', e, 'heb', {heb}, 'lat', {lat})), f -> f.e.n_children = 0 and not f.e.hidden and coalesce(f.e.text_len, 0) >= 40"
-        f" and not exists(LANGS, z -> z.pos > 0 and z.pos <= f.e.pos and f.e.pos <= z.last)"
+        " and not f.e.in_lang"
         f" and if({page_lang} like 'he%' or rtl_content, f.lat > 30 and f.heb < f.lat * 0.15, f.heb > 30 and f.lat < f.heb * 0.15))",
         {"pos": "f.e.pos", "selector": "f.e.selector", "text": clip("f.e.text", 200), "detected": f"if({page_lang} like 'he%' or rtl_content, 'latin', 'hebrew')", "latin": "f.lat", "hebrew": "f.heb"},
         "f",
@@ -396,8 +345,8 @@ def stages() -> list[dict[str, str]]:
         "if(rtl_content, "
         + pick(
             f"filter(transform(TXT, n -> named_struct('pos', n.pos, 'text', n.text, 'kind', {_first_kind(P.ISLANDS, 'n.text')})), n -> n.kind is not null"
-            f" and not {inside('n', 'HEADS')} and (n.text rlike {lit(P.HEBREW)} or char_length(trim(n.text)) >= 4)"
-            f" and coalesce({closest('n', 'DIRS')}.attrs['dir'], '') <> 'ltr' and not {inside('n', 'ISOLATES')})",
+            f" and not get(ELS, n.pos).in_head and (n.text rlike {lit(P.HEBREW)} or char_length(trim(n.text)) >= 4)"
+            " and coalesce(get(ELS, get(ELS, n.pos).dir_at).attrs['dir'], '') <> 'ltr' and not get(ELS, n.pos).isolated)",
             {
                 "pos": "n.pos", "selector": "get(ELS, n.pos).selector", "kind": "n.kind",
                 "match": clip(squash(_first_match(P.ISLANDS, "n.text")), 60), "context": clip(squash("n.text"), 160),
@@ -421,8 +370,7 @@ def stages() -> list[dict[str, str]]:
         where("lower(coalesce(e.attrs['class'],'')) rlike 'carousel|slider|swiper|slick|marquee' or coalesce(e.attrs['data-ride'],'') = 'carousel'"),
         {
             "pos": "e.pos", "selector": "e.selector", "class_name": clip("coalesce(e.attrs['class'],'')", 100),
-            "has_pause": "exists(NAMED, x -> x.e.pos > e.pos and x.e.pos <= e.last and (x.e.tag = 'button' or coalesce(x.e.attrs['role'],'') = 'button')"
-            f" and x.name <> '' and x.name rlike {lit(P.PAUSE_CONTROL)})",
+            "has_pause": f"exists({sub}, k -> (k.tag = 'button' or coalesce(k.attrs['role'],'') = 'button') and k.name <> '' and k.name rlike {lit(P.PAUSE_CONTROL)})",
         },
     )
     autoplay = pick(where("e.tag in ('video','audio') and e.attrs['autoplay'] is not null"), {"selector": "e.selector", "tag": "e.tag", "muted": "e.attrs['muted'] is not null", "controls": "e.attrs['controls'] is not null"})
@@ -436,12 +384,12 @@ def stages() -> list[dict[str, str]]:
     )
     refs = ["aria-labelledby", "aria-describedby", "aria-controls", "aria-owns"]
     broken = "concat(" + ", ".join(
-        f"flatten(transform({where(at('e', r) + ' is not null')}, e -> transform(filter({words(at('e', r))}, i -> not array_contains(IDS, i)),"
-        f" i -> named_struct('selector', e.selector, 'attribute', '{r}', 'missing_id', i, 's0', e.s0, 's1', e.s1))))"
-        for r in refs
+        f"flatten(transform(filter(ELS, e -> e.refs is not null), e -> transform(filter(e.refs, r -> r.attribute = '{a}' and r.pos < 0),"
+        f" r -> named_struct('selector', e.selector, 'attribute', r.attribute, 'missing_id', r.id, 's0', e.s0, 's1', e.s1))))"
+        for a in refs
     ) + ")"
     orphans = pick(
-        "filter(ELS, e -> e.tag = 'label' and e.attrs['for'] is not null and not array_contains(IDS, e.attrs['for']))",
+        "filter(ELS, e -> e.tag = 'label' and e.target < 0)",
         {"pos": "e.pos", "selector": "e.selector", "label_for": at("e", "for"), "text": clip(text("e"), 80)},
     )
     roles = ", ".join(f"'{r}'" for r in P.INTERACTIVE_ROLES)
@@ -467,16 +415,15 @@ def stages() -> list[dict[str, str]]:
         {"pos": "x.e.pos", "selector": "x.e.selector", "name": "x.name", "s0": "x.e.s0", "s1": "x.e.s1"},
         "x",
     )
-    frag = "substring(e.attrs['href'], 2)"
-    target = f"if({frag} = '', null, coalesce({by_id(frag)}, get(filter(ELS, y -> y.attrs['name'] = {frag}), 0)))"
+    target = element("e.target")
     skip_links = pick(
         where("e.tag = 'a' and e.attrs['href'] like '#%'"),
         {
             "pos": "e.pos", "selector": "e.selector", "text": clip(text("e"), 80), "href": at("e", "href"),
-            "target_exists": f"{target} is not null",
+            "target_exists": "e.target >= 0",
             "target_focusable": f"coalesce({focusable(target)} or {target}.attrs['tabindex'] is not null, false)",
             "hidden": "e.hidden", "looks_skip": f"{text('e')} rlike {lit(P.SKIP_TEXT)}",
-            "dom_position": "size(filter(FIELDS, y -> y.pos < e.pos))",
+            "dom_position": "e.fields_before",
         },
     )
     navs = pick(
@@ -512,38 +459,30 @@ def stages() -> list[dict[str, str]]:
         " or coalesce(e.attrs['role'],'') = 'search' or (e.tag = 'form' and lower(coalesce(e.attrs['action'],'')) like '%search%')"
     )
     crumbs = (
-        f"lower(coalesce(e.attrs['class'],'')) like '%breadcrumb%' or lower(coalesce(e.attrs['aria-label'],'')) like '%breadcrumb%' or (e.tag = 'ol' and {inside('e', 'NAVS_EL', True)})"
+        f"lower(coalesce(e.attrs['class'],'')) like '%breadcrumb%' or lower(coalesce(e.attrs['aria-label'],'')) like '%breadcrumb%' or (e.tag = 'ol' and e.in_nav)"
     )
-    title_text = f"coalesce({squash(text('get(filter(ELS, e -> e.tag = ' + repr('title') + '), 0)'))}, '')"
-    meta_of = "nullif(get(filter(ELS, e -> e.tag = 'meta' and e.attrs['{k}'] = '{v}'), 0).attrs['content'], '')"
-    tail = f"if(size(split({title_text}, {lit(P.TITLE_SEPARATOR)})) > 1, nullif(trim(element_at(split({title_text}, {lit(P.TITLE_SEPARATOR)}), -1)), ''), null)"
-    viewport = "get(filter(ELS, e -> e.tag = 'meta' and e.attrs['name'] = 'viewport'), 0).attrs['content']"
+    meta_of = "nullif(get(filter(METAS, e -> e.attrs['{k}'] = '{v}'), 0).attrs['content'], '')"
+    tail = f"if(size(split(TITLE, {lit(P.TITLE_SEPARATOR)})) > 1, nullif(trim(element_at(split(TITLE, {lit(P.TITLE_SEPARATOR)}), -1)), ''), null)"
+    viewport = "get(filter(METAS, e -> e.attrs['name'] = 'viewport'), 0).attrs['content']"
     skeleton_class = (
         rf"array_join(slice(array_sort(filter(split(coalesce(k.attrs['class'],''), r'\s+'), w -> w <> '' and char_length(w) < 25 and not w rlike {lit(P.UNSTABLE_CLASS)})), 1, 3), '.')"
     )
-    body_el = "get(filter(ELS, e -> e.tag = 'body'), 0)"
-    skeleton_pool = f"filter({under(body_el)}, k -> k.depth - {body_el}.depth - 1 <= 6 and k.tag not in ('script','style','noscript') and not exists(QUIET, z -> z.pos < k.pos and k.pos <= z.last))"
-    skeleton = f"array_join(transform({skeleton_pool}, k -> concat(k.depth - {body_el}.depth - 1, k.tag, if({skeleton_class} = '', '', concat('.', {skeleton_class})))), '|')"
-    more_pools = {
-        "CONTEXTS": where("e.tag in ('p','li','td','dd','h1','h2','h3','h4','figcaption')"),
-        "FIGURES": where("e.tag = 'figure'"),
-        "HEADS": where("e.tag in ('head','noscript')"),
-        "LANGS": where("e.attrs['lang'] is not null"),
-        "DIRS": where("e.attrs['dir'] is not null"),
-        "ISOLATES": where("e.tag = 'bdi' or " + BIDI_CSS.replace("z.attrs", "e.attrs")),
-        "NAVS_EL": where("e.tag = 'nav' or coalesce(e.attrs['role'],'') = 'navigation'"),
-        "QUIET": where("e.tag in ('script','style','noscript')"),
-        "FOCUS": focus_pool,
-    }
+    skeleton_pool = f"filter({under('b')}, k -> k.depth - b.depth - 1 <= 6 and k.tag not in ('script','style','noscript') and not k.quiet)"
+    skeleton = (
+        "get(transform(filter(ELS, e -> e.tag = 'body'), b -> array_join(transform("
+        f"{skeleton_pool}, k -> concat(k.depth - b.depth - 1, k.tag, coalesce(nullif(concat('.', {skeleton_class}), '.'), ''))), '|')), 0)"
+    )
+    title_el = "get(filter(ELS, e -> e.tag = 'title'), 0)"
+    more_pools = {"TITLE": f"get(transform(array({title_el}), e -> coalesce({squash(text('e'))}, '')), 0)", "METAS": where("e.tag = 'meta'"), "LANGS": where("e.attrs['lang'] is not null"), "FOCUS": focus_pool}
     sections = {
-        "title": title_text,
+        "title": "TITLE",
         "site_name": f"coalesce({meta_of.format(k='property', v='og:site_name')}, {meta_of.format(k='name', v='application-name')}, {tail}, regexp_replace(parse_url(url, 'HOST'), '^www[.]', ''))",
         "lang": "HTML_EL.attrs['lang']",
         "dir": "HTML_EL.attrs['dir']",
         "xml_lang": "HTML_EL.attrs['xml:lang']",
         "viewport": viewport,
         "blocks_zoom": f"coalesce({viewport} rlike {lit(P.BLOCKS_ZOOM)}, false)",
-        "description": "get(filter(ELS, e -> e.tag = 'meta' and e.attrs['name'] = 'description'), 0).attrs['content']",
+        "description": "get(filter(METAS, e -> e.attrs['name'] = 'description'), 0).attrs['content']",
         "lang_elements": "size(LANGS)",
         "skeleton": skeleton,
         "images": images, "media": media, "headings": headings, "tables": tables, "lists": lists, "fake_lists": fake_lists,
