@@ -161,13 +161,16 @@ def strip_html(h: str) -> str:
 
 
 def shape_guard(u: str) -> str:
-    """Why a URL is refused before any lookup, NULL when its shape is fine. A host that is an address is judged as one."""
+    """Why a URL is refused before any lookup, NULL when its shape is fine.
+
+    A host that is an address in any spelling is judged as one; a dot at the end does not make it another host.
+    """
     from lucerna.operators.policy import literal_reason
 
-    bare = rf"regexp_replace({host(u)}, r'^\[|\]$', '')"
+    bare = rf"regexp_replace({host(u)}, r'^\[|\]$|[.]$', '')"
     return (
         f"case when {scheme(u)} = '' then 'invalid' when {scheme(u)} not in ('http', 'https') then 'scheme' when instr({authority(u)}, '@') > 0 then 'userinfo'"
-        rf" when {bare} = 'localhost' or {bare} rlike r'[.]local$' then 'local-host' else {literal_reason(bare)} end"
+        rf" when {bare} = 'localhost' or {bare} rlike r'[.]local(host)?$' then 'local-host' else {literal_reason(bare)} end"
     )
 
 

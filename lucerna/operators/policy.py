@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,16 @@ V4_BLOCKED = [
     ("240.0.0.0", 4, "reserved"),
 ]
 V6_BLOCKED = [
-    (r"^::$", "unspecified"),
-    (r"^::1$", "loopback"),
-    (r"^fe[89ab][0-9a-f]:", "link-local"),
-    (r"^f[cd][0-9a-f]{2}:", "unique local"),
-    (r"^ff[0-9a-f]{2}:", "multicast"),
-    (r"^2001:db8:", "documentation"),
-    (r"^64:ff9b:", "nat64"),
-    (r"^100:0*:", "discard"),
+    ("::", 128, "unspecified"),
+    ("::1", 128, "loopback"),
+    ("fe80::", 10, "link-local"),
+    ("fc00::", 7, "unique local"),
+    ("ff00::", 8, "multicast"),
+    ("2001:db8::", 32, "documentation"),
+    ("64:ff9b::", 32, "nat64"),
+    ("100::", 32, "discard"),
 ]
+V4_MAPPED = "00000000000000000000ffff"  # the first 96 bits of an IPv4 address in IPv6 form
 SHALLOW_PAGES = 5
 PROOF_DAYS = 180
 
@@ -54,28 +57,74 @@ def v4_ranges() -> list[tuple[int, int, str]]:
     return out
 
 
-def is_v6(ip: str) -> str:
-    """Whether a lower-case string is an IPv6 address: eight groups, or fewer with one gap."""
+def host_number(host: str) -> str:
+    """The IPv4 address a URL's host stands for, as a number; -1 when it must be one and is not, NULL for names.
+
+    A host whose last label is a number is an address, as URLs are read: up to four parts, each decimal, octal (leading 0)
+    or hexadecimal (0x), the last of which fills all bytes that are left. ``127.1``, ``0x7f.1`` and ``2130706433`` are 127.0.0.1.
+    """
+    part = (
+        "case when p rlike '^0x[0-9a-f]*$' then if(char_length(p) > 18, 1e30, cast(coalesce(conv(nullif(substring(p, 3), ''), 16, 10), '0') as double))"
+        " when p rlike '^0[0-7]+$' then if(char_length(p) > 21, 1e30, cast(conv(p, 8, 10) as double)) when p rlike '^(0|[1-9][0-9]*)$' then cast(p as double) end"
+    )
+    value = (
+        "if(size(n) > 4 or exists(n, x -> x is null) or exists(slice(n, 1, size(n) - 1), x -> x > 255) or element_at(n, -1) >= pow(256, 5 - size(n)), -1L,"
+        " cast(element_at(n, -1) as bigint) + cast(aggregate(transform(slice(n, 1, size(n) - 1), (x, i) -> x * pow(256, 3 - i)), 0D, (t, x) -> t + x) as bigint))"
+    )
+    labels = f"split(regexp_replace(lower({host}), '[.]$', ''), '[.]')"
+    return f"get(transform(array({labels}), l -> if(instr({host}, ':') = 0 and element_at(l, -1) rlike '^([0-9]+|0x[0-9a-f]*)$', get(transform(array(transform(l, p -> {part})), n -> {value}), 0), null)), 0)"
+
+
+def v6_number(ip: str) -> str:
+    """A lower-case IPv6 address as 32 hexadecimal digits, so that addresses compare like numbers; NULL when it is not one.
+
+    Eight groups, or fewer with one gap; the last two may be written as an IPv4 address.
+    """
     group = "[0-9a-f]{1,4}"
     some = f"({group}(:{group})*)?"
-    return f"({ip} rlike '^({group}:){{7}}{group}$' or ({ip} rlike '^{some}::{some}$' and size(filter(split({ip}, ':'), g -> g <> '')) <= 7))"
+    tail = rf"regexp_extract(s, r'^.*:(\d+[.]\d+[.]\d+[.]\d+)$', 1)"
+    plain = (
+        f"get(transform(array({v4_number('t')}), q -> if(t = '', s, concat(left(s, char_length(s) - char_length(t)), lower(hex(shiftright(q, 16))), ':', lower(hex(q & 65535)))))"
+        ", 0)"
+    )
+    ok = f"(s rlike '^({group}:){{7}}{group}$' or (s rlike '^{some}::{some}$' and size(filter(split(s, ':'), g -> g <> '')) <= 7))"
+    digits = "array_join(transform(filter(split(coalesce(get(split(s, '::'), {i}), ''), ':'), g -> g <> ''), g -> lpad(g, 4, '0')), '')"
+    whole = f"get(transform(array(struct({digits.format(i=0)} as a, {digits.format(i=1)} as b)), h -> concat(h.a, repeat('0', 32 - char_length(h.a) - char_length(h.b)), h.b)), 0)"
+    without_tail = f"get(transform(array({tail}), t -> {plain}), 0)"
+    return f"get(transform(transform(array({ip}), s -> {without_tail}), s -> if({ok}, {whole}, null)), 0)"
+
+
+def v6_ranges() -> list[tuple[str, str, str]]:
+    """First and last address of each blocked prefix as 32 hexadecimal digits, and why."""
+    out = []
+    for base, bits, why in V6_BLOCKED:
+        lo = int(ipaddress.IPv6Address(base)) >> (128 - bits) << (128 - bits)
+        out.append((f"{lo:032x}", f"{lo + (1 << (128 - bits)) - 1:032x}", why))
+    return out
+
 
+def v6_reason(number: str) -> str:
+    """Why an address of 32 digits is blocked, NULL when it is public."""
+    return "case " + " ".join(f"when {number} between '{lo}' and '{hi}' then '{why}'" for lo, hi, why in v6_ranges()) + " end"
 
-def v6_reason(ip: str) -> str:
-    """Why an address that is not IPv4 is blocked, NULL when it is a public IPv6 address."""
-    return "case " + " ".join(f"when {ip} rlike r'{p}' then '{why}'" for p, why in V6_BLOCKED) + f" when not {is_v6(ip)} then 'not an address' end"
 
+def v4_reason(number: str) -> str:
+    return "case " + " ".join(f"when {number} between {lo} and {hi} then '{why}'" for lo, hi, why in v4_ranges()) + " end"
 
-def unmapped(ip: str) -> str:
-    """An IPv4 address written as an IPv6 one is the IPv4 address."""
-    return rf"coalesce(nullif(regexp_extract({ip}, r'^::ffff:(\d+[.]\d+[.]\d+[.]\d+)$', 1), ''), {ip})"
+
+def mapped_v4(number: str) -> str:
+    """The IPv4 number inside an IPv6 one of 32 digits, NULL where it has none."""
+    return f"if({number} like '{V4_MAPPED}%', cast(conv(right({number}, 8), 16, 10) as bigint), null)"
 
 
 def literal_reason(host: str) -> str:
-    """Why a host that is itself an address is blocked, NULL for names and public addresses."""
-    ip = unmapped(host)
-    v4 = "case " + " ".join(f"when {v4_number(ip)} between {lo} and {hi} then '{why}'" for lo, hi, why in v4_ranges()) + " end"
-    return f"case when {v4_number(ip)} is not null then {v4} when instr({host}, ':') > 0 then {v6_reason(ip)} end"
+    """Why a host that is itself an address is blocked, however it is written; NULL for names and public addresses."""
+    n4, n6 = "x.n4", "x.n6"
+    judged = (
+        f"case when {n4} < 0 then 'invalid' when {n4} is not null then {v4_reason(n4)} when instr(x.h, ':') = 0 then null when {n6} is null then 'not an address'"
+        f" when {mapped_v4(n6)} is not null then {v4_reason(mapped_v4(n6))} else {v6_reason(n6)} end"
+    )
+    return f"get(transform(array(named_struct('h', {host}, 'n4', {host_number(host)}, 'n6', {v6_number(host)})), x -> {judged}), 0)"
 
 
 def ranges_df(spark: SparkSession) -> DataFrame:
@@ -88,11 +137,10 @@ def guard_addresses(resolved: DataFrame) -> DataFrame:
     A range join against fifteen fixed rows; an address lies in at most one range, so rows never multiply.
     """
     raw = r"regexp_replace(lower(trim(address)), r'^\[|\]$', '')"
-    inner = unmapped(raw)
-    df = resolved.withColumn("_ip", F.expr(inner)).withColumn("_n", F.expr(v4_number("_ip")))
+    df = resolved.withColumn("_ip", F.expr(raw)).withColumn("_v6", F.expr(v6_number("_ip"))).withColumn("_n", F.expr(f"coalesce({v4_number('_ip')}, {mapped_v4('_v6')})"))
     hit = df.join(F.broadcast(ranges_df(resolved.sparkSession)), F.expr("_n between lo and hi"), "left")
-    v6 = v6_reason("_ip")
-    return hit.withColumn("blocked", F.expr(f"if(_n is not null, range_reason, {v6})")).drop("_ip", "_n", "lo", "hi", "range_reason")
+    judged = f"case when _n is not null then range_reason when _v6 is null then 'not an address' else {v6_reason('_v6')} end"
+    return hit.withColumn("blocked", F.expr(judged)).drop("_ip", "_v6", "_n", "lo", "hi", "range_reason")
 
 
 def guard_hosts(resolved: DataFrame) -> DataFrame:

@@ -150,10 +150,10 @@ def u18(spark, d):
     return crawl.documents_found(links)
 
 
-IPS = "SELECT event_id, concat('h', cast(user_id AS string)) AS host, CASE WHEN event_id % 50 = 0 THEN '::ffff:10.1.2.3' WHEN event_id % 50 = 1 THEN 'fe80::1' WHEN event_id % 50 = 2 THEN '2606:2800:220:1::1' WHEN event_id % 50 = 3 THEN 'nonsense' ELSE concat(cast(event_id * 7 % 256 AS string), '.', cast(user_id % 256 AS string), '.', cast(event_id % 256 AS string), '.9') END AS address FROM {t}"
+IPS = "SELECT event_id, concat('h', cast(user_id AS string)) AS host, CASE WHEN event_id % 50 = 0 THEN '::ffff:10.1.2.3' WHEN event_id % 50 = 1 THEN 'fe80::1' WHEN event_id % 50 = 2 THEN '2606:2800:220:1::1' WHEN event_id % 50 = 3 THEN 'nonsense' WHEN event_id % 50 = 4 THEN '::ffff:a01:203' WHEN event_id % 50 = 5 THEN 'fd00:0:0::7' ELSE concat(cast(event_id * 7 % 256 AS string), '.', cast(user_id % 256 AS string), '.', cast(event_id % 256 AS string), '.9') END AS address FROM {t}"
 _V4 = "(split_part(address, '.', 1)::BIGINT * 16777216 + split_part(address, '.', 2)::BIGINT * 65536 + split_part(address, '.', 3)::BIGINT * 256 + split_part(address, '.', 4)::BIGINT)"
 _RANGES = " ".join(f"WHEN n BETWEEN {sum(int(x) << (24 - 8 * i) for i, x in enumerate(b.split('.')))} AND {sum(int(x) << (24 - 8 * i) for i, x in enumerate(b.split('.'))) + (1 << (32 - bits)) - 1} THEN '{why}'" for b, bits, why in G.V4_BLOCKED)
-GUARD_DB = f"ip AS ({IPS.format(t='events')}), nn AS (SELECT *, CASE WHEN regexp_matches(address, '^[0-9.]+$') THEN {_V4} END AS n FROM ip), gd AS (SELECT event_id, host, CASE WHEN n IS NOT NULL THEN CASE {_RANGES} END WHEN address LIKE '::ffff%' THEN 'private' WHEN address LIKE 'fe80%' THEN 'link-local' WHEN address = 'nonsense' THEN 'not an address' END AS blocked FROM nn)"
+GUARD_DB = f"ip AS ({IPS.format(t='events')}), nn AS (SELECT *, CASE WHEN regexp_matches(address, '^[0-9.]+$') THEN {_V4} END AS n FROM ip), gd AS (SELECT event_id, host, CASE WHEN n IS NOT NULL THEN CASE {_RANGES} END WHEN address LIKE '::ffff%' THEN 'private' WHEN address LIKE 'fe80%' THEN 'link-local' WHEN address LIKE 'fd00%' THEN 'unique local' WHEN address = 'nonsense' THEN 'not an address' END AS blocked FROM nn)"
 
 
 @query("u21_address_guard", f"WITH {GUARD_DB} SELECT event_id, blocked FROM gd")
@@ -166,10 +166,20 @@ def u21b(spark, d):
     return G.guard_hosts(derive(spark, d, IPS.format(t="lucerna_src_events"), e="events"))
 
 
-SHAPES = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://u:p@') WHEN 2 THEN concat('ftp://', cast(page_id AS string), '/x') WHEN 3 THEN 'http://localhost:8080/' WHEN 4 THEN concat('http://printer', cast(page_id AS string), '.local/') WHEN 5 THEN 'not a url' ELSE url END AS u FROM {t}"
+# one spelling of a host for each row in turn, and what it is refused for: fixed values of the check
+SPELLINGS = [
+    ("http://2130706433/", "loopback"), ("http://0x7f.1/", "loopback"), ("http://127.1/", "loopback"), ("http://0177.0.0.1/", "loopback"), ("http://[::ffff:7f00:1]/", "loopback"),
+    ("http://localhost./", "local-host"), ("http://8.8.2056/", None), ("http://256.1.1.1/", "invalid"), ("http://[fd12::1]/", "unique local"), ("http://[2606:4700::1111]/", None), ("http://[1:2:3]/", "not an address"),
+]
+SHAPES = (
+    "SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://u:p@') WHEN 2 THEN concat('ftp://', cast(page_id AS string), '/x') WHEN 3 THEN 'http://localhost:8080/'"
+    " WHEN 4 THEN concat('http://printer', cast(page_id AS string), '.local/') WHEN 5 THEN 'not a url' WHEN 6 THEN concat('http://10.', cast(page_id % 256 AS string), '.0.7/') WHEN 7 THEN CASE floor(page_id / 9) % 11 "
+    + " ".join(f"WHEN {i} THEN '{u}'" for i, (u, _) in enumerate(SPELLINGS)) + " END ELSE url END AS u FROM {t}"
+)
+SPELLED = "CASE CAST(floor(page_id / 9) AS INT) % 11 " + " ".join(f"WHEN {i} THEN '{why}'" for i, (_, why) in enumerate(SPELLINGS) if why) + " END"
 
 
-@query("u22_url_shape", "SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'userinfo' WHEN 2 THEN 'scheme' WHEN 3 THEN 'local-host' WHEN 4 THEN 'local-host' WHEN 5 THEN 'invalid' END AS refused FROM pages")
+@query("u22_url_shape", f"SELECT page_id, CASE page_id % 9 WHEN 1 THEN 'userinfo' WHEN 2 THEN 'scheme' WHEN 3 THEN 'local-host' WHEN 4 THEN 'local-host' WHEN 5 THEN 'invalid' WHEN 6 THEN 'private' WHEN 7 THEN {SPELLED} END AS refused FROM pages")
 def u22(spark, d):
     return derive(spark, d, SHAPES.format(t="lucerna_src_pages"), p="pages").selectExpr("page_id", f"{U.shape_guard('u')} as refused")
 

@@ -13,6 +13,11 @@ def test_literal_hosts(spark):
     want = {
         "http://10.0.0.1/": "private", "http://169.254.169.254/latest": "link-local", "http://[::1]/": "loopback", "http://8.8.8.8/": None, "http://example.com/": None,
         "http://[2606:4700::1111]/x": None, "http://[::ffff:10.0.0.1]/": "private", "http://[abc:def]/": "not an address", "http://localhost/": "local-host",
+        "http://2130706433/": "loopback", "http://0x7f.1/": "loopback", "http://127.1/": "loopback", "http://0177.0.0.1/": "loopback", "http://[::ffff:7f00:1]/": "loopback", "http://localhost./": "local-host",
+        "http://0x7F000001:80/": "loopback", "http://10.0x10.257/": "private", "http://134744072/": None, "http://8.8.2056/": None, "http://1.2.3.4.5/": "invalid", "http://08.1.1.1/": "invalid",
+        "http://256.1.1.1/": "invalid", "http://4294967296/": "invalid", "http://0x/": "this network", "http://127.0.0.1./": "loopback", "http://a.1/": "invalid", "http://1.a/": None,
+        "http://[fd12::1]/": "unique local", "http://[0:0:0:0:0:0:0:1]/": "loopback", "http://[::ffff:8.8.8.8]/": None, "http://[64:ff9b::10.0.0.1]/": "nat64", "http://[::1.2.3]/": "not an address",
+        "http://printer.local/": "local-host", "http://99999999999999999999999/": "invalid", "http://0xffffffffffffffffffff/": "invalid",
     }
     rows = spark.createDataFrame([(u,) for u in want], "u string").selectExpr("u", f"{U.shape_guard('u')} as refused").collect()
     assert {r["u"]: r["refused"] for r in rows} == want
@@ -22,6 +27,8 @@ def test_addresses(spark):
     want = {
         "abc:def": "not an address", ":": "not an address", "1:2:3": "not an address", "1::2::3": "not an address", "::": "unspecified", "2606:4700::1111": None,
         "1:2:3:4:5:6:7:8": None, "1:2:3:4:5:6:7:8:9": "not an address", "10.0.0.1": "private", "8.8.8.8": None, "::ffff:192.168.0.1": "private", "fe80::1": "link-local", "[2001:db8::1]": "documentation",
+        "::ffff:c0a8:1": "private", "0:0:0:0:0:ffff:a00:1": "private", "::ffff:808:808": None, "febf::1": "link-local", "fec0::1": None, "100::1": "discard", "100:0:1::": "discard", "100:1::": None,
+        "1:2:3:4:5:6:1.2.3.4": None, "::ffff:1.2.3.400": "not an address", "fe80::1%eth0": "not an address", "127.1": "not an address",
     }
     rows = guard_addresses(spark.createDataFrame([("h", a) for a in want], "host string, address string")).collect()
     assert {r["address"]: r["blocked"] for r in rows} == want
