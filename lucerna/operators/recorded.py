@@ -120,3 +120,51 @@ def keyboard_struct(stops: DataFrame, candidates: DataFrame, key: str = "page_id
             " 'order_mismatches', transform(coalesce(_o, array()), m -> named_struct('selector', m.selector, 'name', m.name, 'focus_position', m.position, 'visual_position', m.visual_position)))"
         ).alias("keyboard"),
     )
+
+
+# What may look like a heading without being one, and how much it must stand out.
+FAKE_HEADING_TAGS = ["p", "div", "span", "strong", "b", "td", "li"]
+BIGGER, BOLDER, LONGEST, SENTENCE, SAME_LINE = 1.2, 600, 120, 45, 2
+
+
+def heading_like(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Elements whose text and place allow an unmarked heading, each with its next sibling's selector. ``pages`` has ``dom``.
+
+    Left out: what is inside a heading or a banner's link, hidden from assistive technology, an item of a list, longer than
+    120 characters, a sentence, several clauses, fewer than two letters, more than one child, and whatever introduces nothing.
+    """
+    tags = ", ".join(f"'{t}'" for t in FAKE_HEADING_TAGS)
+    leaf = (
+        f"filter(dom.elements, e -> e.tag in ({tags}) and not e.in_heading and not e.banner_link and not e.aria_hidden and e.n_children <= 1"
+        " and not (e.tag = 'li' and get(dom.elements, e.parent).tag in ('ul','ol','menu')))"
+    )
+    # the next sibling comes right after the subtree
+    nxt = "get(dom.elements, e.last + 1)"
+    listed = (
+        f"transform({leaf}, e -> named_struct('pos', e.pos, 'selector', e.selector, 'text', coalesce(e.text, e.head), 'next_selector', if({nxt}.parent = e.parent, {nxt}.selector, null),"
+        f" 'next_text', if({nxt}.parent = e.parent, coalesce({nxt}.text, {nxt}.head), null)))"
+    )
+    worded = (
+        rf"x -> x.text <> '' and char_length(x.text) <= {LONGEST} and coalesce(x.next_text, '') <> '' and not (x.text rlike r'[.!?。]$' and char_length(x.text) > {SENTENCE})"
+        r" and regexp_count(x.text, r'[,;:،]') < 2 and regexp_count(x.text, r'\p{L}') >= 2"
+    )
+    return pages.selectExpr(f"`{key}`", f"inline(filter({listed}, {worded}))").drop("next_text")
+
+
+def fake_headings(pages: DataFrame, styles: DataFrame, key: str = "page_id") -> DataFrame:
+    """Text styled as a heading above what it introduces, and not marked up as one.
+
+    ``styles`` has a recorded row per element: key, selector, size, weight, base (the body's size), display, visible, top and
+    bottom. An element without a row is not judged. Both joins are by page and selector, so neither a page nor a site is one task.
+    """
+    own = styles.select(key, "selector", "size", "weight", "base", "bottom", F.expr(f"visible and display not like 'inline%' and (size >= base * {BIGGER} or weight >= {BOLDER})").alias("_stands_out"))
+    below = styles.select(key, F.col("selector").alias("next_selector"), F.col("top").alias("_next_top"))
+    styled = heading_like(pages, key).join(own.where("_stands_out"), [key, "selector"]).join(below, [key, "next_selector"])
+    return styled.where(f"_next_top >= bottom - {SAME_LINE}").select(key, "pos", "selector", "text", "size", "weight", "base")
+
+
+def with_fake_headings(pages: DataFrame, styles: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages with the recorded column ``fake_headings``, in document order; empty where a page has none."""
+    found = fake_headings(pages, styles, key).groupBy(key).agg(F.expr("array_sort(collect_list(struct(pos, selector, text, cast(size as double) as size, cast(weight as int) as weight, cast(base as double) as base)))").alias("_f"))
+    shaped = "transform(coalesce(_f, array()), f -> named_struct('selector', f.selector, 'text', f.text, 'size', f.size, 'weight', f.weight, 'base', f.base))"
+    return pages.join(found, key, "left").withColumn("fake_headings", F.expr(shaped)).drop("_f")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucerna.operators import recorded as R
-from lucerna.operators.evidence import with_recorded, words_of
+from lucerna.operators.evidence import with_evidence, with_recorded, words_of
 from lucerna.operators.page_rules import PAGE_RULES, RULE_NOTES, rule_results, with_site_defaults
 from lucerna.plans.corpus import derive, mutated
 from lucerna.plans.queries_pages import LINKS, RTL, _n
 from lucerna.plans.registry import M, query
-from lucerna.plans.review import evidence
+from lucerna.plans.review import evidence, parsed
 
 SHAPE = (
     "opined",
@@ -315,3 +315,65 @@ def timers(spark, d):
     df = derive(spark, d, sql, e="events")
     df = with_site_defaults(with_recorded(df.withColumn("is_dom", F.lit(True)).withColumn("url", F.lit("https://a.example/x")).withColumn("meta_refresh", F.expr("cast(array() as array<struct<content:string>>)"))))
     return shaped(rule_results(df, ["timeout-detect"]))
+
+
+# ---- C10: styled text that is no heading; styles are recorded on the elements of the derived pages -------------------
+
+_F = "data-f"
+_NEXT = f'<p {_F}="16 400 16 block 1 30 50">We open at nine</p>'
+# page_id % 20 -> (markup, text when it is a fake heading): each but the first three and the last is excluded for one reason
+HEADING_CASES = [
+    (f'<div><p {_F}="24 400 16 block 1 0 20">Opening hours</p>{_NEXT}</div>', "Opening hours"),
+    (f'<div><strong {_F}="16 700 16 block 1 0 20">Getting here</strong>{_NEXT}</div>', "Getting here"),
+    (f'<div><p {_F}="20 400 16 block 1 0 20">Tickets, prices <i>now</i></p>{_NEXT}</div>', "Tickets, prices now"),
+    (f'<div><span {_F}="24 700 16 inline-block 1 0 20">Inline</span>{_NEXT}</div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">This is a lead paragraph that is set larger than all the rest.</p>{_NEXT}</div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">Bread, milk, eggs</p>{_NEXT}</div>', None),
+    (f'<ul><li {_F}="24 700 16 list-item 1 0 20">First item</li><li {_F}="24 700 16 list-item 1 30 50">Second item</li></ul>', None),
+    (f'<div><div {_F}="24 700 16 block 1 0 20">Chip one</div><div {_F}="16 400 16 block 1 0 20">Chip two</div></div>', None),
+    (f'<header><a href="/"><span {_F}="24 700 16 block 1 0 20">Wordmark</span></a>{_NEXT}</header>', None),
+    (f'<div><p aria-hidden="true" {_F}="24 700 16 block 1 0 20">Hidden one</p>{_NEXT}</div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">12 +</p>{_NEXT}</div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">Last of all</p></div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">Over nothing</p><p {_F}="16 400 16 block 1 30 50"> </p></div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20">{"long words " * 12}</p>{_NEXT}</div>', None),
+    (f'<h2><span {_F}="24 700 16 block 1 0 20">Real heading</span>{_NEXT.replace("<p ", "<span ").replace("</p>", "</span>")}</h2>', None),
+    (f'<div><p {_F}="24 700 16 block 0 0 20">Not visible</p>{_NEXT}</div>', None),
+    (f'<div><p {_F}="19 500 16 block 1 0 20">Neither big nor bold</p>{_NEXT}</div>', None),
+    (f'<div><p {_F}="24 700 16 block 1 0 20"><i>Two</i> <i>children</i></p>{_NEXT}</div>', None),
+    (f'<div><p>No style recorded</p>{_NEXT}</div>', None),
+    (f'<div><li {_F}="24 700 16 list-item 1 0 20">Item of no list</li>{_NEXT}</div>', "Item of no list"),
+]
+HEADING_PAGES = (
+    "SELECT page_id, url, replace(html, '</article>', concat(CASE page_id % 20 " + " ".join(f"WHEN {i} THEN '{h}'" for i, (h, _) in enumerate(HEADING_CASES)) + " END, '</article>')) AS html FROM {t}"
+)
+_TEXTS = "CASE page_id % 20 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(HEADING_CASES) if t) + " END"
+_SIZES = "CASE page_id % 20 WHEN 1 THEN 16 WHEN 2 THEN 20 ELSE 24 END"
+
+
+def heading_pages(spark, d):
+    return parsed(derive(spark, d, HEADING_PAGES.format(t="lucerna_src_pages"), p="pages"))
+
+
+def recorded_styles(pages):
+    """What a browser would have recorded of each styled element, read from the element itself."""
+    facts = pages.selectExpr("page_id", "inline(transform(filter(dom.elements, e -> e.attrs['data-f'] is not null), e -> named_struct('selector', e.selector, 'f', split(e.attrs['data-f'], ' '))))")
+    return facts.selectExpr(
+        "page_id", "selector", "cast(f[0] as double) as size", "cast(f[1] as int) as weight", "cast(f[2] as double) as base", "f[3] as display", "f[4] = '1' as visible", "cast(f[5] as int) as top", "cast(f[6] as int) as bottom"
+    )
+
+
+@query("c10_fake_headings", f"SELECT page_id, {_TEXTS} AS text, ({_SIZES})::DOUBLE AS size, CASE page_id % 20 WHEN 0 THEN 400 WHEN 2 THEN 400 ELSE 700 END AS weight FROM pages WHERE strpos(html, '</article>') > 0 AND {_TEXTS} IS NOT NULL")
+def c10(spark, d):
+    pages = heading_pages(spark, d)
+    return R.fake_headings(pages, recorded_styles(pages)).select("page_id", "text", "size", "weight")
+
+
+@query(
+    "c10_fake_heading_rule",
+    f"SELECT page_id, true AS opined, (strpos(html, '</article>') > 0 AND {_TEXTS} IS NOT NULL)::INT AS n, CASE WHEN strpos(html, '</article>') > 0 AND {_TEXTS} IS NOT NULL THEN 'fake-heading' ELSE '' END AS codes FROM pages",
+)
+def c10_rule(spark, d):
+    pages = heading_pages(spark, d)
+    needed = words_of(PAGE_RULES["fake-heading-detect"], RULE_NOTES.get("fake-heading-detect", ""))
+    return shaped(rule_results(with_site_defaults(with_evidence(R.with_fake_headings(pages, recorded_styles(pages)), needed)), ["fake-heading-detect"]))
