@@ -72,6 +72,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row: rows with the same one are taken for repeats of each other."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*plain)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, slices: int = 16, how: str = "left") -> DataFrame:
     """Join many rows to one row per key, every key spread over ``slices`` tasks.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lucerna.llm.base import WORD, Stage, pick, query, ship, table
+from lucerna.llm.base import WORD, Stage, query, row_hash, ship, table
 
 ship(__name__)
 
@@ -97,6 +97,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
         before.drop()
         if now.df.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the dual did not settle in {ROUNDS} rounds")
     return now.df.select("skey", "scale", "full", F.round("lam", 9).alias("lam"))
 
 
@@ -116,7 +118,7 @@ def deal(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(m=out)[["skey", "size", "slice", "n", "m", "source_size", "target"]]
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = CYCLE, share: float = SHARE, per_slice: int = PER_SLICE) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = CYCLE, share: float = SHARE, per_slice: int = PER_SLICE, tag: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0 to 2) and taken words of every row.
 
     Size: words of the whole text, null counts 0. Null is a source of its own. A source without words has target 0 and its
@@ -125,12 +127,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     cut into slices of about ``per_slice`` rows. An empty table gives no rows.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = pick(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"), (F.lit(0) if tag is None else tag).alias("tag"))
+    rows = named.select("doc_id", "source", "tag", word_count().alias("size"))
     sized = Stage(rows.withColumn("skey", key), "sizes").df
     counted = sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     # hot cells: at most rows / per_slice of them, three short columns each
     hot = counted.where(F.col("n") > per_slice).select("skey", "size", F.ceil(F.col("n") / per_slice).alias("slices"))
-    sliced = sized.join(F.broadcast(hot), ["skey", "size"], "left").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    sliced = sized.join(F.broadcast(hot), ["skey", "size"], "left").withColumn("slice", F.pmod(F.xxhash64("doc_id", "tag"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     cells = Stage(sliced.groupBy("skey", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "cells").df
     sources = cells.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs")).withColumn(
         "source", F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30))
@@ -142,10 +145,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     dealt = rated.select("skey", "size", "slice", "n", "rate", "source_size", "target").groupBy("skey").applyInPandas(
         deal, "skey string, size long, slice int, n long, m long, source_size long, target double"
     )
-    placed = sliced.withColumn("place", F.row_number().over(W.partitionBy("skey", "size", "slice").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    placed = sliced.withColumn("place", F.row_number().over(W.partitionBy("skey", "size", "slice").orderBy(F.xxhash64("doc_id"), "doc_id", "tag")))
     got = F.floor(F.col("m") / F.col("n")) + F.when(F.col("place") <= F.col("m") % F.col("n"), 1).otherwise(0)
     joined = placed.join(dealt, ["skey", "size", "slice"]).withColumn("copies", got.cast("int"))
-    return joined.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return joined.select("doc_id", *([] if tag is None else ["tag"]), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 @query("op7_mixing")
@@ -154,7 +157,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = CYCLE, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0 to 2 times). Rows that share an id get the most of them each."""
-    dealt = copies(docs, id_col, source_col, text_col, cycle, share).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    joined = docs.join(dealt, docs[id_col].eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    """The rows of ``docs``, each as often as the mix takes it (0 to 2 times).
+
+    A row is known by a hash of all its columns, so shared and null ids do no harm. Rows that are equal in all columns stand
+    for each other: one of them comes as often as the mix takes them together. An empty table gives no rows.
+    """
+    mark = row_hash(docs)
+    dealt = copies(docs, id_col, source_col, text_col, cycle, share, tag=mark).groupBy(F.col("tag").alias("_mix_row")).agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
+    dealt = Stage(dealt, "dealt").df
+    marked = docs.withColumn("_mix_row", mark)
+    single = marked.join(dealt.where("_mix_copies > 0 and _mix_rows = 1"), "_mix_row").withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int"))))
+    # repeats: their copies are dealt out a hundred at a time, so that one text taken very often is many tasks' work
+    often = marked.join(F.broadcast(dealt.where("_mix_rows > 1").select("_mix_row")) if dealt.where("_mix_rows > 1").count() <= 50_000 else dealt.where("_mix_rows > 1").select("_mix_row"), "_mix_row", "left_semi")
+    once = often.dropDuplicates(["_mix_row"]).join(dealt.where("_mix_copies > 0"), "_mix_row")
+    parts = once.withColumn("_mix_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_mix_copies") - 1) / 100).cast("int")))).repartition("_mix_row", "_mix_part")
+    many = parts.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(100), F.col("_mix_copies") - 100 * F.col("_mix_part")).cast("int"))))
+    return single.select(*docs.columns).union(many.select(*docs.columns))

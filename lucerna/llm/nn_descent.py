@@ -53,12 +53,17 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every vector and (id, x) of the class representatives, the smallest ids."""
+    """(id, rep) of every distinct id and vector, and (id, x) of the classes of equal vectors, whose ids are hashes of the vector."""
     key = F.sha2(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))), 256)
-    keyed = Stage(vectors.withColumn("key", key), "vectors").df
-    counted = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    member = Stage(join_on_hot_key(keyed.select("id", "key"), staged(counted, "classes"), ["key"], "n", "id").select("id", "rep"), "members").df
-    return member, keyed.join(member.where("id = rep").select("id"), "id").select("id", "x")
+    keyed = Stage(vectors.withColumn("key", key).dropDuplicates(["id", "key"]), "vectors").df
+    seed = 0
+    while True:
+        counted = staged(keyed.groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("key", F.lit(seed))), "classes")
+        if counted.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        seed += 1  # two vectors with one hash: another one parts them
+    member = Stage(join_on_hot_key(keyed.select("id", "key"), counted.select("key", "n", "node"), ["key"], "n", "id").select("id", F.col("node").alias("rep")), "members").df
+    return member, counted.select(F.col("node").alias("id"), "x")
 
 
 def prepared(reps: DataFrame) -> DataFrame:
@@ -241,10 +246,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     Candidates are all rows but the query's own; ties go to the smaller id. Rows without an id, and vectors that are null,
     zero, of another length than most, or hold null or non-finite components, take no part. Rows that share an id and a
-    vector count once, of those that share an id only the vectors' classes differ. Fewer candidates give fewer rows, an
-    empty table none. ``is_query`` is a condition on a column ``id``.
+    vector count once; those that share an id and differ in the vector are candidates and queries each. Fewer candidates
+    give fewer rows, an empty table none. ``is_query`` is a condition on a column ``id``.
     """
-    member, reps = classes_of(valid_vectors(pick(vectors, id=id_col, x=vector_col)).dropDuplicates(["id"]))
+    member, reps = classes_of(valid_vectors(pick(vectors, id=id_col, x=vector_col)))
     reps = Stage(reps, "reps").df
     vecs = Stage(prepared(reps), "vecs").df
     graph = build_graph(vecs, k=k, rounds=rounds)
@@ -265,13 +270,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     scored = pairs.join(theirs, "nbr").join(ours, "query").select("query", "nbr", "qx", "x").mapInArrow(exact, "query long, nbr long, score double")
     # of a class only its first ids can be among the nearest of a query
     first = member.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("place") <= top + 1).select(F.col("rep").alias("nbr"), F.col("id").alias("vec_id"))
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "nbr")
     rows = scored.join(first, "nbr").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
-    lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("list"), F.count(F.lit(1)).alias("one"))
+    lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "nbr"))).alias("list"), F.count(F.lit(1)).alias("one"))
     sizes = asked.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "query")
     weighed = staged(lists.drop("one").join(sizes, "query").select(F.col("query").alias("rep"), "list", "n"), "lists")
     own = join_on_hot_key(asked, weighed, ["rep"], "n", "id", how="inner")
-    others = F.slice(F.filter("list", lambda e: e["vec_id"] != F.col("id")), 1, top)
+    others = F.slice(F.filter("list", lambda e: (e["vec_id"] != F.col("id")) | (e["nbr"] != F.col("rep"))), 1, top)
     out = own.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "e"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.minus")).alias("score"))
 

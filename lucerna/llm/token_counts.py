@@ -34,6 +34,21 @@ def line_sections(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def apart(spans: list[tuple[int | None, int | None]], length: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Spans in order and free of overlaps, with their numbers: a character that several cover is the earliest one's.
+
+    Spans are cut to the text; a span without a start or an end covers nothing.
+    """
+    order = sorted((k for k, (a, b) in enumerate(spans) if a is not None and b is not None), key=lambda k: (spans[k][0], k))
+    out, at = [], 0
+    for k in order:
+        a = min(max(spans[k][0], at), length)
+        b = max(a, min(spans[k][1], length))
+        out.append((a, b))
+        at = max(at, b)
+    return order, out
+
+
 def char_spans(text: str, byte_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and character after the last of every token; a token of part of a character's bytes covers it."""
     end = np.cumsum(byte_length)
@@ -77,8 +92,9 @@ def attribute(start: np.ndarray, end: np.ndarray, sections: list[tuple[int, int]
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, rule: str = "largest", tokenizer: str = tokens.TOKENIZER, chunk: int = 4_000_000) -> DataFrame:
     """Rows (doc_id, section, start, end, n_tokens, n_crossing) of all sections of all documents; a narrow pass.
 
-    ``spans_col`` names an array of structs (start, end) of character offsets, sorted and free of overlaps; without it the
-    lines are the sections. Section numbers follow the array. Section -1 holds tokens outside all sections, where there
+    ``spans_col`` names an array of structs (start, end) of character offsets; without it the lines are the sections. Section
+    numbers follow the array, in any order. Where spans overlap, the earliest keeps the characters; null spans, and those
+    without a start or an end, hold no tokens. Section -1 holds tokens outside all sections, where there
     are any, and stands for the whole of a null or empty text or one without sections (with 0 tokens where it has none),
     so every document has a row. Null ids are kept, repeated rows counted each, other columns ignored. An empty table
     gives no rows.
@@ -97,9 +113,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = part.column("spans").to_pylist() if spans_col else [None] * part.num_rows
                 for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
                     text = text.as_py() or ""
-                    sections = [(s["start"], s["end"]) for s in spans[i] or []] if spans_col else line_sections(text)
+                    sections = [(s["start"], s["end"]) if s else (None, None) for s in spans[i] or []] if spans_col else line_sections(text)
                     start, end = char_spans(text, length[at[i] : at[i + 1]])
-                    n, crossing = attribute(start, end, sections, rule)
+                    n, crossing = np.zeros((2, len(sections) + 1), dtype=np.int64)
+                    order, clear = apart(sections, len(text))
+                    counted = attribute(start, end, clear, rule)
+                    n[[*order, -1]], crossing[[*order, -1]] = counted
                     keep = len(sections) + (1 if n[-1] or not sections else 0)
                     out[0] += [doc_id] * keep
                     out[1] += [*range(len(sections)), -1][:keep]

@@ -421,3 +421,58 @@ def test_near_dedup_by_shingles(spark, docs, none):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 9, 10, 12]
+
+
+def test_near_dedup_keeps_every_text_of_a_shared_id(spark):
+    """Groups are of texts: an id that two texts share does not pull one into the other's group."""
+    from lucerna.llm import shingle_groups as sg
+
+    rows = [(1, A), (5, f"{A} tail"), (5, B), (9, B), (None, A), (9, B), (7, f"{B} other"), (7, LONG)]
+    for parts in (1, 5):
+        table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, class int").repartition(parts)
+        kept = sorted((r["doc_id"] or 0, r["text"]) for r in sg.one_per_group(table).collect())
+        assert kept == sorted([(0, A), (1, A), (5, B), (7, LONG)])
+
+
+def test_near_dedup_of_a_hot_key(spark):
+    """Keys shared by more classes than a task takes are cut into parts and still linked."""
+    from lucerna.llm import shingle_groups as sg
+
+    classes = spark.createDataFrame([(i, 100, [7, i]) for i in range(-50, 250)], "class long, n int, keys array<long>")
+    pairs = sg.candidates(classes, per_task=40).collect()
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs)).collect()}
+    assert {roots.get(i, i) for i in range(-50, 250)} == {-50}
+
+
+def test_mixing_meets_its_targets_with_null_and_shared_ids(spark):
+    rows = [(None if i % 2 else i // 4, " ".join(["w"] * (5 + i % 37)), "ab"[i % 2 if i % 3 else 0]) for i in range(900)] + [(None, "same row", "b")] * 300
+    for parts in (1, 7):
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        want = {r["source"]: r["taken"] for r in mixing.copies(table).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+        got = Counter()
+        for r in mixing.mixed_documents(table).collect():
+            got[r["source"]] += len(r["text"].split())
+        assert got == want
+        goal = {r["source"]: r["target"] for r in mixing.copies(table).select("source", "target").distinct().collect()}
+        assert all(abs(got[s] - goal[s]) <= 0.01 * goal[s] + 42 for s in goal)
+
+
+def test_nearest_tells_rows_of_one_id_apart(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [0.0, 2.0]), (20, [3.0, 0.5]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    m = list(dict.fromkeys((i, tuple(v)) for i, v in rows))
+    for parts in (1, 4):
+        got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts), F.col("id") == 20).collect()
+        want = sorted((i, tuple(sorted(((-(v[0] * w[0] + v[1] * w[1])), j) for j, w in m if (j, w) != (i, v)))) for i, v in m if i == 20)
+        by_score = sorted((r["query_id"], r["score"], r["vec_id"]) for r in got)
+        assert by_score == sorted((i, -s, j) for i, pairs in want for s, j in pairs)
+
+
+def test_spans_that_are_null_unsorted_or_overlap(spark):
+    text = "one two three four five"
+    spans = [(8, 13), None, (0, 10), (None, 4), (18, 99), (18, 23)]
+    cell = [None if s is None else {"start": s[0], "end": s[1]} for s in spans]
+    table = spark.createDataFrame([(1, text, cell), (2, None, cell), (3, text, None)], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    rows = token_counts.token_counts(table, spans_col="parts").collect()
+    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in rows}
+    assert got[3, -1] == sum(n for (i, _), n in got.items() if i == 1) and got[1, 2] == 3 and got[1, 0] == 0 and got[1, 4] == 1
+    assert got[1, 1] == got[1, 3] == got[1, 5] == 0 and all(n == 0 for (i, _), n in got.items() if i == 2)
