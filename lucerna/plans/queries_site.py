@@ -18,7 +18,7 @@ from lucerna.plans.materialize import materialize
 from lucerna.plans.queries_pages import COUNT_SQL, LINKS, TITLE, SITE_NAME
 from lucerna.plans.queries_rules import SHAPE, STATIC, _oracle, has
 from lucerna.plans.registry import M, query, unescape
-from lucerna.plans.review import evidence, page_facts, review
+from lucerna.plans.review import evidence, kept_facts, page_facts, review, review_changes, verdicts
 from lucerna.operators.catalogue import CATALOGUE_VERSION
 from lucerna.operators.page_rules import rule_results, with_site_defaults
 from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
@@ -419,7 +419,13 @@ def _side(df):
 
 
 def deltas(spark, d):
-    return once(spark, d, "delta", lambda: T.compare_reviews(_side(reviewed(spark, d, "earlier")), _side(reviewed(spark, d, "later")), CATALOGUE_VERSION, CATALOGUE_VERSION))
+    """The earlier review keeps its facts; the later one evaluates only the pages whose content changed."""
+
+    def build():
+        kept = kept_facts(corpus.earlier(spark, d))
+        return T.compare_reviews(_side(verdicts(kept)), _side(review_changes(corpus.later(spark, d), kept)), CATALOGUE_VERSION, CATALOGUE_VERSION)
+
+    return once(spark, d, "delta", build)
 
 
 def _delta_sql() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import urls as U
 from lucerna.functions.html import with_dom
 from lucerna.operators import site as S
-from lucerna.operators.catalogue import Row, rows_for
+from lucerna.operators.catalogue import CATALOGUE_VERSION, Row, rows_for
 from lucerna.operators.evidence import RECORDED, template_hash, with_evidence, words_of
 from lucerna.operators.page_rules import PAGE_RULES, rule_sql, with_site_defaults
 from lucerna.operators.skew import ensure_parallelism
@@ -26,6 +26,7 @@ SITE_INPUTS = (
 ).split()
 COMPACT = [*SITE_INPUTS, "checker", "keyboard", "timers", "template_hash"]
 PROFILE = ["public_authority", "turnover", "edits_video", "before_2017"]
+CONTENT = "content"  # digest of what a page's facts follow from
 _COLLECTED = set(SITE_INPUTS + ["skeleton", "links", "widgets", "icon_buttons", "navs"])
 
 
@@ -64,7 +65,7 @@ def page_facts(pages: DataFrame, rules: list[str] | None = None, site_sql: str =
     need = _COLLECTED | words_of(*(PAGE_RULES[r] for r in own))
     ev = S.page_inputs(with_site_defaults(evidence(pages, need)).drop("components", "nav_seq"), site_sql)
     ev = ev.withColumns({"template_hash": template_hash(), **{f"rule:{r}": F.expr(rule_sql(r)) for r in own}})
-    extra = [c for c in PROFILE if c in ev.columns]
+    extra = [c for c in [*PROFILE, CONTENT] if c in ev.columns]
     return ev.select(*COMPACT, *extra, *[f"`rule:{r}`" for r in own])
 
 
@@ -90,8 +91,13 @@ def review(
     Rows decided by the page alone are evaluated without any shuffle. Only the rows that compare pages go
     through the site step, and they take a narrow projection of the page facts with them.
     """
-    rows = [r for r in rows_for("page", level) if items is None or r.item_id in items]
     facts = materialize(page_facts(pages, rules_of(items, level), site_sql), "page-facts")
+    return verdicts(facts, level, use_ai, items, rows_per_slice)
+
+
+def verdicts(facts: DataFrame, level: str = "AA", use_ai: bool = False, items: list[str] | None = None, rows_per_slice: int = 500_000) -> DataFrame:
+    """The review of written page facts."""
+    rows = [r for r in rows_for("page", level) if items is None or r.item_id in items]
     alone, across = [r for r in rows if not needs_site(r)], [r for r in rows if needs_site(r)]
     parts = []
     if alone:
@@ -104,3 +110,35 @@ def review(
         )
         parts.append(evaluate_pages(context, level, use_ai, [r.item_id for r in across]))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def with_content(pages: DataFrame) -> DataFrame:
+    """Adds the digest of all columns of a page but its id and its place in the crawl; HTML and every recorded fact count."""
+    rest = [c for c in pages.columns if c not in ("page_id", "crawl_order", "html", CONTENT)]
+    return pages.withColumn(CONTENT, F.sha2(F.concat_ws("\x00", F.lit(CATALOGUE_VERSION), F.coalesce(F.concat(F.lit("h"), F.col("html")), F.lit("n")), F.to_json(F.struct(*rest))), 256))
+
+
+def kept_facts(pages: DataFrame, level: str = "AA", items: list[str] | None = None, site_sql: str = SITE_BY_DOMAIN) -> DataFrame:
+    """Written page facts with the digest of each page: what a later review takes over where nothing changed."""
+    return materialize(page_facts(with_content(prepare(pages)), rules_of(items, level), site_sql), "page-facts")
+
+
+def facts_after(pages: DataFrame, kept: DataFrame, level: str = "AA", items: list[str] | None = None, site_sql: str = SITE_BY_DOMAIN) -> DataFrame:
+    """Facts of ``pages`` where only pages whose digest is not in ``kept`` are parsed and evaluated.
+
+    ``kept`` must come from ``kept_facts`` with the same level, items and site rule. The digest holds the URL, the catalogue
+    version and all evidence, so a fact that could differ is never taken over; a page's id and crawl order are its own.
+    Only digests are joined with the facts; HTML goes no further than the evaluation of what changed.
+    """
+    marked = with_content(prepare(pages))
+    ids = materialize(marked.select("page_id", "crawl_order", CONTENT), "digests")
+    old = kept.dropDuplicates([CONTENT]).drop("page_id", "crawl_order")
+    same = ids.join(old, CONTENT)
+    changed = ids.join(old.select(CONTENT), CONTENT, "left_anti").select("page_id")
+    fresh = page_facts(marked.join(materialize(changed, "changed"), "page_id", "left_semi"), rules_of(items, level), site_sql)
+    return materialize(fresh.unionByName(same.select(*fresh.columns)), "page-facts")
+
+
+def review_changes(pages: DataFrame, kept: DataFrame, level: str = "AA", use_ai: bool = False, items: list[str] | None = None, site_sql: str = SITE_BY_DOMAIN, rows_per_slice: int = 500_000) -> DataFrame:
+    """The review of ``pages``, equal to ``review``, at the cost of the pages that changed since ``kept``."""
+    return verdicts(facts_after(pages, kept, level, items, site_sql), level, use_ai, items, rows_per_slice)

@@ -141,3 +141,26 @@ def test_politeness_refuses_gaps_beyond_a_bucket(spark):
     rows = spark.createDataFrame([], "event_id long, host string, ts timestamp")
     with pytest.raises(ValueError):
         W.politeness_gaps(rows, 3_600_001)
+
+
+def test_review_of_changes_equals_the_full_review(spark, sf):
+    """Only changed pages are parsed; ids and crawl order may move, and another review's facts are taken over where nothing changed."""
+    from pyspark.sql import functions as F
+
+    from lucerna.plans import corpus
+    from lucerna.plans.review import facts_after, kept_facts, review, review_changes
+
+    items = ["R04", "R13", "R27", "R29", "R39", "R40"]
+    before = corpus.earlier(spark, sf).limit(60)
+    after = corpus.later(spark, sf).where("page_id < 70").withColumn("page_id", F.col("page_id") + 500).withColumn("crawl_order", -F.col("page_id"))
+    kept = kept_facts(before, items=items)
+
+    def rows(df):
+        return sorted((r["page_id"], r["item_id"], r["verdict"], r["confidence"], str(r["findings"])) for r in df.collect())
+
+    assert rows(review_changes(after, kept, items=items)) == rows(review(after, items=items))
+    took = facts_after(after, kept, items=items).join(kept.select("content"), "content", "left_semi").count()
+    assert 0 < took < after.count()
+    # recorded evidence is part of the content
+    timed = after.withColumn("timers", F.expr("array(named_struct('kind', 'timeout', 'delay_ms', 5.0D, 'stack', ''))"))
+    assert facts_after(timed, kept, items=items).join(kept.select("content"), "content", "left_semi").count() == 0
