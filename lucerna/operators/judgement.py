@@ -155,20 +155,56 @@ def split_cached(work: DataFrame, cache: DataFrame, model: str) -> tuple[DataFra
 
 
 def call_cost(tokens: str) -> str:
-    return f"(({tokens} + {PROMPT_OVERHEAD}) / 1e6D * {PRICE_IN}D + {MAX_OUT_TOKENS} / 1e6D * {PRICE_OUT}D)"
+    """Millionths of the currency, a whole number: prices are per million tokens, so one token costs its price."""
+    return f"cast(({tokens} + {PROMPT_OVERHEAD}) * {PRICE_IN:.0f} + {MAX_OUT_TOKENS} * {PRICE_OUT:.0f} as bigint)"
+
+
+def _running(calls: DataFrame, bucket_rows: int) -> DataFrame:
+    """Adds ``_running``, the cost of a run's calls up to each one. Two levels: one row per block of work numbers goes through
+    the ordered pass, and each block is then finished on its own."""
+    w = calls.withColumn("_block", F.expr(f"cast(floor(task_no / {bucket_rows}D) as bigint)"))
+    per = w.groupBy("_run", "_block").agg(F.sum("_cost").alias("_sum"))
+    before = per.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("_run").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.sum("_cost").over(W.partitionBy("_run", "_block").orderBy("task_no").rowsBetween(W.unboundedPreceding, 0))
+    return w.join(before, ["_run", "_block"]).withColumn("_running", F.col("_before") + inside).drop("_block", "_before")
 
 
 def budget_gate(work: DataFrame, budget: float, run: str = "run_id", bucket_rows: int = 100_000) -> DataFrame:
-    """Estimated cost per call, running total in work order, and whether the call still fits.
+    """Estimated cost of every call, and whether it still fits when its turn comes.
 
-    The running sum is two-level: blocks of ``bucket_rows`` work numbers are summed first, so only one row per
-    block goes through the ordered pass and each block is then finished on its own.
+    Calls are taken in work order, and only a call that is made is spent: one that is cached (column ``cached``, if there is
+    one) or refused leaves the budget as it is, so a smaller call may still fit after a large one did not. Each round accepts
+    a run's calls up to the first that does not fit, then goes on behind it with those that what is left can pay at all; it ends
+    when no run has any. A round keeps one row per run. Work numbers are unique within a run.
     """
-    w = work.withColumn("estimate", F.expr(call_cost("tokens"))).withColumn("_block", F.expr(f"cast(floor(task_no / {bucket_rows}D) as bigint)"))
-    per = w.groupBy(run, "_block").agg(F.sum("estimate").alias("_sum"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(run).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
-    inside = F.sum("estimate").over(W.partitionBy(run, "_block").orderBy("task_no").rowsBetween(W.unboundedPreceding, 0))
-    return w.join(before, [run, "_block"]).withColumn("running", F.col("_before") + inside).drop("_block", "_before").withColumn("fits", F.col("running") <= F.lit(budget))
+    from lucerna.plans.materialize import materialize
+
+    limit = int(round(budget * 1_000_000))
+    w = work if "cached" in work.columns else work.withColumn("cached", F.lit(False))
+    w = w.withColumn("_cost", F.expr(call_cost("tokens"))).withColumn("estimate", F.col("_cost") / F.lit(1e6)).withColumn("_run", F.xxhash64(F.col(run)))
+    calls = materialize(w.where("not cached").select("_run", "task_no", "_cost"), "calls")
+    state = materialize(calls.select("_run").distinct().withColumns({"_after": F.lit(None).cast("bigint"), "_spent": F.lit(0).cast("bigint")}), "budget")
+    rounds = []
+    while True:
+        open_calls = calls.join(state, "_run").where(f"(_after is null or task_no > _after) and _cost <= {limit} - _spent")
+        run_on = _running(open_calls.select("_run", "task_no", "_cost", "_spent"), bucket_rows)
+        taken = run_on.groupBy("_run").agg(
+            F.min(F.when(F.col("_running") > limit - F.col("_spent"), F.col("task_no"))).alias("_stop"),
+            F.sum(F.when(F.col("_running") <= limit - F.col("_spent"), F.col("_cost"))).alias("_paid"),
+        )
+        step = materialize(state.join(taken, "_run").select("_run", "_after", "_spent", "_stop", F.coalesce("_paid", F.lit(0)).alias("_paid")), "budget-round")
+        if step.isEmpty():
+            break
+        rounds.append(step)
+        # a run without a stop has no call left
+        state = step.where("_stop is not null").selectExpr("_run", "_stop as _after", "_spent + _paid as _spent")
+    made = None
+    for step in rounds:
+        part = calls.join(step, "_run").where(f"(_after is null or task_no > _after) and (_stop is null or task_no < _stop) and _cost <= {limit} - _spent").select("_run", "task_no")
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        return w.withColumn("fits", F.lit(False)).drop("_cost", "_run")
+    return w.join(made.withColumn("_made", F.lit(True)), ["_run", "task_no"], "left").withColumn("fits", F.coalesce("_made", F.lit(False))).drop("_cost", "_run", "_made")
 
 
 def sanitise(judgements: DataFrame) -> DataFrame:
@@ -191,7 +227,8 @@ def sanitise(judgements: DataFrame) -> DataFrame:
 
 def not_judged(work: DataFrame) -> DataFrame:
     """Calls over budget or failed end as unverified rows; ``judged`` keeps the merge from ever passing them."""
-    return work.where("not fits or failed").withColumn("judged", F.lit(False)).withColumn("j_verdict", F.lit("FAIL")).withColumn("j_confidence", F.lit(0.0)).withColumn(
+    work = work if "cached" in work.columns else work.withColumn("cached", F.lit(False))
+    return work.where("not cached and (not fits or failed)").withColumn("judged", F.lit(False)).withColumn("j_verdict", F.lit("FAIL")).withColumn("j_confidence", F.lit(0.0)).withColumn(
         "j_note", F.expr("if(not fits, 'budget used up before this row', 'judgement failed; check by hand')")
     )
 

@@ -475,13 +475,16 @@ def j7(spark, d):
     return hits.selectExpr("work_key", "true as cached").unionByName(todo.selectExpr("work_key", "false as cached"))
 
 
-_EST = "((tokens + 900) / 1e6 * 5.0 + 8000 / 1e6 * 25.0)"
+_MICRO = "((tokens + 900) * 5 + 8000 * 25)"
+# calls of very unlike size, some of them cached; the greedy gate as one fold over a run's calls: paid and counted in one number
+_GATED = f"""e AS (SELECT run_id, task_no, (tokens + task_no * 7919 % 200000)::BIGINT AS tokens, {CACHE_COND} AS cached FROM tw), f AS (SELECT run_id, task_no, cached, {_MICRO} AS micro FROM e),
+    g AS (SELECT run_id, count(*) FILTER (cached) AS cache_hits, count(*) FILTER (NOT cached) AS todo, list_reduce(coalesce(list((micro * 1000000 + 1)::BIGINT ORDER BY task_no) FILTER (NOT cached), []), lambda a, x: CASE WHEN a // 1000000 + x // 1000000 <= 100000000 THEN a + x ELSE a END, 0::BIGINT) AS r FROM f GROUP BY 1)"""
 
 
-@query("j8_j11_budget", f"WITH {TASK_DB}, e AS (SELECT *, {_EST} AS est FROM tw), r AS (SELECT *, sum(est) OVER (PARTITION BY run_id ORDER BY task_no) AS running FROM e) SELECT run_id, count(*) FILTER (running <= 100) AS calls, round(sum(est) FILTER (running <= 100), 4) AS cost, count(*) FILTER (running > 100) AS skipped, 0::BIGINT AS cache_hits FROM r GROUP BY 1")
+@query("j8_j11_budget", f"WITH {TASK_DB}, {_GATED} SELECT run_id, r % 1000000 AS calls, r // 1000000 AS cost, todo - r % 1000000 AS skipped, cache_hits FROM g")
 def j8(spark, d):
-    gated = J.budget_gate(tasks(spark, d), 100.0, bucket_rows=500).withColumn("cached", F.lit(False))
-    return J.usage(gated).withColumn("cost", F.round("cost", 4))
+    work = tasks(spark, d).withColumn("tokens", F.expr("tokens + task_no * 7919 % 200000")).withColumn("cached", F.expr(CACHE_COND))
+    return J.usage(J.budget_gate(work, 100.0, bucket_rows=500)).withColumn("cost", F.expr("cast(round(cost * 1e6) as bigint)"))
 
 
 @query(
@@ -497,9 +500,9 @@ def j9(spark, d):
     return J.sanitise(t).selectExpr("task_no", "j_verdict", "j_confidence", "size(j_findings) as kept")
 
 
-@query("j10_not_judged", f"WITH {TASK_DB}, e AS (SELECT *, {_EST} AS est FROM tw), r AS (SELECT *, sum(est) OVER (PARTITION BY run_id ORDER BY task_no) AS running FROM e) SELECT task_no, 'FAIL' AS j_verdict, 0::DOUBLE AS j_confidence, CASE WHEN running > 100 THEN 'budget used up before this row' ELSE 'judgement failed; check by hand' END AS j_note FROM r WHERE running > 100 OR task_no % 97 = 0")
+@query("j10_not_judged", f"WITH {TASK_DB}, e AS (SELECT *, (100 + 900) * 5 + 8000 * 25 AS micro FROM tw), r AS (SELECT *, sum(micro) OVER (PARTITION BY run_id ORDER BY task_no) AS running FROM e) SELECT task_no, 'FAIL' AS j_verdict, 0::DOUBLE AS j_confidence, CASE WHEN running > 100000000 THEN 'budget used up before this row' ELSE 'judgement failed; check by hand' END AS j_note FROM r WHERE running > 100000000 OR task_no % 97 = 0")
 def j10(spark, d):
-    g = J.budget_gate(tasks(spark, d), 100.0, bucket_rows=500).withColumn("failed", F.expr("task_no % 97 = 0"))
+    g = J.budget_gate(tasks(spark, d).withColumn("tokens", F.lit(100)), 100.0, bucket_rows=500).withColumn("failed", F.expr("task_no % 97 = 0"))
     return J.not_judged(g).select("task_no", "j_verdict", "j_confidence", "j_note")
 
 

@@ -202,3 +202,20 @@ def test_delta_refuses_other_catalogue_versions(spark):
     for versions in (("1", "2"), (None, "1"), ("1", None), (None, None)):
         with pytest.raises(ValueError):
             delta.compare_reviews(rows, rows, *versions)
+
+
+def test_budget_gate_is_greedy(spark):
+    """A refused or cached call spends nothing, so a smaller one behind it may fit; several runs, blocks smaller than a run."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(run, no * 3, rng.choice([10, 5_000, 60_000, 400_000]), rng.random() < 0.3) for run in ("a", "b", None) for no in range(60)]
+    for budget in (0.1, 3.0, 9.5, 1000.0):
+        spent, want = {}, {}
+        for run, no, tokens, cached in rows:
+            cost = (tokens + 900) * 5 + 200_000
+            ok = not cached and spent.get(run, 0) + cost <= budget * 1e6
+            want[run, no] = ok
+            spent[run] = spent.get(run, 0) + (cost if ok else 0)
+        got = judgement.budget_gate(spark.createDataFrame(rows, "run_id string, task_no long, tokens long, cached boolean"), budget, bucket_rows=7).collect()
+        assert {(r.run_id, r.task_no): r.fits for r in got} == want
