@@ -92,15 +92,30 @@ def effective_delay(politeness_ms: str, crawl_delay_ms: str) -> str:
 
 # ---- sitemaps -----------------------------------------------------------------------------
 
-def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """``site, source, xml`` -> listed addresses; index files are followed through the same table."""
+def sitemap_urls(sitemaps: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """``site, source, xml`` -> site, source, pos, loc: what every root file lists, itself or through index files.
+
+    Index files are followed through the same table level by level, each once for a root, so a cycle ends; ``max_depth`` stops
+    earlier (the original follows two levels of indexes). ``roots`` (site, source) are the files to start at, by default all that no
+    index lists. ``pos`` is the path of places in the files down to the address and orders what a root lists. Each level is a
+    table in the shared folder.
+    """
     locs = r"transform(regexp_extract_all(xml, r'(?is)<loc>\s*(.*?)\s*</loc>', 1), l -> trim(replace(l, '&amp;', '&')))"
-    base = sitemaps.withColumn("locs", F.expr(locs)).withColumn("is_index", F.expr("xml rlike '(?i)<sitemapindex'"))
-    plain = base.where("not is_index").selectExpr("site", "source", "posexplode_outer(locs) as (pos, loc)").where("loc is not null")
-    nested = base.where("is_index").selectExpr("site", "source as index_source", "posexplode_outer(locs) as (index_pos, source)").where("source is not null")
-    inner = nested.join(plain.drop("site"), "source").selectExpr("site", "index_source as source", "cast(index_pos * 1000000L + pos as bigint) as pos", "loc")
-    reached = nested.select("source").distinct()
-    return plain.join(reached, "source", "left_anti").selectExpr("site", "source", "cast(pos as bigint) as pos", "loc").unionByName(inner)
+    listed = materialize(sitemaps.selectExpr("site", "source", "xml rlike '(?i)<sitemapindex' as is_index", f"posexplode_outer({locs}) as (at, loc)").where("loc is not null"), "sitemaps")
+    index = listed.where("is_index").selectExpr("source", "cast(at as bigint) as at", "loc as child").where("child <> source")
+    plain = listed.where("not is_index").selectExpr("source", "cast(at as bigint) as at", "loc")
+    start = sitemaps.select("site", "source").distinct().join(index.select(F.col("child").alias("source")).distinct(), "source", "left_anti") if roots is None else roots.select("site", "source").distinct()
+    frontier = materialize(start.selectExpr("site", "source as root", "source", "cast(array() as array<bigint>) as path"), "sitemap-0")
+    seen, depth = frontier, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = frontier.join(index, "source").selectExpr("site", "root", "child as source", "concat(path, array(at)) as path")
+        firsts = found.groupBy("site", "root", "source").agg(F.min("path").alias("path"))
+        frontier = materialize(firsts.join(seen.select("site", "root", "source"), ["site", "root", "source"], "left_anti"), f"sitemap-{depth}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.join(plain, "source").selectExpr("site", "root as source", "concat(path, array(at)) as pos", "loc")
 
 
 def sitemap_seeds(declared: DataFrame, listed: DataFrame, max_sources: int | None = None) -> DataFrame:

@@ -15,45 +15,45 @@ PROMPT_OVERHEAD = 900
 VISUAL_SLICES = ["colorUsage", "contrast", "textImages", "focusVisible", "sensoryText", "readingOrder"]
 DOCUMENT_SLICES = ["documentStructure", "documentText", "documentComplexInfo"]
 
-# slice -> (array members with their caps, scalar members)
-SLICES: dict[str, tuple[dict[str, tuple[str, int]], dict[str, str]]] = {
-    "images": ({"images": ("images", 60)}, {}),
-    "media": ({"media": ("media", 60), "pageHeadings": ("transform(headings, h -> struct(h.text))", 40)}, {}),
+# slice -> (array members, scalar members); arrays are whole, the token budget alone shortens them
+SLICES: dict[str, tuple[dict[str, str], dict[str, str]]] = {
+    "images": ({"images": "images"}, {}),
+    "media": ({"media": "media", "pageHeadings": "transform(headings, h -> struct(h.text))"}, {}),
     "structure": (
         {
-            "headings": ("headings", 50), "unmarkedHeadings": ("fake_headings", 30), "lists": ("lists", 25), "typedLists": ("fake_lists", 20), "tables": ("tables", 20),
-            "landmarks": ("landmarks", 25), "presentational": ("presentational", 20),
+            "headings": "headings", "unmarkedHeadings": "fake_headings", "lists": "lists", "typedLists": "fake_lists", "tables": "tables",
+            "landmarks": "landmarks", "presentational": "presentational",
         },
         {"hasH1": "has_h1", "sectionCount": "section_count", "textLength": "text_length"},
     ),
-    "readingOrder": ({"reordered": ("css_reordered", 25), "mismatches": ("visual_mismatches", 25)}, {"direction": "if(coalesce(dir, '') = 'rtl', 'rtl', 'ltr')"}),
-    "sensoryText": ({"references": ("sensory", 30)}, {}),
-    "colorUsage": ({"inTextLinks": ("link_styles", 40), "colourCoded": ("colour_coded", 40), "requiredMarkers": ("required_markers", 30)}, {}),
-    "contrast": ({}, {"blocksZoom": "blocks_zoom", "viewport": "viewport"}),
-    "textImages": ({"candidates": ("coalesce(text_images, text_images_static)", 30)}, {}),
+    "readingOrder": ({"reordered": "css_reordered", "mismatches": "visual_mismatches"}, {"direction": "if(coalesce(dir, '') = 'rtl', 'rtl', 'ltr')"}),
+    "sensoryText": ({"references": "sensory"}, {}),
+    "colorUsage": ({"inTextLinks": "link_styles", "colourCoded": "colour_coded", "requiredMarkers": "required_markers"}, {}),
+    "contrast": ({"clippedAt200": "zoom.clipped", "lostAt200": "zoom.lost"}, {"blocksZoom": "blocks_zoom", "viewport": "viewport"}),
+    "textImages": ({"candidates": "coalesce(text_images, text_images_static)"}, {}),
     "keyboard": (
-        {"positiveTabindex": ("positive_tabindex", 20), "hiddenFocusable": ("hidden_focusable", 20), "pseudoControls": ("pseudo_controls", 25), "tabOrder": ("keyboard.stops", 60)},
+        {"positiveTabindex": "positive_tabindex", "hiddenFocusable": "hidden_focusable", "pseudoControls": "pseudo_controls", "tabOrder": "keyboard.stops", "orderMismatches": "keyboard.order_mismatches", "unreachable": "keyboard.unreachable"},
         {"focusable": "focusable_count", "trap": "keyboard.trap.selector", "frame": "keyboard.frame_boundary.selector"},
     ),
-    "timing": ({"metaRefresh": ("meta_refresh", 60), "timers": ("timers", 25)}, {}),
-    "motion": ({"animations": ("animated", 30), "carousels": ("carousels", 15), "autoplay": ("autoplay", 10), "gifs": ("gifs", 15), "movingTags": ("moving_tags", 10)}, {}),
-    "links": ({"links": ("links", 80)}, {}),
+    "timing": ({"metaRefresh": "meta_refresh", "timers": "timers"}, {}),
+    "motion": ({"animations": "animated", "carousels": "carousels", "autoplay": "autoplay", "gifs": "gifs", "movingTags": "moving_tags"}, {}),
+    "links": ({"links": "links"}, {}),
     "navigation": (
-        {"skipLinks": ("skip_links", 15), "navs": ("navs", 6), "landmarks": ("landmarks", 20)},
+        {"skipLinks": "skip_links", "navs": "navs", "landmarks": "landmarks"},
         {"title": "title", "siteName": "site_name", "search": "search_mechanisms", "sitemap": "sitemap_links", "breadcrumbs": "breadcrumbs"},
     ),
-    "headingsLabels": ({"headings": ("headings", 50), "labels": ("controls", 50)}, {}),
-    "focusVisible": ({"withoutIndicator": ("keyboard.no_indicator", 60), "sample": ("keyboard.stops", 25)}, {}),
+    "headingsLabels": ({"headings": "headings", "labels": "controls"}, {}),
+    "focusVisible": ({"withoutIndicator": "keyboard.no_indicator", "sample": "keyboard.stops"}, {}),
     "language": (
-        {"foreign": ("foreign_runs", 25), "islands": ("islands", 25), "englishNames": ("english_names", 25)},
+        {"foreign": "foreign_runs", "islands": "islands", "englishNames": "english_names"},
         {"lang": "lang", "dir": "dir", "rtl": "rtl_content", "langElements": "lang_elements"},
     ),
-    "forms": ({"forms": ("forms", 12), "controls": ("controls", 50), "captcha": ("captcha", 60)}, {}),
-    "formErrors": ({"errorBoxes": ("error_boxes", 25), "controls": ("controls", 40)}, {}),
-    "markupValidity": ({"duplicateIds": ("dup_ids", 25), "brokenRefs": ("broken_refs", 25), "orphanLabels": ("orphan_labels", 25)}, {"doctype": "doctype", "elements": "total_elements"}),
-    "ariaWidgets": ({"widgets": ("widgets", 40), "iconButtons": ("icon_buttons", 25), "iframes": ("iframes", 20), "pseudoControls": ("pseudo_controls", 25)}, {}),
+    "forms": ({"forms": "forms", "controls": "controls", "captcha": "captcha"}, {}),
+    "formErrors": ({"errorBoxes": "error_boxes", "controls": "controls"}, {}),
+    "markupValidity": ({"duplicateIds": "dup_ids", "brokenRefs": "broken_refs", "orphanLabels": "orphan_labels"}, {"doctype": "doctype", "elements": "total_elements"}),
+    "ariaWidgets": ({"widgets": "widgets", "iconButtons": "icon_buttons", "iframes": "iframes", "pseudoControls": "pseudo_controls"}, {}),
     "siteConsistency": (
-        {"widgets": ("widget_candidates", 10), "statementLinks": ("statement_links", 10), "skipLinks": ("skip_links", 10)},
+        {"widgets": "widget_candidates", "statementLinks": "statement_links", "skipLinks": "skip_links", "emails": "transform(emails, e -> struct(e as email))", "phones": "transform(phones, e -> struct(e as phone))", "overlayVendors": "transform(overlay_vendors, e -> struct(e as vendor))"},
         {"search": "search_mechanisms", "sitemap": "sitemap_links", "coordinator": "mentions_coordinator"},
     ),
 }
@@ -62,19 +62,43 @@ SLICES: dict[str, tuple[dict[str, tuple[str, int]], dict[str, str]]] = {
 def slice_needs(names: list[str]) -> set[str]:
     from lucerna.operators.evidence import words_of
 
-    sqls = [sql for n in names for sql, _ in SLICES[n][0].values()] + [sql for n in names for sql in SLICES[n][1].values()]
+    sqls = [sql for n in names for sql in SLICES[n][0].values()] + [sql for n in names for sql in SLICES[n][1].values()]
     return words_of(*sqls)
 
 
+#: where an element stands in its page: left out of evidence texts, so that equal evidence on unlike pages is equal text
+POSITION = r'"(?:pos|s0|s1)":-?\d+,?'
+
+
+def canonical(item: str) -> str:
+    """An item's JSON without positions. Quotes inside strings are escaped, so only keys can match."""
+    return rf"regexp_replace(regexp_replace(to_json({item}), r'{POSITION}', ''), r',}}', '}}')"
+
+
 def slice_parts(name: str) -> tuple[str, str]:
-    """Arrays of JSON items (already capped) and the JSON of the scalars."""
+    """Arrays of JSON items and the JSON of the scalars, free of positions."""
     arrays, scalars = SLICES[name]
-    parts = ", ".join(f"named_struct('name', '{k}', 'items', coalesce(transform(slice({sql}, 1, {n}), x -> to_json(x)), cast(array() as array<string>)))" for k, (sql, n) in arrays.items())
+    parts = ", ".join(f"named_struct('name', '{k}', 'items', coalesce(transform({sql}, x -> {canonical('x')}), cast(array() as array<string>)))" for k, sql in arrays.items())
     arr = f"array({parts})" if parts else "cast(array() as array<struct<name:string,items:array<string>>>)"
     sc = "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in scalars.items()) + "))" if scalars else "'{}'"
     return arr, sc
 
 
+def fragments(evidence: DataFrame, names: list[str], keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """J1, J5 in long form: keys, slice, part, no, address (digest of the fragment's text), json. Narrow.
+
+    A fragment is one item of one part. What many pages repeat, a footer's links say, has one address wherever it stands.
+    """
+    parts = [f"transform({slice_parts(n)[0]}, p -> named_struct('slice', '{n}', 'part', p.name, 'items', p.items))" for n in names]
+    rows = evidence.where("is_dom").selectExpr(*keys, f"inline(concat({', '.join(parts)}))").selectExpr(*keys, "slice", "part", "posexplode(items) as (no, json)")
+    return rows.withColumn("address", F.expr("left(sha2(json, 256), 32)"))
+
+
+def unique_fragments(rows: DataFrame) -> DataFrame:
+    """Each fragment once, with its uses: what is stored, and judged, instead of every page's copy."""
+    return rows.groupBy("address").agg(F.min("json").alias("json"), F.count(F.lit(1)).alias("uses"))
+
+
 def render(arrays: str, scalars: str) -> str:
     """One JSON text from the parts."""
     body = f"array_join(transform({arrays}, a -> concat('\"', a.name, '\":[', array_join(a.items, ','), ']')), ',')"
@@ -116,17 +140,31 @@ def visual(slice_col: str) -> str:
     return f"{slice_col} in ({', '.join(repr(s) for s in VISUAL_SLICES)})"
 
 
-def site_slice(pages: DataFrame, per_titles: int = 40, per_names: int = 15) -> DataFrame:
-    """The comparison set of each (site, language): first titles and first navigations in crawl order."""
+def site_slice(pages: DataFrame, per_titles: int | None = None, per_names: int | None = None) -> DataFrame:
+    """What each (site, language) is compared on, in long form: site, base_lang, kind, place, url, value.
+
+    Kinds are ``title``, ``nav`` and ``names``; ``place`` is the page's place in crawl order within its set, so that a limit,
+    where one is wanted, is a filter (``per_titles``, ``per_names``). Nothing of a set is ever gathered into one row.
+    """
     from lucerna.operators.site import base_lang
     from lucerna.operators.skew import first_k
 
     base = pages.where("load_error is null").withColumn("base_lang", F.expr(base_lang("lang")))
-    top = first_k(base.select("site", "base_lang", "crawl_order", "url", "title", "nav_seq", "components"), ["site", "base_lang"], [F.col("crawl_order"), F.col("url")], per_titles)
-    return top.groupBy("site", "base_lang").agg(
-        F.expr("to_json(transform(array_sort(collect_list(struct(_rank, url, title))), x -> struct(x.url, x.title)))").alias("titles"),
-        F.expr(f"to_json(transform(filter(array_sort(collect_list(struct(_rank, url, nav_seq))), x -> x._rank <= {per_names}), x -> struct(x.url, x.nav_seq)))").alias("navs"),
-        F.expr(f"to_json(transform(filter(array_sort(collect_list(struct(_rank, url, to_json(components) as names))), x -> x._rank <= {per_names}), x -> struct(x.url, x.names)))").alias("names"),
+    slim = base.select("site", "base_lang", "crawl_order", "url", "title", F.to_json("nav_seq").alias("nav"), F.to_json("components").alias("names"))
+    order = [F.col("crawl_order"), F.col("url")]
+    if per_titles is not None and per_names is not None:
+        placed = first_k(slim, ["site", "base_lang"], order, max(per_titles, per_names), "place")
+        limit = f"place <= if(kind = 'title', {per_titles}, {per_names})"
+    else:
+        placed, limit = slim.withColumn("place", F.lit(None).cast("int")), "true"
+    long = placed.select("site", "base_lang", "crawl_order", "place", "url", F.expr("stack(3, 'title', title, 'nav', nav, 'names', names) as (kind, value)"))
+    return long.where(limit).select("site", "base_lang", "kind", "crawl_order", "place", "url", "value")
+
+
+def site_facts_slice(sites: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row a site with its flags and what its statement page holds, for the rows that compare pages."""
+    return sites.join(audits, "site", "left").select(
+        "site", F.expr("to_json(named_struct('pageCount', page_count, 'search', site_search, 'sitemap', site_sitemap, 'breadcrumbs', site_breadcrumbs, 'statement', statement))").alias("facts")
     )
 
 

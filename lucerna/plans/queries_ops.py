@@ -124,18 +124,39 @@ def s6(spark, d):
     return crawl.sitemap_urls(sm.drop("page_id")).select("site", "source", "loc")
 
 
+# three levels of index files, the lowest of which lists the top one again
+DEEP = (
+    "SELECT host AS site, concat('https://', host, '/top-', cast(page_id AS string), '.xml') AS source, concat('<sitemapindex><sitemap><loc>https://', host, '/mid-', cast(page_id AS string), '.xml</loc></sitemap><sitemap><loc>https://', host, '/leaf-', cast(page_id AS string), '.xml</loc></sitemap></sitemapindex>') AS xml FROM {h}"
+    " UNION ALL SELECT host, concat('https://', host, '/mid-', cast(page_id AS string), '.xml'), concat('<sitemapindex><loc>https://', host, '/low-', cast(page_id AS string), '.xml</loc></sitemapindex>') FROM {h}"
+    " UNION ALL SELECT host, concat('https://', host, '/low-', cast(page_id AS string), '.xml'), concat('<sitemapindex><loc>https://', host, '/top-', cast(page_id AS string), '.xml</loc><loc>https://', host, '/deep-', cast(page_id AS string), '.xml</loc></sitemapindex>') FROM {h}"
+    " UNION ALL SELECT host, concat('https://', host, '/deep-', cast(page_id AS string), '.xml'), concat('<urlset><loc>', url, '</loc></urlset>') FROM {h}"
+    " UNION ALL SELECT host, concat('https://', host, '/leaf-', cast(page_id AS string), '.xml'), concat('<urlset><loc>https://', host, '/a</loc><loc>https://', host, '/b</loc></urlset>') FROM {h}"
+)
+
+
+@query(
+    "s6_nested_sitemaps",
+    f"WITH h AS (SELECT * FROM {HOSTS.format(t='pages')}) SELECT host AS site, 'https://' || host || '/top-' || page_id || '.xml' AS source, '0,0,1,0' AS pos, url AS loc FROM h"
+    " UNION ALL SELECT host, 'https://' || host || '/top-' || page_id || '.xml', '1,' || k, 'https://' || host || CASE k WHEN 0 THEN '/a' ELSE '/b' END FROM h, (SELECT unnest([0, 1]) AS k) n",
+)
+def s6_nested(spark, d):
+    h = HOSTS.format(t="lucerna_src_pages")
+    roots = derive(spark, d, f"SELECT host AS site, concat('https://', host, '/top-', cast(page_id AS string), '.xml') AS source FROM {h}", p="pages")
+    found = crawl.sitemap_urls(derive(spark, d, DEEP.format(h=h), p="pages"), roots)
+    return found.selectExpr("site", "source", "array_join(pos, ',') as pos", "loc")
+
+
 @query(
     "u17_sitemap_seeds",
-    f"""WITH h AS (SELECT * FROM {HOSTS.format(t='pages')}), s AS (SELECT host, min(page_id) FILTER (page_id % 2 = 0 AND page_id % 10 <> 0) AS even, min(page_id) AS any_page FROM h GROUP BY 1)
-    SELECT h.host AS site, h.url AS loc, 1 AS depth FROM h JOIN s ON h.host = s.host AND h.page_id = s.even UNION ALL SELECT host, 'https://' || host || '/extra', 1 FROM s WHERE even IS NOT NULL""",
+    f"""WITH h AS (SELECT * FROM {HOSTS.format(t='pages')}), s AS (SELECT host, min(page_id) AS p FROM h GROUP BY 1)
+    SELECT h.host AS site, h.url AS loc, 1 AS depth FROM h JOIN s ON h.host = s.host AND h.page_id = s.p UNION ALL SELECT host, 'https://' || host || '/extra', 1 FROM s""",
 )
 def u17(spark, d):
     sm = derive(spark, d, SITEMAPS.format(h=HOSTS.format(t="lucerna_src_pages")), p="pages")
-    listed = crawl.sitemap_urls(sm.where("page_id % 2 = 0 and page_id % 10 <> 0").drop("page_id"))
-    hosts = table(spark, d, "pages").selectExpr("page_id", f"{U.host('url')} as site")
-    # every site tries a file that does not exist first, then its even-numbered file
-    first = hosts.groupBy("site").agg(F.expr("min(if(page_id % 2 = 0 and page_id % 10 <> 0, page_id, null))").alias("p"))
-    declared = first.selectExpr("site", "posexplode(array(concat('https://', site, '/none.xml'), concat('https://', site, '/sm-', p, '.xml'))) as (source_no, source)")
+    listed = crawl.sitemap_urls(sm.drop("page_id"))
+    # every site tries a file that does not exist first, then the index file or plain file of its first page
+    first = table(spark, d, "pages").selectExpr("page_id", f"{U.host('url')} as site").groupBy("site").agg(F.min("page_id").alias("p"))
+    declared = first.selectExpr("site", "posexplode(array(concat('https://', site, '/none.xml'), concat('https://', site, if(p % 10 = 0, '/index-', '/sm-'), p, '.xml'))) as (source_no, source)")
     return crawl.sitemap_seeds(declared, listed).select("site", "loc", "depth")
 
 

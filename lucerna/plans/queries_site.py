@@ -577,10 +577,36 @@ def j1(spark, d):
     return J.with_slices(ev, names).select("page_id", "slice", "tokens", "visual", F.sha2("json", 256).alias("digest"))
 
 
-@query(
-    "j2_site_slice",
-    f"""WITH {site_pages(M)}, r AS (SELECT *, lower(split_part(lang, '-', 1)) AS base_lang, row_number() OVER (PARTITION BY site, lower(split_part(lang, '-', 1)) ORDER BY page_id) AS r FROM sp) SELECT site, base_lang, count(*) FILTER (r <= 40)::INT AS titles, count(*) FILTER (r <= 15)::INT AS navs FROM r GROUP BY 1, 2""",
-)
+_J2 = f"""WITH {site_pages(M)}, r AS (SELECT *, lower(split_part(lang, '-', 1)) AS base_lang, row_number() OVER (PARTITION BY site, lower(split_part(lang, '-', 1)) ORDER BY page_id) AS r FROM sp)"""
+
+
+@query("j2_site_slice", f"{_J2} SELECT site, base_lang, url, 'title' AS kind, title AS value FROM r UNION ALL SELECT site, base_lang, url, 'nav', '[' || array_to_string(list_transform({_SEQ}, lambda x: '\"' || x || '\"'), ',') || ']' FROM r")
 def j2(spark, d):
     f = once(spark, d, "facts-mutated", lambda: page_facts(mutated(spark, d), []))
-    return J.site_slice(f).selectExpr("site", "base_lang", "json_array_length(titles) as titles", "json_array_length(navs) as navs")
+    return J.site_slice(f).where("kind <> 'names'").select("site", "base_lang", "url", "kind", "value")
+
+
+@query("j2_site_slice_limits", f"{_J2} SELECT site, base_lang, count(*) FILTER (r <= 40) AS titles, count(*) FILTER (r <= 15) AS navs FROM r GROUP BY 1, 2")
+def j2b(spark, d):
+    f = once(spark, d, "facts-mutated", lambda: page_facts(mutated(spark, d), []))
+    return J.site_slice(f, 40, 15).groupBy("site", "base_lang").agg(F.expr("count_if(kind = 'title')").alias("titles"), F.expr("count_if(kind = 'nav')").alias("navs"))
+
+
+# every page gets one footer behind a different number of elements: its links are one fragment each, whatever stands before
+FOOTERS = "SELECT page_id, url, concat('<html lang=\"en\"><body><main>', repeat('<p>filler</p>', cast(page_id % 7 AS int)), '</main><footer id=\"f\"><a href=\"/imprint\">Imprint</a><a href=\"/topic-', cast(page_id % 5 AS string), '\">Topic ', cast(page_id % 5 AS string), '</a></footer></body></html>') AS html FROM {t}"
+
+
+@query("j5_fragments", "SELECT text, uses FROM (SELECT 'Imprint' AS text, count(*) AS uses FROM pages GROUP BY page_id % 5 UNION ALL SELECT 'Topic ' || (page_id % 5), count(*) FROM pages GROUP BY 1) x")
+def j5_fragments(spark, d):
+    ev = evidence(derive(spark, d, FOOTERS.format(t="lucerna_src_pages"), p="pages"), J.slice_needs(["links"]))
+    return J.unique_fragments(J.fragments(ev, ["links"])).selectExpr("get_json_object(json, '$.text') as text", "uses")
+
+
+@query(
+    "j1_slice_text",
+    """SELECT page_id, '{"links":[' || '{"selector":"#f > a:nth-of-type(1)","text":"Imprint","name":"Imprint","href":"/imprint","new_window":false,"warns":false,"generic":false,"is_url":false,"empty":false,"image_only":false,"context":"ImprintTopic ' || (page_id % 5) || '","visible":true,"region":"footer","ambiguous":false},{"selector":"#f > a:nth-of-type(2)","text":"Topic ' || (page_id % 5) || '","name":"Topic ' || (page_id % 5) || '","href":"/topic-' || (page_id % 5) || '","new_window":false,"warns":false,"generic":false,"is_url":false,"empty":false,"image_only":false,"context":"ImprintTopic ' || (page_id % 5) || '","visible":true,"region":"footer","ambiguous":false}' || '],"facts":{}}' AS json FROM pages""",
+)
+def j1_text(spark, d):
+    ev = evidence(derive(spark, d, FOOTERS.format(t="lucerna_src_pages"), p="pages"), J.slice_needs(["links"]))
+    return J.with_slices(ev, ["links"]).select("page_id", "json")
+
