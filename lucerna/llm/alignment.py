@@ -240,7 +240,7 @@ def _listed(ids: np.ndarray, group: np.ndarray, n: int) -> list[str]:
 
 def aligner(a: str = A, b: str = B) -> Aligner:
     """One for each Python worker."""
-    kept = process_cache()
+    kept = process_cache("tokens")
     if ("align", a, b) not in kept:
         kept["align", a, b] = Aligner(a, b)
     return kept["align", a, b]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -28,9 +29,19 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def process_cache() -> dict:
-    """What a Python worker keeps from task to task. Functions travel by value, so their module's globals do not last."""
-    return sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
+def process_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one kind of work; the next kind's first task frees it.
+
+    Functions travel by value, so their module's globals do not last. A worker serves many stages, and an executor's memory
+    has no room for what stages before have left.
+    """
+    kept = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
+    if kept.get("_owner") != owner:
+        for name in [n for n in kept if not str(n).startswith("__")]:
+            del kept[name]
+        gc.collect()
+        kept["_owner"] = owner
+    return kept
 
 
 def query(name: str, sql: str | None = None):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lucerna.llm.base import join_sources, pick, query, ship, staged, table
+from lucerna.llm.base import join_sources, pick, process_cache, query, ship, staged, table
 
 ship(__name__)
 
@@ -79,6 +79,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("rules")
         for batch in batches:
             rows = [_measure(t.as_py()) for t in batch.column(text_col)]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(MEASURES)

@@ -35,7 +35,7 @@ KEPT_QUANTILE = 0.999
 
 def _letters() -> np.ndarray:
     """Whether a code point is a letter; computed once per worker."""
-    kept = process_cache()
+    kept = process_cache("langid")
     if "letters" not in kept:
         kept["letters"] = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
     return kept["letters"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lucerna.llm.base import pick, query, ship, staged, table
+from lucerna.llm.base import pick, process_cache, query, ship, staged, table
 from lucerna.operators.skew import join_on_hot_key
 
 ship(__name__)
@@ -63,6 +63,7 @@ def kept_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     half = (min_words + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("lines")
         for batch in batches:
             row, found, places = [], [], []
             for k, text in enumerate(batch.column("text")):
@@ -85,6 +86,7 @@ def suspect_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     half = (min_words + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("lines")
         for batch in batches:
             for k, text in enumerate(batch.column("text")):
                 words = word_hashes(text.as_py())
@@ -169,6 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("lines")
         for batch in batches:
             *columns, spans = batch.columns
             n_spans = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)

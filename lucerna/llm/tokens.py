@@ -25,7 +25,7 @@ SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 
 def encoder(name: str = TOKENIZER) -> "PieceEncoder":
     """One encoder for each Python worker."""
-    kept = process_cache()
+    kept = process_cache("tokens")
     if name not in kept:
         kept[name] = PieceEncoder(name)
     return kept[name]
