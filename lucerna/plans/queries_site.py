@@ -21,6 +21,7 @@ from lucerna.plans.registry import M, query, unescape
 from lucerna.plans.review import evidence, kept_facts, page_facts, review, review_changes, verdicts
 from lucerna.operators.catalogue import CATALOGUE_VERSION
 from lucerna.operators.page_rules import rule_results, with_site_defaults
+from lucerna.streaming.jobs import incremental_review
 from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
 
 _MEMO: dict[tuple, object] = {}
@@ -610,3 +611,12 @@ def j1_text(spark, d):
     ev = evidence(derive(spark, d, FOOTERS.format(t="lucerna_src_pages"), p="pages"), J.slice_needs(["links"]))
     return J.with_slices(ev, ["links"]).select("page_id", "json")
 
+
+# ---- the review as a stream ---------------------------------------------------------------------------
+
+@query("w1_incremental_review", f"{RV} SELECT page_id, item_id, verdict, confidence FROM v")
+def w1(spark, d):
+    """The pages with defects arrive in four files, a batch each; after the last one the verdicts are those of the whole review."""
+    pages = materialize(mutated(spark, d).repartition(4, "page_id"), "arriving")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", "1").parquet(pages.inputFiles()[0].rsplit("/", 1)[0])
+    return incremental_review(spark, stream).select("page_id", "item_id", "verdict", "confidence")

@@ -92,14 +92,14 @@ def test_judged_and_unjudged_rows_are_the_same_rows(spark, sf):
 
 def test_streams_agree_with_batch(spark, sf):
     events = table(spark, sf, "events")
-    spend = W.collected(spark, W.daily_spend(W.job_stream(spark, sf)), "complete", "t-spend")
+    spend = W.collected(spark, W.daily_spend(W.job_stream(spark, sf)), "update", "t-spend", ["day"])
     assert spend.agg(F.sum("scans")).first()[0] == events.count()
     once = W.collected(spark, W.rescan_cooldown(W.job_stream(spark, sf)), "append", "t-cool")
-    assert once.count() == once.select("url").distinct().count() == events.selectExpr("user_id % 20").distinct().count()
+    assert once.count() == once.select("url").distinct().count() == events.select("user_id").distinct().count()
     active = W.collected(spark, W.active_jobs(W.job_stream(spark, sf)), "update", "t-active")
     assert active.where("active < 0").count() == 0 and active.count() > 0
     batch = review(table(spark, sf, "pages"), items=["R27", "R30", "R34", "R35", "R44"]).select("page_id", "item_id", "verdict", "confidence")
-    stream = W.incremental_review(spark, f"{sf}/pages*.parquet")
+    stream = W.incremental_review(spark, f"{sf}/pages*.parquet", ["R27", "R30", "R34", "R35", "R44"]).select("page_id", "item_id", "verdict", "confidence")
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
     late = W.late_ledger(events, 4_000_000_000_000)
     assert late.count() == events.count() and W.late_ledger(events, 0).count() == 0
@@ -164,3 +164,65 @@ def test_review_of_changes_equals_the_full_review(spark, sf):
     # recorded evidence is part of the content
     timed = after.withColumn("timers", F.expr("array(named_struct('kind', 'timeout', 'delay_ms', 5.0D, 'stack', ''))"))
     assert facts_after(timed, kept, items=items).join(kept.select("content"), "content", "left_semi").count() == 0
+
+
+def split_events(spark, sf, tmp_path, files=6):
+    """The given events in time order, a file each for six stretches of time."""
+    import time
+
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*[c.split()[0] for c in W.EVENT_SCHEMA.split(", ")])
+    lo, hi = ev.selectExpr("min(unix_micros(ts))", "max(unix_micros(ts))").first()
+    for k in range(files):
+        part = ev.where(f"cast(floor((unix_micros(ts) - {lo}) * {files} / ({hi} - {lo} + 1)) as int) = {k}")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events{k}.parquet")
+        time.sleep(1.1)  # files are taken in order of their times
+    return ev
+
+
+def test_site_rows_follow_every_batch(spark, sf, tmp_path):
+    """Pages in four batches: after the last one all rows equal the batch review, the rows that compare pages too."""
+    pages = earlier(spark, sf).where("page_id < 80")
+    pages.repartition(4, "page_id").write.parquet(f"{tmp_path}/pages")
+    items = ["R27", "R29", "R39", "R40", "IL01", "IL02"]
+    stream = spark.readStream.schema("page_id bigint, url string, html string").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/pages")
+    got = W.incremental_review(spark, stream, items).select("page_id", "item_id", "verdict", "confidence")
+    want = review(pages, items=items).select("page_id", "item_id", "verdict", "confidence")
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
+def test_sessions_closed_and_open_are_all_sessions(spark, sf, tmp_path):
+    ev = split_events(spark, sf, tmp_path)
+    closed, still = W.session_outputs(spark, W.job_stream(spark, str(tmp_path), maxFilesPerTrigger="1"))
+    rows = sorted((r.user_id, r.us) for r in ev.selectExpr("user_id", "unix_micros(ts) as us").collect())
+    want = []
+    for user, us in rows:
+        if want and want[-1][0] == user and us < want[-1][2]:
+            want[-1] = [user, want[-1][1], us + 1_800_000_000, want[-1][3] + 1]
+        else:
+            want.append([user, us, us + 1_800_000_000, 1])
+    shape = "site", "unix_micros(session_start) as a", "unix_micros(session_end) as b", "n"
+    shut, alive = ([list(r) for r in df.selectExpr(*shape).collect()] for df in (closed, still))
+    assert sorted(shut + alive) == sorted(want) and shut and alive
+    mark = max(us for _, us in rows) - 600_000_000
+    assert all(b <= mark for _, _, b, _ in shut) and all(b > mark - 1000 for _, _, b, _ in alive)
+
+
+def test_late_rows_and_rows_in_time_are_the_input(spark, sf, tmp_path):
+    ev = split_events(spark, sf, tmp_path, files=3)
+    ev.where("event_id % 10 = 0").withColumn("ts", F.expr("ts - interval 400 days")).coalesce(1).write.parquet(f"{tmp_path}/events9.parquet")
+    raw = spark.readStream.schema(W.EVENT_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/events*.parquet")
+    in_time, late = W.delta_with_ledger(spark, raw, table(spark, sf, "customer").selectExpr("c_custkey as user_id", "true as was_broken"))
+    total = ev.count()
+    assert late.count() == ev.where("event_id % 10 = 0").count() and in_time.count() == total
+    assert late.selectExpr("max(unix_micros(ts))").first()[0] < ev.selectExpr("min(unix_micros(ts))").first()[0]
+
+
+def test_state_of_windows_stays_bounded(spark, sf, tmp_path):
+    """In update mode a window leaves the state once the watermark passes it; its last row stays in the output."""
+    ev = split_events(spark, sf, tmp_path)
+    progress = []
+    out = W.collected(spark, W.job_progress(W.job_stream(spark, str(tmp_path), maxFilesPerTrigger="1")), "update", "t-progress", ["window_start", "phase"], progress)
+    want = ev.groupBy(F.window("ts", "10 minutes", "1 minute").alias("w"), "event_type").count()
+    assert out.count() == want.count() and out.agg(F.sum("n")).first()[0] == want.agg(F.sum("count")).first()[0]
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert len(kept) >= 6 and kept[-1] < 0.5 * want.count()
