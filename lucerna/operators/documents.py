@@ -66,11 +66,11 @@ def text_facts(docs: DataFrame, text: str = "text", max_lines: int | None = None
                 "language": F.expr(f"if({text} rlike {lit(P.HEBREW)}, 'he', null)"),
                 "tagged": F.lit(False),
                 "text_length": F.expr(rf"char_length(regexp_replace({text}, r'^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', ''))"),
-                "text_runs": F.expr(f"transform(_lines, x -> named_struct({place(line='x.n')}, 'text', left(x.s, 120)))"),
+                "text_runs": F.expr(f"transform(_lines, x -> named_struct({place(line='x.n')}, 'text', x.s))"),
                 # quirk kept: the level counts every dot of the line
                 "headings": F.expr(
                     f"transform(filter(_lines, x -> x.s rlike {heading}), x -> named_struct({place(line='x.n')}, 'level', char_length(x.s) - char_length(replace(x.s, '.', '')) + 1,"
-                    " 'text', left(x.s, 120), 'fake', false, 'missing', false, 'duplicate', false, 'generic', false, 'size_pt', cast(null as double), 'bold', cast(null as boolean)))"
+                    " 'text', x.s, 'fake', false, 'missing', false, 'duplicate', false, 'generic', false, 'size_pt', cast(null as double), 'bold', cast(null as boolean)))"
                 ),
                 "lists": F.expr(
                     f"transform(filter(_lines, x -> not x.s rlike {heading} and x.raw rlike {lit(P.DOC_TYPED_BULLET)}), x -> named_struct({place(line='x.n')}, 'text', cast(null as string), 'manual', true, 'items', 1))"

@@ -132,8 +132,11 @@ def evaluate_pages(pages: DataFrame, level: str = "AA", use_ai: bool = False, it
     fields = ", ".join(f"'{k}', counts.{k}" for k in A.COUNTS)
     facts = "array(" + ", ".join(_row_facts(r) for r in rows) + ")"
     # the counts row is bound once as a lambda variable, so the contract is checked once per page
+    # a row about several pages must not pass as not applicable because nobody counted them
+    many = any(r.probe == "isMultiPageSite" for r in rows)
+    site_pages = "if(page_count is null, cast(raise_error('page_count is missing: rows that compare pages need the site context') as bigint), page_count)" if many else "coalesce(page_count, 1)"
     sql = (
-        f"flatten(transform(transform(array(if(counts is null, null, named_struct({fields}, 'sitePageCount', coalesce(page_count, 1)))),"
+        f"flatten(transform(transform(array(if(counts is null, null, named_struct({fields}, 'sitePageCount', {site_pages}))),"
         f" c -> {A.checked('c')}), c -> transform({facts}, r -> {_decide(use_ai)})))"
     )
     # the outer generator keeps Spark from testing size(array) first, which would evaluate every rule twice
@@ -209,6 +212,38 @@ def run_stats(results: DataFrame) -> DataFrame:
     return per_page.rollup("site").agg(F.count(F.lit(1)).alias("pages_scanned"), F.expr("count_if(failed)").alias("pages_failed"))
 
 
+TARGET = ["site", "kind", "target", "item_id", "verdict", "confidence", "findings", "method", "note"]
+
+
+def all_targets(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of pages and of linked documents in one shape, for the rollups over both. ``documents`` has ``site`` and ``url``."""
+    one = pages.withColumns({"kind": F.lit("page"), "target": F.col("url")}).select(*TARGET)
+    return one.unionByName(documents.withColumns({"kind": F.lit("document"), "target": F.col("url")}).select(*TARGET))
+
+
+def run_totals(targets: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Per site and in total, pages and documents scanned and failed, and addresses skipped. ``skipped``: site, url, reason.
+
+    A site that has only skipped addresses has a row too.
+    """
+    failed = targets.groupBy("site", "kind", "target").agg(F.expr("bool_or(verdict = 'FAIL')").alias("failed"))
+    ledger = skipped.select("site", F.lit("skipped").alias("kind"), F.col("url").alias("target"), F.lit(False).alias("failed"))
+    counts = {f"{k}s_{what}": F.expr(f"count_if(kind = '{k}'{cond})") for k in ("page", "document") for what, cond in (("scanned", ""), ("failed", " and failed"))}
+    return failed.unionByName(ledger).rollup("site").agg(*[c.alias(n) for n, c in counts.items()], F.expr("count_if(kind = 'skipped')").alias("skipped"))
+
+
+def shared_failures(targets: DataFrame, *keys: str) -> DataFrame:
+    """per catalogue row, on how many targets of each kind it fails for real and how many nothing verified; most shared first.
+
+    What fails on many targets is best fixed once, in what they share. Counts combine before the shuffle.
+    """
+    real = "verdict = 'FAIL' and confidence > 0"
+    out = targets.where("verdict = 'FAIL'").groupBy(*keys, "item_id").agg(
+        F.expr(f"count_if({real} and kind = 'page')").alias("pages"), F.expr(f"count_if({real} and kind = 'document')").alias("documents"), F.expr("count_if(confidence = 0)").alias("unverified")
+    )
+    return out.withColumn("shared", F.expr("pages + documents > 1"))
+
+
 def totals(results: DataFrame) -> DataFrame:
     """Pass rate over assessed rows, real failures apart from unverified ones."""
     s = summarise(results)

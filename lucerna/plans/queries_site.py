@@ -22,7 +22,7 @@ from lucerna.plans.review import evidence, kept_facts, page_facts, review, revie
 from lucerna.operators.catalogue import CATALOGUE_VERSION
 from lucerna.operators.page_rules import rule_results, with_site_defaults
 from lucerna.streaming.jobs import incremental_review
-from lucerna.sources.tables import check_sheet, index_sheet, remediation_text, report_rows
+from lucerna.sources.tables import check_sheet, index_of_targets, index_sheet, remediation_text, report_rows
 
 _MEMO: dict[tuple, object] = {}
 
@@ -620,3 +620,74 @@ def w1(spark, d):
     pages = materialize(mutated(spark, d).repartition(4, "page_id"), "arriving")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", "1").parquet(pages.inputFiles()[0].rsplit("/", 1)[0])
     return incremental_review(spark, stream).select("page_id", "item_id", "verdict", "confidence")
+
+
+# ---- rollups over pages and documents ------------------------------------------------------------------
+
+_DOC_SITE = "CASE WHEN doc_id % 3 = 0 THEN 'docs.example' ELSE 'files.example' END"
+
+
+def _targets_sql() -> str:
+    # every third document starts with a numbered line two levels below the one before it: D02 fails there for real
+    from lucerna.plans.registry import REGISTRY
+
+    return (
+        f"{RV}, tg AS (SELECT v.site, 'page' AS kind, m.url AS target, item_id, verdict, confidence FROM v JOIN m USING (page_id)"
+        f" UNION ALL SELECT {_DOC_SITE}, 'document', 'doc' || doc_id, item_id, verdict, CASE WHEN verdict = 'FAIL' AND NOT (item_id = 'D09' OR item_id = 'D03' AND has_lists OR item_id = 'D02' AND doc_id % 3 = 0) THEN 0 ELSE 1 END"
+        f" FROM ({REGISTRY['d20_document_verdicts'][1].replace('SELECT doc_id, item_id, CASE WHEN NOT ok', 'SELECT doc_id, item_id, failed AS has_lists, CASE WHEN NOT ok')}) d)"
+    )
+
+
+def targets(spark, d):
+    """The reviewed pages and the plain-text documents, in one shape."""
+    from lucerna.operators import documents as D
+    from lucerna.plans.queries_ops import docs
+
+    f = D.with_counts(D.text_facts(docs(spark, d))).withColumns({"url": F.expr("concat('doc', doc_id)"), "file_name": F.expr("concat('doc-', doc_id, '.txt')"), "site": F.expr(_DOC_SITE)})
+    return once(spark, d, "targets", lambda: V.all_targets(reviewed(spark, d), D.evaluate_documents(f, keys=("site", "url"))))
+
+
+TG = _targets_sql()
+
+
+@query("v16_ranking_all_targets", f"{TG}, g AS (SELECT item_id, count(*) FILTER (verdict = 'FAIL') AS fail_count, count(*) AS total FROM tg WHERE verdict <> 'NA' GROUP BY 1), {CAT_DB} SELECT item_id, criterion, fail_count, total, fail_count::DOUBLE / total AS rate FROM g JOIN catalogue USING (item_id) WHERE fail_count > 0")
+def v16_all(spark, d):
+    return V.rank_failures(targets(spark, d)).select("item_id", "criterion", "fail_count", "total", "rate")
+
+
+_SKIPPED = "SELECT {site} AS site, concat('u', cast(event_id AS string)) AS url, event_type AS reason FROM {t} WHERE event_type = 'error'"
+
+
+@query(
+    "v17_run_totals",
+    f"""{TG}, f AS (SELECT site, kind, target, bool_or(verdict = 'FAIL') AS failed FROM tg GROUP BY 1, 2, 3 UNION ALL SELECT site, 'skipped', url, false FROM ({_SKIPPED.format(site="CASE WHEN user_id % 2 = 0 THEN 'docs.example' ELSE 'other.example' END", t='events')}) s)
+    SELECT site, count(*) FILTER (kind = 'page') AS pages_scanned, count(*) FILTER (kind = 'page' AND failed) AS pages_failed, count(*) FILTER (kind = 'document') AS documents_scanned, count(*) FILTER (kind = 'document' AND failed) AS documents_failed, count(*) FILTER (kind = 'skipped') AS skipped FROM f GROUP BY ROLLUP (site)""",
+)
+def v17_all(spark, d):
+    skipped = derive(spark, d, _SKIPPED.format(site="if(user_id % 2 = 0, 'docs.example', 'other.example')", t="lucerna_src_events"), e="events")
+    return V.run_totals(targets(spark, d), skipped)
+
+
+@query("s9_index_of_targets", f"{TG} SELECT site, kind, target, {AGG} FROM tg GROUP BY 1, 2, 3")
+def s9_all(spark, d):
+    return index_of_targets(targets(spark, d))
+
+
+@query("f5_shared_failures", f"{TG}, s AS (SELECT site, item_id, count(*) FILTER (confidence > 0 AND kind = 'page') AS pages, count(*) FILTER (confidence > 0 AND kind = 'document') AS documents, count(*) FILTER (confidence = 0) AS unverified FROM tg WHERE verdict = 'FAIL' GROUP BY 1, 2) SELECT *, pages + documents > 1 AS shared FROM s")
+def f5_shared(spark, d):
+    return V.shared_failures(targets(spark, d), "site")
+
+
+# a run with broken promises: every ninth unverified failure passed off as a pass, reasons of some rows gone, rows of some pages lost
+_BROKEN_RUN = ["page_id", "item_id", "if(confidence = 0 and page_id % 9 = 0, 'PASS', verdict) as verdict", "confidence", "if(page_id % 10 = 0, null, note) as note"]
+
+
+@query(
+    "v22_broken_promises",
+    f"""{RV} SELECT page_id::VARCHAR AS target, item_id, 'unverified row that is not a failure' AS problem FROM v WHERE confidence = 0 AND page_id % 9 = 0 AND NOT (page_id % 11 = 0 AND item_id = 'R30')
+    UNION ALL SELECT page_id::VARCHAR, item_id, 'NA without a reason' FROM v WHERE verdict = 'NA' AND page_id % 10 = 0 AND NOT (page_id % 11 = 0 AND item_id = 'R30')
+    UNION ALL SELECT page_id::VARCHAR, 'R30', 'row missing' FROM pages WHERE page_id % 11 = 0""",
+)
+def v22_broken(spark, d):
+    run = reviewed(spark, d).selectExpr(*_BROKEN_RUN).where("not (page_id % 11 = 0 and item_id = 'R30')")
+    return V.quality_gates(run, table(spark, d, "pages").select("page_id"), "page_id")

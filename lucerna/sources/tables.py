@@ -60,10 +60,10 @@ def write_report_json(results: DataFrame, path: str) -> None:
 def check_sheet(results: DataFrame) -> DataFrame:
     """The nine columns of the check sheet in their official order, with the target in front."""
     cat = F.broadcast(catalogue_df(results.sparkSession).select("item_id", "criterion", "name", F.col("effective_level").alias("level"), "part"))
-    text = "array_join(concat(if(note is null or note = '', array(), array(note)), transform(findings, f -> concat_ws(' | ', f.locator, f.reason, left(f.snippet, 200)))), '\\n')"
+    text = "array_join(concat(if(note is null or note = '', array(), array(note)), transform(findings, f -> concat_ws(' | ', f.locator, f.reason, f.snippet))), '\\n')"
     return labels(results.join(cat, "item_id")).selectExpr(
         "url", "ordinal", "split_part(criterion, '.', 1) as guideline", "criterion", "name", "concat(criterion, ' ', name) as description", "level", "verdict_label as result",
-        f"if(char_length({text}) > 32000, concat(left({text}, 32000), '…'), {text}) as findings_text", "method_label as method", "if(method in ('ai', 'auto+ai'), confidence, null) as confidence",
+        f"{text} as findings_text", "method_label as method", "if(method in ('ai', 'auto+ai'), confidence, null) as confidence",
     )
 
 
@@ -78,6 +78,11 @@ def index_sheet(results: DataFrame) -> DataFrame:
     return summarise(results, "site", "url")
 
 
+def index_of_targets(targets: DataFrame) -> DataFrame:
+    """One line per page and document (``all_targets``)."""
+    return summarise(targets, "site", "kind", "target")
+
+
 def remediation_text(steps: DataFrame) -> DataFrame:
     """The text of each target's fixes, in step order (``fix_order`` output)."""
     line = "concat('### ', step_no, ' ', criterion, ' ', name, '\\n', array_join(transform(findings, f -> concat('- ', f.locator, ' - ', f.reason)), '\\n'))"
