@@ -13,6 +13,7 @@ from lucerna.operators import verdict as V
 from lucerna.operators.applicability import PAGE_PROBES, condition
 from lucerna.operators.catalogue import CANCELLED, CATALOGUE, rows_for
 from lucerna.plans import corpus
+from lucerna.plans import queries_ops  # noqa: F401  (registers the document queries, whose SQL is used here)
 from lucerna.plans.corpus import derive, mutated, table
 from lucerna.plans.materialize import materialize
 from lucerna.plans.queries_pages import COUNT_SQL, LINKS, TITLE, SITE_NAME
