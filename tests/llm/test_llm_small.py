@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,53 @@ def test_line_dedup_inside_lines(spark):
     assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "five six\nseven", "", rows[3][1]]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_line_dedup_words_of_neighbouring_texts(kind):
+    texts = ["", "a", None, "bc d", "é\tx\n\ny", "", " lead", "trail ", "w " * 40, None, "", "z"]
+    batch = pa.array(["cut off", *texts], kind).slice(1)
+    alone = {w: line_dedup.words_of(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w.encode())]))[0][0] for t in texts for w in (t or "").split()}
+    for at_once in (1, 7, 1000):
+        got = []
+        for k, data, offsets in line_dedup.slabs(batch, at_once):
+            assert k == len(got)
+            words, before = line_dedup.words_of(data, offsets)
+            got += [words[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)]
+        assert got == [[alone[w] for w in (t or "").split()] for t in texts]
+
+
+def test_line_dedup_fingerprints():
+    rng = np.random.default_rng(5)
+    for groups in (rng.integers(0, 5, 200), rng.integers(0, 2**63, 200), np.zeros(40)):
+        for width in (1, 2, 7, 26):
+            own = [max(range(i, i + width), key=lambda j: (-groups[j], j)) for i in range(len(groups) - width + 1)]
+            assert line_dedup.smallest(groups.astype(np.uint64), width).tolist() == own
+
+
+def test_line_dedup_extends_unequal_stretches(spark):
+    """One passage between words of its own in every document: ends are unequal everywhere, copies and rows with one id among them."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(140)]
+    texts = []
+    for k in range(40):
+        a, b = sorted(rng.integers(0, 141, 2).tolist())
+        texts.append(" ".join([*(f"l{k}_{j}" for j in range(int(rng.integers(0, 40)))), *passage[a:b], *(f"r{k}_{j}" for j in range(int(rng.integers(0, 40))))]))
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:9]])]
+    seen, want = set(), {}
+    for k, text in rows:
+        words = text.split()
+        own = [tuple(words[j : j + 50]) for j in range(len(words) - 49)]
+        gone = {j + i for j, run in enumerate(own) if run in seen for i in range(50)}
+        seen |= set(own)
+        want[k] = [w for j, w in enumerate(words) if j not in gone]
+    got = {}
+    for slices in (3, 10**6):
+        docs = spark.createDataFrame([*rows, rows[0]], "doc_id int, text string").repartition(slices % 7)
+        out = line_dedup.dedup_lines(docs, rows_per_slice=slices).collect()
+        assert len(out) == len(rows) + 1
+        got[slices] = {r["doc_id"]: r["text"].split() for r in out}
+    assert got[3] == got[10**6] == want
+
+
 def test_host_quality(docs, none):
     got = host_quality.document_verdicts(docs).collect()
     assert len(got) == len(ROWS)
