@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lucerna.operators.skew import join_on_hot_key
+
 # Address ranges that must not be reached.
 V4_BLOCKED = [
     ("0.0.0.0", 8, "this network"),
@@ -167,10 +169,16 @@ def covering_proofs(hosts: DataFrame, proofs: DataFrame, keys: list[str]) -> Dat
 
 
 def domain_standing(hosts: DataFrame, proofs: DataFrame, keys: list[str], now: str) -> DataFrame:
-    """The first covering, dated proof by creation decides; older than 180 days it is stale."""
-    hits = covering_proofs(hosts, proofs, keys).where("verified_at is not null")
-    first = hits.groupBy(*keys).agg(F.expr("min_by(struct(domain, verified_at), struct(created_at, domain))").alias("p"))
-    out = hosts.join(first, keys, "left")
+    """The first covering, dated proof by creation decides; older than 180 days it is stale.
+
+    A domain keeps its first dated proof and every distinct host meets the few of its suffixes, so no row meets all proofs
+    of a domain; rows then take their host's.
+    """
+    dated = proofs.where("verified_at is not null").groupBy("domain").agg(F.min(F.struct("created_at", "verified_at")).alias("_first")).select("domain", "_first.*")
+    names = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("_rows"))
+    first = covering_proofs(names, dated, ["host"]).groupBy("host", "_rows").agg(F.expr("min_by(struct(domain, verified_at), struct(created_at, domain))").alias("p"))
+    # a host may hold a large share of the rows
+    out = join_on_hot_key(hosts, first, ["host"], "_rows", keys[0], "left")
     fresh = f"p.verified_at >= {now} - interval {PROOF_DAYS} days"
     return out.selectExpr(*hosts.columns, f"coalesce({fresh}, false) as verified", f"if({fresh}, null, p.verified_at) as stale_since", "p.domain as matched_domain")
 
@@ -186,5 +194,7 @@ def capped_reason(verified: str, requested: str) -> str:
 
 def allow_listed(hosts: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
     """Hosts covered by an allow list (``domain``); an empty list is handled by the caller."""
-    hit = covering_proofs(hosts, allowed, keys).select(*keys).distinct()
-    return hosts.join(hit, keys, "left_semi")
+    names = hosts.select("host").distinct()
+    hit = covering_proofs(names, allowed.distinct(), ["host"]).groupBy("host").agg(F.lit(1).alias("_listed"))
+    rows = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("_rows"))
+    return join_on_hot_key(hosts, hit.join(rows, "host"), ["host"], "_rows", keys[0], "inner").select(*hosts.columns)
