@@ -521,9 +521,9 @@ def j9(spark, d):
     return J.sanitise(t).selectExpr("task_no", "j_verdict", "j_confidence", "size(j_findings) as kept")
 
 
-@query("j10_not_judged", f"WITH {TASK_DB}, e AS (SELECT *, (100 + 900) * 5 + 8000 * 25 AS micro FROM tw), r AS (SELECT *, sum(micro) OVER (PARTITION BY run_id ORDER BY task_no) AS running FROM e) SELECT task_no, 'FAIL' AS j_verdict, 0::DOUBLE AS j_confidence, CASE WHEN running > 100000000 THEN 'budget used up before this row' ELSE 'judgement failed; check by hand' END AS j_note FROM r WHERE running > 100000000 OR task_no % 97 = 0")
+@query("j10_not_judged", f"WITH {TASK_DB}, e AS (SELECT *, {_MICRO} AS micro FROM tw), r AS (SELECT *, sum(micro) OVER (PARTITION BY run_id ORDER BY task_no) AS running FROM e) SELECT task_no, 'FAIL' AS j_verdict, 0::DOUBLE AS j_confidence, CASE WHEN running > 100000000 THEN 'budget used up before this row' ELSE 'judgement failed; check by hand' END AS j_note FROM r WHERE running > 100000000 OR task_no % 97 = 0")
 def j10(spark, d):
-    g = J.budget_gate(tasks(spark, d).withColumn("tokens", F.lit(100)), 100.0, bucket_rows=500).withColumn("failed", F.expr("task_no % 97 = 0"))
+    g = J.budget_gate(tasks(spark, d), 100.0, bucket_rows=500).withColumn("failed", F.expr("task_no % 97 = 0"))
     return J.not_judged(g).select("task_no", "j_verdict", "j_confidence", "j_note")
 
 

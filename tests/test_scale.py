@@ -12,3 +12,13 @@ def test_domain_standing_meets_proofs_by_domain(spark):
     rows = got.groupBy("host", "verified", "matched_domain").count().collect()
     assert {(r["host"], r["verified"], r["matched_domain"], r["count"]) for r in rows} == {("a.x.org", True, "a.x.org", 200), ("x.org", True, "x.org", 200), ("evilx.org", False, None, 200)}
     assert allow_listed(hosts, proofs.select("domain"), ["page_id"]).count() == 400
+
+
+def test_unjudged_rows_are_priced_by_their_texts(spark, tmp_path):
+    from lucerna.plans import registry
+
+    events = spark.range(600).selectExpr("id * 4 as event_id", "'view' as event_type", "7.0D as value", "id as user_id")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.load_all()["j10_not_judged"][0](spark, str(tmp_path)).groupBy("j_note").count().collect()
+    # a text of four tokens costs (4 + 900) * 5 + 200 000 millionths: 488 calls fit into 100
+    assert {r["j_note"]: r["count"] for r in got}["budget used up before this row"] == 600 - 100_000_000 // 204_520
