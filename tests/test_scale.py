@@ -14,6 +14,15 @@ def test_domain_standing_meets_proofs_by_domain(spark):
     assert allow_listed(hosts, proofs.select("domain"), ["page_id"]).count() == 400
 
 
+def test_pages_of_one_address_are_planned_apart(spark):
+    from lucerna.operators.plan import unplanned
+
+    fails = spark.createDataFrame([(1, "u", "R04", 1.0), (2, "u", "R04", 0.0), (3, "v", "R04", 0.0)], "page_id long, target_url string, item_id string, confidence double")
+    steps = spark.createDataFrame([(1, "u", "R04")], "page_id long, target_url string, item_id string")
+    got = unplanned(fails, steps, "page_id").select("page_id", "reason").collect()
+    assert {(r["page_id"], r["reason"]) for r in got} == {(2, "not verified: check by hand"), (3, "not verified: check by hand")}
+
+
 def test_unjudged_rows_are_priced_by_their_texts(spark, tmp_path):
     from lucerna.plans import registry
 
