@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ROWS_PER_SLICE = 500_000
+HEAVY_ROWS_PER_TASK = 1_000
 
 
 def join_on_hot_key(
-    big: DataFrame, small: DataFrame, keys: list[str], weight: str | None, spread: str, how: str = "left", rows_per_slice: int = ROWS_PER_SLICE
+    big: DataFrame, small: DataFrame, keys: list[str], weight: str | None, spread: str, how: str = "left", rows_per_slice: int = ROWS_PER_SLICE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key, splitting the keys that hold too many rows.
 
@@ -20,11 +22,12 @@ def join_on_hot_key(
     only the hot keys, at most ``rows(big) / rows_per_slice`` of them, so its size is bounded.
 
     Without ``weight`` the keys of ``big`` itself are counted, so a key that ``small`` lacks is split too, and rows
-    with a NULL key, which meet nothing, are spread.
+    with a NULL key, which meet nothing, are spread. ``counted`` has the same keys and rows as ``big`` and a shorter way to them:
+    where ``big`` is itself a chain of joins, counting it would run and plan the chain once more for every link.
     """
     if weight is None:
-        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice)
-        hot = counted.select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint").alias("_slices"))
+        counts = (big if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice)
+        hot = counts.select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint").alias("_slices"))
         no_key = F.lit(False)
         for k in keys:
             no_key = no_key | F.col(k).isNull()
@@ -46,7 +49,11 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "_r
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
-    """Spread few, CPU-heavy input splits over the cores; a scan that already has enough splits is left alone."""
+def ensure_parallelism(df: DataFrame, key: str, rows_per_task: int = HEAVY_ROWS_PER_TASK) -> DataFrame:
+    """Deal CPU-heavy rows out evenly: a task gets about ``rows_per_task`` of them, however the input's files are cut.
+
+    The splits of a scan say little: a file of one row group is one task, whatever its size and the number of its splits. Tasks
+    grow in number with the rows and not in length, and with them what a Python worker is sent at once.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows_per_task)), key)

@@ -3,6 +3,22 @@
 from pyspark.sql import functions as F
 
 
+def test_heavy_rows_are_dealt_out_by_their_number(spark, tmp_path):
+    from lucerna.operators.skew import HEAVY_ROWS_PER_TASK, ensure_parallelism
+
+    rows = 8 * HEAVY_ROWS_PER_TASK
+    # one file of one row group: many splits, one of them with all rows
+    spark.range(rows).selectExpr("id as page_id", "repeat(cast(id as string), 20) as html").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "one"))
+        assert scan.rdd.getNumPartitions() >= 4
+        dealt = ensure_parallelism(scan, "page_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in dealt) == rows and max(r["count"] for r in dealt) < 2 * HEAVY_ROWS_PER_TASK
+
+
 def test_domain_standing_meets_proofs_by_domain(spark):
     from lucerna.operators.policy import allow_listed, domain_standing
 
