@@ -19,6 +19,28 @@ def test_heavy_rows_are_dealt_out_by_their_number(spark, tmp_path):
     assert sum(r["count"] for r in dealt) == rows and max(r["count"] for r in dealt) < 2 * HEAVY_ROWS_PER_TASK
 
 
+def test_letters_are_counted_one_by_one(spark):
+    from lucerna.functions import patterns as P
+    from lucerna.operators.evidence import _count_re
+
+    texts = ["", "abc", "שלום abc", "a1 b2\nc3", "\U0001f600x\U0001f600", "مرحبا é A", "123"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for letters in (P.HEBREW, P.ARABIC, P.LATIN):
+        got = df.selectExpr("s", f"{_count_re('s', letters)} as n", f"regexp_count(s, {P.lit(letters)}) as want").collect()
+        assert all(r["n"] == r["want"] for r in got)
+
+
+def test_statement_flags_without_their_letters(spark):
+    from lucerna.functions import patterns as P
+    from lucerna.operators.site import statement_flags
+
+    pad = " filler" * 20
+    texts = ["WCAG AA" + pad, "mail a@b.co" + pad, "רכז נגישות: ישראל ישראלי 03-1234567" + pad, "מגבלות נגישות, ניתן לנווט, נבדק 2024, עודכן ההצהרה 2023" + pad, "נבדק@" + pad, "short"]
+    plain = [f"t rlike {P.lit(p)} as {k}" for k, p in P.STATEMENT_AUDIT]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{statement_flags('t')} as f", *plain).collect():
+        assert r["f"] is None if r["t"] == "short" else all(r["f"][k] == r[k] for k, _ in P.STATEMENT_AUDIT)
+
+
 def test_domain_standing_meets_proofs_by_domain(spark):
     from lucerna.operators.policy import allow_listed, domain_standing
 
