@@ -61,6 +61,15 @@ def test_pages_of_one_address_are_planned_apart(spark):
     assert {(r["page_id"], r["reason"]) for r in got} == {(2, "not verified: check by hand"), (3, "not verified: check by hand")}
 
 
+def test_a_rival_of_a_shared_address_is_one_page(spark):
+    from lucerna.operators.site import nav_conflicts
+
+    rows = [(1, "u", ["a", "b"]), (2, "w", ["b", "a"]), (3, "u", ["a", "c", "b"])]
+    pages = spark.createDataFrame([(i, "s", u, "en", None, seq) for i, u, seq in rows], "crawl_order long, site string, url string, lang string, load_error string, nav_seq array<string>")
+    got = nav_conflicts(pages).where("nav_seq = array('b', 'a')").collect()
+    assert len(got) == 1 and got[0]["nav_conflict"]["other_url"] == "u" and got[0]["nav_conflict"]["shared"] == ["b", "a"]
+
+
 def test_unjudged_rows_are_priced_by_their_texts(spark, tmp_path):
     from lucerna.plans import registry
 
