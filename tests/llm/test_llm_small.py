@@ -492,6 +492,30 @@ def test_near_dedup_of_a_hot_key(spark):
     assert {roots.get(i, i) for i in range(-50, 250)} == {-50}
 
 
+def test_near_dedup_loses_no_link_of_a_large_bucket(spark):
+    """400 texts share a passage and are just no near copies; ten pairs of them share one word more and just are."""
+    import corpus_pipeline
+
+    base = [f"b{i}" for i in range(200)]
+    tails = [[f"t{i}x{k}" for k in range(25)] for i in range(400)]
+    for pair in range(10):
+        tails[390 + pair][0] = tails[7 + 20 * pair][0]
+    texts = spark.createDataFrame([(i, " ".join(base + tail)) for i, tail in enumerate(tails)], "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, texts, "").collect()) == list(range(390))
+
+
+def test_prefix_join_meets_every_near_pair(spark):
+    from lucerna.llm import shingle_groups as sg
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    sets = [sorted({*range(int(rng.integers(5, 40))), *rng.integers(0, 60, 12).tolist()}) for _ in range(150)]
+    table = spark.createDataFrame([(i, len(x), i // 2 * 2, x) for i, x in enumerate(sets)], "class long, n int, group long, shingles array<long>")
+    near = {(a, b) for a in range(150) for b in range(a) if a // 2 != b // 2 and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    for per_task in (2_000, 20):
+        got = [tuple(r) for r in sg.joined_apart(table, per_task).collect()]
+        assert near and near <= {*got} and len(got) == len({*got})
+
+
 def test_mixing_meets_its_targets_with_null_and_shared_ids(spark):
     rows = [(None if i % 2 else i // 4, " ".join(["w"] * (5 + i % 37)), "ab"[i % 2 if i % 3 else 0]) for i in range(900)] + [(None, "same row", "b")] * 300
     for parts in (1, 7):
