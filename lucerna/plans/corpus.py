@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lucerna.operators.skew import ensure_parallelism
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -113,9 +115,14 @@ def earlier_sql(source: str = "pages") -> str:
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, **tables: str) -> DataFrame:
-    """Run derivation SQL with its source tables bound as temp views of this session."""
+    """Run derivation SQL with its source tables bound as temp views of this session.
+
+    Pages are dealt out before they are edited: the edits cost far more than the reading, and a row group is one task.
+    """
     for name in tables.values():
-        table(spark, sf_dir, name).createOrReplaceTempView(f"lucerna_src_{name}")
+        source = table(spark, sf_dir, name)
+        source = ensure_parallelism(source, "page_id") if name == "pages" else source
+        source.createOrReplaceTempView(f"lucerna_src_{name}")
     return spark.sql(sql)
 
 

@@ -19,6 +19,19 @@ def test_heavy_rows_are_dealt_out_by_their_number(spark, tmp_path):
     assert sum(r["count"] for r in dealt) == rows and max(r["count"] for r in dealt) < 2 * HEAVY_ROWS_PER_TASK
 
 
+def test_pages_are_dealt_out_before_they_are_edited(spark, tmp_path):
+    from lucerna.operators.skew import HEAVY_ROWS_PER_TASK
+    from lucerna.plans import corpus
+
+    rows = 8 * HEAVY_ROWS_PER_TASK
+    spark.range(rows).selectExpr("id as page_id", "concat('https://a.example/', id) as url", "'<html><body>x</body></html>' as html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    for source in (corpus.mutated, corpus.earlier, corpus.later, corpus.with_statements):
+        pages = source(spark, str(tmp_path))
+        dealt = pages.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in dealt) < 2 * HEAVY_ROWS_PER_TASK
+    assert corpus.mutated(spark, str(tmp_path)).select("page_id").distinct().count() == rows
+
+
 def test_letters_are_counted_one_by_one(spark):
     from lucerna.functions import patterns as P
     from lucerna.operators.evidence import _count_re
