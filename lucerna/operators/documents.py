@@ -76,9 +76,12 @@ def text_facts(docs: DataFrame, text: str = "text", max_lines: int | None = None
                     f"transform(filter(_lines, x -> not x.s rlike {heading} and x.raw rlike {lit(P.DOC_TYPED_BULLET)}), x -> named_struct({place(line='x.n')}, 'text', cast(null as string), 'manual', true, 'items', 1))"
                 ),
                 "sensory_phrases": F.expr(
-                    f"flatten(transform(_lines, x -> transform(regexp_extract_all(x.s, {lit('(' + P.DOC_SENSORY + ')')}, 1), m -> named_struct({place(line='x.n')}, 'match', m))))"
+                    # the phrases are all in Hebrew letters: a text without any is not searched line by line
+                    f"if(not {text} rlike {lit(P.HEBREW)}, cast(array() as {FACTS['sensory_phrases']}), flatten(transform(_lines, x -> transform(regexp_extract_all(x.s, {lit('(' + P.DOC_SENSORY + ')')}, 1), m -> named_struct({place(line='x.n')}, 'match', m)))))"
+                ),
+                "links": F.expr(
+                    f"if(instr({text}, '@') = 0, cast(array() as {FACTS['links']}), transform(regexp_extract_all({text}, {lit('(' + P.EMAIL + ')')}, 1), m -> named_struct('uri', concat('mailto:', m), 'text', m)))"
                 ),
-                "links": F.expr(f"transform(regexp_extract_all({text}, {lit('(' + P.EMAIL + ')')}, 1), m -> named_struct('uri', concat('mailto:', m), 'text', m))"),
             }
         ).drop("_lines")
     )

@@ -54,6 +54,19 @@ def test_statement_flags_without_their_letters(spark):
         assert r["f"] is None if r["t"] == "short" else all(r["f"][k] == r[k] for k, _ in P.STATEMENT_AUDIT)
 
 
+def test_documents_are_searched_only_where_a_match_can_be(spark):
+    from lucerna.functions import patterns as P
+    from lucerna.operators.documents import text_facts
+
+    texts = ["", "no match", "mail a@b.co and c.d@e.org", "ראה בטבלה מימין\n- item", "לחצו הכפתור האדום, x@y.org\r\nהכפתור האדום", "@ only", None]
+    facts = text_facts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = facts.selectExpr("text", "transform(links, x -> x.text) as links", "transform(sensory_phrases, x -> x.match) as phrases", f"regexp_extract_all(text, {P.lit('(' + P.EMAIL + ')')}, 1) as mails", f"regexp_extract_all(text, {P.lit('(' + P.DOC_SENSORY + ')')}, 1) as found")
+    rows = got.collect()
+    assert all(r["links"] == r["mails"] and r["phrases"] == r["found"] for r in rows) and sum(len(r["found"]) for r in rows[:-1]) == 3
+    plan = facts.select("links", "sensory_phrases")._jdf.queryExecution().optimizedPlan().toString()
+    assert "instr(" in plan and "NOT RLIKE" in plan.upper()
+
+
 def test_domain_standing_meets_proofs_by_domain(spark):
     from lucerna.operators.policy import allow_listed, domain_standing
 
