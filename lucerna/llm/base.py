@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,18 @@ def process_cache(owner: str) -> dict:
     """What a Python worker keeps from task to task for one kind of work; the next kind's first task frees it.
 
     Functions travel by value, so their module's globals do not last. A worker serves many stages, and an executor's memory
-    has no room for what stages before have left.
+    has no room for what stages before have left. Freed memory goes back to the system: neither Arrow's pool nor malloc does
+    that by itself.
     """
     kept = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
     if kept.get("_owner") != owner:
         for name in [n for n in kept if not str(n).startswith("__")]:
             del kept[name]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
         kept["_owner"] = owner
     return kept
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucerna.llm import tokens
-from lucerna.llm.base import Stage, pick, query, ship, table
+from lucerna.llm.base import Stage, pick, process_cache, query, ship, table
 
 ship(__name__)
 
@@ -151,6 +151,7 @@ def with_key(measured: DataFrame, bits: int = BITS) -> DataFrame:
 
     @F.pandas_udf("long")
     def key(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        process_cache("packing")
         z = (np.stack([a, b, c], axis=1).astype(np.float64) - centre) / spread
         grid = np.floor((1 << bits) / (1 + np.exp(-1.702 * z)))  # the logistic curve stands for the normal one
         return pd.Series(hilbert_keys(np.clip(grid, 0, (1 << bits) - 1), bits))
@@ -196,7 +197,8 @@ def with_part(keyed: DataFrame, per_partition: int, bits: int = BITS) -> DataFra
     cells = rows.groupBy("cell").agg(F.sum("doc_tokens").alias("cell_tokens"))
     before = F.coalesce(F.sum("cell_tokens").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.floor(F.pmod("tie", F.lit(1 << 20)) / (1 << 20) * F.col("cell_tokens"))
-    placed = rows.join(F.broadcast(cells.withColumn("before", before)), "cell")
+    # every row has its cell; an inner join would test the cell for null first and run the curve's Python twice, in two workers a task
+    placed = rows.join(F.broadcast(cells.withColumn("before", before)), "cell", "left")
     return placed.withColumn("part", F.floor((F.col("before") + inside) / per_partition).cast("int"))
 
 
@@ -207,6 +209,7 @@ def pack(measured: DataFrame, length: int = LENGTH, step: int = STEP, per_partit
     ordered = with_part(with_key(measured), per_partition).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "curve", "doc_id", "doc_tokens", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("packing")
         rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
         out: list[tuple] = []
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])

@@ -1,7 +1,11 @@
 """Each operator on small tables: brute force, nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +98,34 @@ def test_packing_spreads_copies_over_parts(spark):
     assert len(parts) == 8 and max(parts) < 1.3 * min(parts)
 
 
+def test_packing_runs_the_curve_once_a_row(spark):
+    rows = spark.range(100).selectExpr("id as doc_id", "concat('word ', id) as text")
+    measured = spark.createDataFrame(packing.measure(rows).collect(), packing.MEASURED)
+    plan = packing.with_part(packing.with_key(measured), 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # of the rows and of the cells' sums
+
+
+def test_a_worker_gives_memory_back_with_its_cache():
+    code = """
+import os, re
+from lucerna.llm import base
+
+def held():
+    text = open("/proc/self/smaps_rollup").read()
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", text))) / 1024
+
+empty = held()
+base.process_cache("one")["pieces"] = [os.urandom(2000) for _ in range(50_000)]
+stays = [os.urandom(2000) for _ in range(1_000)]
+full = held()
+base.process_cache("another")
+print(empty, full, held())
+"""
+    env = {**os.environ, "PYTHONPATH": str(Path(__file__).parents[2])}
+    empty, full, left = map(float, subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert full - empty > 90 and left - empty < 0.2 * (full - empty), (empty, full, left)
+
+
 def brute_components(rows, radius=2):
     fp = {i: simhash.fingerprint(t) for i, t in rows}
     root = {i: i for i in fp}
