@@ -99,13 +99,20 @@ def statement_audits(pages: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def title_duplicates(pages: DataFrame) -> DataFrame:
-    """Per (site, title): how many pages carry it and the first two of them in crawl order."""
-    base = pages.where("load_error is null and title <> ''").select("site", "title", "crawl_order", "url")
+    """Per (site, title): how many pages carry it and the first two of them in crawl order.
+
+    ``first_page`` tells the first page from others of its address.
+    """
+    base = pages.where("load_error is null and title <> ''").select("site", "title", "crawl_order", "url", "page_id")
     count = base.groupBy("site", "title").agg(F.count(F.lit(1)).alias("title_n")).where("title_n > 1")
     firsts = (
-        first_k(base, ["site", "title"], [F.col("crawl_order"), F.col("url")], 2)
+        first_k(base, ["site", "title"], [F.col("crawl_order"), F.col("url"), F.col("page_id")], 2)
         .groupBy("site", "title")
-        .agg(F.expr("max(if(_rank = 1, url, null))").alias("first_url"), F.expr("max(if(_rank = 2, url, null))").alias("second_url"))
+        .agg(
+            F.expr("max(if(_rank = 1, page_id, null))").alias("first_page"),
+            F.expr("max(if(_rank = 1, url, null))").alias("first_url"),
+            F.expr("max(if(_rank = 2, url, null))").alias("second_url"),
+        )
     )
     return count.join(firsts, ["site", "title"])
 
@@ -199,8 +206,8 @@ def with_site_context(pages: DataFrame, rows_per_slice: int = 500_000) -> DataFr
     titles = title_duplicates(pages)
     out = join_on_hot_key(out, titles, ["site", "title"], None, "page_id", "left", rows_per_slice, pages)
     out = out.withColumn("title_others", F.expr("if(title_n is null, 0, title_n - 1)")).withColumn(
-        "title_first_other", F.expr("if(first_url = url, second_url, first_url)")
-    ).drop("title_n", "first_url", "second_url")
+        "title_first_other", F.expr("if(first_page = page_id, second_url, first_url)")
+    ).drop("title_n", "first_page", "first_url", "second_url")
     navs = nav_conflicts(pages, rows_per_slice).withColumnRenamed("lang", "_lang")
     out = out.withColumn("_lang", F.expr(base_lang("lang")))
     out = join_on_hot_key(out, navs.drop("seq_rows"), ["site", "_lang", "nav_seq"], None, "page_id", "left", rows_per_slice, pages.withColumn("_lang", F.expr(base_lang("lang")))).drop("_lang")

@@ -96,6 +96,18 @@ def test_a_rival_of_a_shared_address_is_one_page(spark):
     assert len(got) == 1 and got[0]["nav_conflict"]["other_url"] == "u" and got[0]["nav_conflict"]["shared"] == ["b", "a"]
 
 
+def test_the_first_other_page_of_a_title_may_share_the_address(spark, tmp_path, monkeypatch):
+    from lucerna.plans import queries_site
+    from lucerna.plans.registry import load_all
+
+    head = "<html lang=\"en\"><head><title>Same</title></head><body><p>x</p></body></html>"
+    rows = [(2, "https://a.example/u", head), (4, "https://a.example/w", head), (7, "https://a.example/u", head)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(queries_site, "_MEMO", {})
+    got = load_all()["x_title_first_other"][0](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: (r["others"], r["first_other"]) for r in got} == {2: (2, "https://a.example/w"), 4: (2, "https://a.example/u"), 7: (2, "https://a.example/u")}
+
+
 def test_unjudged_rows_are_priced_by_their_texts(spark, tmp_path):
     from lucerna.plans import registry
 
