@@ -536,6 +536,38 @@ def test_near_dedup_loses_no_link_of_a_large_bucket(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, texts, "").collect()) == list(range(390))
 
 
+def test_near_dedup_links_a_pair_without_a_common_key(spark):
+    """Two texts of similarity 0.8 exactly that share none of the MinHash keys, among texts that share single passages."""
+    import random
+
+    import corpus_pipeline
+    from lucerna.llm import shingle_groups as sg
+
+    rng = random.Random(10137)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    pair = [" ".join(words[:94]), " ".join(words[:84] + words[94:])]
+    one, two = map(sg.shingle_set, pair)
+    assert 5 * len(np.intersect1d(one, two)) == 4 * len(np.union1d(one, two)) and not (sg.band_keys(one) == sg.band_keys(two)).any()
+    rest = [" ".join(words[:30] + [f"x{i}y{k}" for k in range(60)]) for i in range(20)]
+    texts = spark.createDataFrame([*enumerate(pair), *enumerate(rest, 2)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, texts, "").collect()) == [0, *range(2, 22)]
+
+
+def test_prefixes_meet_every_near_pair(spark):
+    from lucerna.llm import shingle_groups as sg
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    sets = [np.array(sorted({*range(int(rng.integers(5, 40))), *rng.integers(0, 60, 12).tolist()}), dtype=np.uint64) for _ in range(150)]
+    near = {(a, b) for a in range(150) for b in range(a) if a // 2 != b // 2 and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    classes = spark.createDataFrame([(i, 1000 + i, len(x)) for i, x in enumerate(sets)], "class long, rep long, n int")
+    roots = spark.createDataFrame([(i, i // 2 * 2) for i in range(150)], "node long, root long")
+    for common, per_task in ((range(0), 2_000), (range(0, 60, 3), 2_000), (range(40), 20)):
+        first = [(1000 + i, i, sg.prefix_of(x, np.array(common, dtype=np.uint64)).astype(np.int64).tolist()) for i, x in enumerate(sets)]
+        found = spark.createDataFrame(first + first[:9], "doc_id long, class long, prefix array<long>")
+        got = [tuple(r) for r in sg.met_in_prefixes(found, classes, roots, per_task).collect()]
+        assert near and near <= {*got} and len(got) == len({*got})
+
+
 def test_prefix_join_meets_every_near_pair(spark):
     from lucerna.llm import shingle_groups as sg
 
