@@ -34,6 +34,7 @@ ship(__name__)
 
 A, B = tokens.TOKENIZER, "piece_bpe_32k"
 BLOCK_CHARS = 1_000_000
+BLOCKS_PER_FILE = 16  # a block's lists are some megabytes
 CELLS = 4_000_000  # entries of a product made at once
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 ODD = r"\A |" + tokens.ODD_SPACE
@@ -347,7 +348,7 @@ def alignment_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest. Null ids are kept, rows that share an id count as a document each, other columns are ignored. Ties for the
     highest count all count as best. An empty table gives no rows. Whole texts at any length; a block holds one text at least.
     """
-    blocks = Stage(aligned_blocks(pick(docs, doc_id=id_col, text=text_col), a, b, chars).withColumn("block", F.monotonically_increasing_id()), "aligned").df
+    blocks = Stage(aligned_blocks(pick(docs, doc_id=id_col, text=text_col), a, b, chars).withColumn("block", F.monotonically_increasing_id()), "aligned", BLOCKS_PER_FILE).df
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pair", "holders")).alias("at", "e")).select("block", "at", "e.pair", "e.holders")
     counted = Stage(pair_counts(listed), "pair-counts").df
     found = join_on_hot_key(listed.drop("holders"), counted, ["pair"], "blocks", "block", how="inner", rows_per_slice=rows_per_slice)
@@ -355,6 +356,7 @@ def alignment_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = blocks.drop("pair", "holders").join(lists, "block", "left").drop("block").withColumns({"n": F.col("found.n"), "best": F.col("found.best")}).drop("found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("alignment counts")  # the worker's aligner is not needed any more
         for batch in batches:
             for r in range(batch.num_rows):
                 v = {c: batch.column(c)[r].values for c in batch.schema.names}

@@ -66,12 +66,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Stage:
-    """A table written to the shared checkpoint folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared checkpoint folder: it cuts lineage and survives lost executors.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``rows_per_file`` is for rows of megabytes: a reader decodes up to 4096 rows of a file at once, whatever they hold.
+    """
+
+    def __init__(self, df: DataFrame, name: str, rows_per_file: int = 0):
         spark = df.sparkSession
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

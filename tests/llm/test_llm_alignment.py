@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import public_tokenizers as public
 
+from pyspark.sql import functions as F
+
 from lucerna.llm import alignment
 
 SCHEMA = "doc_id long, text string, pair int, n int, block string, found string"
@@ -128,3 +130,14 @@ def test_no_piece_joins_a_space_to_what_is_before_it(libraries):
     """Why texts may be cut: in the second vocabulary a space stands only at the start of a piece."""
     model = libraries[1]
     assert not [p for p in map(model.id_to_piece, range(model.vocab_size())) if "\u2581" in p.lstrip("\u2581")]
+
+
+def test_a_file_holds_few_blocks(spark, monkeypatch):
+    """A reader decodes the rows of a file together, and a block's lists are megabytes."""
+    staged, stage = [], alignment.Stage
+    monkeypatch.setattr(alignment, "Stage", lambda df, name, *rest: staged.append((name, stage(df, name, *rest))) or staged[-1][1])
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert alignment.alignment_digest(docs, chars=1).count() == 50
+    blocks = dict(staged)["aligned"].df
+    sizes = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 50 and max(sizes) <= 16
